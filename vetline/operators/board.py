@@ -106,10 +106,11 @@ def expire_old(db: DataFrame, published_col: str, today: str, today_dmy: str) ->
     pub = _c(published_col)
     d = F.when(F.length(pub) == 8, F.try_to_date(pub, "yyyyMMdd"))
     hit = active("status") & F.coalesce(d < F.date_sub(td, fixed.EXPIRY_DAYS), F.lit(False))
+    e = F.col("expired")
     return (db.withColumn("expired", hit)
-              .withColumn("status", F.when(hit, F.lit("rejected")).otherwise(F.col("status")))
-              .withColumn("date_rejected", F.when(hit, F.lit(today_dmy)).otherwise(F.col("date_rejected")))
-              .withColumn("reject_reason", F.when(hit, F.lit(fixed.EXPIRED_REASON))
+              .withColumn("status", F.when(e, F.lit("rejected")).otherwise(F.col("status")))
+              .withColumn("date_rejected", F.when(e, F.lit(today_dmy)).otherwise(F.col("date_rejected")))
+              .withColumn("reject_reason", F.when(e, F.lit(fixed.EXPIRED_REASON))
                           .otherwise(F.col("reject_reason"))))
 
 
