@@ -93,14 +93,12 @@ def _element_text(x: Column) -> Column:
     return F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))
 
 
-def breakdown_items(v, name: str, sign: int) -> Column:
+def breakdown_raw(v, name: str, sign: int) -> Column:
     """``additions`` / ``deductions`` as array<struct<criterion, detail, points>>.
 
     Non-object entries become ``{points 0, criterion <text>, detail ''}`` (P23).
     Points: integer conversion of the value, absolute, signed by ``sign``; an
-    unconvertible or missing value is 0 (P22, Q15).  Additions keep only the
-    first criterion containing ``industr``; later ones get 0 and a note (A5).
-    """
+    unconvertible or missing value is 0 (P22, Q15)."""
     arr = variant_array(v, name)
 
     def to_item(x):
@@ -113,20 +111,28 @@ def breakdown_items(v, name: str, sign: int) -> Column:
         return F.struct(crit.alias("criterion"), F.coalesce(detail, F.lit("")).alias("detail"),
                         F.when(obj, pts).otherwise(F.lit(0)).alias("points"))
 
-    items = F.transform(arr, to_item)
-    if sign < 0:
-        return items
+    return F.transform(arr, to_item)
+
+
+def apply_once(items: Column) -> Column:
+    """Only the first addition whose criterion contains ``industr`` counts;
+    later ones get 0 points and a note (A5)."""
     once = F.transform(items, lambda it: F.lower(it["criterion"]).contains(fixed.ONCE_ONLY_CRITERION))
     first_once = F.array_position(once, True)  # 1-based, 0 when none
 
-    def apply_once(it, i):
+    def one(it, i):
         dup = F.lower(it["criterion"]).contains(fixed.ONCE_ONLY_CRITERION) & (i + 1 > first_once)
         return F.struct(
             it["criterion"].alias("criterion"),
             F.when(dup, F.concat(it["detail"], F.lit(fixed.ONCE_ONLY_NOTE))).otherwise(it["detail"]).alias("detail"),
             F.when(dup, F.lit(0)).otherwise(it["points"]).alias("points"))
 
-    return F.transform(items, apply_once)
+    return F.transform(items, one)
+
+
+def breakdown_items(v, name: str, sign: int) -> Column:
+    items = breakdown_raw(v, name, sign)
+    return apply_once(items) if sign > 0 else items
 
 
 def sum_points(items: Column) -> Column:

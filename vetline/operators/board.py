@@ -159,10 +159,9 @@ def board_sort(name: str) -> list:
 def edit_score(edits: DataFrame, json_col: str, stem_col: str, today: str) -> DataFrame:
     """Edited score JSON -> recomputed score and new stem, or an error row
     (B4, X15, P25).  Uses the same score rule as scoring (Q13)."""
-    v = jf.strict_parse(F.col(json_col))
-    r = sc.score_response(v, today)
-    ok = v.isNotNull()
-    return edits.select(
-        "*", F.when(ok, r["fit_score"]).alias("fit_score"),
-        F.when(ok, tx.restem_score(_c(stem_col), r["fit_score"])).alias("new_stem"),
-        F.when(~ok, F.lit("Invalid JSON")).alias("error"))
+    r = sc.score_responses(edits, jf.strict_parse(F.col(json_col)), today, out="_r")
+    ok = F.col("_r").isNotNull()
+    return r.select(
+        *edits.columns, F.col("_r.fit_score").alias("fit_score"),
+        F.when(ok, tx.restem_score(_c(stem_col), F.col("_r.fit_score"))).alias("new_stem"),
+        F.when(~ok, F.lit("Invalid JSON")).alias("error"), F.col("_r").alias("result"))

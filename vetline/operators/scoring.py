@@ -65,6 +65,32 @@ def score_response(resp, today: str) -> Column:
         F.coalesce(jf.field_str(v, "notes"), F.lit("")).alias("notes"))
 
 
+def score_responses(df: DataFrame, resp, today: str, out: str = "result") -> DataFrame:
+    """DataFrame form of ``score_response`` that parses once: the VARIANT and
+    the breakdown arrays are staged as columns, so each is computed once per
+    row instead of once per field that reads it."""
+    staged = (df.withColumn("_v", _c(resp))
+                .withColumn("_adds0", jf.breakdown_raw(F.col("_v"), "additions", +1))
+                .withColumn("_deds", jf.breakdown_raw(F.col("_v"), "deductions", -1))
+                .withColumn("_adds", jf.apply_once(F.col("_adds0"))))
+    v = F.col("_v")
+    src = jf.field_str(v, "source")
+    r = F.struct(
+        jf.fit_score(F.col("_adds"), F.col("_deds")).alias("fit_score"),
+        F.col("_adds").alias("additions"), F.col("_deds").alias("deductions"),
+        jf.string_array(v, "disqualifiers").alias("disqualifiers"),
+        jf.eight_digits_or(F.coalesce(jf.field_str(v, "date_published"), F.lit("")), today)
+        .alias("date_published"),
+        tx.validated_city_code(F.coalesce(jf.field_str(v, "city_code"), F.lit(""))).alias("city_code"),
+        F.coalesce(jf.field_str(v, "job_title"), F.lit("")).alias("job_title"),
+        F.coalesce(jf.field_str(v, "company_name"), F.lit("")).alias("company_name"),
+        F.coalesce(jf.field_str(v, "client_company"), F.lit("")).alias("client_company"),
+        F.when(jf.has_key(v, "source"), F.coalesce(src, F.lit("")))
+         .otherwise(F.lit(fixed.DEFAULT_SOURCE)).alias("source"),
+        F.coalesce(jf.field_str(v, "notes"), F.lit("")).alias("notes"))
+    return staged.withColumn(out, F.when(v.isNotNull(), r)).drop("_v", "_adds0", "_deds", "_adds")
+
+
 # ---------------------------------------------------------------- item rows
 def score_items(items: DataFrame, key: str, kind_col: str, points_col: str,
                 criterion_col: str, order_cols: list) -> DataFrame:
@@ -75,11 +101,15 @@ def score_items(items: DataFrame, key: str, kind_col: str, points_col: str,
     pts = F.abs(_c(points_col).cast("int"))
     is_add = _c(kind_col) == "add"
     once = is_add & F.lower(_c(criterion_col)).contains(fixed.ONCE_ONLY_CRITERION)
-    first_once = F.min(F.when(once, F.struct(*[_c(o) for o in order_cols], pts.alias("p"))))
-    agg = items.groupBy(key).agg(
+    # Sums stay a hash aggregate over all items.  Only the once-only subset
+    # needs the (sort-based) min over a struct ordering; both results are
+    # hash-partitioned on the key, so the join adds no exchange.
+    sums = items.groupBy(key).agg(
         F.sum(F.when(is_add & ~once, pts).otherwise(0)).alias("_add"),
-        first_once.alias("_first"),
         F.sum(F.when(~is_add, pts).otherwise(0)).alias("_ded"))
+    firsts = (items.where(once).groupBy(key)
+                   .agg(F.min(F.struct(*[_c(o) for o in order_cols], pts.alias("p"))).alias("_first")))
+    agg = sums.join(firsts, key, "left")
     additions = (F.col("_add") + F.coalesce(F.col("_first.p"), F.lit(0))).cast("long")
     deductions = (-F.col("_ded")).cast("long")
     return agg.select(key, additions.alias("additions"), deductions.alias("deductions"),

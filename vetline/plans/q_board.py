@@ -237,8 +237,9 @@ def report_roundtrip(spark, sf_dir):
     """Render the scoring report (K4) and read the table fields back."""
     from vetline.functions import json_fields as jf
     ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
-    r = sc.score_response(jf.strict_parse(_edit_json()), TODAY)
-    rep = ev.select("event_id", sc.scoring_report(F.col("user_id"), r).alias("report"))
+    scored = sc.score_responses(ev.select("event_id", "user_id", "props", "value"),
+                                jf.strict_parse(_edit_json()), TODAY, out="r")
+    rep = scored.select("event_id", sc.scoring_report(F.col("user_id"), F.col("r")).alias("report"))
     return rep.select("event_id", sc.report_field("report", "Job Title").alias("job_title"),
                       sc.report_field("report", "Company").alias("company"),
                       sc.report_field("report", "Fit Score").alias("fit_score_text"))
