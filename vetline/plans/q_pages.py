@@ -146,3 +146,45 @@ def expected_found(spark, sf_dir):
     found = F.size(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1))).cast("long")
     return p.select("page_id", exp.alias("expected"), found.alias("found"),
                     (exp != found).alias("mismatch"))
+
+
+# ---------------------------------------------------------------- P26 P27
+CONTEXT_TOKENS = 24576
+_PROMPT_HEAD = "Today's date is 2026-01-31.\n\nReturn ONLY a JSON object.\n\n---\n"
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@register("prompt_size", sql=f"""
+SELECT doc_id, CAST(floor(length({_sql_text(_PROMPT_HEAD)} || text) / 4) AS INTEGER) AS est_tokens,
+       CAST(floor(length({_sql_text(_PROMPT_HEAD)} || text) / 4) > {CONTEXT_TOKENS} AS INTEGER) AS over_context
+FROM documents
+""")
+def prompt_size(spark, sf_dir):
+    """Prompt per listing document and its size estimate (characters // 4);
+    prompts above the context size are flagged (P26, P27)."""
+    from vetline.operators import scoring as sc
+    from vetline.plans.profiles import prompt_text
+    d = table(spark, sf_dir, "documents")
+    est = sc.prompt_tokens(prompt_text(F.col("text"), "2026-01-31"))
+    return d.select("doc_id", est.alias("est_tokens"),
+                    (est > CONTEXT_TOKENS).cast("int").alias("over_context"))
+
+
+# ---------------------------------------------------------------- A2
+@register("links_per_page", sql="""
+WITH l AS (SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="(/[^"]*)"', 1))) AS n FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS n_links FROM l WHERE n > 0
+UNION ALL
+SELECT NULL AS page_id, CAST(sum(n) AS BIGINT) AS n_links FROM l
+""")
+def links_per_page(spark, sf_dir):
+    """Extracted links per page (message) plus the total row (A2)."""
+    from vetline.operators import intake
+    p = table(spark, sf_dir, "pages")
+    ids = intake.ordered_distinct_matches("html", r'href="(/[^"]*)"')
+    links = p.select(F.col("page_id").cast("string").alias("origin_path"), F.explode(ids).alias("href"))
+    out = intake.links_per_message(links)
+    return out.select(F.col("origin_path").cast("long").alias("page_id"), F.col("n_links").cast("long"))
