@@ -10,6 +10,7 @@ and a converter; everything else (joins, routing, naming) stays in Spark.
 
 from __future__ import annotations
 
+import functools
 import re
 from html.parser import HTMLParser
 
@@ -131,6 +132,7 @@ _SEL = re.compile(r"^(?P<tag>[a-z0-9]+)?(?P<rest>(?:[.#][\w-]+|\[[^\]]+\])*)$")
 _PART = re.compile(r"([.#])([\w-]+)|\[(\w+)(\*?=)'?\"?([^'\"\]]*)'?\"?\]")
 
 
+@functools.lru_cache(maxsize=256)
 def matcher(selector: str):
     """Predicate for one simple selector: tag, .class, #id, [attr*=v], [attr=v]."""
     m = _SEL.match(selector.strip())
@@ -149,15 +151,15 @@ def matcher(selector: str):
     return lambda n: (tag is None or n.tag == tag) and all(t(n) for t in tests)
 
 
-def select_all(root: Node, selector: str):
+def select_all(root: Node, selector: str, nodes: list | None = None):
     pred = matcher(selector)
-    return [n for n in walk(root) if pred(n)]
+    return [n for n in (nodes if nodes is not None else walk(root)) if pred(n)]
 
 
-def first_text(root: Node, selectors) -> str:
+def first_text(root: Node, selectors, nodes: list | None = None) -> str:
     """First selector whose first match has non-empty text."""
     for sel in selectors:
-        hits = select_all(root, sel)
+        hits = select_all(root, sel, nodes)
         if hits:
             t = inner_text(hits[0]).strip()
             if t:
@@ -179,10 +181,10 @@ RESULT_COUNT_PATTERN = r"(?i)\b(\d+)\s+results?\b"
 CARD_HREF_PATTERN = r"/jobs/view/(\d+)"
 
 
-def title_by_anchor(root: Node) -> str:
+def title_by_anchor(root: Node, nodes: list | None = None) -> str:
     """Company link as anchor; climb at most 6 parents; first <p> with over
     10 characters of text (X4)."""
-    hits = select_all(root, "a[href*='/company/'][href*='/life/']")
+    hits = select_all(root, "a[href*='/company/'][href*='/life/']", nodes)
     if not hits:
         return ""
     el = hits[0]
@@ -196,18 +198,19 @@ def title_by_anchor(root: Node) -> str:
     return ""
 
 
-def description_html(root: Node) -> str:
+def description_html(root: Node, nodes: list | None = None) -> str:
     """Ordered selectors, first whose inner HTML exceeds 200 characters (X6);
     else the div/section/article with the longest text under 20000
     characters and under 30 children, over 200 characters; first wins ties (X7, O4)."""
+    nodes = nodes if nodes is not None else list(walk(root))
     for sel in DESC_SELECTORS:
-        hits = select_all(root, sel)
+        hits = select_all(root, sel, nodes)
         if hits:
             h = inner_html(hits[0]).strip()
             if len(h) > fixed.DESCRIPTION_MIN_HTML:
                 return h
     best, best_len = None, 0
-    for n in walk(root):
+    for n in nodes:
         if n.tag in ("div", "section", "article"):
             t = inner_text(n)
             kids = sum(1 for c in n.children if isinstance(c, Node))
@@ -278,11 +281,11 @@ def html_to_markdown(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", md).strip()
 
 
-def result_cards(root: Node) -> list[dict]:
+def result_cards(root: Node, nodes: list | None = None) -> list[dict]:
     """Job cards on a result page: canonical URL, first text line as title,
     company from the closest list item (default LinkedIn); unique by URL (X1, F12)."""
     seen, cards = set(), []
-    for a in select_all(root, "a[href*='/jobs/view/']"):
+    for a in select_all(root, "a[href*='/jobs/view/']", nodes):
         m = re.search(CARD_HREF_PATTERN, a.attrs.get("href", ""))
         if not m:
             continue
@@ -306,9 +309,9 @@ def result_cards(root: Node) -> list[dict]:
     return cards
 
 
-def expected_results(root: Node):
+def expected_results(root: Node, nodes: list | None = None):
     """First leaf text of at most 60 characters holding ``N result(s)`` (A3)."""
-    for n in walk(root):
+    for n in (nodes if nodes is not None else walk(root)):
         if any(isinstance(c, Node) for c in n.children) or n.tag in _SKIP_TEXT:
             continue
         t = inner_text(n)
@@ -322,18 +325,19 @@ def expected_results(root: Node):
 
 def extract_page(html: str) -> dict:
     root = parse_dom(html)
+    nodes = list(walk(root))
     text = inner_text(root)
-    desc = description_html(root)
+    desc = description_html(root, nodes)
     return {
-        "title_sel": first_text(root, TITLE_SELECTORS),
-        "title_anchor": title_by_anchor(root),
-        "company": first_text(root, COMPANY_SELECTORS),
+        "title_sel": first_text(root, TITLE_SELECTORS, nodes),
+        "title_anchor": title_by_anchor(root, nodes),
+        "company": first_text(root, COMPANY_SELECTORS, nodes),
         "desc_html": desc,
         "desc_md": html_to_markdown(desc) if desc else None,
         "results_end": fixed.RESULTS_END_SENTINEL in text,
         "no_results": any(m in text for m in fixed.NO_RESULTS_MARKERS),
-        "expected": expected_results(root),
-        "cards": result_cards(root),
+        "expected": expected_results(root, nodes),
+        "cards": result_cards(root, nodes),
     }
 
 
@@ -356,7 +360,8 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html_col: str = "html")
                 out.insert(0, c, pdf[c].values)
             yield out
 
-    return pages.select(*keep, html_col).mapInPandas(run, schema)
+    from vetline.operators.sequence import spread
+    return spread(pages.select(*keep, html_col)).mapInPandas(run, schema)
 
 
 def listing_fields(parsed: DataFrame, stem_col: str | None = None) -> DataFrame:

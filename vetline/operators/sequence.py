@@ -72,3 +72,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster's cores.
+
+    A scan of a few large row groups yields fewer partitions than there are
+    cores, and per-row work (HTML parsing, VARIANT parsing, section
+    stripping) would then run on a handful of tasks.  Only in that case the
+    rows are redistributed round-robin; a large input that already has at
+    least that many splits is returned unchanged (no extra shuffle)."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -10,6 +10,7 @@ from vetline import fixed
 from vetline.operators import board as bd
 from vetline.operators import listing_db as ldb
 from vetline.operators import scoring as sc
+from vetline.operators.sequence import spread
 from vetline.plans.catalog import register
 from vetline.sources.tables import table
 
@@ -221,7 +222,7 @@ def edit_score(spark, sf_dir):
     """Edited score JSON per purchase event: recomputed score (industry once,
     loose entries as 0, text points converted, fractional text as 0) and the
     restemmed name."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    ev = spread(table(spark, sf_dir, "events").where(F.col("event_type") == "purchase"))
     edits = ev.select("event_id", "user_id", "props", "value",
                       _edit_json().alias("content"),
                       F.format_string("%04d_000_20260131_REMOTE_x", F.col("user_id")).alias("stem"))
@@ -236,7 +237,7 @@ SELECT event_id, 'Event ' || event_id AS job_title, 'User ' || user_id AS compan
 def report_roundtrip(spark, sf_dir):
     """Render the scoring report (K4) and read the table fields back."""
     from vetline.functions import json_fields as jf
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    ev = spread(table(spark, sf_dir, "events").where(F.col("event_type") == "purchase"))
     scored = sc.score_responses(ev.select("event_id", "user_id", "props", "value"),
                                 jf.strict_parse(_edit_json()), TODAY, out="r")
     rep = scored.select("event_id", sc.scoring_report(F.col("user_id"), F.col("r")).alias("report"))

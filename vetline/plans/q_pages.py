@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vetline.functions import text as tx
 from vetline.operators import pages as pg
+from vetline.operators.sequence import spread
 from vetline.plans.catalog import register
 from vetline.sources.tables import table
 
@@ -127,7 +128,7 @@ FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 def md_sections(spark, sf_dir):
     """Short lines become headings (## under 12 characters, ### under 25);
     listed sections are stripped with the heading-level rule."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", pg.strip_sections(_as_markdown(F.col("text")), BLACK_HEADINGS)
                     .alias("md"))
 
