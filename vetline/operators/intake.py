@@ -77,11 +77,14 @@ def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
     copy in this batch), ``moved`` (new).  In force mode duplicates are
     ``moved`` too.  Adds ``is_new`` = this row adds its key to the seen list
     (J1, J2, W1, F1, F9)."""
-    known = seen.select(F.col(key).alias(key)).where(F.col(key).isNotNull()) \
-                .distinct().withColumn("_seen", F.lit(True))
-    per_key = (links.where(F.col(key).isNotNull()).groupBy(key)
-               .agg(F.min(order_col).alias("_first"))
-               .join(known, on=key, how="left"))
+    # Batch keys and seen keys are reduced by one keyed aggregation (first
+    # copy + seen flag), then joined back once: one join instead of two.
+    mine = links.where(F.col(key).isNotNull()).select(
+        key, F.col(order_col).alias("_o"), F.lit(False).alias("_s"))
+    known = seen.where(F.col(key).isNotNull()).select(
+        key, F.lit(None).cast(mine.schema["_o"].dataType).alias("_o"), F.lit(True).alias("_s"))
+    per_key = (mine.unionByName(known).groupBy(key)
+               .agg(F.min("_o").alias("_first"), F.max("_s").alias("_seen")))
     out = links.join(per_key, on=key, how="left")
     in_seen = F.coalesce(F.col("_seen"), F.lit(False))
     first = F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False))
@@ -94,6 +97,25 @@ def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
                .drop("_seen", "_first"))
 
 
+def first_copy_counts(rows: DataFrame, seen: DataFrame, key: str, order_col: str,
+                      code_col: str) -> DataFrame:
+    """Per key: copies in the batch, whether the key was seen before, and the
+    routing code of the first copy (J1, W1, A1 in aggregate form).
+
+    The batch rows and the seen keys are united and reduced by one keyed
+    aggregation, so there is no join and each side is combined map-side
+    before the single shuffle.  ``code_col`` must be an integer so every
+    buffer is fixed-width and the aggregate stays hash-based."""
+    r = rows.select(F.col(key), F.col(order_col).alias("_o"), F.col(code_col).alias("_code"),
+                    F.lit(0).alias("_seen"))
+    s = seen.select(F.col(key), F.lit(None).cast(r.schema["_o"].dataType).alias("_o"),
+                    F.lit(None).cast("int").alias("_code"), F.lit(1).alias("_seen"))
+    return (r.unionByName(s).groupBy(key)
+             .agg(F.count("_o").alias("n_copies"), F.max("_seen").alias("seen"),
+                  F.min_by("_code", "_o").alias("first_code"))
+             .where(F.col("n_copies") > 0))
+
+
 def seen_additions(routed: DataFrame, key: str = "url") -> DataFrame:
     """Keys to append to the seen list."""
     return routed.where("is_new").select(key)

@@ -67,18 +67,29 @@ SELECT outcome, count(*) AS n FROM routed GROUP BY outcome
 """)
 def intake_funnel(spark, sf_dir):
     """dedup vs seen + within batch (J1, W1) -> keyword (F2) -> language
-    -> outcome counts (A1), in the stage order of the workflow."""
+    -> outcome counts (A1), in the stage order of the workflow.
+
+    Routing of a row is computed map-side as an integer code (keyword
+    position, -1 for a rejected language, 0 accepted); one keyed aggregation
+    over documents and seen keys gives copies, seen flag and the first copy's
+    code; a second, tiny aggregation counts outcomes."""
     docs = listings(spark, sf_dir)
-    routed = intake.dedup_against_seen(docs, seen_texts(spark, sf_dir),
-                                       key="text_key", order_col="doc_id")
-    routed = flt.keyword_route(routed, "name", DOC_KEYWORDS)
-    outcome = (F.when(F.col("outcome") != "moved", F.lit("duplicate"))
-               .when(F.col("matched_keyword").isNotNull(),
-                     F.concat(F.lit("kw:"), F.col("matched_keyword")))
-               .when(~flt.language_accepted("lang"), F.lit("language"))
-               .otherwise(F.lit("accepted")))
-    return routed.select(outcome.alias("outcome")).groupBy("outcome") \
-                 .agg(F.count(F.lit(1)).alias("n"))
+    kws = F.array(*[F.lit(k) for k in DOC_KEYWORDS])
+    kw = flt.first_keyword("name", DOC_KEYWORDS)
+    code = (F.when(kw.isNotNull(), F.array_position(kws, kw).cast("int"))
+            .when(~flt.language_accepted("lang"), F.lit(-1)).otherwise(F.lit(0)))
+    per_key = intake.first_copy_counts(docs.withColumn("code", code), seen_texts(spark, sf_dir),
+                                       "text_key", "doc_id", "code")
+    first_label = (F.when(F.col("first_code") > 0,
+                          F.concat(F.lit("kw:"), F.element_at(kws, F.col("first_code"))))
+                   .when(F.col("first_code") == -1, F.lit("language"))
+                   .otherwise(F.lit("accepted")))
+    dup = F.when(F.col("seen") == 1, F.col("n_copies")).otherwise(F.col("n_copies") - 1)
+    lab = F.array(F.struct(F.lit("duplicate").alias("outcome"), dup.alias("n")),
+                  F.struct(first_label.alias("outcome"),
+                           F.when(F.col("seen") == 1, 0).otherwise(1).cast("long").alias("n")))
+    parts = per_key.select(F.inline(lab)).where(F.col("n") > 0)
+    return parts.groupBy("outcome").agg(F.sum("n").cast("long").alias("n"))
 
 
 # ---------------------------------------------------------------- P1 P2 A6
