@@ -80,7 +80,7 @@ def sync(db: DataFrame, folded: DataFrame, restamp_today: str | None = None) ->
         for date_col in fixed.DATE_COLUMN_FOR.values():
             upd = upd.withColumn(date_col, F.when(F.col(date_col).isNotNull(), F.lit(restamp_today)))
     keep = tuple(c for c in cols if c != "status")
-    return ldb.update_by_ref(db, upd, cols, keep_if_empty=keep)
+    return ldb.update_by_ref(db, upd, cols, keep_if_empty=keep, dedupe=False)
 
 
 def sync_counts(db: DataFrame, folded: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def confirm_expired(db: DataFrame, confirmed: DataFrame, today_dmy: str) -> Data
     upd = confirmed.select("ref_nr").distinct().select(
         "ref_nr", F.lit("rejected").alias("status"), F.lit(today_dmy).alias("date_rejected"),
         F.lit(fixed.EXPIRED_REASON).alias("reject_reason"))
-    return ldb.update_by_ref(db, upd, ["status", "date_rejected", "reject_reason"])
+    return ldb.update_by_ref(db, upd, ["status", "date_rejected", "reject_reason"], dedupe=False)
 
 
 def neighbours(board: DataFrame, sort_cols: list, key: str = "ref_nr") -> DataFrame:

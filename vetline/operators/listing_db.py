@@ -88,12 +88,10 @@ def new_rows(scored: DataFrame, outcome_col: str, today_dmy: str, fields: dict)
     others (disqualified, closed, pending) -> no row (K5, K6)."""
     cols = {k: _c(v) for k, v in fields.items()}
     rejected = _c(outcome_col).isin("rejected_role", "rejected_score")
-    exprs = []
-    for name, t in LISTING_TYPES.items():
-        acc = dict(zip(LISTING_TYPES, listing_row(cols, "new", today_dmy)))[name]
-        rej = dict(zip(LISTING_TYPES, listing_row(cols, "rejected", today_dmy,
-                                                   fixed.LOW_SCORE_REASON)))[name]
-        exprs.append(F.when(rejected, rej).otherwise(acc).cast(t).alias(name))
+    acc = dict(zip(LISTING_TYPES, listing_row(cols, "new", today_dmy)))
+    rej = dict(zip(LISTING_TYPES, listing_row(cols, "rejected", today_dmy, fixed.LOW_SCORE_REASON)))
+    exprs = [F.when(rejected, rej[name]).otherwise(acc[name]).cast(t).alias(name)
+             for name, t in LISTING_TYPES.items()]
     keep = _c(outcome_col).isin("accepted", "rejected_role", "rejected_score")
     return scored.where(keep).select(*exprs)
 
@@ -125,15 +123,22 @@ def first_ref_by_url(db: DataFrame, order_col: str = "ref_nr") -> DataFrame:
 
 
 def update_by_ref(db: DataFrame, updates: DataFrame, columns: list[str],
-                  keep_if_empty: tuple = ()) -> DataFrame:
+                  keep_if_empty: tuple = (), dedupe: bool = True) -> DataFrame:
     """Named-column update by ref (K8, J7, Q22).  ``updates`` has ``ref_nr``
     plus the columns; unknown columns are ignored; a column listed in
     ``keep_if_empty`` keeps the old value when the new one is null/empty.
-    Adds ``updated`` (found flag).  One left join per batch."""
+    Adds ``updated`` (found flag).  One left join per batch.  Refs are unique
+    in the table by construction; ``dedupe`` reduces the updates to one per
+    ref first (pass False when the caller already guarantees that)."""
     cols = [c for c in columns if c in LISTING_TYPES]
     u = updates.select(ref_as_number("ref_nr").alias("_ref"),
-                       *[F.col(c).alias(f"_new_{c}") for c in cols]) \
-               .withColumn("_hit", F.lit(True))
+                       *[F.col(c).alias(f"_new_{c}") for c in cols])
+    if dedupe:
+        # one update per ref: a deterministic winner, never a multiplied row
+        new = [f"_new_{c}" for c in cols]
+        u = (u.groupBy("_ref").agg(F.max(F.struct(*new)).alias("_u"))
+              .select("_ref", *[F.col(f"_u.{n}").alias(n) for n in new]))
+    u = u.withColumn("_hit", F.lit(True))
     joined = db.join(u, ref_as_number("ref_nr") == F.col("_ref"), "left")
     out = []
     for name in db.columns:

@@ -10,7 +10,7 @@ from vetline import fixed
 from vetline.functions import text as tx
 from vetline.operators import filters as flt
 from vetline.operators import intake
-from vetline.operators.sequence import sequence_within
+from vetline.operators.sequence import sequence_within, spread
 from vetline.plans.catalog import register
 from vetline.sources.tables import table
 
@@ -304,7 +304,7 @@ FROM f
 """)
 def city_codes(spark, sf_dir):
     """City codes for the first word of each document (accents, case, cut)."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     city = tx.trim_ws(F.regexp_extract("text", r"^([^ .,;:!?\n]+)", 1))
     return (d.select("doc_id", city.alias("city"))
              .select("doc_id", "city", tx.city_code4("city").alias("code4"),
