@@ -70,3 +70,25 @@ def test_neighbours(spark):
                               "ref_nr long, status string, fit_score int")
     n = {r.ref_nr: (r.prev_ref, r.next_ref) for r in bd.neighbours(b, bd.board_sort("score_desc")).collect()}
     assert n == {2: (None, 3), 3: (2, 1), 1: (3, None), 4: (None, None)}
+
+
+def test_board_listing_and_content(spark):
+    db = ldb.upgrade_schema(spark.createDataFrame(
+        [(1, "new", 50, " note "), (2, "new", 80, None), (3, "applied", 90, None), (4, "priorities", 10, "")],
+        "ref_nr long, status string, fit_score int, comment string"))
+    lst = {r.ref_nr: (r.position, r.has_comment) for r in bd.board_listing(db).collect()}
+    assert set(lst) == {1, 2, 4}
+    assert lst[2][0] < lst[1][0] and lst[1][1] and not lst[2][1] and not lst[4][1]
+    assert [r.ref_nr for r in bd.board_column(db, "consider").collect()] == []
+    c = {r.ref_nr: (r.comment, r.url, r.jd) for r in bd.card_content(db).collect()}
+    assert c[1] == (" note ", "", "") and c[2] == ("", "", "")
+    saved = {r.ref_nr: r.comment for r in bd.save_comments(db, spark.createDataFrame([(2, "  hi \n")], "ref_nr long, text string")).collect()}
+    assert saved[2] == "hi" and saved[1] == " note "
+
+
+def test_pair_documents(spark):
+    from vetline.sources import files
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "stem string, body_md string")
+    sc = spark.createDataFrame([("a", "u1")], "name string, url string")
+    assert [r.stem for r in files.pair_documents(docs, sc, "extract").collect()] == ["a"]
+    assert sorted((r.stem, r.url) for r in files.pair_documents(docs, sc, "score").collect()) == [("a", "u1"), ("b", None)]

@@ -99,6 +99,41 @@ def active(status) -> Column:
     return _c(status).isin(*visible)
 
 
+def board_column(db: DataFrame, column: str) -> DataFrame:
+    """Cards of one board column (S12): a filter on the stored status,
+    pushed to the scan when the table is partitioned by status."""
+    return db.where(F.col("status") == fixed.STATUS_FOR_COLUMN[column])
+
+
+def board_listing(db: DataFrame, sort: str = "score_desc") -> DataFrame:
+    """Visible cards per column in one board sort, with a has-comment flag
+    and the position inside the column (B1, O2, J9, F14).  The listing stays
+    rows; it is never collected into one value per column."""
+    cards = db.where(active("status")).withColumn(
+        "has_comment", F.coalesce(tx.trim_ws("comment") != "", F.lit(False)))
+    return global_sequence(cards, ["status"] + board_sort(sort) + ["ref_nr"], col="position")
+
+
+def card_content(db: DataFrame, docs: DataFrame | None = None, key: str = "ref_nr") -> DataFrame:
+    """Report, document, comment and URL of each card; missing -> '' (J10)."""
+    out = db
+    if docs is not None:
+        out = out.join(docs.select(key, F.col("body_md").alias("_doc")), key, "left")
+    else:
+        out = out.withColumn("_doc", F.lit(None).cast("string"))
+    rep = F.col("report") if "report" in db.columns else F.lit(None).cast("string")
+    return out.select(key, F.coalesce(rep, F.lit("")).alias("scoring"),
+                      F.coalesce("_doc", F.lit("")).alias("jd"),
+                      F.coalesce("comment", F.lit("")).alias("comment"),
+                      F.coalesce("url", F.lit("")).alias("url"))
+
+
+def save_comments(db: DataFrame, comments: DataFrame) -> DataFrame:
+    """Comment edits ``(ref_nr, text)``: stored trimmed."""
+    upd = comments.select("ref_nr", tx.trim_ws("text").alias("comment"))
+    return ldb.update_by_ref(db, upd, ["comment"])
+
+
 def expire_old(db: DataFrame, published_col: str, today: str, today_dmy: str) -> DataFrame:
     """Active rows whose ``yyyyMMdd`` date is a valid date strictly before
     today - 30 days -> rejected, reason Expired (F13, B5, Q16, Q17)."""

@@ -103,6 +103,29 @@ def read_documents(spark: SparkSession, folder: str, exclude_sidecars: bool = Fa
     return out
 
 
+def read_seen(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Seen list (S6): a Parquet table of ``url``, or a text file of trimmed,
+    non-empty lines; distinct either way."""
+    if fmt == "text":
+        df = spark.read.text(path).select(tx.trim_ws("value").alias("url"))
+        return df.where(F.col("url") != "").distinct()
+    return spark.read.parquet(path).select("url").distinct()
+
+
+def read_listing_db(spark: SparkSession, path: str) -> DataFrame:
+    """Listing table snapshot (S11), upgraded to the full column set (K9)."""
+    from vetline.operators.listing_db import upgrade_schema
+    return upgrade_schema(spark.read.parquet(path))
+
+
+def pair_documents(docs: DataFrame, shortcuts: DataFrame, stage: str = "extract") -> DataFrame:
+    """Listing document + shortcut sharing a stem (J4, F17): the extraction
+    stage needs the partner (inner join), the scoring stage tolerates its
+    absence (left join, url null)."""
+    how = "inner" if stage == "extract" else "left"
+    return docs.join(shortcuts.withColumnRenamed("name", "stem"), "stem", how)
+
+
 def read_criteria(spark: SparkSession, path: str) -> DataFrame:
     """Criteria text as one value (S10); a missing file is an error."""
     return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("criteria"))
@@ -117,6 +140,12 @@ def write_snapshot(df: DataFrame, path: str, partition_by: str | None = None) ->
     w.parquet(path)
 
 
+def write_routed(df: DataFrame, path: str, outcome_col: str = "outcome") -> None:
+    """Route rows to outcome folders in one write (K10): one directory per
+    outcome value, so a reader of one outcome prunes the others."""
+    df.write.mode("errorifexists").partitionBy(outcome_col).parquet(path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append a batch (seen list K2, listing rows K5/K6)."""
     df.write.mode("append").parquet(path)
