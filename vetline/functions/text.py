@@ -139,8 +139,8 @@ def parse_stem(stem) -> Column:
     parts = F.split(body, " - ")
     n = F.size(parts)
     ok = n >= 3
-    company = F.when(ok, F.trim(F.element_at(parts, -2))).otherwise(F.lit(""))
-    title = F.when(ok, F.trim(F.array_join(F.slice(parts, 1, n - 2), " - "))).otherwise(F.lit(""))
+    company = F.when(ok, trim_ws(F.element_at(parts, -2))).otherwise(F.lit(""))
+    title = F.when(ok, trim_ws(F.array_join(F.slice(parts, 1, n - 2), " - "))).otherwise(F.lit(""))
     return F.struct(title.alias("title"), company.alias("company"))
 
 

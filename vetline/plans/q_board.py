@@ -244,3 +244,44 @@ def report_roundtrip(spark, sf_dir):
     return rep.select("event_id", sc.report_field("report", "Job Title").alias("job_title"),
                       sc.report_field("report", "Company").alias("company"),
                       sc.report_field("report", "Fit Score").alias("fit_score_text"))
+
+
+# ---------------------------------------------------------------- B1 S12 J9
+@register("board_listing", sql=_FOLD_SQL + f"""
+SELECT ref_nr, status,
+       CAST(row_number() OVER (ORDER BY status, n_events DESC, ref_nr) AS BIGINT) AS position,
+       coalesce(regexp_replace(comment, '^\\s+|\\s+$', '', 'g') <> '', FALSE) AS has_comment
+FROM fold WHERE status IN ({_ACTIVE})
+""")
+def board_listing(spark, sf_dir):
+    """Visible cards in board order (most events first inside each column)
+    with a has-comment flag; positions from the skew-safe sequence."""
+    f = folded(spark, sf_dir).withColumnRenamed("n_events", "fit_score")
+    out = bd.board_listing(f, "score_desc")
+    return out.select("ref_nr", "status", "position", "has_comment")
+
+
+# ---------------------------------------------------------------- D1
+_UNIT_FOR_EVENT = {"view": "hour", "click": "day", "signup": "week", "purchase": "month"}
+
+
+@register("relative_dates", sql=f"""
+WITH p AS (SELECT event_id, CAST(floor(value) AS BIGINT) AS n, {_case('event_type', _UNIT_FOR_EVENT)} AS unit FROM events)
+SELECT event_id,
+       strftime(CASE WHEN unit = 'hour' THEN DATE '2026-01-31' - CAST(floor(n / 24) AS INTEGER)
+                     WHEN unit = 'day' THEN DATE '2026-01-31' - CAST(n AS INTEGER)
+                     WHEN unit = 'week' THEN DATE '2026-01-31' - CAST(n * 7 AS INTEGER)
+                     WHEN unit = 'month' THEN CAST(DATE '2026-01-31' - to_months(CAST(n AS INTEGER)) AS DATE)
+                     ELSE DATE '2026-01-31' END, '%Y%m%d') AS published
+FROM p
+""")
+def relative_dates(spark, sf_dir):
+    """Publication dates from ``N <unit>s ago`` phrases built from each event
+    (whole part of the value, unit by event type; errors carry no phrase)."""
+    ev = table(spark, sf_dir, "events")
+    unit = F.element_at(F.create_map(*[x for k, v in _UNIT_FOR_EVENT.items()
+                                       for x in (F.lit(k), F.lit(v))]), F.col("event_type"))
+    phrase = F.when(unit.isNotNull(), F.format_string("Posted %d %ss ago", F.floor("value").cast("long"), unit)) \
+              .otherwise(F.lit("Posted recently"))
+    from vetline.functions import text as tx
+    return ev.select("event_id", tx.relative_published_date(phrase, TODAY).alias("published"))

@@ -354,3 +354,46 @@ def collision_names(spark, sf_dir):
             F.concat("stem", F.format_string(" (%02d)", (k - 2).cast("int")))).alias("name_paren"),
         F.when(k == 1, F.col("stem")).otherwise(
             F.concat("stem", F.format_string("_%02d", (k - 1).cast("int")))).alias("name_under"))
+
+
+# ---------------------------------------------------------------- P8 P7 P9
+_TRIMS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("stem_parse", sql=f"""
+WITH s AS (SELECT doc_id, regexp_replace('{TODAY}_' || split_part(text, chr(10), 1) || ' - ' || source || ' - LinkedIn',
+                                         '^[0-9]{{8}}_', '') AS body FROM documents),
+p AS (SELECT doc_id, string_split(body, ' - ') AS parts FROM s)
+SELECT doc_id,
+       CASE WHEN len(parts) >= 3 THEN {_TRIMS.format("array_to_string(parts[1:len(parts) - 2], ' - ')")} ELSE '' END AS title,
+       CASE WHEN len(parts) >= 3 THEN {_TRIMS.format("parts[len(parts) - 1]")} ELSE '' END AS company
+FROM p
+""")
+def stem_parse(spark, sf_dir):
+    """Listing names ``date_title - company - source`` from the documents,
+    parsed back into title and company (P8)."""
+    d = table(spark, sf_dir, "documents")
+    name = F.format_string(f"{TODAY}_%s - %s - LinkedIn", tx.first_line("text"), F.col("source"))
+    p = tx.parse_stem(name)
+    return d.select("doc_id", p["title"].alias("title"), p["company"].alias("company"))
+
+
+def _clean_sql(c, n):
+    folded = f"regexp_replace(strip_accents({c}), '[<>:\"/\\\\|?*]', '', 'g')"
+    return _TRIMS.format(f"substr({_TRIMS.format(folded)}, 1, {n})")
+
+
+@register("enriched_stems", sql=f"""
+WITH c AS (SELECT doc_id, {_clean_sql("split_part(text, chr(10), 1)", 60)} AS t,
+                  {_clean_sql("CASE WHEN lang = 'en' THEN source ELSE '' END", 40)} AS co FROM documents)
+SELECT doc_id, CASE WHEN t <> '' AND co <> '' THEN '{TODAY}_' || t || ' - ' || co || ' - LinkedIn'
+                    WHEN t <> '' THEN '{TODAY}_' || t || ' - LinkedIn' ELSE '' END AS stem
+FROM c
+""")
+def enriched_stems(spark, sf_dir):
+    """Final names after enrichment: accents folded, unsafe characters
+    dropped, title cut to 60 and company to 40 (P6, P7); English documents
+    carry their source as the company, the others have none."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    company = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.lit(""))
+    return d.select("doc_id", tx.enriched_stem(tx.first_line("text"), company, TODAY).alias("stem"))
