@@ -47,7 +47,8 @@ def global_sequence(df: DataFrame, order_cols: list, col: str = "seq",
                .withColumn("_off", F.coalesce(
                    F.sum("_n").over(Window.orderBy("_pid")
                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .select("_pid", "_off"))
+               .select("_pid", "_off")
+               .checkpoint(eager=True))  # computed once, reused by every branch
     out = (tagged.join(F.broadcast(offsets), "_pid")
                  .withColumn(col, (F.col("_off") + F.col("_local") + F.lit(start)).cast("long")))
     return out.drop("_mid", "_pid", "_local", "_off")
