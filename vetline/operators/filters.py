@@ -69,7 +69,7 @@ def language_accepted(lang) -> Column:
 
 
 def _in(values: list[str], c: Column) -> Column:
-    return F.array_contains(F.array(*[F.lit(v) for v in values]), c)
+    return c.isin(values)
 
 
 def requirements_from_variant(v) -> Column:
