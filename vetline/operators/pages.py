@@ -198,6 +198,25 @@ def title_by_anchor(root: Node, nodes: list | None = None) -> str:
     return ""
 
 
+def _raw_text_lengths(root: Node) -> dict:
+    """Visible raw text length of every element, bottom-up in one pass."""
+    out, stack = {}, [(root, False)]
+    while stack:
+        n, done = stack.pop()
+        if done:
+            total = 0
+            for c in n.children:
+                if isinstance(c, str):
+                    total += len(c) + 2
+                elif c.tag not in _SKIP_TEXT:
+                    total += out[id(c)] + 2
+            out[id(n)] = total
+        else:
+            stack.append((n, True))
+            stack.extend((c, False) for c in n.children if isinstance(c, Node))
+    return out
+
+
 def description_html(root: Node, nodes: list | None = None) -> str:
     """Ordered selectors, first whose inner HTML exceeds 200 characters (X6);
     else the div/section/article with the longest text under 20000
@@ -209,9 +228,12 @@ def description_html(root: Node, nodes: list | None = None) -> str:
             h = inner_html(hits[0]).strip()
             if len(h) > fixed.DESCRIPTION_MIN_HTML:
                 return h
+    raw = _raw_text_lengths(root)
     best, best_len = None, 0
     for n in nodes:
-        if n.tag in ("div", "section", "article"):
+        # the raw text length bounds the normalised one from above, so a node
+        # that cannot beat the current best is skipped without building text
+        if n.tag in ("div", "section", "article") and raw[id(n)] > best_len:
             t = inner_text(n)
             kids = sum(1 for c in n.children if isinstance(c, Node))
             if best_len < len(t) < fixed.FALLBACK_BLOCK_MAX_TEXT and kids < fixed.FALLBACK_BLOCK_MAX_CHILDREN:

@@ -67,7 +67,9 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     out["dedup"] = routed
     out["seen_additions"] = intake.seen_additions(routed)
     passed = routed.where(F.col("outcome") == "moved").drop("outcome", "is_new")
-    kw = flt.keyword_route(passed, "name", keywords, force=forced)
+    # the keyword test sees the whole file name, extension included (Q3)
+    kw = flt.keyword_route(passed.withColumn("_file", F.concat("name", F.lit(".url"))), "_file",
+                           keywords, force=forced).drop("_file")
     out["keyword"] = kw
     kept = kw.where(F.col("matched_keyword").isNull()).drop("matched_keyword")
 
@@ -92,6 +94,9 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     n = sc.normalize_extraction(F.col("response"), F.col("stem"), today)
     reqs = flt.requirement_check(flt.requirements_from_variant(F.col("response")))
     e = e.withColumn("extracted", n).withColumn("req", reqs)
+    e = e.withColumn("stage05_stem", tx.extraction_stem(
+        F.col("extracted.published_date"), tx.city_code4(F.col("extracted.city")),
+        F.col("extracted.title"), F.col("extracted.company"), F.col("extracted.source")))
     e = e.withColumn("stage05", sc.route_extracted(
         F.col("extracted.language"), F.col("req"), force=forced,
         closed=flt.is_closed(F.col("body_md")), responded=F.col("response").isNotNull()))
@@ -115,7 +120,8 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     else:
         s = s.withColumn("existing_ref", F.lit(None).cast("bigint"))
     needs = F.col("stage06").isin("accepted", "rejected_role", "rejected_score")
-    s = ldb.assign_refs(s, db, ["stem", "url"], needs_ref=needs, existing_ref="existing_ref")
+    # refs follow the order in which stage 06 meets the files: stage-05 names
+    s = ldb.assign_refs(s, db, ["stage05_stem", "url"], needs_ref=needs, existing_ref="existing_ref")
     if cut_lineage:
         s = s.checkpoint()
     s = s.withColumn("final_stem", tx.scored_stem(
