@@ -44,28 +44,58 @@ def invalid_moves(events: DataFrame) -> DataFrame:
                  .withColumn("error", F.lit("Unknown column"))
 
 
-def fold_events(events: DataFrame, order_cols: list, date_fmt: str = "dd/MM/yyyy") -> DataFrame:
+def packed_order(ts_col: str, id_col: str) -> Column:
+    """(timestamp, integer id) packed into one DECIMAL(38,0) that sorts the
+    same way: micros * 10^20 + (id + 2^63).  A single fixed-width ordering
+    keeps ``max_by`` in a hash aggregate (a struct ordering would force a
+    sort-based one)."""
+    return F.expr(
+        f"CAST(unix_micros(CAST(`{ts_col}` AS TIMESTAMP)) AS DECIMAL(38,0)) "
+        f"* CAST('100000000000000000000' AS DECIMAL(38,0)) "
+        f"+ (CAST(`{id_col}` AS DECIMAL(38,0)) + CAST('9223372036854775808' AS DECIMAL(38,0)))")
+
+
+def fold_events(events: DataFrame, order_cols: list, date_fmt: str = "dd/MM/yyyy",
+                single_pass: bool = False) -> DataFrame:
     """Per ref: status of the last move; each stage date = the latest move to
     that column; reject reason = latest non-empty reason given with a reject;
-    comment = latest comment (B2, B3, A7, Q12).  Unknown targets are ignored."""
+    comment = latest comment (B2, B3, A7, Q12).  Unknown targets are ignored.
+
+    With ``order_cols = [timestamp, id]`` the order is packed into one
+    decimal and the target into an int code, so the main fold is a hash
+    aggregate; the string-valued folds (reason, comment) run only over the
+    events that carry one.  ``single_pass`` keeps every fold in one
+    aggregation (needed by streaming, which cannot join two aggregates)."""
     ev = valid_moves(events)
-    order = F.struct(*[_c(c) for c in order_cols])
-    aggs = [F.max_by("to_col", order).alias("_last"),
-            F.count(F.lit(1)).alias("n_events")]
+    packed = len(order_cols) == 2 and dict(ev.dtypes).get(order_cols[1]) in ("bigint", "int")
+    order = packed_order(*order_cols) if packed else F.struct(*[_c(c) for c in order_cols])
+    ev = ev.withColumn("_ord", order)
+    code = F.array_position(F.array(*[F.lit(c) for c in fixed.BOARD_COLUMNS]), F.col("to_col")).cast("int")
+    aggs = [F.max_by(code, F.col("_ord")).alias("_last"), F.count(F.lit(1)).alias("n_events")]
     for col, date_col in fixed.DATE_COLUMN_FOR.items():
         aggs.append(F.max(F.when(F.col("to_col") == col, F.col("ts"))).alias(date_col))
     has_reason = (F.col("to_col") == "rejects") & (tx.trim_ws(F.coalesce("reason", F.lit(""))) != "")
-    aggs.append(F.max_by(F.when(has_reason, tx.trim_ws("reason")), F.when(has_reason, order))
-                .alias("reject_reason"))
-    if "comment" in events.columns:
-        has_c = F.col("comment").isNotNull()
-        aggs.append(F.max_by(F.when(has_c, tx.trim_ws("comment")), F.when(has_c, order))
-                    .alias("comment"))
-    g = ev.groupBy("ref_nr").agg(*aggs)
-    out = g.withColumn("status", status_for("_last")).drop("_last")
-    for date_col in fixed.DATE_COLUMN_FOR.values():
-        out = out.withColumn(date_col, F.date_format(date_col, date_fmt))
-    return out
+    has_comment = F.col("comment").isNotNull() if "comment" in events.columns else None
+    if single_pass:
+        aggs.append(F.max_by(F.when(has_reason, tx.trim_ws("reason")), F.when(has_reason, F.col("_ord")))
+                    .alias("reject_reason"))
+        if has_comment is not None:
+            aggs.append(F.max_by(F.when(has_comment, tx.trim_ws("comment")),
+                                 F.when(has_comment, F.col("_ord"))).alias("comment"))
+        g = ev.groupBy("ref_nr").agg(*aggs)
+    else:
+        g = ev.groupBy("ref_nr").agg(*aggs)
+        reasons = (ev.where(has_reason).groupBy("ref_nr")
+                     .agg(F.max_by(tx.trim_ws("reason"), F.col("_ord")).alias("reject_reason")))
+        g = g.join(reasons, "ref_nr", "left")
+        if has_comment is not None:
+            comments = (ev.where(has_comment).groupBy("ref_nr")
+                          .agg(F.max_by(tx.trim_ws("comment"), F.col("_ord")).alias("comment")))
+            g = g.join(comments, "ref_nr", "left")
+    last = F.element_at(F.array(*[F.lit(c) for c in fixed.BOARD_COLUMNS]), F.col("_last"))
+    dates = [F.date_format(d, date_fmt).alias(d) for d in fixed.DATE_COLUMN_FOR.values()]
+    rest = [c for c in g.columns if c not in ("_last", *fixed.DATE_COLUMN_FOR.values())]
+    return g.select(*rest, *dates, status_for(last).alias("status"))
 
 
 def sync(db: DataFrame, folded: DataFrame, restamp_today: str | None = None) -> DataFrame:

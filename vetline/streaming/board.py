@@ -12,7 +12,7 @@ from vetline.operators.board import fold_events
 
 
 def board_state_stream(events: DataFrame, order_cols=("ts", "event_id")) -> DataFrame:
-    return fold_events(events, list(order_cols))
+    return fold_events(events, list(order_cols), single_pass=True)
 
 
 def start_board_stream(events: DataFrame, checkpoint: str, sink_table: str,
