@@ -108,3 +108,31 @@ def test_input_order_does_not_change_output(spark):
     rnd.shuffle(rows)
     b = intake.dedup_against_seen(spark.createDataFrame(rows, "name string, url string").repartition(5), seen)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_rule_tables(spark):
+    from vetline.operators import rules as rl
+    df = spark.createDataFrame([
+        ("Fractional CFO", "Berlin", ["SaaS", "Fintech", "E-commerce"], "German", "B2", "on behalf of our client"),
+        ("Chief of Staff", "Lisbon", [], "Italian", "A2", ""),
+        ("Janitor", "São Paulo", None, "English", "C2", ""),
+        ("Head of Finance", "Recife, Brazil", ["deeptech"], "German", "C1", "")],
+        "title string, city string, ind array<string>, lang string, lvl string, text string")
+    df = rl.location_items(df, "city")
+    rows = df.select(
+        rl.role_rule("title")["tier"].alias("tier"),
+        rl.role_items("title")["disqualifiers"].alias("role_flags"),
+        rl.industry_items("ind").alias("ind"),
+        rl.language_points(F.col("lang"), F.col("lvl")).alias("lp"),
+        rl.profile_items("text").alias("prof"), "loc_deductions", "loc_flags").collect()
+    assert [r.tier for r in rows] == ["discounted", "discounted", None, "acceptable"]
+    assert [len(r.role_flags) for r in rows] == [0, 0, 1, 0]
+    assert [len(r.ind.additions) for r in rows] == [1, 0, 0, 1]
+    assert [len(r.ind.deductions) for r in rows] == [1, 0, 0, 0]
+    assert [r.lp for r in rows] == [-30, -15, 0, -50]
+    assert [len(r.prof) for r in rows] == [1, 0, 0, 0]
+    assert [r.loc_deductions[0].points if r.loc_deductions else 0 for r in rows] == [-30, 0, 0, 0]
+    assert [len(r.loc_flags) for r in rows] == [0, 0, 0, 1]
+    assert "Brazilian" in rows[3].loc_flags[0]
+    comp = spark.createDataFrame([(["Finance strategy", "unknown", "HR oversight"],)], "a array<string>")
+    assert len(comp.select(rl.competency_items("a").alias("c")).first().c) == 2

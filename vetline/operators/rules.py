@@ -125,12 +125,12 @@ def location_items(df: DataFrame, city_col: str, dim: DataFrame | None = None) -
              .drop("_ck", "accepted", "points"))
 
 
-def industry_items(industries) -> Column:
+def industry_items(industries, preferred=None, disliked=None) -> Column:
     """Preferred industry +10 once (R3), each disliked one -10."""
     ind = F.transform(F.coalesce(_c(industries), F.array().cast("array<string>")),
                       lambda x: F.lower(tx.trim_ws(x)))
-    pref = F.array(*[F.lit(x) for x in PREFERRED_INDUSTRIES])
-    dis = F.array(*[F.lit(x) for x in DISLIKED_INDUSTRIES])
+    pref = F.array(*[F.lit(x) for x in (preferred or PREFERRED_INDUSTRIES)])
+    dis = F.array(*[F.lit(x) for x in (disliked or DISLIKED_INDUSTRIES)])
     first_pref = F.get(F.filter(ind, lambda x: F.array_contains(pref, x)), 0)
     add = F.when(first_pref.isNotNull(), _item("Industry", first_pref, INDUSTRY_POINTS))
     deds = F.transform(F.filter(ind, lambda x: F.array_contains(dis, x)),

@@ -84,3 +84,35 @@ def rules_lang(spark, sf_dir):
     pts = F.aggregate(res["deductions"], F.lit(0), lambda a, x: a + x["points"])
     return d.join(lab, "doc_id", "left").select(
         "doc_id", pts.cast("int").alias("lang_points"), res["fit_score"].cast("int").alias("fit_score"))
+
+
+# Industry lists aimed at part brands (the fixed lists target company sectors).
+PART_PREFERRED = ["brand#1", "brand#2", "brand#3"]
+PART_DISLIKED = ["brand#4", "brand#5", "brand#6"]
+
+
+@register("rules_score", sql=f"""
+WITH p AS (SELECT p_partkey, lower(p_type) AS t, lower(p_brand) AS b FROM part),
+s AS (SELECT p_partkey,
+             CASE WHEN b IN ({", ".join(f"'{x}'" for x in PART_PREFERRED)}) THEN 10 ELSE 0 END AS adds,
+             CASE WHEN regexp_matches(t, 'promo') THEN 10 ELSE 0 END
+             + CASE WHEN b IN ({", ".join(f"'{x}'" for x in PART_DISLIKED)}) THEN 10 ELSE 0 END AS deds,
+             NOT regexp_matches(t, 'promo|economy|standard|medium') AS role_flag
+      FROM p)
+SELECT p_partkey, CAST(greatest(0, 100 + adds - deds) AS INTEGER) AS fit_score,
+       CAST(role_flag AS INTEGER) AS n_flags,
+       CASE WHEN role_flag THEN 'rejected_role' WHEN greatest(0, 100 + adds - deds) < 30 THEN 'rejected_score'
+            ELSE 'accepted' END AS outcome
+FROM s
+""")
+def rules_score(spark, sf_dir):
+    """Role tier (R1) + industry lists (R3 once, R4 each) combined into a
+    response-shaped breakdown, scored (R8) and routed like a model response."""
+    from vetline.operators import scoring as sc
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    role = rl.role_items("p_type", PART_TIERS)
+    ind = rl.industry_items(F.array(F.col("p_brand")), PART_PREFERRED, PART_DISLIKED)
+    res = rl.combine([ind["additions"]], [role["deductions"], ind["deductions"]], [role["disqualifiers"]])
+    return p.select("p_partkey", res["fit_score"].cast("int").alias("fit_score"),
+                    F.size(res["disqualifiers"]).cast("int").alias("n_flags"),
+                    sc.route_scored(res["fit_score"], res["disqualifiers"]).alias("outcome"))
