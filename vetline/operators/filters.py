@@ -13,6 +13,9 @@ from vetline.functions.text import trim_ws
 # Keyword lists above this size are not inlined into the plan; they are
 # matched with a broadcast theta join instead (see ``keyword_route``).
 MAX_INLINE_KEYWORDS = 5000
+# Upper bound for broadcasting a keyword table.  Keywords are configuration;
+# a list beyond this is rejected instead of being broadcast unchecked.
+MAX_BROADCAST_KEYWORDS = 1_000_000
 
 
 def _c(c) -> Column:
@@ -34,14 +37,16 @@ def keyword_route(df: DataFrame, name_col: str, keywords, row_key: str | None =
 
     ``keywords`` is a Python list, or a DataFrame ``(pos, kw)`` (from
     ``sources.files.read_keywords``).  A DataFrame list is counted first; up to
-    MAX_INLINE_KEYWORDS it is inlined, beyond that a broadcast nested-loop
-    join on ``contains`` emits only matching pairs, reduced with ``min_by`` per
-    ``row_key`` (J5)."""
+    MAX_INLINE_KEYWORDS it is inlined, up to MAX_BROADCAST_KEYWORDS a
+    broadcast nested-loop join on ``contains`` emits only matching pairs,
+    reduced with ``min_by`` per ``row_key`` (J5); a larger list is refused."""
     if force:
         return df.withColumn(out_col, F.lit(None).cast("string"))
     if isinstance(keywords, list):
         return df.withColumn(out_col, first_keyword(name_col, keywords))
-    n = keywords.limit(MAX_INLINE_KEYWORDS + 1).count()
+    n = keywords.limit(MAX_BROADCAST_KEYWORDS + 1).count()
+    if n > MAX_BROADCAST_KEYWORDS:
+        raise ValueError(f"keyword list larger than {MAX_BROADCAST_KEYWORDS} entries")
     if n <= MAX_INLINE_KEYWORDS:
         kw_list = [r["kw"] for r in keywords.orderBy("pos").collect()]
         return df.withColumn(out_col, first_keyword(name_col, kw_list))
