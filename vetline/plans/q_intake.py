@@ -203,6 +203,20 @@ def keyword_route_table(spark, sf_dir):
     return flt.keyword_route(docs, "name", kw, row_key="doc_id").select("doc_id", "matched_keyword")
 
 
+@register("keyword_text", sql=f"""
+WITH kw(pos, kw) AS (VALUES {_kw_values()}),
+hit AS (SELECT d.doc_id, min(k.pos) AS pos FROM documents d JOIN kw k ON contains(lower(d.text), k.kw)
+        GROUP BY d.doc_id)
+SELECT d.doc_id, k.kw AS matched_keyword
+FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN kw k ON k.pos = h.pos
+""")
+def keyword_text(spark, sf_dir):
+    """Keyword exclusion over the whole document text instead of the name
+    (the ``fields`` choice of Q3), first keyword in list order."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return flt.keyword_route(d, "text", DOC_KEYWORDS).select("doc_id", "matched_keyword")
+
+
 # ---------------------------------------------------------------- F3
 @register("closed_marker", sql=f"""
 SELECT doc_id, CAST(contains(lower(text), '{DOC_MARKER}') AS INTEGER) AS closed FROM documents
