@@ -57,8 +57,10 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
                      .select("name", "url", "origin"))
     if profile == "full" and "cards" in inputs:
         parts.append(intake.links_from_cards(inputs["cards"], today))
-    if profile == "manual" or (not parts and "links" in inputs):
-        parts.append(inputs["links"].select("name", "url", F.lit("manual").alias("origin")))
+    if "links" in inputs and profile in ("full", "manual"):
+        # shortcut files: search harvest in a full run, hand-placed in a manual one
+        origin = "manual" if profile == "manual" else "search"
+        parts.append(inputs["links"].select("name", "url", F.lit(origin).alias("origin")))
     links = intake.union_intake(*parts)
 
     # ---- dedup (02) and keywords (03); manual runs force both -------------
