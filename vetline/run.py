@@ -1,6 +1,6 @@
 """Run one profile of the funnel as a Spark job (G1).
 
-    spark-submit -m vetline.run --profile full --today 20260131 \\
+    python -m vetline.run --profile full --today 20260131 \\
         --emails in/emails --links in/links --pages in/pages.parquet \\
         --extract in/extract.parquet --score in/score.parquet \\
         --seen state/seen --db state/listing_db --out out/run-20260131
