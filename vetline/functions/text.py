@@ -1,5 +1,6 @@
-"""Column functions for names, stems and city codes (all JVM-side except the
-accent fold, which has no built-in equivalent)."""
+"""Column functions for names, stems and city codes, all JVM-side (the
+accent fold calls the ICU normaliser shipped with Spark through ``reflect``;
+``strip_accents_py`` is the Python statement of the same rule, for tests)."""
 
 from __future__ import annotations
 
