@@ -92,3 +92,12 @@ def test_pair_documents(spark):
     sc = spark.createDataFrame([("a", "u1")], "name string, url string")
     assert [r.stem for r in files.pair_documents(docs, sc, "extract").collect()] == ["a"]
     assert sorted((r.stem, r.url) for r in files.pair_documents(docs, sc, "score").collect()) == [("a", "u1"), ("b", None)]
+
+
+def test_latest_folder_state(spark):
+    snap = spark.createDataFrame([(1, "new", "0001_a"), (1, "consider", "0001_a"), (2, "applied", "0002_b"),
+                                  (2, "rejects", "0002_c"), (3, "new", "0003_a"), (3, "new", "0003_b"),
+                                  (4, "bogus", "x")], "ref_nr long, board_col string, stem string")
+    got = {r.ref_nr: (r.board_col, r.stem, r.status) for r in bd.latest_folder_state(snap).collect()}
+    assert got == {1: ("consider", "0001_a", "in_consideration"), 2: ("applied", "0002_b", "applied"),
+                   3: ("new", "0003_b", "new")}

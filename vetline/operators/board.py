@@ -98,6 +98,20 @@ def fold_events(events: DataFrame, order_cols: list, date_fmt: str = "dd/MM/yyyy
     return g.select(*rest, *dates, status_for(last).alias("status"))
 
 
+def latest_folder_state(snapshot: DataFrame, key: str = "ref_nr", col: str = "board_col",
+                        stem: str = "stem") -> DataFrame:
+    """A board snapshot ``(ref, board column, stem)`` in which a ref may
+    appear in several columns: the later column in folder order wins, ties go
+    to the last stem (A7).  One partial aggregation (max over the struct of
+    folder position and stem)."""
+    cols = F.array(*[F.lit(c) for c in fixed.BOARD_COLUMNS])
+    pos = F.array_position(cols, F.col(col))
+    g = (snapshot.where(pos > 0).groupBy(key)
+                 .agg(F.max(F.struct(pos.alias("p"), F.col(stem).alias("s"))).alias("_w")))
+    winner = F.element_at(cols, F.col("_w.p").cast("int"))
+    return g.select(key, winner.alias(col), F.col("_w.s").alias(stem), status_for(winner).alias("status"))
+
+
 def sync(db: DataFrame, folded: DataFrame, restamp_today: str | None = None) -> DataFrame:
     """Apply the folded board state to the table (B8, J8).  Stage dates are
     kept from the events; ``restamp_today`` reproduces the stamp-today-at-every
