@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vetline.operators import rules as rl
+from vetline.operators.sequence import spread
 from vetline.plans.catalog import register
 from vetline.plans.q_intake import LANG_NAME, SECOND_LANG
 from vetline.sources.tables import table
@@ -116,3 +117,48 @@ def rules_score(spark, sf_dir):
     return p.select("p_partkey", res["fit_score"].cast("int").alias("fit_score"),
                     F.size(res["disqualifiers"]).cast("int").alias("n_flags"),
                     sc.route_scored(res["fit_score"], res["disqualifiers"]).alias("outcome"))
+
+
+# ---------------------------------------------------------------- R2
+def _city_sql(col):
+    return f"lower(regexp_replace(strip_accents({col}), '^\\s+|\\s+$', '', 'g'))"
+
+
+@register("rules_location", sql=f"""
+WITH c AS (SELECT doc_id, regexp_extract(text, '^([^.,;:!?\\n]+)', 1) AS city FROM documents),
+k AS (SELECT doc_id, city, {_city_sql('city')} AS ck FROM c)
+SELECT doc_id,
+       CAST(CASE WHEN ck = 'berlin' THEN -30 WHEN ck = 'rio de janeiro' THEN -15 ELSE 0 END AS INTEGER) AS loc_points,
+       CASE WHEN ck IN ({", ".join(f"'{x}'" for x in rl.ACCEPTED_PLACES)}, 'berlin', 'rio de janeiro') THEN NULL
+            WHEN contains(ck, 'brazil') THEN 'Location disqualifier: Brazilian location outside accepted areas'
+            ELSE 'Location disqualifier: ' || city || ' not in acceptable locations' END AS loc_flag
+FROM k
+""")
+def rules_location(spark, sf_dir):
+    """Location rule (R2) for the opening phrase of each document as its city:
+    city dimension joined by a size-checked broadcast, unknown places and
+    other Brazilian places disqualify."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_extract("text", r"^([^.,;:!?\n]+)", 1).alias("city"))
+    out = rl.location_items(d, "city")
+    pts = F.aggregate(F.col("loc_deductions"), F.lit(0), lambda a, x: a + x["points"])
+    return out.select("doc_id", pts.cast("int").alias("loc_points"), F.get("loc_flags", 0).alias("loc_flag"))
+
+
+# ---------------------------------------------------------------- R5
+# Culture pattern aimed at the prose (the criteria name social-impact roles).
+DOC_CULTURE = r"que la|und die"
+
+
+@register("rules_profile", sql=f"""
+SELECT doc_id,
+       CAST(CASE WHEN regexp_matches(lower(text), 'on behalf of our client|our client is looking for') THEN -10 ELSE 0 END
+            + CASE WHEN regexp_matches(lower(text), '{DOC_CULTURE}') THEN -15 ELSE 0 END AS INTEGER) AS profile_points
+FROM documents
+""")
+def rules_profile(spark, sf_dir):
+    """Recruiting-agency and culture deductions over the whole text."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    items = rl.profile_items("text", DOC_CULTURE)
+    pts = F.aggregate(items, F.lit(0), lambda a, x: a + x["points"])
+    return d.select("doc_id", pts.cast("int").alias("profile_points"))
