@@ -93,6 +93,21 @@ def _element_text(x: Column) -> Column:
     return F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))
 
 
+def int_value(x: Column) -> Column:
+    """Integer conversion of a JSON value the way a dynamic language's int()
+    does it, independent of the session's ANSI setting: booleans -> 0/1,
+    numbers truncated toward zero, strings only when they spell a whole
+    integer (spaces and a sign allowed), anything else null (Q15)."""
+    t = F.schema_of_variant(x)
+    s = F.try_variant_get(x, "$", "string")
+    whole = F.coalesce(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
+    num = F.try_variant_get(x, "$", "double")
+    return (F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int"))
+            .when(t.startswith("STRING"), F.when(whole, trim_ws(s).try_cast("int")))
+            .when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
+                  F.when(num.isNotNull(), num.try_cast("int"))))
+
+
 def breakdown_raw(v, name: str, sign: int) -> Column:
     """``additions`` / ``deductions`` as array<struct<criterion, detail, points>>.
 
@@ -103,7 +118,7 @@ def breakdown_raw(v, name: str, sign: int) -> Column:
 
     def to_item(x):
         obj = is_object(x)
-        pts = F.coalesce(F.abs(F.try_variant_get(x, "$.points", "int")), F.lit(0))
+        pts = F.coalesce(F.abs(int_value(F.try_variant_get(x, "$.points", "variant"))), F.lit(0))
         pts = pts if sign > 0 else -pts
         crit = F.when(obj, F.coalesce(F.try_variant_get(x, "$.criterion", "string"), F.lit("")))
         crit = F.coalesce(crit, _element_text(x))
