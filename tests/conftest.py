@@ -17,8 +17,8 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from vetline.session import checkpoint_dir
-    checkpoint_dir(s)
+    from vetline.session import prepare
+    prepare(s)
     yield s
 
 

@@ -105,3 +105,9 @@ def test_b7_extraction_normalise(spark):
     out = df.select(sc.normalize_extraction(jf.parse_response(F.col("t")), F.lit("stem"), "20260131").alias("n")).collect()
     assert (out[0].n.published_date, out[0].n.language, out[0].n.source) == ("20260131", "en", "LinkedIn")
     assert (out[1].n.published_date, out[1].n.language, out[1].n.title) == ("20260230", "other", "stem")
+
+
+def test_duplicate_keys_keep_last(spark):
+    df = spark.createDataFrame([('{"additions":[{"criterion":"a","points":1,"points":9}]}',)], "t string")
+    out = sc.score_responses(df, jf.parse_response(F.col("t")), "20260131", out="r").first()
+    assert out.r.fit_score == 109

@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vetline.plans import profiles
-from vetline.session import checkpoint_dir
+from vetline.session import prepare
 from vetline.sources import files
 
 
@@ -81,7 +81,7 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"vetline-{a.profile}").getOrCreate()
-    checkpoint_dir(spark)
+    prepare(spark)
     inputs = build_inputs(spark, a)
     kws = files.read_keywords(spark, a.keywords) if a.keywords else None
     out = profiles.run(inputs, profile=a.profile, today=a.today, force=a.force, keywords=kws)

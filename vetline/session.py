@@ -17,6 +17,9 @@ _BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # JSON objects with a repeated key keep the last value (as a strict JSON
+    # reader of the responses does) instead of failing to parse.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -38,6 +41,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def prepare(spark: SparkSession) -> str:
+    """Session settings the operators rely on, applied to a session built
+    elsewhere (a cluster's, the driver's): runtime SQL settings only."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return checkpoint_dir(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
