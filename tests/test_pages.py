@@ -46,3 +46,11 @@ def test_b6_markdown(spark):
     assert got[2] == "body"
     assert got[3] == "end"
     assert got[4] == "### C\nr"  # nested listed heading resets the skip level (Q20)
+
+
+def test_html_to_markdown_forms():
+    md = pg.html_to_markdown("<h2>Role</h2><p>Lead <b>finance</b> and <i>ops</i>.<br>Next</p>"
+                             "<ul><li>one</li><li>two</li></ul><hr><p><a href='x'>link text</a>"
+                             "<img src='i.png'></p><script>var x;</script>")
+    assert md.split("\n") == ["## Role", "", "Lead **finance** and _ops_.  ", "Next", "",
+                              "  * one", "  * two", "", "* * *", "", "link text"]

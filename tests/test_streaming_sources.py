@@ -95,3 +95,15 @@ def test_shortcut_and_keyword_files(spark, tmp_dir):
     with open(kw, "w") as f:
         f.write("PWC\n\n# comment\n  Student \n")
     assert [r.kw for r in files.read_keywords(spark, kw).orderBy("pos").collect()] == ["pwc", "student"]
+
+
+def test_stateful_dedup_stream(spark, tmp_dir):
+    links = spark.createDataFrame([(f"n{i}", f"u{i % 5}") for i in range(20)], "name string, url string")
+    links.coalesce(1).write.parquet(os.path.join(tmp_dir, "l1"))
+    links.coalesce(1).write.parquet(os.path.join(tmp_dir, "l2"))
+    s = spark.readStream.schema(links.schema).parquet(os.path.join(tmp_dir, "l*"))
+    q = sintake.stateful_dedup(s).writeStream.format("memory").queryName("dedup_t") \
+        .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.url for r in spark.sql("SELECT url FROM dedup_t").collect()) == [f"u{i}" for i in range(5)]
