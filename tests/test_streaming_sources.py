@@ -107,3 +107,16 @@ def test_stateful_dedup_stream(spark, tmp_dir):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.url for r in spark.sql("SELECT url FROM dedup_t").collect()) == [f"u{i}" for i in range(5)]
+
+
+def test_page_parse_on_a_stream(spark, tmp_dir):
+    from vetline.operators import pages as pg
+    pages = spark.createDataFrame([(1, "u", "<h1>Title</h1><article>" + "<p>x</p>" * 50 + "</article>")],
+                                  "page_id long, url string, html string")
+    pages.write.parquet(os.path.join(tmp_dir, "pages"))
+    s = spark.readStream.schema(pages.schema).parquet(os.path.join(tmp_dir, "pages"))
+    q = pg.parse_pages(s).select("page_id", "title_sel").writeStream.format("memory") \
+        .queryName("parsed_t").option("checkpointLocation", os.path.join(tmp_dir, "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [tuple(r) for r in spark.sql("SELECT * FROM parsed_t").collect()] == [(1, "Title")]

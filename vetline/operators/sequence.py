@@ -83,6 +83,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     stripping) would then run on a handful of tasks.  Only in that case the
     rows are redistributed round-robin; a large input that already has at
     least that many splits is returned unchanged (no extra shuffle)."""
+    if df.isStreaming:  # micro-batches are sized by the source's trigger options
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
