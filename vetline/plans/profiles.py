@@ -26,10 +26,12 @@ from vetline.operators import listing_db as ldb
 from vetline.operators import pages as pg
 from vetline.operators import responses as rsp
 from vetline.operators import scoring as sc
+from vetline.operators.sequence import broadcast_if_small
 from vetline.session import checkpoint_dir
 from vetline.sources import files
 
 PROFILES = ("full", "email_only", "manual")
+MAX_BATCH_URLS = 5_000_000
 
 
 def _dmy(today: str) -> str:
@@ -75,8 +77,14 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     out["keyword"] = kw
     kept = kw.where(F.col("matched_keyword").isNull()).drop("matched_keyword")
 
+    # The batch's URLs filter the (large, growing) crawl and attempt tables
+    # map-side: a broadcast semi-join behind a size check, so page HTML and
+    # historical attempts are never shuffled for a batch.
+    batch_urls = kept.select("url").where(F.col("url").isNotNull()).distinct()
+    batch_urls, _ = broadcast_if_small(batch_urls, MAX_BATCH_URLS)
+
     # ---- enrich (04): join crawled pages, one parse per page ---------------
-    pages = inputs["pages"].join(kept.select("url").distinct(), "url", "left_semi")
+    pages = inputs["pages"].join(batch_urls, "url", "left_semi")
     parsed = pg.parse_pages(pages.withColumn("page_key", F.col("url")), key="page_key")
     if cut_lineage:
         checkpoint_dir(parsed.sparkSession)
@@ -90,7 +98,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     out["quarantine"] = enriched.where("quarantine")
 
     # ---- extraction response (05) ------------------------------------------
-    ext = rsp.pick_attempt(inputs["extract_attempts"], "url", ["attempt"],
+    ext = rsp.pick_attempt(inputs["extract_attempts"].join(batch_urls, "url", "left_semi"), "url", ["attempt"],
                            max_attempts=fixed.EXTRACT_ATTEMPTS, stop_on_bad_json=True)
     e = enriched.join(ext, "url", "left")
     n = sc.normalize_extraction(F.col("response"), F.col("stem"), today)
@@ -106,7 +114,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     accepted05 = e.where(F.col("stage05") == "accepted")
 
     # ---- score response (06) -------------------------------------------------
-    sco = rsp.pick_attempt(inputs["score_attempts"], "url", ["attempt"],
+    sco = rsp.pick_attempt(inputs["score_attempts"].join(batch_urls, "url", "left_semi"), "url", ["attempt"],
                            max_attempts=fixed.SCORE_ATTEMPTS)
     s = sc.score_responses(accepted05.join(sco.withColumnRenamed("response", "score_resp")
                                            .drop("picked_attempt", "n_attempts"), "url", "left"),
@@ -122,6 +130,8 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     else:
         s = s.withColumn("existing_ref", F.lit(None).cast("bigint"))
     needs = F.col("stage06").isin("accepted", "rejected_role", "rejected_score")
+    # numbering checkpoints its input: carry only what later steps read
+    s = s.select("url", "name", "stem", "stage05_stem", "scored", "stage06", "existing_ref")
     # refs follow the order in which stage 06 meets the files: stage-05 names
     s = ldb.assign_refs(s, db, ["stage05_stem", "url"], needs_ref=needs, existing_ref="existing_ref")
     if cut_lineage:
