@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vetline import fixed
 from vetline.functions import text as tx
-from vetline.operators.sequence import sequence_within
+from vetline.operators.sequence import broadcast_if_small, sequence_within
 
 
 def ordered_distinct_matches(text_col, pattern: str, group: int = 1):
@@ -71,12 +71,24 @@ def flag_first_per_key(df: DataFrame, key: str, order_col: str,
               .drop("_first")
 
 
+MAX_BROADCAST_BATCH_KEYS = 2_000_000
+
+
 def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
-                       key: str = "url", order_col: str = "name") -> DataFrame:
+                       key: str = "url", order_col: str = "name",
+                       prefilter: bool = True) -> DataFrame:
     """Route each link: ``skipped`` (no key), ``deleted`` (seen before, or a later
     copy in this batch), ``moved`` (new).  In force mode duplicates are
     ``moved`` too.  Adds ``is_new`` = this row adds its key to the seen list
     (J1, J2, W1, F1, F9)."""
+    # A small batch against a large cumulative seen list: the seen list is
+    # first cut map-side to the batch's keys (broadcast semi-join behind a
+    # size check), so it is scanned but not shuffled.
+    if prefilter and not links.isStreaming:
+        keys = links.select(key).where(F.col(key).isNotNull()).distinct()
+        small, ok = broadcast_if_small(keys, MAX_BROADCAST_BATCH_KEYS)
+        if ok:
+            seen = seen.join(small, key, "left_semi")
     # Batch keys and seen keys are reduced by one keyed aggregation (first
     # copy + seen flag), then joined back once: one join instead of two.
     mine = links.where(F.col(key).isNotNull()).select(

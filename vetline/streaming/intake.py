@@ -13,9 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.operators import intake
-from vetline.operators.sequence import broadcast_if_small
-
-MAX_BROADCAST_KEYS = 2_000_000
 
 
 def _seen_before(spark: SparkSession, seen_path: str, key: str, batch_id: int) -> DataFrame:
@@ -35,13 +32,8 @@ def dedup_batch_writer(seen_path: str, out_path: str, key: str = "url",
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         seen = _seen_before(spark, seen_path, key, batch_id)
-        # The seen list grows without bound; a micro-batch is small.  When the
-        # batch's keys fit a broadcast, the seen list is filtered map-side by
-        # a semi-join against them, so it is scanned but never shuffled.
-        keys = batch.select(key).where(F.col(key).isNotNull()).distinct()
-        small_keys, is_small = broadcast_if_small(keys, MAX_BROADCAST_KEYS)
-        if is_small:
-            seen = seen.join(small_keys, key, "left_semi")
+        # the seen list grows without bound; dedup_against_seen cuts it to the
+        # micro-batch's keys with a size-checked broadcast semi-join
         routed = intake.dedup_against_seen(batch, seen, force=force, key=key, order_col=order_col)
         routed.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         added = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
