@@ -54,3 +54,12 @@ def test_html_to_markdown_forms():
                              "<img src='i.png'></p><script>var x;</script>")
     assert md.split("\n") == ["## Role", "", "Lead **finance** and _ops_.  ", "Next", "",
                               "  * one", "  * two", "", "* * *", "", "link text"]
+
+
+def test_html_to_markdown_blocks():
+    md = pg.html_to_markdown("<blockquote><p>quoted</p></blockquote><pre>a  b\n  c</pre>"
+                             "<ol><li>first<ul><li>inner</li></ul></li><li>second</li></ol>"
+                             "<p>run <code>x()</code></p><table><tr><th>A</th><th>B</th></tr>"
+                             "<tr><td>1</td><td>2</td></tr></table>")
+    assert md.split("\n") == ["> quoted", "", "    a  b", "      c", "", "  1. first", "    * inner",
+                              "  2. second", "", "run `x()`", "", "A | B", "1 | 2"]

@@ -244,7 +244,9 @@ def description_html(root: Node, nodes: list | None = None) -> str:
 
 
 def html_to_markdown(html: str) -> str:
-    """Markdown without links, images or wrapping."""
+    """Markdown without links, images or wrapping (X8): headings, paragraphs,
+    bold/italic, inline code, line breaks, rules, nested lists, blockquotes,
+    preformatted blocks and table rows."""
     root = parse_dom(html)
     out: list[str] = []
 
@@ -258,16 +260,33 @@ def html_to_markdown(html: str) -> str:
             elif c.tag == "br":
                 parts.append("  \n")
             elif c.tag in ("b", "strong"):
-                s = inline(c).strip()
-                parts.append(f"**{s}**" if s else "")
+                t = inline(c).strip()
+                parts.append(f"**{t}**" if t else "")
             elif c.tag in ("i", "em"):
-                s = inline(c).strip()
-                parts.append(f"_{s}_" if s else "")
+                t = inline(c).strip()
+                parts.append(f"_{t}_" if t else "")
+            elif c.tag == "code":
+                t = inline(c).strip()
+                parts.append(f"`{t}`" if t else "")
+            elif c.tag in ("ul", "ol"):
+                continue  # nested lists are emitted as blocks by the list item
             else:
                 parts.append(inline(c))
         return "".join(parts)
 
-    def block(n, list_prefix=None):
+    def raw_text(n) -> str:
+        return "".join(c if isinstance(c, str) else raw_text(c) for c in n.children
+                       if isinstance(c, str) or c.tag not in _SKIP_TEXT)
+
+    def lst(n, depth):
+        items = [x for x in n.children if isinstance(x, Node) and x.tag == "li"]
+        for i, li in enumerate(items):
+            mark = f"{i + 1}. " if n.tag == "ol" else "* "
+            out.append("  " * (depth + 1) + mark + inline(li).strip())
+            for sub in (x for x in li.children if isinstance(x, Node) and x.tag in ("ul", "ol")):
+                lst(sub, depth + 1)
+
+    def block(n):
         for c in n.children:
             if isinstance(c, str):
                 if c.strip():
@@ -277,27 +296,37 @@ def html_to_markdown(html: str) -> str:
             if t in _SKIP_TEXT or t == "img":
                 continue
             if t in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                out.append("")
-                out.append("#" * int(t[1]) + " " + inline(c).strip())
-                out.append("")
+                out.extend(["", "#" * int(t[1]) + " " + inline(c).strip(), ""])
             elif t == "p":
-                out.append("")
-                out.append(inline(c).strip())
-                out.append("")
+                out.extend(["", inline(c).strip(), ""])
             elif t == "hr":
                 out.extend(["", "* * *", ""])
             elif t in ("ul", "ol"):
                 out.append("")
-                for i, li in enumerate([x for x in c.children if isinstance(x, Node) and x.tag == "li"]):
-                    mark = f"{i + 1}. " if t == "ol" else "  * "
-                    out.append(mark + inline(li).strip())
+                lst(c, 0)
                 out.append("")
-            elif t in _BLOCK:
+            elif t == "blockquote":
+                start = len(out)
+                block(c)
+                inner = out[start:]
+                del out[start:]
+                while inner and not inner[0]:
+                    inner.pop(0)
+                while inner and not inner[-1]:
+                    inner.pop()
+                quoted = [("> " + x) if x else ">" for x in inner]
+                out.extend(["", *quoted, ""])
+            elif t == "pre":
+                out.extend(["", *["    " + x for x in raw_text(c).strip("\n").split("\n")], ""])
+            elif t == "tr":
+                cells = [inline(x).strip() for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")]
+                out.append(" | ".join(cells))
+            elif t in _BLOCK or t in ("table", "thead", "tbody", "tfoot"):
                 block(c)
             else:
-                s = inline(c).strip()
-                if s:
-                    out.append(s)
+                text = inline(c).strip()
+                if text:
+                    out.append(text)
     block(root)
     md = "\n".join(out)
     return re.sub(r"\n{3,}", "\n\n", md).strip()
