@@ -1,10 +1,11 @@
 """Streaming intake de-duplication.
 
 The seen list never expires, so a watermark cannot bound dedup state.  The
-default form keeps the seen list as a Parquet table and, per micro-batch,
-routes links with the batch anti-join (J1/W1) and appends the new keys; the
-state lives in the table, not in executor memory.  ``stateful=True`` gives the
-pure streaming form (``dropDuplicates`` without watermark; state grows).
+default form keeps the seen list as a Parquet table partitioned by batch and,
+per micro-batch, routes links with the batch dedup (J1/W1) and appends the new
+keys; the state lives in the table, not in executor memory.
+``stateful_dedup`` is the pure streaming form (``dropDuplicates`` without a
+watermark; its state grows with the number of keys).
 """
 
 from __future__ import annotations
