@@ -129,9 +129,9 @@ def sync(db: DataFrame, folded: DataFrame, restamp_today: str | None = None) ->
 
 def sync_counts(db: DataFrame, folded: DataFrame) -> DataFrame:
     """One row: board refs found in the table (updated) and not found."""
-    refs = db.select(ldb.ref_as_number("ref_nr").alias("_ref")).distinct() \
+    refs = db.select(ldb.ref_key(db, "ref_nr").alias("_ref")).distinct() \
              .withColumn("_in_db", F.lit(True))
-    j = folded.select(ldb.ref_as_number("ref_nr").alias("_ref")).distinct() \
+    j = folded.select(ldb.ref_key(folded, "ref_nr").alias("_ref")).distinct() \
               .join(refs, "_ref", "left")
     return j.agg(F.count_if(F.col("_in_db").isNotNull()).alias("updated"),
                  F.count_if(F.col("_in_db").isNull()).alias("not_found"))

@@ -33,10 +33,18 @@ def ref_as_number(ref) -> Column:
     return tx.trim_ws(_c(ref).cast("string")).try_cast("bigint")
 
 
+def ref_key(df: DataFrame, col: str = "ref_nr") -> Column:
+    """Numeric ref of a table: integral columns as they are, text refs
+    ('0277', ' 277 ') trimmed and converted, unparsable ones null."""
+    if dict(df.dtypes).get(col) in ("bigint", "int", "smallint", "tinyint"):
+        return F.col(col).cast("bigint")
+    return ref_as_number(col)
+
+
 def next_ref(db: DataFrame, ref_col: str = "ref_nr") -> DataFrame:
     """One row: max numeric ref + 1 (0 + 1 on an empty table) (A4).
     A global aggregate: partial max per task, one final row."""
-    return db.agg((F.coalesce(F.max(ref_as_number(ref_col)), F.lit(0)) + 1).alias("next_ref"))
+    return db.agg((F.coalesce(F.max(ref_key(db, ref_col)), F.lit(0)) + 1).alias("next_ref"))
 
 
 def assign_refs(rows: DataFrame, db: DataFrame, order_cols: list,
@@ -119,7 +127,7 @@ def first_ref_by_url(db: DataFrame, order_col: str = "ref_nr") -> DataFrame:
     unparsable refs give none."""
     return (db.where(F.col("url").isNotNull() & (tx.trim_ws("url") != ""))
               .groupBy(tx.trim_ws("url").alias("url"))
-              .agg(F.min_by(ref_as_number("ref_nr"), F.col(order_col)).alias("existing_ref")))
+              .agg(F.min_by(ref_key(db, "ref_nr"), F.col(order_col)).alias("existing_ref")))
 
 
 def update_by_ref(db: DataFrame, updates: DataFrame, columns: list[str],
@@ -131,7 +139,7 @@ def update_by_ref(db: DataFrame, updates: DataFrame, columns: list[str],
     in the table by construction; ``dedupe`` reduces the updates to one per
     ref first (pass False when the caller already guarantees that)."""
     cols = [c for c in columns if c in LISTING_TYPES]
-    u = updates.select(ref_as_number("ref_nr").alias("_ref"),
+    u = updates.select(ref_key(updates, "ref_nr").alias("_ref"),
                        *[F.col(c).alias(f"_new_{c}") for c in cols])
     if dedupe:
         # one update per ref: a deterministic winner, never a multiplied row
@@ -139,7 +147,7 @@ def update_by_ref(db: DataFrame, updates: DataFrame, columns: list[str],
         u = (u.groupBy("_ref").agg(F.max(F.struct(*new)).alias("_u"))
               .select("_ref", *[F.col(f"_u.{n}").alias(n) for n in new]))
     u = u.withColumn("_hit", F.lit(True))
-    joined = db.join(u, ref_as_number("ref_nr") == F.col("_ref"), "left")
+    joined = db.join(u, ref_key(db, "ref_nr") == F.col("_ref"), "left")
     out = []
     for name in db.columns:
         if name in cols:
@@ -156,8 +164,8 @@ def update_by_ref(db: DataFrame, updates: DataFrame, columns: list[str],
 
 def updates_not_found(db: DataFrame, updates: DataFrame) -> DataFrame:
     """Updates whose ref is not in the table (the found = false rows)."""
-    refs = db.select(ref_as_number("ref_nr").alias("_ref"))
-    return updates.join(refs, ref_as_number("ref_nr") == F.col("_ref"), "left_anti")
+    refs = db.select(ref_key(db, "ref_nr").alias("_ref"))
+    return updates.join(refs, ref_key(updates, "ref_nr") == F.col("_ref"), "left_anti")
 
 
 def rescore(db: DataFrame, results: DataFrame, today_dmy: str) -> DataFrame:
