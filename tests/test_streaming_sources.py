@@ -120,3 +120,20 @@ def test_page_parse_on_a_stream(spark, tmp_dir):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM parsed_t").collect()] == [(1, "Title")]
+
+
+def test_sinks_and_small_sources(spark, tmp_dir):
+    from vetline.operators import pages as pg
+    routed = spark.createDataFrame([("a", "moved"), ("b", "deleted"), ("c", "moved")], "name string, outcome string")
+    files.write_routed(routed, os.path.join(tmp_dir, "routed"))
+    assert sorted(os.listdir(os.path.join(tmp_dir, "routed")))[-2:] == ["outcome=deleted", "outcome=moved"]
+    moved = spark.read.parquet(os.path.join(tmp_dir, "routed")).where("outcome = 'moved'")
+    assert sorted(r.name for r in moved.collect()) == ["a", "c"]
+    seen_txt = os.path.join(tmp_dir, "seen.txt")
+    with open(seen_txt, "w") as f:
+        f.write(" u1 \n\nu2\nu1\n")
+    assert sorted(r.url for r in files.read_seen(spark, seen_txt, fmt="text").collect()) == ["u1", "u2"]
+    assert files.read_keywords(spark, os.path.join(tmp_dir, "missing.txt")).count() == 0
+    df = spark.createDataFrame([(1, "u", "<div>No matching jobs found</div>")], "page_id long, url string, html string")
+    r = pg.parse_pages(df).first()
+    assert r.no_results and not r.results_end
