@@ -35,6 +35,25 @@ def test_full_profile(spark):
     assert s06 == {"u1": ("accepted", 1, 110), "u3": ("rejected_role", 2, 100)}
     rows = {r.url: (r.status, r.fit_score, r.date_published, r.reject_reason) for r in out["new_rows"].collect()}
     assert rows == {"u1": ("new", 110, "20/01/2026", None), "u3": ("rejected", 100, "31/01/2026", "Role")}
+    names = {r.url: r.stage05_name for r in out["scoring"].collect()}
+    assert names["u1"].startswith("20260131_UNKN_") and names["u1"] != names["u3"]
     final = {r.url: r.final_stem for r in out["scoring"].collect()}
     assert final["u1"] == "0001_110_20260120_LISBON_CFO_Acme_LinkedIn"
     assert {r.url for r in out["quarantine"].collect()} == {"u4"}
+
+
+def test_equal_stage05_stems_get_suffixes(spark):
+    links = spark.createDataFrame([("20260131_A - X - LinkedIn", "v1"), ("20260131_B - X - LinkedIn", "v2")],
+                                  "name string, url string")
+    pages = spark.createDataFrame([(u, f"<h1>T</h1><article>{LONG}</article>") for u in ["v1", "v2"]],
+                                  "url string, html string")
+    same = json.dumps({"language": "en", "title": "CFO", "company": "Acme", "city": "Porto",
+                       "published_date": "20260101"})
+    extract = spark.createDataFrame([(u, 1, same) for u in ["v1", "v2"]], "url string, attempt int, text string")
+    score = spark.createDataFrame([(u, 1, json.dumps({"job_title": "CFO"})) for u in ["v1", "v2"]],
+                                  "url string, attempt int, text string")
+    out = profiles.run({"links": links, "seen": spark.createDataFrame([], "url string"), "pages": pages,
+                        "extract_attempts": extract, "score_attempts": score}, today="20260131")
+    names = {r.url: (r.stage05_name, r.ref_nr) for r in out["scoring"].collect()}
+    assert names == {"v1": ("20260101_PORT_CFO_-_Acme_-_LinkedIn", 1),
+                     "v2": ("20260101_PORT_CFO_-_Acme_-_LinkedIn_01", 2)}

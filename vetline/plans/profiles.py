@@ -111,7 +111,9 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
         F.col("extracted.language"), F.col("req"), force=forced,
         closed=flt.is_closed(F.col("body_md")), responded=F.col("response").isNotNull()))
     out["extraction"] = e
-    accepted05 = e.where(F.col("stage05") == "accepted")
+    # accepted listings take their stage-05 name; equal stems get _01, _02
+    accepted05 = intake.collision_suffix(e.where(F.col("stage05") == "accepted"), "stage05_stem",
+                                         ["name", "url"], style="under", out_col="stage05_name")
 
     # ---- score response (06) -------------------------------------------------
     sco = rsp.pick_attempt(inputs["score_attempts"].join(batch_urls, "url", "left_semi"), "url", ["attempt"],
@@ -131,9 +133,10 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
         s = s.withColumn("existing_ref", F.lit(None).cast("bigint"))
     needs = F.col("stage06").isin("accepted", "rejected_role", "rejected_score")
     # numbering checkpoints its input: carry only what later steps read
-    s = s.select("url", "name", "stem", "stage05_stem", "scored", "stage06", "existing_ref")
+    s = s.select("url", "name", "stem", "stage05_stem", "stage05_name", "scored", "stage06",
+                 "existing_ref")
     # refs follow the order in which stage 06 meets the files: stage-05 names
-    s = ldb.assign_refs(s, db, ["stage05_stem", "url"], needs_ref=needs, existing_ref="existing_ref")
+    s = ldb.assign_refs(s, db, ["stage05_name", "url"], needs_ref=needs, existing_ref="existing_ref")
     if cut_lineage:
         s = s.checkpoint()
     s = s.withColumn("final_stem", tx.scored_stem(
