@@ -57,3 +57,14 @@ def test_equal_stage05_stems_get_suffixes(spark):
     names = {r.url: (r.stage05_name, r.ref_nr) for r in out["scoring"].collect()}
     assert names == {"v1": ("20260101_PORT_CFO_-_Acme_-_LinkedIn", 1),
                      "v2": ("20260101_PORT_CFO_-_Acme_-_LinkedIn_01", 2)}
+
+
+def test_name_collisions_in_intake(spark):
+    links = spark.createDataFrame([("20260131_CFO - Acme - LinkedIn", "w1"), ("20260131_CFO - Acme - LinkedIn", "w2")],
+                                  "name string, url string")
+    empty = spark.createDataFrame([], "url string, attempt int, text string")
+    out = profiles.run({"links": links, "seen": spark.createDataFrame([], "url string"),
+                        "pages": spark.createDataFrame([], "url string, html string"),
+                        "extract_attempts": empty, "score_attempts": empty}, today="20260131")
+    names = {r.url: r.name for r in out["keyword"].collect()}
+    assert names == {"w1": "20260131_CFO - Acme - LinkedIn", "w2": "20260131_CFO - Acme - LinkedIn (00)"}

@@ -71,6 +71,9 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     out["dedup"] = routed
     out["seen_additions"] = intake.seen_additions(routed)
     passed = routed.where(F.col("outcome") == "moved").drop("outcome", "is_new")
+    # moved links sharing a name become "name (00)", "name (01)" (W3)
+    passed = (intake.collision_suffix(passed, "name", ["url", "origin"], style="paren")
+              .drop("name").withColumnRenamed("final_name", "name"))
     # the keyword test sees the whole file name, extension included (Q3)
     kw = flt.keyword_route(passed.withColumn("_file", F.concat("name", F.lit(".url"))), "_file",
                            keywords, force=forced).drop("_file")
@@ -94,6 +97,9 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
         "stem", F.when(F.col("name").contains(fixed.EMAIL_PLACEHOLDER_MARK) & F.col("title").isNotNull(),
                        tx.enriched_stem(F.col("title"), F.col("company_final"), today))
         .otherwise(F.col("name")))
+    # equal stems after renaming get _01, _02
+    enriched = (intake.collision_suffix(enriched, "stem", ["name", "url"], style="under")
+                .drop("stem").withColumnRenamed("final_name", "stem"))
     out["enriched"] = enriched
     out["quarantine"] = enriched.where("quarantine")
 
