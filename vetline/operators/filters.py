@@ -44,12 +44,12 @@ def keyword_route(df: DataFrame, name_col: str, keywords, row_key: str | None =
         return df.withColumn(out_col, F.lit(None).cast("string"))
     if isinstance(keywords, list):
         return df.withColumn(out_col, first_keyword(name_col, keywords))
-    n = keywords.limit(MAX_BROADCAST_KEYWORDS + 1).count()
-    if n > MAX_BROADCAST_KEYWORDS:
+    # one bounded read decides: a short list is inlined, a long one joined
+    head = keywords.orderBy("pos").select("kw").limit(MAX_INLINE_KEYWORDS + 1).collect()
+    if len(head) <= MAX_INLINE_KEYWORDS:
+        return df.withColumn(out_col, first_keyword(name_col, [r["kw"] for r in head]))
+    if keywords.limit(MAX_BROADCAST_KEYWORDS + 1).count() > MAX_BROADCAST_KEYWORDS:
         raise ValueError(f"keyword list larger than {MAX_BROADCAST_KEYWORDS} entries")
-    if n <= MAX_INLINE_KEYWORDS:
-        kw_list = [r["kw"] for r in keywords.orderBy("pos").collect()]
-        return df.withColumn(out_col, first_keyword(name_col, kw_list))
     if row_key is None:
         raise ValueError("row_key is required for large keyword tables")
     kw = keywords.select("pos", F.lower("kw").alias("_kw"))
