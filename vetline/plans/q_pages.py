@@ -49,6 +49,25 @@ def page_title(spark, sf_dir):
                     .alias("title"))
 
 
+def _dec_sql_loose(c: str) -> str:
+    """Basic entities with or without the closing semicolon, ``&amp`` last."""
+    for ent, ch in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&amp;?", "&")):
+        c = f"regexp_replace({c}, '{ent}', '{ch}', 'g')"
+    return c
+
+
+@register("page_title_parsed", sql=f"""
+SELECT page_id,
+       {_TRIM.format("regexp_replace(" + _dec_sql_loose("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g')")} AS title
+FROM pages
+""")
+def page_title_parsed(spark, sf_dir):
+    """Title from the page parse job (X3: first ``h1`` selector with text),
+    checked against a regex reading of the first ``<h1>``."""
+    parsed = pg.parse_pages(table(spark, sf_dir, "pages"))
+    return parsed.select("page_id", F.col("title_sel").alias("title"))
+
+
 # ---------------------------------------------------------------- X1-X8 O4 P10 P11 K12
 @register("page_blocks")
 def page_blocks(spark, sf_dir):
