@@ -85,7 +85,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     least that many splits is returned unchanged (no extra shuffle)."""
     if df.isStreaming:  # micro-batches are sized by the source's trigger options
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (remote session): leave the plan as it is
+        return df
+    if current < target:
         return df.repartition(target)
     return df

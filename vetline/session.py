@@ -55,13 +55,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     a laptop) a scratch folder is created so ``DataFrame.checkpoint()`` works.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the setting
+        return d or ""
     if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="vetline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(d)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(d)
     return d
 
 
