@@ -64,8 +64,9 @@ def test_sequence_equals_row_number_with_hot_key(spark):
     from pyspark.sql import Window
     rows = [("hot" if i % 3 else f"k{i % 11}", i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, o long")
-    got = sequence_within(df, ["g"], ["o"], col="rn")
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o")))
-    assert sorted(got.select("g", "o", "rn").collect()) == sorted(want.collect())
+    want = sorted(df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o"))).collect())
+    for hot in (500, 1_000_000):  # hot + ordinary groups together, and the plain window path
+        got = sequence_within(df, ["g"], ["o"], col="rn", hot_group_rows=hot)
+        assert sorted(got.select("g", "o", "rn").collect()) == want
     gs = global_sequence(df, ["o"], col="s")
     assert [r.s for r in gs.orderBy("o").collect()] == list(range(1, 3001))

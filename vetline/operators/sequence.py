@@ -11,9 +11,9 @@
 4. count rows per partition (one row per partition: a bounded table),
    turn the counts into running offsets and broadcast them.
 
-``sequence_within`` derives per-group numbers from the global one: the group
-start is a partial aggregate (``min``), joined back on the group key; AQE's
-skew-join handling splits a hot group's partition.
+``sequence_within`` numbers rows inside groups: ordinary groups with a plain
+window, hot groups (found by a partial count) from the global sequence minus
+the group start, so no task sorts a whole hot group.
 """
 
 from __future__ import annotations
@@ -54,15 +54,40 @@ def global_sequence(df: DataFrame, order_cols: list, col: str = "seq",
     return out.drop("_mid", "_pid", "_local", "_off")
 
 
+HOT_GROUP_ROWS = 2_000_000
+
+
 def sequence_within(df: DataFrame, group_cols: list, order_cols: list,
-                    col: str = "rn") -> DataFrame:
+                    col: str = "rn", hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Add ``col`` = 1-based position inside each group (``row_number`` semantics)
-    without putting a whole group into one task."""
-    g = global_sequence(df, list(group_cols) + list(order_cols), col="_gseq")
+    without putting a whole large group into one task.
+
+    A partial count per group finds the hot groups (more than
+    ``hot_group_rows`` rows; there are at most rows / hot_group_rows of them,
+    so the list is broadcast after a check).  Ordinary groups are numbered by
+    a plain window partitioned by the group (one shuffle, each group bounded);
+    hot groups take the range-partitioned global sequence, minus the group
+    start."""
+    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_group_rows).select(*group_cols)
+    n_hot = hot.limit(100_001).count()
+    if n_hot == 0:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(col, F.row_number().over(w).cast("long"))
+    if n_hot > 100_000:
+        raise ValueError("too many hot groups for the broadcast list")
+    hot_b = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    tagged = df.join(hot_b, on=list(group_cols), how="left")
+    cold = tagged.where(F.col("_hot").isNull()).drop("_hot")
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    cold = cold.withColumn(col, F.row_number().over(w).cast("long"))
+    g = global_sequence(tagged.where(F.col("_hot")).drop("_hot"),
+                        list(group_cols) + list(order_cols), col="_gseq")
     starts = g.groupBy(*group_cols).agg(F.min("_gseq").alias("_gstart"))
-    out = g.join(starts, on=list(group_cols))
-    return out.withColumn(col, (F.col("_gseq") - F.col("_gstart") + 1).cast("long")) \
-              .drop("_gseq", "_gstart")
+    warm = (g.join(F.broadcast(starts), on=list(group_cols))
+              .withColumn(col, (F.col("_gseq") - F.col("_gstart") + 1).cast("long"))
+              .drop("_gseq", "_gstart"))
+    return cold.unionByName(warm)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
