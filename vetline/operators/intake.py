@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vetline import fixed
 from vetline.functions import text as tx
-from vetline.operators.sequence import broadcast_if_small, sequence_within
+from vetline.operators.sequence import sequence_within
 
 
 def ordered_distinct_matches(text_col, pattern: str, group: int = 1):
@@ -85,10 +85,10 @@ def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
     # first cut map-side to the batch's keys (broadcast semi-join behind a
     # size check), so it is scanned but not shuffled.
     if prefilter and not links.isStreaming:
-        keys = links.select(key).where(F.col(key).isNotNull()).distinct()
-        small, ok = broadcast_if_small(keys, MAX_BROADCAST_BATCH_KEYS)
-        if ok:
-            seen = seen.join(small, key, "left_semi")
+        # distinct keys <= rows: an early-stopping row count bounds the list
+        if links.limit(MAX_BROADCAST_BATCH_KEYS + 1).count() <= MAX_BROADCAST_BATCH_KEYS:
+            keys = links.select(key).where(F.col(key).isNotNull()).distinct()
+            seen = seen.join(F.broadcast(keys), key, "left_semi")
     # Batch keys and seen keys are reduced by one keyed aggregation (first
     # copy + seen flag), then joined back once: one join instead of two.
     mine = links.where(F.col(key).isNotNull()).select(
