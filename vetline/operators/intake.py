@@ -71,7 +71,7 @@ def flag_first_per_key(df: DataFrame, key: str, order_col: str,
               .drop("_first")
 
 
-MAX_BROADCAST_BATCH_KEYS = 2_000_000
+MAX_BROADCAST_BATCH_KEYS = 500_000  # ~40 MB of URL keys
 
 
 def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,

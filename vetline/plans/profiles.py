@@ -31,7 +31,7 @@ from vetline.session import checkpoint_dir
 from vetline.sources import files
 
 PROFILES = ("full", "email_only", "manual")
-MAX_BATCH_URLS = 5_000_000
+MAX_BATCH_URLS = 500_000  # ~40 MB of URL keys
 
 
 def _dmy(today: str) -> str:
