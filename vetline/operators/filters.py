@@ -15,7 +15,7 @@ from vetline.functions.text import trim_ws
 MAX_INLINE_KEYWORDS = 5000
 # Upper bound for broadcasting a keyword table.  Keywords are configuration;
 # a list beyond this is rejected instead of being broadcast unchecked.
-MAX_BROADCAST_KEYWORDS = 1_000_000
+MAX_BROADCAST_KEYWORDS = 200_000
 
 
 def _c(c) -> Column:
