@@ -70,3 +70,26 @@ def test_sequence_equals_row_number_with_hot_key(spark):
         assert sorted(got.select("g", "o", "rn").collect()) == want
     gs = global_sequence(df, ["o"], col="s")
     assert [r.s for r in gs.orderBy("o").collect()] == list(range(1, 3001))
+
+
+def test_broadcast_bound_and_spread(spark):
+    from vetline.operators.sequence import broadcast_if_small, spread
+    df = spark.range(100)
+    _, ok = broadcast_if_small(df, 99)
+    assert not ok
+    _, ok = broadcast_if_small(df, 100)
+    assert ok
+    many = spark.range(0, 1000, numPartitions=64)
+    assert spread(many) is many  # already split finer than the cores: unchanged
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_hot_group_threshold_from_session(spark):
+    df = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1)], "g string, o long")
+    spark.conf.set("vetline.sequence.hotGroupRows", "10")
+    try:
+        got = {(r.g, r.o): r.rn for r in sequence_within(df, ["g"], ["o"]).collect()}
+    finally:
+        spark.conf.unset("vetline.sequence.hotGroupRows")
+    assert got[("a", 29)] == 30 and got[("b", 1)] == 1

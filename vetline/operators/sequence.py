@@ -58,16 +58,20 @@ HOT_GROUP_ROWS = 2_000_000
 
 
 def sequence_within(df: DataFrame, group_cols: list, order_cols: list,
-                    col: str = "rn", hot_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                    col: str = "rn", hot_group_rows: int | None = None) -> DataFrame:
     """Add ``col`` = 1-based position inside each group (``row_number`` semantics)
     without putting a whole large group into one task.
 
     A partial count per group finds the hot groups (more than
-    ``hot_group_rows`` rows; there are at most rows / hot_group_rows of them,
+    ``hot_group_rows`` rows, default from ``vetline.sequence.hotGroupRows``;
+    there are at most rows / hot_group_rows of them,
     so the list is broadcast after a check).  Ordinary groups are numbered by
     a plain window partitioned by the group (one shuffle, each group bounded);
     hot groups take the range-partitioned global sequence, minus the group
     start."""
+    if hot_group_rows is None:
+        hot_group_rows = int(df.sparkSession.conf.get("vetline.sequence.hotGroupRows",
+                                                      str(HOT_GROUP_ROWS)))
     counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > hot_group_rows).select(*group_cols)
     n_hot = hot.limit(100_001).count()
