@@ -20,6 +20,8 @@ _BASE_CONF = {
     # JSON objects with a repeated key keep the last value (as a strict JSON
     # reader of the responses does) instead of failing to parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # checkpoint files of numbering steps are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
