@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,14 +48,38 @@ def prepare(spark: SparkSession) -> str:
     """Session settings the operators rely on, applied to a session built
     elsewhere (a cluster's, the driver's): runtime SQL settings only."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    ship_package(spark)
     return checkpoint_dir(spark)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let executors import this package where their Python path lacks it (a
+    session built elsewhere, without ``--py-files``): it is sent once as a zip."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    sc = spark.sparkContext
+    if root in known or sc.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="vetline-zip-")
+    with zipfile.ZipFile(os.path.join(folder, "vetline.zip"), "w") as z:
+        for top, _, names in os.walk(os.path.join(root, "vetline")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(os.path.join(folder, "vetline.zip"))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (unit tests,
-    a laptop) a scratch folder is created so ``DataFrame.checkpoint()`` works.
+    The cluster's setting always wins; on a cluster without one this raises, as
+    a folder on one machine would lose data with that machine.  Only in local
+    mode (unit tests, a laptop) a scratch folder is made.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -64,6 +89,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="vetline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
