@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from vetline.llm import common as C
 
 SAMPLE_POINTS = 20_000
-LEAF_POINTS = 25_000
+LEAF_POINTS = 100_000
 BLOCK = 384
 
 
