@@ -74,10 +74,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record again: page_id, record_type, refers_to, header and its full payload."""
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = (spark.read.parquet(f"{path}/payloads").groupBy("digest")
-                .agg(F.max("copies").alias("copies"), F.first("payload").alias("payload")))
+    # spread over salts first: grouping and join then share one shuffle of the payloads
+    payloads = (spark.read.parquet(f"{path}/payloads")
+                .withColumn("salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("copies") / SALT_COPIES) - 1).cast("int"))))
+                .groupBy("digest", "salt").agg(F.first("payload").alias("payload")))
     checked = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload differs from its digest "), F.hex("digest"))).cast("binary"))
-    spread = payloads.select("digest", checked.alias("payload"), F.explode(
-        F.sequence(F.lit(0), (F.ceil(F.col("copies") / SALT_COPIES) - 1).cast("int"))).alias("salt"))
+    spread = payloads.select("digest", "salt", checked.alias("payload"))
     return headers.join(spread, ["digest", "salt"]).drop("salt")
