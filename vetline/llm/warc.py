@@ -1,6 +1,7 @@
 """Content-addressed web archive: each payload is stored once under its SHA-256,
 record headers are stored apart, byte for byte, and records are put together
-again by a join.
+again by a join.  Payloads are stored and shuffled as Zstandard frames; digests
+are of the bytes themselves.
 
 Plan.  Digests are computed where the pages lie; only digests and ids are
 grouped.  The newest copy of a payload (largest id) is its response record and
@@ -17,18 +18,26 @@ revisit it; ids that are null count as smallest; other columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import hashlib
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vetline.llm import common as C
+
 SALT_COPIES = 5_000
 
 
-@F.pandas_udf("string")
-def base32(hexadecimal: pd.Series) -> pd.Series:
-    return hexadecimal.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
+def base32(hexadecimal: str) -> Column:
+    """Upper-case base32 of 20 bytes given as hexadecimal digits: 5 bits a letter."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    out = []
+    for k in range(0, 40, 10):  # 40 bits at a time
+        part = F.conv(F.substring(hexadecimal, k + 1, 10), 16, 10).cast("long")
+        out += [letters.substr(F.shiftright(part, 35 - 5 * j).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for j in range(8)]
+    return F.concat(*out)
 
 
 def _record_id(page_id):
@@ -40,12 +49,22 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
                   date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 0) -> None:
     """Write ``path``/payloads (digest, copies, payload) and ``path``/headers
     (page_id, digest, salt, record_type, refers_to, header)."""
-    payload = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
-    rows = (pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), payload.alias("payload"))
-            .withColumn("digest", F.unhex(F.sha2("payload", 256)))
-            .withColumn("key", F.when(F.octet_length("payload") < min_revisit_bytes,
+    def digest(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            raw = [(x.as_py() or "").encode() for x in b["payload"]]
+            yield pa.RecordBatch.from_arrays(
+                [b["page_id"], b["url"], pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()),
+                 pa.array([hashlib.sha1(x).hexdigest() for x in raw]), pa.array([len(x) for x in raw], pa.int64()),
+                 pa.array([squeeze(x) for x in raw], pa.binary())], ["page_id", "url", "digest", "sha1", "n", "payload"])
+
+    C.small_batches(pages.sparkSession, 500)
+    kind = pages.schema[id_col].dataType.simpleString()
+    rows = (pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.col(payload_col).alias("payload"))
+            .mapInArrow(digest, f"page_id {kind}, url string, digest binary, sha1 string, n long, payload binary")
+            .withColumn("key", F.when(F.col("n") < min_revisit_bytes,
                                       F.concat_ws("/", F.lit("own"), "page_id", F.hex("digest"))).otherwise(F.hex("digest"))))
-    light = rows.select("page_id", "url", "digest", "key", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"))
+    light = rows.drop("payload")
     newest = light.groupBy("key").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("copies"))
     nth = F.row_number().over(Window.partitionBy("key", "page_id").orderBy("url"))
     light = (light.join(newest, "key").withColumn("own", F.col("page_id").eqNullSafe(F.col("newest")))
@@ -78,7 +97,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     payloads = (spark.read.parquet(f"{path}/payloads")
                 .withColumn("salt", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("copies") / SALT_COPIES) - 1).cast("int"))))
                 .groupBy("digest", "salt").agg(F.first("payload").alias("payload")))
-    checked = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("payload differs from its digest "), F.hex("digest"))).cast("binary"))
-    spread = payloads.select("digest", "salt", checked.alias("payload"))
-    return headers.join(spread, ["digest", "salt"]).drop("salt")
+    joined = headers.join(payloads, ["digest", "salt"]).select("page_id", "record_type", "refers_to", "header", "digest", "payload")
+
+    def verify(batches):
+        expand = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            raw = [expand(x.as_py()) for x in b["payload"]]
+            for x, digest in zip(raw, b["digest"]):
+                if hashlib.sha256(x).digest() != digest.as_py():
+                    raise ValueError(f"a payload differs from its digest {digest.as_py().hex()}")
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(raw, pa.binary())], b.schema.names)
+
+    C.small_batches(spark, 500)
+    return joined.mapInArrow(verify, joined.schema)
