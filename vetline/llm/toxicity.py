@@ -27,7 +27,9 @@ from vetline.llm import common as C
 from vetline.llm.quality import held_out
 
 BUCKETS = 1 << 18
-TRAIN_DOCS = 8_000
+#: In place of a weight that is not learned.
+SPARE = 0
+TRAIN_DOCS = 16_000
 #: Beginnings of words, in bytes, that have weights of their own.
 PREFIXES = (4, 5)
 _BREAK = np.zeros(256, dtype=bool)
@@ -61,45 +63,55 @@ def _softplus(z):
     return np.logaddexp(0, z)
 
 
-def fit_bags(bucket: np.ndarray, sentence: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.25,
-             l2: float = 3e-5,
-             min_z: float = 6) -> tuple[np.ndarray, float]:
-    """Weights and constant.  sentence: first word of each; bag: first sentence
-    of each document (all have one).  Only words found in toxic documents more
-    often than chance (``min_z`` standard errors) get a weight: the others could
-    only be fitted to accidents."""
+def fit_bags(used: np.ndarray, of: np.ndarray, bag: np.ndarray, n_sentences: int, y: np.ndarray, epochs: int = 60,
+             rate: float = 0.25, l2: float = 3e-5) -> tuple[np.ndarray, float]:
+    """Weights and constant by gradient steps on the bag likelihood.  used: the
+    weights of each word that has any; of: its sentence; bag: first sentence of
+    each document (all have one)."""
     w, b = np.zeros(BUCKETS), -4.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
-    per_sentence = np.diff(np.append(sentence, len(bucket)))
-    per_bag = np.diff(np.append(bag, len(sentence)))
-    flat = bucket.ravel()
-    owner = np.repeat(np.repeat(np.arange(len(y)), per_bag), per_sentence)
-    pairs = np.unique(np.repeat(owner, bucket.shape[1]) * BUCKETS + flat)
-    held = [np.bincount(pairs[y[pairs // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]
-    n = [max(1, (y == k).sum()) for k in (0, 1)]
-    both = (held[0] + held[1]) / (n[0] + n[1])
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
-    seen = (held[1] / n[1] - held[0] / n[0] > min_z * error) & (held[1] >= 5)
-    live = np.flatnonzero(seen[bucket].any(axis=1))  # the other words weigh nothing
-    of = np.repeat(np.arange(len(sentence)), per_sentence)[live]
-    used = bucket[live]
+    per_bag = np.diff(np.append(bag, n_sentences))
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for t in range(1, epochs + 1):
-        z = np.clip(np.bincount(of, weights=w[used].sum(axis=1), minlength=len(sentence)) + b, -40, 40)
+        z = np.clip(np.bincount(of, weights=w[used].sum(axis=1), minlength=n_sentences) + b, -40, 40)
         total = np.add.reduceat(_softplus(z), bag)
         d_total = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0) * weight
         d_z = np.repeat(d_total, per_bag) / (1 + np.exp(-z))
-        grad = np.bincount(used.ravel(), weights=np.repeat(d_z[of], used.shape[1]), minlength=BUCKETS) * seen + l2 * w
+        grad = np.bincount(used.ravel(), weights=np.repeat(d_z[of], used.shape[1]), minlength=BUCKETS) + l2 * w
         grad_b = d_z.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b ** 2
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
+        w[SPARE] = 0
         b -= 0.1 * (mb / (1 - 0.9 ** t)) / (np.sqrt(vb / (1 - 0.99 ** t)) + 1e-6)
     return w, b
 
 
+def telling(sample: DataFrame, n: tuple[int, int], min_z: float, min_docs: int) -> np.ndarray:
+    """Which weights to learn: those of words found in toxic documents more often
+    than chance (``min_z`` standard errors).  The others could only be fitted to
+    accidents and stay 0."""
+    def count(batches):
+        held = np.zeros((2, BUCKETS), dtype=np.int64)
+        for b in batches:
+            for y, words in zip(b["y"].to_pylist(), b["words"]):
+                held[y][np.unique(np.frombuffer(words.as_buffer(), np.int32))] += 1
+        some = np.flatnonzero(held.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[0][some]), pa.array(held[1][some])], ["k", "clean", "toxic"])
+
+    found = (sample.mapInArrow(count, "k int, clean long, toxic long").groupBy("k")
+             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= min_docs).toArrow())
+    clean, toxic = found["clean"].to_numpy(), found["toxic"].to_numpy()
+    both = (clean + toxic) / sum(n)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    seen = np.zeros(BUCKETS, dtype=bool)
+    seen[found["k"].to_numpy()[toxic / n[1] - clean / n[0] > min_z * error]] = True
+    seen[SPARE] = False
+    return seen
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
+        train_docs: int = TRAIN_DOCS, min_z: float = 6, min_docs: int = 5) -> tuple[np.ndarray, float]:
     """Learn from at most about ``train_docs`` labelled rows that are not held out."""
     C.small_batches(docs.sparkSession)
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
@@ -120,17 +132,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 [b["y"], pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())],
                 ["y", "words", "first"])
 
-    got = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-           .select(F.col("y").cast("int").alias("y"), "text").mapInArrow(run, "y int, words binary, first binary")
-           .where(F.length("first") > 0).toArrow())
-    word = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["words"]]
-    first = [np.frombuffer(x.as_buffer(), np.int32) for x in got["first"]]
-    if not word:
+    sample = C.materialise(
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+        .select((F.col("y") == 1).cast("int").alias("y"), "text").mapInArrow(run, "y int, words binary, first binary")
+        .where(F.length("first") > 0), "toxic_sample")
+    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return np.zeros(BUCKETS), -np.inf
-    begin = np.concatenate(([0], np.cumsum([len(x) for x in word])))
-    bag = np.concatenate(([0], np.cumsum([len(x) for x in first])))[:-1]
-    sentence = np.concatenate([f + a for f, a in zip(first, begin)])
-    return fit_bags(np.concatenate(word), sentence, bag, (got["y"].to_numpy() == 1).astype(int))
+    seen = telling(sample, (n[0], n[1]), min_z, min_docs)
+
+    def live(batches):  # of each document the words that have a weight, and their sentences
+        for b in batches:
+            rows = []
+            for words, first in zip(b["words"], b["first"]):
+                words = np.frombuffer(words.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES))
+                first = np.frombuffer(first.as_buffer(), np.int32)
+                keep = np.flatnonzero(seen[words].any(axis=1))
+                rows.append((np.where(seen[words[keep]], words[keep], SPARE).astype(np.int32),
+                             (np.searchsorted(first, keep, side="right") - 1).astype(np.int32), len(first)))
+            yield pa.RecordBatch.from_arrays(
+                [b["y"], pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()),
+                 pa.array([r[2] for r in rows], pa.int64())], ["y", "words", "sentence", "n"])
+
+    got = sample.mapInArrow(live, "y int, words binary, sentence binary, n long").toArrow()
+    used = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["words"]]
+    size = got["n"].to_numpy()
+    bag = np.cumsum(size) - size
+    of = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) + a for x, a in zip(got["sentence"], bag)])
+    return fit_bags(np.concatenate(used), of.astype(np.int64), bag, int(size.sum()), got["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text",
