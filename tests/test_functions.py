@@ -1,6 +1,7 @@
 """Column functions (FIXTURES B4, B8; P5-P21, C23, D1)."""
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from vetline.functions import text as tx
@@ -82,3 +83,48 @@ def test_relative_dates(spark):
     assert f("1 month ago") == "20251231"
     assert f("5 hours ago") == "20260131"
     assert f("no date") == "20260131"
+
+
+def test_strict_json_takes_one_value_only(spark):
+    from vetline.functions import json_fields as jf
+    rows = [('{"a":1}', "ok"), ('{"a":1},{"b":2}', "bad_json"), ('x {"a":1} y', "ok"), ("", "empty"), ("none", "no_json")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert df.where(jf.parse_status("t") != F.col("want")).count() == 0
+
+
+def test_long_refs_and_odd_dates(spark):
+    from vetline.operators.board import board_sort
+    df = spark.createDataFrame([("12345_050_20260101_X",), ("0001_100_20260101_Y",)], "s string")
+    assert [r[0] for r in df.select(tx.restem_score("s", F.lit(77))).collect()] == ["12345_077_20260101_X", "0001_077_20260101_Y"]
+    none = F.lit(None).cast("bigint")
+    assert df.select(tx.scored_stem(none, F.lit(5), *[F.lit("a")] * 6)).first()[0] is None
+    big = df.select(tx.scored_stem(F.lit(5_000_000_000), F.lit(5), *[F.lit("a")] * 5, F.lit(""))).first()[0]
+    assert big.startswith("5000000000_005_")
+    d = spark.createDataFrame([("30/02/2026",), ("01/02/2026",)], "date_published string")
+    assert d.orderBy(*board_sort("date_desc")).first()[0] == "01/02/2026"
+    ago = spark.createDataFrame([("99999999999 days ago",), ("3 days ago",)], "t string")
+    assert [r[0] for r in ago.select(tx.relative_published_date("t", "20260110")).collect()] == ["20260110", "20260107"]
+
+
+def test_last_comment_wins_by_order(spark):
+    from vetline.operators import board, listing_db as ldb
+    db = ldb.upgrade_schema(spark.createDataFrame([(1,)], "ref_nr bigint"))
+    edits = spark.createDataFrame([(1, "zzz first", 1), (1, "aaa last", 2)], "ref_nr bigint, text string, ts int")
+    assert board.save_comments(db, edits).first()["comment"] == "aaa last"
+
+
+def test_one_page_per_url(spark):
+    from vetline.plans.profiles import latest_pages
+    pages = spark.createDataFrame([("u", "old", 1), ("u", "new", 2), ("v", "x", 1), ("v", "x", 1)], "url string, html string, crawled_at int")
+    assert sorted((r.url, r.html) for r in latest_pages(pages).collect()) == [("u", "new"), ("v", "x")]
+
+
+def test_unreadable_seen_list_is_an_error(spark, tmp_dir):
+    import os
+    from vetline.streaming.intake import _seen_before
+    os.makedirs(f"{tmp_dir}/seen/batch_id=0")
+    with open(f"{tmp_dir}/seen/batch_id=0/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        _seen_before(spark, f"{tmp_dir}/seen", "url", 1).count()
+    assert _seen_before(spark, f"{tmp_dir}/none", "url", 1).count() == 0

@@ -72,13 +72,8 @@ def test_sequence_equals_row_number_with_hot_key(spark):
     assert [r.s for r in gs.orderBy("o").collect()] == list(range(1, 3001))
 
 
-def test_broadcast_bound_and_spread(spark):
-    from vetline.operators.sequence import broadcast_if_small, spread
-    df = spark.range(100)
-    _, ok = broadcast_if_small(df, 99)
-    assert not ok
-    _, ok = broadcast_if_small(df, 100)
-    assert ok
+def test_spread(spark):
+    from vetline.operators.sequence import spread
     many = spark.range(0, 1000, numPartitions=64)
     assert spread(many) is many  # already split finer than the cores: unchanged
     one = spark.range(0, 1000, numPartitions=1)
@@ -93,3 +88,12 @@ def test_hot_group_threshold_from_session(spark):
     finally:
         spark.conf.unset("vetline.sequence.hotGroupRows")
     assert got[("a", 29)] == 30 and got[("b", 1)] == 1
+
+
+def test_equal_rows_give_one_new_link(spark):
+    links = spark.createDataFrame([("n", "u"), ("n", "u"), ("n", "u"), ("m", "v"), ("x", None)], "name string, url string")
+    got = intake.dedup_against_seen(links, spark.createDataFrame([], "url string"))
+    assert sorted((r.outcome, r.is_new) for r in got.collect()) == [
+        ("deleted", False), ("deleted", False), ("moved", True), ("moved", True), ("skipped", False)]
+    first = intake.flag_first_per_key(links, "url", "name")
+    assert first.where("is_first").count() == 2

@@ -34,9 +34,11 @@ def repair_control_chars(raw) -> Column:
 
 def strict_parse(raw) -> Column:
     """Parse exactly one JSON value; trailing content makes it null.
-    Wrapping in ``[...]`` turns the parser's lenient tail into an error."""
+    Wrapping in ``[...]`` turns the parser's lenient tail into an error, or
+    into a second element (``{..},{..}``), which makes it null too."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), _c(raw), F.lit("]")))
-    return F.try_variant_get(wrapped, "$[0]", "variant")
+    values = F.try_variant_get(wrapped, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, 0))
 
 
 def parse_response(text) -> Column:

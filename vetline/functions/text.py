@@ -153,19 +153,21 @@ def extraction_stem(date_str, code, title, company, source) -> Column:
 
 def scored_stem(ref_nr, score, date_str, code, title, company, source, client) -> Column:
     """Stage-06 stem ``ref_score_date_city_title_company_source[__client]``."""
-    base = F.format_string("%04d_%03d_%s_%s_%s_%s_%s", _c(ref_nr).cast("int"),
+    base = F.format_string("%04d_%03d_%s_%s_%s_%s_%s", _c(ref_nr).cast("bigint"),
                            _c(score).cast("int"), _c(date_str), _c(code), sanitize(title),
                            sanitize(company), sanitize(source))
     cl = sanitize(F.coalesce(_c(client), F.lit("")))
-    return F.when(cl != "", F.concat(base, F.lit("__"), cl)).otherwise(base)
+    named = F.when(cl != "", F.concat(base, F.lit("__"), cl)).otherwise(base)
+    return F.when(_c(ref_nr).isNotNull(), named)  # a row without a ref has no stem
 
 
 def restem_score(stem, new_score) -> Column:
-    """Replace the score part of a stage-06 stem (P25)."""
+    """Replace the score part of a stage-06 stem (P25); refs of any length."""
+    parts = r"(?s)^([0-9]+)_[0-9]+_(.*)$"
     s = _c(stem)
-    return F.concat(F.substring(s, 1, 4),
-                    F.format_string("_%03d_", _c(new_score).cast("int")),
-                    F.substring(s, 10, 1 << 30))
+    return F.when(s.rlike(parts), F.concat(
+        F.regexp_extract(s, parts, 1), F.format_string("_%03d_", _c(new_score).cast("int")),
+        F.regexp_extract(s, parts, 2)))
 
 
 def url_from_markdown(md) -> Column:
@@ -194,7 +196,8 @@ def relative_published_date(text, today) -> Column:
     to ``today`` as ``yyyyMMdd``; default today (D1)."""
     t = F.lower(_c(text))
     m = F.regexp_extract(t, r"(\d+)\s+(hour|day|week|month)s?\s+ago", 0)
-    n = F.regexp_extract(m, r"(\d+)", 1).cast("int")
+    n = F.regexp_extract(m, r"(\d+)", 1).try_cast("int")
+    n = F.when(n <= 100_000, n)  # more than that is no age of a posting
     unit = F.regexp_extract(m, r"(hour|day|week|month)", 1)
     td = F.to_date(F.lit(today), "yyyyMMdd")
     d = (F.when(unit == "hour", F.date_sub(td, F.floor(n / 24).cast("int")))
@@ -202,4 +205,4 @@ def relative_published_date(text, today) -> Column:
          .when(unit == "week", F.date_sub(td, n * 7))
          .when(unit == "month", F.add_months(td, -n))
          .otherwise(td))
-    return F.date_format(d, "yyyyMMdd")
+    return F.date_format(F.coalesce(d, td), "yyyyMMdd")

@@ -173,9 +173,11 @@ def card_content(db: DataFrame, docs: DataFrame | None = None, key: str = "ref_n
 
 
 def save_comments(db: DataFrame, comments: DataFrame) -> DataFrame:
-    """Comment edits ``(ref_nr, text)``: stored trimmed."""
-    upd = comments.select("ref_nr", tx.trim_ws("text").alias("comment"))
-    return ldb.update_by_ref(db, upd, ["comment"])
+    """Comment edits ``(ref_nr, text[, ts])``: the last one of a ref is stored,
+    trimmed (K11, B3)."""
+    when = [c for c in ("ts",) if c in comments.columns]
+    upd = comments.select("ref_nr", tx.trim_ws("text").alias("comment"), *when)
+    return ldb.update_by_ref(db, upd, ["comment"], order_cols=when)
 
 
 def expire_old(db: DataFrame, published_col: str, today: str, today_dmy: str) -> DataFrame:
@@ -229,8 +231,8 @@ def board_sort(name: str) -> list:
     return {
         "score_desc": lambda: [F.col("fit_score").desc()],
         "score_asc": lambda: [F.col("fit_score").asc()],
-        "date_desc": lambda: [F.to_date("date_published", "dd/MM/yyyy").desc()],
-        "date_asc": lambda: [F.to_date("date_published", "dd/MM/yyyy").asc()],
+        "date_desc": lambda: [F.try_to_date("date_published", "dd/MM/yyyy").desc()],
+        "date_asc": lambda: [F.try_to_date("date_published", "dd/MM/yyyy").asc()],
         "company": lambda: [F.col("company_name").asc()],
     }[name]()
 

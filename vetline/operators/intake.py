@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vetline import fixed
 from vetline.functions import text as tx
@@ -63,32 +64,28 @@ def flag_first_per_key(df: DataFrame, key: str, order_col: str,
     The first value per key is a partial aggregate (map-side combine), then
     joined back on the key; a key holding a third of the rows is split by
     AQE's skew-join handling instead of landing in one window task.
-    ``order_col`` must be unique within a key."""
+    Rows that tie in ``order_col`` too are told apart by their other columns,
+    so exactly one row of a key is first."""
     firsts = (df.where(F.col(key).isNotNull()).groupBy(key)
                 .agg(F.min(order_col).alias("_first")))
     out = df.join(firsts, on=key, how="left")
-    return out.withColumn(flag, F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False))) \
-              .drop("_first")
+    only = F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False)) & (_tie(df, key, order_col) == 1)
+    return out.withColumn(flag, only).drop("_first")
 
 
-MAX_BROADCAST_BATCH_KEYS = 500_000  # ~40 MB of URL keys
+def _tie(df: DataFrame, key: str, order_col: str):
+    """Number of a row among those of equal key and order, by its other columns."""
+    others = [f.name for f in df.schema.fields if f.name not in (key, order_col)
+              and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.row_number().over(Window.partitionBy(key, order_col).orderBy(*(others or [order_col])))
 
 
 def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
-                       key: str = "url", order_col: str = "name",
-                       prefilter: bool = True) -> DataFrame:
+                       key: str = "url", order_col: str = "name") -> DataFrame:
     """Route each link: ``skipped`` (no key), ``deleted`` (seen before, or a later
     copy in this batch), ``moved`` (new).  In force mode duplicates are
     ``moved`` too.  Adds ``is_new`` = this row adds its key to the seen list
-    (J1, J2, W1, F1, F9)."""
-    # A small batch against a large cumulative seen list: the seen list is
-    # first cut map-side to the batch's keys (broadcast semi-join behind a
-    # size check), so it is scanned but not shuffled.
-    if prefilter and not links.isStreaming:
-        # distinct keys <= rows: an early-stopping row count bounds the list
-        if links.limit(MAX_BROADCAST_BATCH_KEYS + 1).count() <= MAX_BROADCAST_BATCH_KEYS:
-            keys = links.select(key).where(F.col(key).isNotNull()).distinct()
-            seen = seen.join(F.broadcast(keys), key, "left_semi")
+    (J1, J2, W1, F1, F9).  Of equal rows exactly one is new."""
     # Batch keys and seen keys are reduced by one keyed aggregation (first
     # copy + seen flag), then joined back once: one join instead of two.
     mine = links.where(F.col(key).isNotNull()).select(
@@ -97,16 +94,16 @@ def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
         key, F.lit(None).cast(mine.schema["_o"].dataType).alias("_o"), F.lit(True).alias("_s"))
     per_key = (mine.unionByName(known).groupBy(key)
                .agg(F.min("_o").alias("_first"), F.max("_s").alias("_seen")))
-    out = links.join(per_key, on=key, how="left")
+    out = links.join(per_key, on=key, how="left").withColumn("_tie", _tie(links, key, order_col))
     in_seen = F.coalesce(F.col("_seen"), F.lit(False))
-    first = F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False))
+    first = F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False)) & (F.col("_tie") == 1)
     dup = in_seen | ~first
     outcome = (F.when(F.col(key).isNull(), F.lit("skipped"))
                .when(dup & F.lit(not force), F.lit("deleted"))
                .otherwise(F.lit("moved")))
     return (out.withColumn("outcome", outcome)
                .withColumn("is_new", F.col(key).isNotNull() & ~dup)
-               .drop("_seen", "_first"))
+               .drop("_seen", "_first", "_tie"))
 
 
 def first_copy_counts(rows: DataFrame, seen: DataFrame, key: str, order_col: str,

@@ -131,20 +131,24 @@ def first_ref_by_url(db: DataFrame, order_col: str = "ref_nr") -> DataFrame:
 
 
 def update_by_ref(db: DataFrame, updates: DataFrame, columns: list[str],
-                  keep_if_empty: tuple = (), dedupe: bool = True) -> DataFrame:
+                  keep_if_empty: tuple = (), dedupe: bool = True,
+                  order_cols: list | None = None) -> DataFrame:
     """Named-column update by ref (K8, J7, Q22).  ``updates`` has ``ref_nr``
     plus the columns; unknown columns are ignored; a column listed in
     ``keep_if_empty`` keeps the old value when the new one is null/empty.
     Adds ``updated`` (found flag).  One left join per batch.  Refs are unique
     in the table by construction; ``dedupe`` reduces the updates to one per
-    ref first (pass False when the caller already guarantees that)."""
+    ref first (pass False when the caller already guarantees that): the last
+    by ``order_cols``, the largest values where no order is given or it ties."""
     cols = [c for c in columns if c in LISTING_TYPES]
-    u = updates.select(ref_key(updates, "ref_nr").alias("_ref"),
+    order = [F.col(c).alias(f"_order_{i}") for i, c in enumerate(order_cols or [])]
+    u = updates.select(ref_key(updates, "ref_nr").alias("_ref"), *order,
                        *[F.col(c).alias(f"_new_{c}") for c in cols])
     if dedupe:
         # one update per ref: a deterministic winner, never a multiplied row
         new = [f"_new_{c}" for c in cols]
-        u = (u.groupBy("_ref").agg(F.max(F.struct(*new)).alias("_u"))
+        u = (u.groupBy("_ref")
+              .agg(F.max(F.struct(*[f"_order_{i}" for i in range(len(order))], *new)).alias("_u"))
               .select("_ref", *[F.col(f"_u.{n}").alias(n) for n in new]))
     u = u.withColumn("_hit", F.lit(True))
     joined = db.join(u, ref_key(db, "ref_nr") == F.col("_ref"), "left")

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from vetline import fixed
 from vetline.functions import text as tx
-from vetline.operators.sequence import broadcast_if_small
 
 # FIXED VALUES: criteria points and names from the scoring criteria text.
 ROLE_TIERS = [
@@ -111,7 +110,6 @@ def location_items(df: DataFrame, city_col: str, dim: DataFrame | None = None) -
     """Add ``loc_deductions`` and ``loc_flags`` (R2): listed places 0, Berlin -30,
     Rio de Janeiro -15, other Brazil and anything else -> location disqualifier."""
     dim = dim if dim is not None else city_dimension(df.sparkSession)
-    dim, _ = broadcast_if_small(dim, 100_000)
     k = df.withColumn("_ck", city_key(city_col))
     j = k.join(dim.withColumnRenamed("city_key", "_ck"), "_ck", "left")
     brazil = F.col("_ck").contains(BRAZIL_MARK)

@@ -167,7 +167,7 @@ def scoring_report(ref_nr, r) -> Column:
                 .otherwise(F.lit(""))
 
     head = F.concat(
-        F.format_string("# Scoring Report — ref_nr %04d\n\n", _c(ref_nr).cast("int")),
+        F.format_string("# Scoring Report — ref_nr %04d\n\n", _c(ref_nr).cast("bigint")),
         F.lit("| Field | Value |\n|---|---|\n"),
         F.format_string("| Job Title | %s |\n", r["job_title"]),
         F.format_string("| Company | %s |\n", r["company_name"]),

@@ -74,13 +74,11 @@ def sequence_within(df: DataFrame, group_cols: list, order_cols: list,
                                                       str(HOT_GROUP_ROWS)))
     counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") > hot_group_rows).select(*group_cols)
-    n_hot = hot.limit(100_001).count()
+    n_hot = hot.limit(1).count()
     if n_hot == 0:
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         return df.withColumn(col, F.row_number().over(w).cast("long"))
-    if n_hot > 100_000:
-        raise ValueError("too many hot groups for the broadcast list")
-    hot_b = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot_b = hot.withColumn("_hot", F.lit(True))
     tagged = df.join(hot_b, on=list(group_cols), how="left")
     cold = tagged.where(F.col("_hot").isNull()).drop("_hot")
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
@@ -88,22 +86,12 @@ def sequence_within(df: DataFrame, group_cols: list, order_cols: list,
     g = global_sequence(tagged.where(F.col("_hot")).drop("_hot"),
                         list(group_cols) + list(order_cols), col="_gseq")
     starts = g.groupBy(*group_cols).agg(F.min("_gseq").alias("_gstart"))
-    warm = (g.join(F.broadcast(starts), on=list(group_cols))
+    warm = (g.join(starts, on=list(group_cols))
               .withColumn(col, (F.col("_gseq") - F.col("_gstart") + 1).cast("long"))
               .drop("_gseq", "_gstart"))
     return cold.unionByName(warm)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast hint only behind a checked row count; otherwise leave the
-    choice to the planner (AQE still converts to broadcast at runtime when the
-    materialised side turns out small)."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread CPU-heavy per-row work over the cluster's cores.
 

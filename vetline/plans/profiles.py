@@ -15,7 +15,7 @@ cluster's checkpoint folder, which also makes them recovery points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetline import fixed
@@ -26,12 +26,10 @@ from vetline.operators import listing_db as ldb
 from vetline.operators import pages as pg
 from vetline.operators import responses as rsp
 from vetline.operators import scoring as sc
-from vetline.operators.sequence import broadcast_if_small
 from vetline.session import checkpoint_dir
 from vetline.sources import files
 
 PROFILES = ("full", "email_only", "manual")
-MAX_BATCH_URLS = 500_000  # ~40 MB of URL keys
 
 
 def _dmy(today: str) -> str:
@@ -81,13 +79,10 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     kept = kw.where(F.col("matched_keyword").isNull()).drop("matched_keyword")
 
     # The batch's URLs filter the (large, growing) crawl and attempt tables
-    # map-side: a broadcast semi-join behind a size check, so page HTML and
-    # historical attempts are never shuffled for a batch.
     batch_urls = kept.select("url").where(F.col("url").isNotNull()).distinct()
-    batch_urls, _ = broadcast_if_small(batch_urls, MAX_BATCH_URLS)
 
     # ---- enrich (04): join crawled pages, one parse per page ---------------
-    pages = inputs["pages"].join(batch_urls, "url", "left_semi")
+    pages = latest_pages(inputs["pages"]).join(batch_urls, "url", "left_semi")
     parsed = pg.parse_pages(pages.withColumn("page_key", F.col("url")), key="page_key")
     if cut_lineage:
         checkpoint_dir(parsed.sparkSession)
@@ -175,6 +170,18 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     return out
 
 
+def latest_pages(pages: DataFrame) -> DataFrame:
+    """One page a URL: the last by ``crawled_at`` where given, ties (and pages
+    without it) by the larger HTML hash.  Only hashes are compared."""
+    when = F.col("crawled_at") if "crawled_at" in pages.columns else F.lit(0)
+    order = F.struct(when.alias("t"), F.xxhash64("html").alias("h"))
+    keyed = pages.withColumn("_order", order)
+    last = keyed.groupBy("url").agg(F.max("_order").alias("_last"))
+    one = keyed.join(last, "url").where(F.col("_order") == F.col("_last"))
+    n = F.row_number().over(Window.partitionBy("url").orderBy("_order"))
+    return one.withColumn("_n", n).where("_n = 1").drop("_order", "_last", "_n")
+
+
 def prompt_text(body, today_iso: str, criteria=None) -> "F.Column":
     """Prompt for an external scorer: instructions + date + document (+ criteria)."""
     parts = [F.lit(f"Today's date is {today_iso}.\n\n"), F.lit("Return ONLY a JSON object.\n\n---\n"), body]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.functions import text as tx
+from vetline.session import path_exists
 
 MESSAGE_SCHEMA = "path string, html string"
 
@@ -63,12 +64,10 @@ def message_html(messages: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, lower: bool = False) -> DataFrame:
     """Trimmed non-blank lines, ``#`` comments dropped, with their position
     (S3 links, S7 keywords).  A missing file gives an empty frame (pass all)."""
-    try:
-        raw = spark.read.text(path)
-        rows = raw.select(F.monotonically_increasing_id().alias("pos"),
-                          tx.trim_ws("value").alias("v"))
-    except Exception:  # missing file: warn-and-pass semantics
+    if not path_exists(spark, path):  # only a missing file passes all; other errors are raised
         return spark.createDataFrame([], "pos long, kw string")
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"),
+                                        tx.trim_ws("value").alias("v"))
     rows = rows.where((F.col("v") != "") & ~F.col("v").startswith("#"))
     v = F.lower("v") if lower else F.col("v")
     return rows.select("pos", v.alias("kw"))

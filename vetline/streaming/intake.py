@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.operators import intake
+from vetline.session import path_exists
 
 
 def _seen_before(spark: SparkSession, seen_path: str, key: str, batch_id: int) -> DataFrame:
     """Seen keys from batches strictly before ``batch_id`` (initial list = -1)."""
-    try:
-        s = spark.read.parquet(seen_path)
-    except Exception:  # nothing stored yet
+    if not path_exists(spark, seen_path):  # nothing stored yet; any other error fails the batch
         return spark.createDataFrame([], f"{key} string")
+    s = spark.read.parquet(seen_path)
     return s.where(F.col("batch_id") < batch_id).select(key)
 
 
@@ -33,8 +33,6 @@ def dedup_batch_writer(seen_path: str, out_path: str, key: str = "url",
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         seen = _seen_before(spark, seen_path, key, batch_id)
-        # the seen list grows without bound; dedup_against_seen cuts it to the
-        # micro-batch's keys with a size-checked broadcast semi-join
         routed = intake.dedup_against_seen(batch, seen, force=force, key=key, order_col=order_col)
         routed.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         added = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
