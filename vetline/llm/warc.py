@@ -84,10 +84,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
                   F.when(F.col("response"), "response").otherwise("revisit").alias("record_type"),
                   F.when(~F.col("response"), F.col("newest")).alias("refers_to"), F.encode(F.coalesce(header, F.lit("")), "UTF-8").alias("header"))
      .write.parquet(f"{path}/headers"))
-    stored = newest.select(F.col("key").alias("k"), F.col("newest").alias("i"), "copies")
-    (rows.select("page_id", "key", "digest", "payload")
-     .join(stored, (F.col("page_id").eqNullSafe(F.col("i"))) & (F.col("key") == F.col("k")))
-     .select("digest", "copies", "payload").write.parquet(f"{path}/payloads"))
+    pid = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("pid")
+    # dropDuplicates finds the rows dealt and sorted by the join: repeated rows are stored once
+    (rows.select("key", pid("page_id"), "digest", "payload").join(newest.select("key", pid("newest"), "copies"), ["key", "pid"])
+     .dropDuplicates(["key", "pid"]).select("digest", "copies", "payload").write.parquet(f"{path}/payloads"))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
