@@ -35,18 +35,20 @@ def test_keywords_first_in_list_order(spark):
     got = [r.matched_keyword for r in flt.keyword_route(df, "name", ["pwc", "praktikum", "student"]).collect()]
     assert got == [None, "pwc", "student", None]
     kw = spark.createDataFrame([(1, "pwc"), (2, "praktikum"), (3, "student")], "pos long, kw string")
-    got2 = [r.matched_keyword for r in flt.keyword_route(df, "name", kw).collect()]
-    assert got2 == got
+    got2 = {r.name: r.matched_keyword for r in flt.keyword_route(df, "name", kw).collect()}
+    assert got2 == dict(zip(names, got))
     forced = flt.keyword_route(df, "name", ["pwc"], force=True).where("matched_keyword is not null").count()
     assert forced == 0
 
 
-def test_keyword_theta_join_path(spark, monkeypatch):
-    monkeypatch.setattr(flt, "MAX_INLINE_KEYWORDS", 1)
-    df = spark.createDataFrame([(1, "a Student PWC"), (2, "none")], "id long, name string")
-    kw = spark.createDataFrame([(1, "pwc"), (2, "praktikum"), (3, "student")], "pos long, kw string")
-    got = {r.id: r.matched_keyword for r in flt.keyword_route(df, "name", kw, row_key="id").collect()}
-    assert got == {1: "pwc", 2: None}
+def test_keyword_table_of_any_size(spark):
+    df = spark.createDataFrame([(1, "a Student PWC"), (2, "none"), (3, None), (4, ""), (1, "a Student PWC"), (5, "x1y")],
+                               "id long, name string")
+    many = [(i + 10, f"long keyword {i}") for i in range(3000)]
+    kw = spark.createDataFrame([(1, "pwc"), (2, " Praktikum "), (3, "student"), (4, "1"), (5, "x1"), (6, " ")] + many,
+                               "pos long, kw string")
+    got = sorted((r.id, r.matched_keyword) for r in flt.keyword_route(df, "name", kw).collect())
+    assert got == [(1, "pwc"), (1, "pwc"), (2, None), (3, None), (4, None), (5, "1")]
 
 
 def test_collision_suffixes(spark):
@@ -65,29 +67,24 @@ def test_sequence_equals_row_number_with_hot_key(spark):
     rows = [("hot" if i % 3 else f"k{i % 11}", i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, o long")
     want = sorted(df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o"))).collect())
-    for hot in (500, 1_000_000):  # hot + ordinary groups together, and the plain window path
-        got = sequence_within(df, ["g"], ["o"], col="rn", hot_group_rows=hot)
-        assert sorted(got.select("g", "o", "rn").collect()) == want
+    got = sequence_within(df, ["g"], ["o"], col="rn")
+    assert sorted(got.select("g", "o", "rn").collect()) == want
     gs = global_sequence(df, ["o"], col="s")
     assert [r.s for r in gs.orderBy("o").collect()] == list(range(1, 3001))
 
 
-def test_spread(spark):
-    from vetline.operators.sequence import spread
-    many = spark.range(0, 1000, numPartitions=64)
-    assert spread(many) is many  # already split finer than the cores: unchanged
-    one = spark.range(0, 1000, numPartitions=1)
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
-def test_hot_group_threshold_from_session(spark):
-    df = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 1)], "g string, o long")
-    spark.conf.set("vetline.sequence.hotGroupRows", "10")
-    try:
-        got = {(r.g, r.o): r.rn for r in sequence_within(df, ["g"], ["o"]).collect()}
-    finally:
-        spark.conf.unset("vetline.sequence.hotGroupRows")
-    assert got[("a", 29)] == 30 and got[("b", 1)] == 1
+def test_suffixes_skip_numbers_that_are_gone(spark, monkeypatch):
+    monkeypatch.setattr(intake, "_SLOT_BLOCK_BITS", 2)  # several blocks on few rows
+    rows = [("X", i) for i in range(20)] + [("X (00)", 50), ("X (00)", 51), ("Y", 60), (None, 70), (None, 71), ("X (07", 80)]
+    stored = ["X", "X (01)", "X (02)", "X (09)", "X (013)", "X_05", "Y (00)", "Z"]
+    df = spark.createDataFrame(rows, "stem string, k int")
+    taken = spark.createDataFrame([(n,) for n in stored], "stem string")
+    got = {r.k: r.final_name for r in intake.collision_suffix(df, "stem", ["k"], "paren", taken).collect()}
+    numbers = [n for n in range(40) if n not in (0, 1, 2, 9)]
+    assert [got[k] for k in range(20)] == [f"X ({n:02d})" for n in numbers[:20]]
+    assert (got[50], got[51], got[60], got[70], got[71], got[80]) == ("X (00)", "X (00) (00)", "Y", None, None, "X (07")
+    names = [n for n in got.values() if n]
+    assert len(set(names)) == len(names) and not set(names) & set(stored)
 
 
 def test_equal_rows_give_one_new_link(spark):

@@ -54,6 +54,26 @@ def test_b13_board_fold(spark):
     assert bd.invalid_moves(ev).first().ref_nr == 4
 
 
+def test_comment_without_a_move(spark):
+    ev = spark.createDataFrame([
+        (1, "consider", _d(1), None, " a ", 1), (1, None, _d(2), None, " b ", 2), (2, None, _d(1), None, "c", 3)],
+        "ref_nr long, to_col string, ts timestamp, reason string, comment string, event_id long")
+    folded = bd.fold_events(ev, ["ts", "event_id"])
+    f = {r.ref_nr: (r.status, r.comment, r.n_events) for r in folded.collect()}
+    assert f == {1: ("in_consideration", "b", 1), 2: (None, "c", 0)}
+    db = ldb.upgrade_schema(spark.createDataFrame([(1, "new"), (2, "applied")], "ref_nr long, status string"))
+    got = {r.ref_nr: (r.status, r.comment) for r in bd.sync(db, folded).collect()}
+    assert got == {1: ("in_consideration", "b"), 2: ("applied", "c")}
+
+
+def test_expiry_of_stored_dates(spark):
+    db = spark.createDataFrame([(1, "31/12/2025", "new"), (2, "01/01/2026", "new"), (3, "30/02/2025", "new"),
+                                (4, None, "new")], "ref_nr long, date_published string, status string") \
+        .withColumn("date_rejected", F.lit(None).cast("string")).withColumn("reject_reason", F.lit(None).cast("string"))
+    out = bd.expire_old(db, "date_published", "20260131", "31/01/2026")
+    assert {r.ref_nr: r.status for r in out.collect()} == {1: "rejected", 2: "new", 3: "new", 4: "new"}
+
+
 def test_b14_expiry(spark):
     db = spark.createDataFrame([
         (1, "20260101", "new"), (2, "20251231", "in_process"), (3, "20251231", "applied"),

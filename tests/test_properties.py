@@ -90,12 +90,7 @@ def test_keyword_paths_agree(spark, names):
     py = {i: next((k for k in kws if k in n.lower()), None) for i, n in enumerate(names)}
     assert inline == py
     kwdf = spark.createDataFrame(list(enumerate(kws)), "pos long, kw string")
-    old = flt.MAX_INLINE_KEYWORDS
-    flt.MAX_INLINE_KEYWORDS = 1
-    try:
-        joined = {r.id: r.matched_keyword for r in flt.keyword_route(df, "name", kwdf, row_key="id").collect()}
-    finally:
-        flt.MAX_INLINE_KEYWORDS = old
+    joined = {r.id: r.matched_keyword for r in flt.keyword_route(df, "name", kwdf).collect()}
     assert joined == py
 
 

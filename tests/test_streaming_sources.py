@@ -22,10 +22,11 @@ def test_board_stream_equals_batch(spark, tmp_dir):
         F.lit("").alias("reason"))
     ev.write.parquet(os.path.join(tmp_dir, "ev"))
     stream = spark.readStream.schema(ev.schema).parquet(os.path.join(tmp_dir, "ev"))
-    q = sboard.start_board_stream(stream, os.path.join(tmp_dir, "ck"), "board_state_t")
+    q = sboard.start_board_stream(stream, os.path.join(tmp_dir, "ck"), os.path.join(tmp_dir, "state"))
     q.processAllAvailable()
     q.stop()
-    got = sorted(tuple(r) for r in spark.sql("SELECT ref_nr, status, date_considered, n_events FROM board_state_t").collect())
+    got = sorted(tuple(r) for r in sboard.read_board_state(spark, os.path.join(tmp_dir, "state"))
+                 .select("ref_nr", "status", "date_considered", "n_events").collect())
     want = sorted(tuple(r) for r in bd.fold_events(ev, ["ts", "event_id"])
                   .select("ref_nr", "status", "date_considered", "n_events").collect())
     assert got == want

@@ -1,15 +1,12 @@
-"""Column functions for names, stems and city codes, all JVM-side (the
-accent fold calls the ICU normaliser shipped with Spark through ``reflect``;
-``strip_accents_py`` is the Python statement of the same rule, for tests)."""
+"""Column functions for names, stems and city codes, from built-in functions only."""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vetline import fixed
 
@@ -31,23 +28,51 @@ def default_if_blank(c, default) -> Column:
     return F.coalesce(F.nullif(_c(c), F.lit("")), d)
 
 
+@cache
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """The accent fold (NFD, combining marks of category Mn dropped) as
+    arguments of ``translate``: letters that fold to one character, then marks,
+    which have no counterpart and go.  The few characters that fold to several
+    come apart, Hangul syllables excepted."""
+    one, marks, several = [], [], {}
+    for code in range(0x80, 0x110000):
+        ch = chr(code)
+        if unicodedata.category(ch) == "Mn":
+            marks.append(ch)
+        elif not 0xD800 <= code <= 0xDFFF and not 0xAC00 <= code <= 0xD7A3:
+            kept = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
+            if kept != ch and len(kept) == 1:
+                one.append((ch, kept))
+            elif kept != ch:
+                several[ch] = kept
+    return "".join(x for x, _ in one) + "".join(marks), "".join(y for _, y in one), several
+
+
+def _hangul_letters(c: Column) -> Column:
+    """Hangul syllables as their letters, by the arithmetic of the standard."""
+    lead, vowel, tail = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def one(ch):
+        k = F.ascii(ch) - 0xAC00
+        letters = F.concat(F.substr(F.lit(lead), F.floor(k / 588).cast("int") + 1, F.lit(1)),
+                           F.substr(F.lit(vowel), F.floor(k % 588 / 28).cast("int") + 1, F.lit(1)),
+                           F.when(k % 28 > 0, F.substr(F.lit(tail), (k % 28).cast("int"), F.lit(1))).otherwise(""))
+        return F.when(ch.between("\uac00", "\ud7a3"), letters).otherwise(ch)
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
 def strip_accents(c) -> Column:
-    """NFD, then drop combining marks (category Mn), JVM-side: the ICU
-    normaliser shipped with Spark is called through the built-in ``reflect``
-    and ``\\p{Mn}`` is removed with a regex (same result as Python's
+    """NFD, then drop combining marks (category Mn), from built-in functions
+    only, so filters and pruning pass through (same result as Python's
     ``unicodedata`` fold; checked in tests)."""
     c = _c(c)
-    nfd = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(False))
-    return F.when(c.isNotNull(), F.regexp_replace(nfd, r"\p{Mn}", ""))
-
-
-@F.pandas_udf(T.StringType())
-def strip_accents_py(s: pd.Series) -> pd.Series:
-    """Reference form of ``strip_accents`` (Arrow-batched), used by tests."""
-    def fold(v):
-        return "".join(ch for ch in unicodedata.normalize("NFD", v)
-                       if unicodedata.category(ch) != "Mn")
-    return s.map(fold, na_action="ignore")
+    old, new, several = _fold_tables()
+    apart = c
+    for ch, kept in several.items():
+        apart = F.replace(apart, F.lit(ch), F.lit(kept))
+    c = F.when(c.rlike("[" + "".join(several) + "]"), apart).otherwise(c) if several else c
+    c = F.when(c.rlike("[\uac00-\ud7a3]"), _hangul_letters(c)).otherwise(c)
+    return F.translate(c, old, new)
 
 
 def safe_name(c) -> Column:

@@ -55,46 +55,36 @@ def packed_order(ts_col: str, id_col: str) -> Column:
         f"+ (CAST(`{id_col}` AS DECIMAL(38,0)) + CAST('9223372036854775808' AS DECIMAL(38,0)))")
 
 
-def fold_events(events: DataFrame, order_cols: list, date_fmt: str = "dd/MM/yyyy",
-                single_pass: bool = False) -> DataFrame:
+def fold_events(events: DataFrame, order_cols: list, date_fmt: str = "dd/MM/yyyy") -> DataFrame:
     """Per ref: status of the last move; each stage date = the latest move to
     that column; reject reason = latest non-empty reason given with a reject;
-    comment = latest comment (B2, B3, A7, Q12).  Unknown targets are ignored.
-
-    With ``order_cols = [timestamp, id]`` the order is packed into one
-    decimal and the target into an int code, so the main fold is a hash
-    aggregate; the string-valued folds (reason, comment) run only over the
-    events that carry one.  ``single_pass`` keeps every fold in one
-    aggregation (needed by streaming, which cannot join two aggregates)."""
-    ev = valid_moves(events)
+    comment = latest comment, with a move or without (B2, B3, A7, Q12).
+
+    Moves to unknown columns are ignored; ``n_events`` counts the valid moves.
+    A ref with comments only has a null status and no dates.  One scan and one
+    aggregation, so the stream form is the same.  With ``order_cols =
+    [timestamp, integer id]`` the order is packed into one decimal."""
+    comment = F.col("comment") if "comment" in events.columns else F.lit(None).cast("string")
+    moved = F.coalesce(F.col("to_col").isin(*fixed.BOARD_COLUMNS), F.lit(False))
+    ev = events.where(moved | comment.isNotNull())
     packed = len(order_cols) == 2 and dict(ev.dtypes).get(order_cols[1]) in ("bigint", "int")
     order = packed_order(*order_cols) if packed else F.struct(*[_c(c) for c in order_cols])
-    ev = ev.withColumn("_ord", order)
-    code = F.array_position(F.array(*[F.lit(c) for c in fixed.BOARD_COLUMNS]), F.col("to_col")).cast("int")
-    aggs = [F.max_by(code, F.col("_ord")).alias("_last"), F.count(F.lit(1)).alias("n_events")]
-    for col, date_col in fixed.DATE_COLUMN_FOR.items():
-        aggs.append(F.max(F.when(F.col("to_col") == col, F.col("ts"))).alias(date_col))
-    has_reason = (F.col("to_col") == "rejects") & (tx.trim_ws(F.coalesce("reason", F.lit(""))) != "")
-    has_comment = F.col("comment").isNotNull() if "comment" in events.columns else None
-    if single_pass:
-        aggs.append(F.max_by(F.when(has_reason, tx.trim_ws("reason")), F.when(has_reason, F.col("_ord")))
-                    .alias("reject_reason"))
-        if has_comment is not None:
-            aggs.append(F.max_by(F.when(has_comment, tx.trim_ws("comment")),
-                                 F.when(has_comment, F.col("_ord"))).alias("comment"))
-        g = ev.groupBy("ref_nr").agg(*aggs)
-    else:
-        g = ev.groupBy("ref_nr").agg(*aggs)
-        reasons = (ev.where(has_reason).groupBy("ref_nr")
-                     .agg(F.max_by(tx.trim_ws("reason"), F.col("_ord")).alias("reject_reason")))
-        g = g.join(reasons, "ref_nr", "left")
-        if has_comment is not None:
-            comments = (ev.where(has_comment).groupBy("ref_nr")
-                          .agg(F.max_by(tx.trim_ws("comment"), F.col("_ord")).alias("comment")))
-            g = g.join(comments, "ref_nr", "left")
-    last = F.element_at(F.array(*[F.lit(c) for c in fixed.BOARD_COLUMNS]), F.col("_last"))
+    columns = F.array(*[F.lit(c) for c in fixed.BOARD_COLUMNS])
+    ev = ev.withColumn("_ord", order).withColumn("_move", F.when(moved, F.array_position(columns, F.col("to_col")).cast("int")))
+    valid = F.col("_move").isNotNull()
+    reason = tx.trim_ws(F.coalesce("reason", F.lit("")))
+    has_reason = valid & (F.col("to_col") == "rejects") & (reason != "")
+    aggs = [F.max_by(F.col("_move"), F.when(valid, F.col("_ord"))).alias("_last"),
+            F.count("_move").alias("n_events"),
+            *[F.max(F.when(F.col("to_col") == col, F.col("ts"))).alias(date_col)
+              for col, date_col in fixed.DATE_COLUMN_FOR.items()],
+            F.max_by(reason, F.when(has_reason, F.col("_ord"))).alias("reject_reason")]
+    if "comment" in events.columns:
+        aggs.append(F.max_by(tx.trim_ws(comment), F.when(comment.isNotNull(), F.col("_ord"))).alias("comment"))
+    g = ev.groupBy("ref_nr").agg(*aggs)
     dates = [F.date_format(d, date_fmt).alias(d) for d in fixed.DATE_COLUMN_FOR.values()]
     rest = [c for c in g.columns if c not in ("_last", *fixed.DATE_COLUMN_FOR.values())]
+    last = F.when(F.col("_last").isNotNull(), F.element_at(columns, F.col("_last")))
     return g.select(*rest, *dates, status_for(last).alias("status"))
 
 
@@ -123,15 +113,15 @@ def sync(db: DataFrame, folded: DataFrame, restamp_today: str | None = None) ->
     if restamp_today is not None:
         for date_col in fixed.DATE_COLUMN_FOR.values():
             upd = upd.withColumn(date_col, F.when(F.col(date_col).isNotNull(), F.lit(restamp_today)))
-    keep = tuple(c for c in cols if c != "status")
-    return ldb.update_by_ref(db, upd, cols, keep_if_empty=keep, dedupe=False)
+    return ldb.update_by_ref(db, upd, cols, keep_if_empty=tuple(cols), dedupe=False)
 
 
 def sync_counts(db: DataFrame, folded: DataFrame) -> DataFrame:
-    """One row: board refs found in the table (updated) and not found."""
+    """One row: board refs found in the table (updated) and not found.
+    Refs that were only commented on are not on the board."""
     refs = db.select(ldb.ref_key(db, "ref_nr").alias("_ref")).distinct() \
              .withColumn("_in_db", F.lit(True))
-    j = folded.select(ldb.ref_key(folded, "ref_nr").alias("_ref")).distinct() \
+    j = folded.where(F.col("status").isNotNull()).select(ldb.ref_key(folded, "ref_nr").alias("_ref")).distinct() \
               .join(refs, "_ref", "left")
     return j.agg(F.count_if(F.col("_in_db").isNotNull()).alias("updated"),
                  F.count_if(F.col("_in_db").isNull()).alias("not_found"))
@@ -181,11 +171,13 @@ def save_comments(db: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def expire_old(db: DataFrame, published_col: str, today: str, today_dmy: str) -> DataFrame:
-    """Active rows whose ``yyyyMMdd`` date is a valid date strictly before
-    today - 30 days -> rejected, reason Expired (F13, B5, Q16, Q17)."""
+    """Active rows whose date, ``yyyyMMdd`` or as the table stores it
+    (``dd/MM/yyyy``), is a valid date strictly before today - 30 days ->
+    rejected, reason Expired (F13, B5, Q16, Q17)."""
     td = F.to_date(F.lit(today), "yyyyMMdd")
     pub = _c(published_col)
-    d = F.when(F.length(pub) == 8, F.try_to_date(pub, "yyyyMMdd"))
+    d = (F.when(pub.rlike("^[0-9]{8}$"), F.try_to_date(pub, "yyyyMMdd"))
+          .when(pub.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.try_to_date(pub, "dd/MM/yyyy")))
     hit = active("status") & F.coalesce(d < F.date_sub(td, fixed.EXPIRY_DAYS), F.lit(False))
     e = F.col("expired")
     return (db.withColumn("expired", hit)

@@ -10,12 +10,8 @@ from vetline import fixed
 from vetline.functions import json_fields as jf
 from vetline.functions.text import trim_ws
 
-# Keyword lists above this size are not inlined into the plan; they are
-# matched with a broadcast theta join instead (see ``keyword_route``).
-MAX_INLINE_KEYWORDS = 5000
-# Upper bound for broadcasting a keyword table.  Keywords are configuration;
-# a list beyond this is rejected instead of being broadcast unchecked.
-MAX_BROADCAST_KEYWORDS = 200_000
+# Leading characters of a keyword that a keyword table is joined on.
+KEYWORD_GRAM = 3
 
 
 def _c(c) -> Column:
@@ -31,32 +27,42 @@ def first_keyword(name, keywords: list[str]) -> Column:
     return F.get(F.filter(kws, lambda k: low.contains(k)), 0)
 
 
-def keyword_route(df: DataFrame, name_col: str, keywords, row_key: str | None = None,
-                  force: bool = False, out_col: str = "matched_keyword") -> DataFrame:
+def keyword_route(df: DataFrame, name_col: str, keywords, force: bool = False,
+                  out_col: str = "matched_keyword") -> DataFrame:
     """Add the reported keyword; ``force`` bypasses the filter.
 
-    ``keywords`` is a Python list, or a DataFrame ``(pos, kw)`` (from
-    ``sources.files.read_keywords``).  A DataFrame list is counted first; up to
-    MAX_INLINE_KEYWORDS it is inlined, up to MAX_BROADCAST_KEYWORDS a
-    broadcast nested-loop join on ``contains`` emits only matching pairs,
-    reduced with ``min_by`` per ``row_key`` (J5); a larger list is refused."""
+    ``keywords`` is a Python list, inlined in the plan, or a DataFrame
+    ``(pos, kw)`` (from ``sources.files.read_keywords``), matched in Spark
+    whatever its size (J5, ``table_keywords``).  A null name has no keyword."""
     if force:
         return df.withColumn(out_col, F.lit(None).cast("string"))
     if isinstance(keywords, list):
         return df.withColumn(out_col, first_keyword(name_col, keywords))
-    # one bounded read decides: a short list is inlined, a long one joined
-    head = keywords.orderBy("pos").select("kw").limit(MAX_INLINE_KEYWORDS + 1).collect()
-    if len(head) <= MAX_INLINE_KEYWORDS:
-        return df.withColumn(out_col, first_keyword(name_col, [r["kw"] for r in head]))
-    if keywords.limit(MAX_BROADCAST_KEYWORDS + 1).count() > MAX_BROADCAST_KEYWORDS:
-        raise ValueError(f"keyword list larger than {MAX_BROADCAST_KEYWORDS} entries")
-    if row_key is None:
-        raise ValueError("row_key is required for large keyword tables")
-    kw = keywords.select("pos", F.lower("kw").alias("_kw"))
-    hits = (df.select(row_key, F.lower(name_col).alias("_low"))
-              .join(F.broadcast(kw), F.col("_low").contains(F.col("_kw")))
-              .groupBy(row_key).agg(F.min_by("_kw", "pos").alias(out_col)))
-    return df.join(hits, on=row_key, how="left")
+    hits = table_keywords(df.select(F.lower(name_col).alias("_low")), "_low", keywords, out_col)
+    out = df.drop(out_col)
+    return (out.join(hits, F.lower(out[name_col]) == F.col("_low"), "left")
+               .select(*[out[c] for c in out.columns], out_col))
+
+
+def table_keywords(names: DataFrame, low_col: str, keywords: DataFrame, out_col: str) -> DataFrame:
+    """Each distinct lower-cased name that holds a keyword, with the first one
+    in list order.
+
+    An equi-join finds the candidates: a keyword is found at its first
+    ``KEYWORD_GRAM`` characters (a shorter one at all of them), a name at its
+    distinct grams of those lengths.  Neither side is broadcast by force or
+    collected, and the join emits only pairs that share a gram."""
+    kw = (keywords.select("pos", F.lower(trim_ws("kw")).alias("_kw")).where(F.col("_kw") != "")
+                  .groupBy("_kw").agg(F.min("pos").alias("pos"))
+                  .withColumn("_gram", F.substring("_kw", 1, KEYWORD_GRAM)))
+    low = F.col(low_col)
+    grams = F.flatten(F.transform(
+        F.filter(F.array(*[F.lit(n) for n in range(1, KEYWORD_GRAM + 1)]), lambda n: n <= F.length(low)),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, n))))
+    cand = (names.where(F.length(low) > 0).distinct()
+                 .select(low, F.explode(F.array_distinct(grams)).alias("_gram")))
+    return (cand.join(kw, "_gram").where(low.contains(F.col("_kw")))
+                .groupBy(low).agg(F.min_by("_kw", "pos").alias(out_col)))
 
 
 def is_closed(body) -> Column:

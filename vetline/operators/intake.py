@@ -135,26 +135,63 @@ def outcome_counts(routed: DataFrame, outcome_col: str = "outcome") -> DataFrame
     return routed.groupBy(outcome_col).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Rows a task numbers at a time when free numbers are looked up.
+_SLOT_BLOCK_BITS = 18
+
+
 def collision_suffix(df: DataFrame, stem_col: str, order_cols: list,
                      style: str = "paren", taken: DataFrame | None = None,
                      out_col: str = "final_name") -> DataFrame:
     """Collision-free names (W3 ``' (00)'`` style, W4 ``'_01'`` style).
 
     The first row of a stem keeps the plain name unless the stem is already
-    ``taken`` (stored earlier); later rows get the next free number in
-    ``order_cols`` order.  Numbering is skew-safe (see ``sequence_within``)."""
+    ``taken`` (stored earlier); later rows get, in ``order_cols`` order, the
+    next number whose name is neither stored nor a plain name of this batch.
+    So all names differ from each other and from the stored ones.  A null stem
+    stays null.  Numbering and the look-up of free numbers are skew-safe."""
+    first, template, suffix = ((0, " (%02d)", r" \(([0-9]{2}|[1-9][0-9]{2,})\)$") if style == "paren"
+                               else (1, "_%02d", r"_([0-9]{2}|[1-9][0-9]{2,})$"))
     rn = sequence_within(df, [stem_col], order_cols, col="_rn")
-    if taken is not None:
-        t = taken.select(F.col(stem_col)).distinct().withColumn("_taken", F.lit(1))
-        rn = rn.join(t, on=stem_col, how="left")
-        k = F.col("_rn") + F.coalesce(F.col("_taken"), F.lit(0))
-    else:
-        k = F.col("_rn")
-    if style == "paren":
-        name = F.when(k == 1, F.col(stem_col)).otherwise(
-            F.concat(F.col(stem_col), F.format_string(" (%02d)", (k - 2).cast("int"))))
-    else:
-        name = F.when(k == 1, F.col(stem_col)).otherwise(
-            F.concat(F.col(stem_col), F.format_string("_%02d", (k - 1).cast("int"))))
-    out = rn.withColumn(out_col, name).drop("_rn")
-    return out.drop("_taken") if taken is not None else out
+    stems = rn.where(F.col("_rn") == 1).select(F.col(stem_col).alias("_s"))
+    stored = taken.select(F.col(stem_col).alias("_s")).distinct() if taken is not None else stems.where("false")
+    # numbers that are gone: of each stem of the batch, those in stored and plain names
+    number = F.regexp_extract("_s", suffix, 1)
+    gone = (stored.union(stems).where(F.length(number) > 0)
+            .select(F.regexp_replace("_s", suffix, "").alias("_s"), number.try_cast("bigint").alias("_b"))
+            .where(F.col("_b") >= first).distinct().join(stems, "_s", "left_semi"))
+    known = stored.withColumn("_taken", F.lit(1))
+    rows = rn.join(known, rn[stem_col] == known["_s"], "left").drop("_s")
+    # place among the rows of the stem that need a number, from 0; the first of a free stem has -1
+    rows = rows.withColumn("_j", F.col("_rn") - 2 + F.coalesce("_taken", F.lit(0))).drop("_rn", "_taken")
+    rows = _add_gaps(rows, stem_col, gone, first)
+    name = F.concat(F.col(stem_col), F.format_string(template, F.col("_j") + F.col("_gap") + first))
+    return (rows.withColumn(out_col, F.when(F.col("_j") < 0, F.col(stem_col)).otherwise(name))
+                .drop("_j", "_gap"))
+
+
+def _add_gaps(rows: DataFrame, stem_col: str, gone: DataFrame, first: int) -> DataFrame:
+    """``_gap``: how many gone numbers (``_s``, ``_b``) lie before the ``_j``-th
+    free number of the row's stem.
+
+    The i-th gone number b has b - i free numbers before it, so it comes before
+    the j-th free one where b - i <= j.  The count is carried along ``_j`` by a
+    window over blocks of bounded size, and from block to block by a window
+    over one row per block."""
+    block = lambda c: F.shiftright(c, _SLOT_BLOCK_BITS)
+    numbered = sequence_within(gone, ["_s"], ["_b"], col="_i")
+    steps = (numbered.groupBy("_s", (F.col("_b") - first - F.col("_i") + 1).alias("_c"))
+             .agg(F.max("_i").alias("_n")).withColumn("_blk", block(F.col("_c"))))
+    rows = rows.withColumn("_blk", block(F.col("_j")))
+    blocks = (steps.select("_s", "_blk", "_n")
+              .union(rows.select(stem_col, "_blk", F.lit(0).cast("long")).distinct())
+              .groupBy("_s", "_blk").agg(F.max("_n").alias("_n")))
+    before = Window.partitionBy("_s").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_s", F.col("_blk").alias("_k"), F.coalesce(F.max("_n").over(before), F.lit(0)).alias("_carry"))
+    marks = steps.select(F.col("_s").alias(stem_col), F.col("_c").alias("_j"), "_blk", "_n")
+    both = rows.withColumn("_row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    within = Window.partitionBy(stem_col, "_blk").orderBy("_j", F.col("_row").asc_nulls_first()) \
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_in", F.max("_n").over(within)).where("_row")
+    out = seen.join(blocks, seen[stem_col].eqNullSafe(blocks["_s"]) & (seen["_blk"] == blocks["_k"]), "left")
+    return (out.withColumn("_gap", F.greatest(F.coalesce("_in", F.lit(0)), F.coalesce("_carry", F.lit(0))))
+               .drop("_s", "_k", "_carry", "_in", "_n", "_blk", "_row"))

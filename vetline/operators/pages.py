@@ -411,8 +411,7 @@ def parse_pages(pages: DataFrame, key: str = "page_id", html_col: str = "html")
                 out.insert(0, c, pdf[c].values)
             yield out
 
-    from vetline.operators.sequence import spread
-    return spread(pages.select(*keep, html_col)).mapInPandas(run, schema)
+    return pages.select(*keep, html_col).mapInPandas(run, schema)
 
 
 def listing_fields(parsed: DataFrame, stem_col: str | None = None) -> DataFrame:
@@ -463,24 +462,24 @@ def strip_sections(md, headings=fixed.STRIP_HEADINGS) -> Column:
     a listed heading inside a skip restarts it at its own level (X11, Q20)."""
     c = md if isinstance(md, Column) else F.col(md)
     black = F.array(*[F.lit(h) for h in headings])
-    lines = F.split(c, r"\r\n|\n|\r")
-    init = F.struct(F.lit(False).alias("skip"), F.lit(0).alias("lvl"),
-                    F.array().cast("array<string>").alias("out"))
+    # a section starts at a line that looks like a heading; the fold goes over sections, not lines
+    sections = F.split(F.regexp_replace(c, r"\r\n|\r", "\n"), r"\n(?=#{1,6}\s)")
+    init = F.struct(F.lit(False).alias("skip"), F.lit(0).alias("lvl"), F.array().cast("array<boolean>").alias("keep"))
 
-    def step(acc, line):
+    def step(acc, section):
+        line = F.substring_index(section, "\n", 1)
         lvl = F.length(F.regexp_extract(line, r"^(#{1,6})\s+", 1))
         head = lvl > 0
         txt = F.lower(tx.trim_ws(F.regexp_extract(line, r"^#{1,6}\s+(.*)", 1)))
         starts = head & F.array_contains(black, txt)
         ends = head & acc["skip"] & (lvl <= acc["lvl"])
         skip = F.when(starts, F.lit(True)).when(ends, F.lit(False)).otherwise(acc["skip"])
-        keep = ~starts & ~skip
-        return F.struct(skip.alias("skip"),
-                        F.when(starts, lvl).otherwise(acc["lvl"]).alias("lvl"),
-                        F.when(keep, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"))
+        return F.struct(skip.alias("skip"), F.when(starts, lvl).otherwise(acc["lvl"]).alias("lvl"),
+                        F.array_append(acc["keep"], ~skip).alias("keep"))
 
-    folded = F.aggregate(lines, init, step)
-    return tx.trim_ws(F.array_join(folded["out"], "\n"))
+    flags = F.aggregate(sections, init, step)["keep"]
+    kept = F.filter(F.arrays_zip(sections.alias("s"), flags.alias("k")), lambda x: x["k"])
+    return tx.trim_ws(F.array_join(F.transform(kept, lambda x: x["s"]), "\n"))
 
 
 def clean_markdown(md) -> Column:

@@ -21,20 +21,19 @@ def assemble_chunks(chunks: DataFrame, key: str = "resp_id", seq: str = "seq",
     """Concatenate ``message.content`` in ``seq`` order up to and including
     the first ``done`` chunk; unparsable lines add nothing (A11).
 
-    One aggregation: the chunks of a response are collected, sorted and cut
-    with array functions.  A response is bounded by the model's output limit,
-    so the collected array is bounded too."""
+    Chunks after the first ``done`` are dropped by a keyed aggregate and join
+    before the rest, one response, is put together."""
     parsed = chunks.select(
         key, F.col(seq).alias("_seq"),
         F.from_json(F.col(line), CHUNK_SCHEMA).alias("_c"))
-    items = F.struct(F.col("_seq").alias("seq"),
-                     F.coalesce(F.col("_c.message.content"), F.lit("")).alias("content"),
-                     F.coalesce(F.col("_c.done"), F.lit(False)).alias("done"))
-    g = parsed.groupBy(key).agg(F.array_sort(F.collect_list(items)).alias("_a"))
-    cut = F.array_position(F.transform("_a", lambda x: x["done"]), True)
-    used = F.when(cut > 0, F.slice("_a", F.lit(1), cut)).otherwise(F.col("_a"))
-    return g.select(key, F.size(used).cast("long").alias("n_chunks"),
-                    F.array_join(F.transform(used, lambda x: x["content"]), "").alias("content"))
+    ends = (parsed.where(F.col("_c.done")).groupBy(F.col(key).alias("_k"))
+                  .agg(F.min("_seq").alias("_end")))
+    used = (parsed.join(ends, F.col(key) == F.col("_k"), "left")
+                  .where(F.col("_end").isNull() | (F.col("_seq") <= F.col("_end"))))
+    items = F.struct(F.col("_seq").alias("seq"), F.coalesce(F.col("_c.message.content"), F.lit("")).alias("content"))
+    g = used.groupBy(key).agg(F.array_sort(F.collect_list(items)).alias("_a"))
+    return g.select(key, F.size("_a").cast("long").alias("n_chunks"),
+                    F.array_join(F.transform("_a", lambda x: x["content"]), "").alias("content"))
 
 
 def pick_attempt(attempts: DataFrame, key: str, order_cols: list, text_col: str = "text",

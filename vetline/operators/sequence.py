@@ -11,13 +11,14 @@
 4. count rows per partition (one row per partition: a bounded table),
    turn the counts into running offsets and broadcast them.
 
-``sequence_within`` numbers rows inside groups: ordinary groups with a plain
-window, hot groups (found by a partial count) from the global sequence minus
-the group start, so no task sorts a whole hot group.
+``sequence_within`` numbers rows inside groups: the global sequence over (group,
+order) minus the group start, so no task sorts a whole hot group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,59 +55,20 @@ def global_sequence(df: DataFrame, order_cols: list, col: str = "seq",
     return out.drop("_mid", "_pid", "_local", "_off")
 
 
-HOT_GROUP_ROWS = 2_000_000
-
-
-def sequence_within(df: DataFrame, group_cols: list, order_cols: list,
-                    col: str = "rn", hot_group_rows: int | None = None) -> DataFrame:
+def sequence_within(df: DataFrame, group_cols: list, order_cols: list, col: str = "rn") -> DataFrame:
     """Add ``col`` = 1-based position inside each group (``row_number`` semantics)
     without putting a whole large group into one task.
 
-    A partial count per group finds the hot groups (more than
-    ``hot_group_rows`` rows, default from ``vetline.sequence.hotGroupRows``;
-    there are at most rows / hot_group_rows of them,
-    so the list is broadcast after a check).  Ordinary groups are numbered by
-    a plain window partitioned by the group (one shuffle, each group bounded);
-    hot groups take the range-partitioned global sequence, minus the group
-    start."""
-    if hot_group_rows is None:
-        hot_group_rows = int(df.sparkSession.conf.get("vetline.sequence.hotGroupRows",
-                                                      str(HOT_GROUP_ROWS)))
-    counts = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > hot_group_rows).select(*group_cols)
-    n_hot = hot.limit(1).count()
-    if n_hot == 0:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(col, F.row_number().over(w).cast("long"))
-    hot_b = hot.withColumn("_hot", F.lit(True))
-    tagged = df.join(hot_b, on=list(group_cols), how="left")
-    cold = tagged.where(F.col("_hot").isNull()).drop("_hot")
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    cold = cold.withColumn(col, F.row_number().over(w).cast("long"))
-    g = global_sequence(tagged.where(F.col("_hot")).drop("_hot"),
-                        list(group_cols) + list(order_cols), col="_gseq")
-    starts = g.groupBy(*group_cols).agg(F.min("_gseq").alias("_gstart"))
-    warm = (g.join(starts, on=list(group_cols))
-              .withColumn(col, (F.col("_gseq") - F.col("_gstart") + 1).cast("long"))
-              .drop("_gseq", "_gstart"))
-    return cold.unionByName(warm)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster's cores.
-
-    A scan of a few large row groups yields fewer partitions than there are
-    cores, and per-row work (HTML parsing, VARIANT parsing, section
-    stripping) would then run on a handful of tasks.  Only in that case the
-    rows are redistributed round-robin; a large input that already has at
-    least that many splits is returned unchanged (no extra shuffle)."""
-    if df.isStreaming:  # micro-batches are sized by the source's trigger options
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (remote session): leave the plan as it is
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df
+    Rows are numbered by the global sequence over (group, order), and the
+    smallest number of a group, a partial aggregate, is subtracted.  The same
+    way holds for groups of any size: a group holding a third of the rows is
+    spread over range partitions by its order columns, and its start reaches
+    its rows through a join that AQE splits where it is skewed.  Null group
+    values form a group, as in a window."""
+    g = global_sequence(df, list(group_cols) + list(order_cols), col="_gseq")
+    starts = g.groupBy(*[F.col(c).alias(f"_g_{i}") for i, c in enumerate(group_cols)]) \
+              .agg(F.min("_gseq").alias("_gstart"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{i}")) for i, c in enumerate(group_cols)])
+    return (g.join(starts, same)
+             .withColumn(col, (F.col("_gseq") - F.col("_gstart") + 1).cast("long"))
+             .drop("_gseq", "_gstart", *[f"_g_{i}" for i in range(len(group_cols))]))

@@ -43,13 +43,19 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     ``inputs`` keys (DataFrames): ``messages`` (binaryFile rows), ``cards``
     (title, company, url), ``links`` (name, url; manual profile), ``seen``
     (url), ``pages`` (url, html), ``extract_attempts`` / ``score_attempts``
-    (url, attempt, text), ``listing_db`` (20 columns).
+    (url, attempt, text), ``listing_db`` (20 columns), ``stored_names`` (name):
+    names already in the target folders of any stage, which are not given again.
     """
     if profile not in PROFILES:
         raise ValueError(f"unknown profile {profile!r}")
     keywords = keywords if keywords is not None else fixed.DEFAULT_EXCLUSION_KEYWORDS
     out: dict[str, DataFrame] = {}
 
+    def named(df, col, order, **how):
+        stored = inputs.get("stored_names")
+        stored = None if stored is None else stored.select(F.col("name").alias(col))
+        return intake.collision_suffix(df, col, order, taken=stored, **how)
+
     # ---- intake (stages 00/01) -------------------------------------------
     parts = []
     if profile in ("full", "email_only") and "messages" in inputs:
@@ -70,7 +76,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     out["seen_additions"] = intake.seen_additions(routed)
     passed = routed.where(F.col("outcome") == "moved").drop("outcome", "is_new")
     # moved links sharing a name become "name (00)", "name (01)" (W3)
-    passed = (intake.collision_suffix(passed, "name", ["url", "origin"], style="paren")
+    passed = (named(passed, "name", ["url", "origin"], style="paren")
               .drop("name").withColumnRenamed("final_name", "name"))
     # the keyword test sees the whole file name, extension included (Q3)
     kw = flt.keyword_route(passed.withColumn("_file", F.concat("name", F.lit(".url"))), "_file",
@@ -93,7 +99,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
                        tx.enriched_stem(F.col("title"), F.col("company_final"), today))
         .otherwise(F.col("name")))
     # equal stems after renaming get _01, _02
-    enriched = (intake.collision_suffix(enriched, "stem", ["name", "url"], style="under")
+    enriched = (named(enriched, "stem", ["name", "url"], style="under")
                 .drop("stem").withColumnRenamed("final_name", "stem"))
     out["enriched"] = enriched
     out["quarantine"] = enriched.where("quarantine")
@@ -113,8 +119,8 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
         closed=flt.is_closed(F.col("body_md")), responded=F.col("response").isNotNull()))
     out["extraction"] = e
     # accepted listings take their stage-05 name; equal stems get _01, _02
-    accepted05 = intake.collision_suffix(e.where(F.col("stage05") == "accepted"), "stage05_stem",
-                                         ["name", "url"], style="under", out_col="stage05_name")
+    accepted05 = named(e.where(F.col("stage05") == "accepted"), "stage05_stem", ["name", "url"],
+                       style="under", out_col="stage05_name")
 
     # ---- score response (06) -------------------------------------------------
     sco = rsp.pick_attempt(inputs["score_attempts"].join(batch_urls, "url", "left_semi"), "url", ["attempt"],

@@ -12,7 +12,6 @@ from vetline.functions import text as tx
 from vetline.operators import board as bd
 from vetline.operators import listing_db as ldb
 from vetline.operators import scoring as sc
-from vetline.operators.sequence import spread
 from vetline.plans.catalog import register
 from vetline.sources.tables import table
 
@@ -29,12 +28,15 @@ MOVE_FOR_EVENT = {"view": "new", "click": "consider", "signup": "priorities",
 def board_events(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     to_col = F.create_map(*[x for k, v in MOVE_FOR_EVENT.items() for x in (F.lit(k), F.lit(v))])
+    # long views are comments without a move; the shortest clicks go to a column that does not exist
+    alone = (F.col("event_type") == "view") & (F.col("value") >= 60)
+    lost = (F.col("event_type") == "click") & (F.col("value") < 20)
     return ev.select(
         F.col("user_id").alias("ref_nr"), "event_id", "ts",
-        F.element_at(to_col, F.col("event_type")).alias("to_col"),
+        F.when(lost, F.lit("archive")).when(~alone, F.element_at(to_col, F.col("event_type"))).alias("to_col"),
         F.when((F.col("event_type") == "error") & (F.col("value") >= 25), F.lit("Pay"))
          .otherwise(F.lit("")).alias("reason"),
-        F.when(F.col("event_type") == "signup", F.col("props")).alias("comment"))
+        F.when((F.col("event_type") == "signup") | alone, F.col("props")).alias("comment"))
 
 
 def folded(spark, sf_dir):
@@ -47,26 +49,29 @@ def _case(col, mapping):
 
 _DATE_COLS = list(fixed.DATE_COLUMN_FOR.items())
 _FOLD_SQL = f"""
-WITH e AS (SELECT user_id AS ref_nr, event_id, ts, {_case('event_type', MOVE_FOR_EVENT)} AS to_col,
+WITH e AS (SELECT user_id AS ref_nr, event_id, ts, CASE WHEN event_type = 'click' AND value < 20 THEN 'archive'
+                       WHEN event_type = 'view' AND value >= 60 THEN NULL
+                       ELSE {_case('event_type', MOVE_FOR_EVENT)} END AS to_col,
                   CASE WHEN event_type = 'error' AND value >= 25 THEN 'Pay' ELSE '' END AS reason,
-                  CASE WHEN event_type = 'signup' THEN props END AS comment
+                  CASE WHEN event_type = 'signup' OR (event_type = 'view' AND value >= 60) THEN props END AS comment
            FROM events),
+mv AS (SELECT * FROM e WHERE to_col <> 'archive'),
 lst AS (SELECT ref_nr, to_col FROM (SELECT ref_nr, to_col, row_number() OVER
-          (PARTITION BY ref_nr ORDER BY ts DESC, event_id DESC) AS rn FROM e) WHERE rn = 1),
+          (PARTITION BY ref_nr ORDER BY ts DESC, event_id DESC) AS rn FROM mv) WHERE rn = 1),
 lr AS (SELECT ref_nr, reason FROM (SELECT ref_nr, reason, row_number() OVER
           (PARTITION BY ref_nr ORDER BY ts DESC, event_id DESC) AS rn FROM e
           WHERE to_col = 'rejects' AND reason <> '') WHERE rn = 1),
 lc AS (SELECT ref_nr, comment FROM (SELECT ref_nr, comment, row_number() OVER
           (PARTITION BY ref_nr ORDER BY ts DESC, event_id DESC) AS rn FROM e
           WHERE comment IS NOT NULL) WHERE rn = 1),
-g AS (SELECT ref_nr, count(*) AS n_events,
+g AS (SELECT ref_nr, count(*) FILTER (WHERE to_col <> 'archive') AS n_events,
              {", ".join(f"max(ts) FILTER (WHERE to_col = '{c}') AS {d}" for c, d in _DATE_COLS)}
-      FROM e GROUP BY ref_nr),
+      FROM e WHERE to_col <> 'archive' OR comment IS NOT NULL GROUP BY ref_nr),
 fold AS (
   SELECT g.ref_nr, {_case('lst.to_col', fixed.STATUS_FOR_COLUMN)} AS status, g.n_events,
          {", ".join(f"strftime(g.{d}, '%d/%m/%Y') AS {d}" for _, d in _DATE_COLS)},
          lr.reason AS reject_reason, lc.comment
-  FROM g JOIN lst ON g.ref_nr = lst.ref_nr LEFT JOIN lr ON g.ref_nr = lr.ref_nr
+  FROM g LEFT JOIN lst ON g.ref_nr = lst.ref_nr LEFT JOIN lr ON g.ref_nr = lr.ref_nr
   LEFT JOIN lc ON g.ref_nr = lc.ref_nr)
 """
 
@@ -125,11 +130,13 @@ SELECT o_orderkey, CASE WHEN hit THEN 'rejected' ELSE status END AS status,
 FROM x
 """)
 def expire_old(spark, sf_dir):
-    """Active listings published more than 30 days before ``today`` expire."""
+    """Active listings published more than 30 days before ``today`` expire;
+    dates as the listing table stores them and as eight digits."""
     o = table(spark, sf_dir, "orders")
     st = F.create_map(*[x for k, v in _ORDER_STATUS.items() for x in (F.lit(k), F.lit(v))])
     db = o.select("o_orderkey", F.element_at(st, F.col("o_orderstatus")).alias("status"),
-                  F.date_format("o_orderdate", "yyyyMMdd").alias("published"),
+                  F.when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "dd/MM/yyyy"))
+                   .otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("published"),
                   F.lit(None).cast("string").alias("date_rejected"),
                   F.lit(None).cast("string").alias("reject_reason"))
     out = bd.expire_old(db, "published", EXPIRY_TODAY, TODAY_DMY)
@@ -141,10 +148,11 @@ def expire_old(spark, sf_dir):
 @register("sync_counts", sql=_FOLD_SQL + """
 SELECT CAST(count(c.c_custkey) AS BIGINT) AS updated,
        CAST(count(*) - count(c.c_custkey) AS BIGINT) AS not_found
-FROM fold f LEFT JOIN customer c ON f.ref_nr = c.c_custkey
+FROM fold f LEFT JOIN customer c ON f.ref_nr = c.c_custkey + 50 WHERE f.status IS NOT NULL
 """)
 def sync_counts(spark, sf_dir):
-    db = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_nr"))
+    # the first refs of the board are not in the table
+    db = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 50).alias("ref_nr"))
     return bd.sync_counts(db, folded(spark, sf_dir))
 
 
@@ -198,38 +206,39 @@ def expired_pages(spark, sf_dir):
 
 # ---------------------------------------------------------------- B4 K4 S13
 def _edit_json():
+    """Score JSON of an event: one industry entry counts, text points are
+    converted, fractional text is 0, whole points of the value are deducted."""
     k = F.get_json_object("props", "$.k")
     return F.format_string(
         '{"job_title": "Event %d", "company_name": "User %d", "additions": '
         '[{"criterion": "Industry: SaaS", "points": %s}, {"criterion": "industry again", '
-        '"points": 5}, "loose note"], "deductions": [{"criterion": "Stack", "points": "%s"}, 7], '
-        '"disqualifiers": []}',
-        F.col("event_id"), F.col("user_id"), k, F.col("value").cast("string"))
+        '"points": 5}, "loose note"], "deductions": [{"criterion": "Stack", "points": "%s"}, '
+        '{"criterion": "Years", "points": %d}, 7], "disqualifiers": []}',
+        F.col("event_id"), F.col("user_id"), k, F.col("value").cast("string"), F.floor("value").cast("long"))
 
 
 _EDIT_SQL = """
-WITH x AS (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events
-           WHERE event_type = 'purchase'),
-y AS (SELECT *, CAST(greatest(0, 100 + abs(k) -
+WITH x AS (SELECT event_id, event_type, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events),
+y AS (SELECT *, CAST(greatest(0, 100 + abs(k) - CAST(floor(value) AS BIGINT) -
                   CASE WHEN regexp_full_match(CAST(value AS VARCHAR), '\\s*[-+]?[0-9]+\\s*')
                        THEN abs(CAST(value AS BIGINT)) ELSE 0 END) AS INTEGER) AS fit_score FROM x)
 """
 
 
 @register("edit_score", sql=_EDIT_SQL + """
-SELECT event_id, fit_score,
-       printf('%04d_%03d_20260131_REMOTE_x', user_id, fit_score) AS new_stem FROM y
+SELECT event_id, CASE WHEN event_type <> 'error' THEN fit_score END AS fit_score,
+       CASE WHEN event_type <> 'error' THEN printf('%04d_%03d_20260131_REMOTE_x', user_id * 1000, fit_score) END AS new_stem,
+       CASE WHEN event_type = 'error' THEN 'Invalid JSON' END AS error FROM y
 """)
 def edit_score(spark, sf_dir):
-    """Edited score JSON per purchase event: recomputed score (industry once,
-    loose entries as 0, text points converted, fractional text as 0) and the
-    restemmed name."""
-    ev = spread(table(spark, sf_dir, "events").where(F.col("event_type") == "purchase"))
-    edits = ev.select("event_id", "user_id", "props", "value",
-                      _edit_json().alias("content"),
-                      F.format_string("%04d_000_20260131_REMOTE_x", F.col("user_id")).alias("stem"))
+    """Edited score JSON per event (of errors it is broken): recomputed score
+    and the restemmed name, refs of more than four digits included, or an error."""
+    ev = table(spark, sf_dir, "events")
+    content = F.when(F.col("event_type") == "error", F.concat(_edit_json(), F.lit(", {}"))).otherwise(_edit_json())
+    edits = ev.select("event_id", "user_id", "props", "value", content.alias("content"),
+                      F.format_string("%04d_000_20260131_REMOTE_x", F.col("user_id") * 1000).alias("stem"))
     out = bd.edit_score(edits, "content", "stem", TODAY)
-    return out.select("event_id", "fit_score", "new_stem")
+    return out.select("event_id", "fit_score", "new_stem", "error")
 
 
 @register("report_roundtrip", sql=_EDIT_SQL + """
@@ -238,7 +247,7 @@ SELECT event_id, 'Event ' || event_id AS job_title, 'User ' || user_id AS compan
 """)
 def report_roundtrip(spark, sf_dir):
     """Render the scoring report (K4) and read the table fields back."""
-    ev = spread(table(spark, sf_dir, "events").where(F.col("event_type") == "purchase"))
+    ev = table(spark, sf_dir, "events")
     scored = sc.score_responses(ev.select("event_id", "user_id", "props", "value"),
                                 jf.strict_parse(_edit_json()), TODAY, out="r")
     rep = scored.select("event_id", sc.scoring_report(F.col("user_id"), F.col("r")).alias("report"))

@@ -10,7 +10,6 @@ from vetline import fixed
 from vetline.functions import text as tx
 from vetline.operators import filters as flt
 from vetline.operators import intake
-from vetline.operators.sequence import sequence_within, spread
 from vetline.plans.catalog import register
 from vetline.sources.tables import table
 
@@ -200,7 +199,7 @@ def keyword_route_table(spark, sf_dir):
     kw = (d.groupBy(F.lower("source").alias("kw")).agg(F.min("doc_id").alias("first"))
            .select(F.row_number().over(Window.orderBy("first")).alias("pos"), "kw"))
     docs = d.select("doc_id", F.concat(tx.first_line("text"), F.lit(" "), F.col("source")).alias("name"))
-    return flt.keyword_route(docs, "name", kw, row_key="doc_id").select("doc_id", "matched_keyword")
+    return flt.keyword_route(docs, "name", kw).select("doc_id", "matched_keyword")
 
 
 @register("keyword_text", sql=f"""
@@ -213,7 +212,7 @@ FROM documents d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN kw k ON k.pos
 def keyword_text(spark, sf_dir):
     """Keyword exclusion over the whole document text instead of the name
     (the ``fields`` choice of Q3), first keyword in list order."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return flt.keyword_route(d, "text", DOC_KEYWORDS).select("doc_id", "matched_keyword")
 
 
@@ -348,26 +347,41 @@ def safe_names(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- W3 W4
-@register("collision_names", sql="""
-WITH r AS (SELECT c_custkey, c_mktsegment AS stem,
-                  row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn FROM customer)
-SELECT c_custkey,
-       CASE WHEN rn = 1 THEN stem ELSE printf('%s (%02d)', stem, rn - 2) END AS name_paren,
-       CASE WHEN rn = 1 THEN stem ELSE printf('%s_%02d', stem, rn - 1) END AS name_under
-FROM r
+def _slots_sql(template, first):
+    """Free numbers of each stem, in order, by trying all."""
+    return (f"(SELECT stem, nr, row_number() OVER (PARTITION BY stem ORDER BY nr) - 1 AS j FROM (SELECT DISTINCT stem FROM c), n "
+            f"WHERE nr >= {first} AND printf('{template}', stem, nr) NOT IN (SELECT name FROM used))")
+
+
+@register("collision_names", sql=f"""
+WITH c AS (SELECT c_custkey, c_mktsegment || CASE c_nationkey WHEN 7 THEN ' (01)' WHEN 8 THEN '_02' ELSE '' END AS stem
+           FROM customer),
+t AS (SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment < 'G'
+      UNION SELECT printf('%s (%02d)', c_mktsegment, c_nationkey * 3) FROM customer
+      UNION SELECT printf('%s_%02d', c_mktsegment, c_nationkey * 3) FROM customer),
+used AS (SELECT name FROM t UNION SELECT stem FROM c),
+n AS (SELECT unnest(range((SELECT count(*) + 200 FROM customer))) AS nr),
+r AS (SELECT c_custkey, stem, row_number() OVER (PARTITION BY stem ORDER BY c_custkey) - 2
+             + CASE WHEN stem IN (SELECT name FROM t) THEN 1 ELSE 0 END AS j FROM c)
+SELECT r.c_custkey, coalesce(printf('%s (%02d)', r.stem, p.nr), r.stem) AS name_paren,
+       coalesce(printf('%s_%02d', r.stem, u.nr), r.stem) AS name_under
+FROM r LEFT JOIN {_slots_sql("%s (%02d)", 0)} p ON p.stem = r.stem AND p.j = r.j
+LEFT JOIN {_slots_sql("%s_%02d", 1)} u ON u.stem = r.stem AND u.j = r.j
 """)
 def collision_names(spark, sf_dir):
-    """Five market segments as stems: each stem holds a fifth of the rows, so
-    the numbering must not put a stem in one task (see ``sequence_within``)."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("stem"))
-    r = sequence_within(c, ["stem"], ["c_custkey"], col="rn")
-    k = F.col("rn")
-    return r.select(
-        "c_custkey",
-        F.when(k == 1, F.col("stem")).otherwise(
-            F.concat("stem", F.format_string(" (%02d)", (k - 2).cast("int")))).alias("name_paren"),
-        F.when(k == 1, F.col("stem")).otherwise(
-            F.concat("stem", F.format_string("_%02d", (k - 1).cast("int")))).alias("name_under"))
+    """Market segments as stems, a few with an ending that looks like a suffix,
+    against stored names that take some plain names and numbers.  A stem holds
+    a fifth of the rows, so no task may hold a whole stem."""
+    c = table(spark, sf_dir, "customer")
+    seg, nation = F.col("c_mktsegment"), F.col("c_nationkey")
+    rows = c.select("c_custkey", F.concat(seg, F.when(nation == 7, " (01)").when(nation == 8, "_02").otherwise(""))
+                    .alias("stem"))
+    stored = (c.where(seg < "G").select(seg.alias("stem"))
+              .union(c.select(F.format_string("%s (%02d)", seg, nation * 3)))
+              .union(c.select(F.format_string("%s_%02d", seg, nation * 3))).distinct())
+    paren = intake.collision_suffix(rows, "stem", ["c_custkey"], "paren", stored, "name_paren")
+    both = intake.collision_suffix(paren, "stem", ["c_custkey"], "under", stored, "name_under")
+    return both.select("c_custkey", "name_paren", "name_under")
 
 
 # ---------------------------------------------------------------- P8 P7 P9
@@ -408,6 +422,6 @@ def enriched_stems(spark, sf_dir):
     """Final names after enrichment: accents folded, unsafe characters
     dropped, title cut to 60 and company to 40 (P6, P7); English documents
     carry their source as the company, the others have none."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     company = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.lit(""))
     return d.select("doc_id", tx.enriched_stem(tx.first_line("text"), company, TODAY).alias("stem"))

@@ -42,11 +42,14 @@ def build_inputs(spark: SparkSession, a) -> dict:
         inputs["links"] = files.read_shortcuts(spark, a.links)
     inputs["seen"] = (files.read_seen(spark, a.seen) if _exists(spark, a.seen)
                       else spark.createDataFrame([], "url string"))
-    inputs["pages"] = spark.read.parquet(a.pages).select("url", "html")
+    pages = spark.read.parquet(a.pages)
+    inputs["pages"] = pages.select("url", "html", *[c for c in pages.columns if c == "crawled_at"])
     inputs["extract_attempts"] = spark.read.parquet(a.extract)
     inputs["score_attempts"] = spark.read.parquet(a.score)
     if _exists(spark, a.db):
         inputs["listing_db"] = files.read_listing_db(spark, a.db)
+    if _exists(spark, a.stored):
+        inputs["stored_names"] = spark.read.parquet(a.stored).select("name")
     return inputs
 
 
@@ -78,6 +81,7 @@ def main(argv=None) -> None:
     ap.add_argument("--seen")
     ap.add_argument("--db")
     ap.add_argument("--keywords")
+    ap.add_argument("--stored", help="Parquet table of names already stored")
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"vetline-{a.profile}").getOrCreate()

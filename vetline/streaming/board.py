@@ -1,22 +1,35 @@
 """Board state folded continuously from the move-event stream.
 
-Same fold as the batch ``operators.board.fold_events`` (partial aggregates
-``max_by``/``max``), run as a streaming aggregation in update or complete
-mode; the result per ref equals the batch fold over the same events."""
+Same fold as the batch ``operators.board.fold_events`` run as a streaming
+aggregation in update mode.  Each micro-batch writes the refs it changed to a
+folder of its own, so nothing passes through the driver and a replayed batch
+overwrites its own folder only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vetline.operators.board import fold_events
 
 
 def board_state_stream(events: DataFrame, order_cols=("ts", "event_id")) -> DataFrame:
-    return fold_events(events, list(order_cols), single_pass=True)
+    return fold_events(events, list(order_cols))
+
 
+def start_board_stream(events: DataFrame, checkpoint: str, state_dir: str):
+    """Write the changed refs of each batch to ``state_dir/batch=<n>``."""
+    def write(changed: DataFrame, n: int) -> None:
+        changed.write.mode("overwrite").parquet(os.path.join(state_dir, f"batch={n}"))
 
-def start_board_stream(events: DataFrame, checkpoint: str, sink_table: str,
-                       output_mode: str = "complete"):
-    return (board_state_stream(events).writeStream.outputMode(output_mode)
-            .format("memory").queryName(sink_table)
+    return (board_state_stream(events).writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).start())
+
+
+def read_board_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """State of each ref: that of the last batch that changed it."""
+    rows = spark.read.parquet(state_dir)
+    state = F.struct(*[F.col(c) for c in rows.columns if c not in ("ref_nr", "batch")])
+    return rows.groupBy("ref_nr").agg(F.max_by(state, F.col("batch")).alias("_s")).select("ref_nr", "_s.*")
