@@ -56,9 +56,8 @@ def table_keywords(names: DataFrame, low_col: str, keywords: DataFrame, out_col:
                   .groupBy("_kw").agg(F.min("pos").alias("pos"))
                   .withColumn("_gram", F.substring("_kw", 1, KEYWORD_GRAM)))
     low = F.col(low_col)
-    grams = F.flatten(F.transform(
-        F.filter(F.array(*[F.lit(n) for n in range(1, KEYWORD_GRAM + 1)]), lambda n: n <= F.length(low)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, n))))
+    # zero-width matches, one at each character: linear in the length of the name
+    grams = F.concat(*[F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(1, KEYWORD_GRAM + 1)])
     cand = (names.where(F.length(low) > 0).distinct()
                  .select(low, F.explode(F.array_distinct(grams)).alias("_gram")))
     return (cand.join(kw, "_gram").where(low.contains(F.col("_kw")))

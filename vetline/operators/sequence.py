@@ -72,3 +72,11 @@ def sequence_within(df: DataFrame, group_cols: list, order_cols: list, col: str
     return (g.join(starts, same)
              .withColumn(col, (F.col("_gseq") - F.col("_gstart") + 1).cast("long"))
              .drop("_gseq", "_gstart", *[f"_g_{i}" for i in range(len(group_cols))]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal narrow rows, or rows that cost milliseconds each (HTML and JSON
+    parsing), evenly over ``spark.sql.shuffle.partitions`` tasks.  Not for cheap
+    work on whole texts, where reading by ``spark.sql.files.maxPartitionBytes``
+    needs no shuffle."""
+    return df if df.isStreaming else df.repartition(_num_partitions(df))  # a trigger sizes its batches by itself

@@ -12,6 +12,7 @@ from vetline.functions import text as tx
 from vetline.operators import board as bd
 from vetline.operators import listing_db as ldb
 from vetline.operators import scoring as sc
+from vetline.operators.sequence import spread
 from vetline.plans.catalog import register
 from vetline.sources.tables import table
 
@@ -233,7 +234,7 @@ SELECT event_id, CASE WHEN event_type <> 'error' THEN fit_score END AS fit_score
 def edit_score(spark, sf_dir):
     """Edited score JSON per event (of errors it is broken): recomputed score
     and the restemmed name, refs of more than four digits included, or an error."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props", "value"))
     content = F.when(F.col("event_type") == "error", F.concat(_edit_json(), F.lit(", {}"))).otherwise(_edit_json())
     edits = ev.select("event_id", "user_id", "props", "value", content.alias("content"),
                       F.format_string("%04d_000_20260131_REMOTE_x", F.col("user_id") * 1000).alias("stem"))
@@ -247,7 +248,7 @@ SELECT event_id, 'Event ' || event_id AS job_title, 'User ' || user_id AS compan
 """)
 def report_roundtrip(spark, sf_dir):
     """Render the scoring report (K4) and read the table fields back."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "props", "value"))
     scored = sc.score_responses(ev.select("event_id", "user_id", "props", "value"),
                                 jf.strict_parse(_edit_json()), TODAY, out="r")
     rep = scored.select("event_id", sc.scoring_report(F.col("user_id"), F.col("r")).alias("report"))

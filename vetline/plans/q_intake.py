@@ -3,7 +3,6 @@ pages for crawled result pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vetline import fixed
@@ -196,8 +195,7 @@ def keyword_route_table(spark, sf_dir):
     """Keyword list as a table (S7 form) derived from the data: the distinct
     sources, in order of first appearance.  Matched against name + source."""
     d = table(spark, sf_dir, "documents")
-    kw = (d.groupBy(F.lower("source").alias("kw")).agg(F.min("doc_id").alias("first"))
-           .select(F.row_number().over(Window.orderBy("first")).alias("pos"), "kw"))
+    kw = d.groupBy(F.lower("source").alias("kw")).agg(F.min("doc_id").alias("pos"))
     docs = d.select("doc_id", F.concat(tx.first_line("text"), F.lit(" "), F.col("source")).alias("name"))
     return flt.keyword_route(docs, "name", kw).select("doc_id", "matched_keyword")
 
