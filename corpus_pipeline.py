@@ -1,7 +1,8 @@
 """A training corpus from documents: good pages, one of each group of near
 copies, without benchmark passages or personal data, packed into sequences.
 
-Each stage takes and (but for the last) returns the columns of documents.  Rows
+Each stage takes and (but for the last) returns the columns of documents, and
+further columns as they are, whatever their names.  Rows
 with a null id can't be told apart by id; they are judged by their texts like
 all others, and of repeated rows of one id and text one stays.
 """
@@ -24,46 +25,54 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _key(text_col: str = "text"):
-    """A row by its id and text, where neither alone tells rows apart."""
-    return F.struct(F.col("doc_id").alias("i"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n"))
+    """A row by its id and text, where neither alone tells rows apart; null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n"))
+
+
+def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the key in a column whose name no other column has."""
+    name = C.unused(docs, "_key")
+    return docs.withColumn(name, _key()), name
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by SimHash: that with the smallest id,
     of rows with that id the one with the smallest text hash."""
-    keyed = docs.withColumn("_key", _key())
-    groups = simhash.near_duplicates(keyed, id_col="_key", shingle=4, max_bits=4)
-    chosen = groups.select(F.col("component_id").alias("_key")).distinct()
+    keyed, key = _with_key(docs)
+    groups = simhash.near_duplicates(keyed, id_col=key, shingle=4, max_bits=4)
+    chosen = groups.select(F.col("component_id").alias("_chosen")).distinct()
     # component_id is the smallest key of a group, so joining on it keeps one key a group
-    kept = keyed.join(chosen, keyed["_key"].eqNullSafe(chosen["_key"]), "left_semi")
-    twice = groups.groupBy("_key").count().where("count > 1").select("_key")
+    kept = keyed.join(chosen, keyed[key].eqNullSafe(chosen["_chosen"]), "left_semi")
+    twice = groups.groupBy(key).count().where("count > 1").select(key)
     if twice.isEmpty():
-        return kept.drop("_key")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+        return kept.drop(key)
+    return kept.dropDuplicates([key]).drop(key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    keyed = docs.withColumn("_key", _key())
-    hit = tiling.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key").select("_key").distinct()
-    return keyed.join(hit, keyed["_key"].eqNullSafe(hit["_key"]), "left_anti").drop("_key")
+    keyed, key = _with_key(docs)
+    hit = (tiling.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+           .select(F.col(key).alias("_hit")).distinct())
+    return keyed.join(hit, keyed[key].eqNullSafe(hit["_hit"]), "left_anti").drop(key)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind in brackets."""
-    keyed = docs.withColumn("_key", _key())
-    spans = (pii.find(keyed, id_col="_key").where(F.size("spans") > 0)
-             .groupBy(F.col("_key").alias("_k")).agg(F.first("spans").alias("_spans")))
-    joined = keyed.join(spans, keyed["_key"].eqNullSafe(spans["_k"]), "left").select(*docs.columns, "_spans")
+    keyed, key = _with_key(docs)
+    spans = (pii.find(keyed, id_col=key).where(F.size("spans") > 0)
+             .groupBy(F.col(key).alias("_found_key")).agg(F.first("spans").alias("_found")))
+    joined = (keyed.join(spans, keyed[key].eqNullSafe(spans["_found_key"]), "left")
+              .select(*[keyed[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)], spans["_found"].alias("found")))
     place, length = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     names = docs.columns
 
     def mask(batches):
         for b in batches:
             columns = list(b.columns[:len(names)])
-            found = b["_spans"].is_valid().to_pylist()
+            found = b.column(len(names)).is_valid().to_pylist()
             if any(found):
-                text, spans_of = columns[place].to_pylist(), b["_spans"]
+                text, spans_of = columns[place].to_pylist(), b.column(len(names))
                 for i in (i for i, f in enumerate(found) if f):
                     text[i] = pii.masked(text[i], spans_of[i].as_py())
                 columns[place] = pa.array(text, columns[place].type)

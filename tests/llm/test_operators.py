@@ -126,6 +126,12 @@ def test_tiling(spark, docs):
     assert set(got) == {1, 2, 6} and got[2].coverage == 1.0 and len(got[2].tiles) == 2
     assert got[6].coverage == pytest.approx(28 / 30)
     assert {r.doc_id for r in tiling.contaminated(cases, bench, block_bytes=20).collect()} == {1, 2, 6}
+    # documents apart or together, and other types of item ids
+    whole = {r.doc_id: r for r in tiling.contaminated(cases, bench.union(bench), seed_pairs=1).collect()}
+    assert {i: (r.coverage, r.tiles) for i, r in whole.items()} == {i: (r.coverage, r.tiles) for i, r in got.items()}
+    for kind in ("string", "int"):
+        typed = tiling.contaminated(cases, bench.withColumn("item_id", F.col("item_id").cast(kind)))
+        assert {(r.doc_id, str(r.item_id)) for r in typed.collect()} == {(1, "1"), (2, "1"), (6, "1")}
     assert tiling.contaminated(cases, bench.where("false")).count() == 0 == tiling.contaminated(docs, bench).count()
 
 
@@ -330,3 +336,23 @@ def test_pipeline_stages(spark, labelled, tmp_dir):
     packed = corpus_pipeline.STAGES[-1][1](spark, kept[4], tmp_dir)
     assert {r.doc_id for r in packed.collect()} == third
     assert {r.doc_id for r in corpus_pipeline.run(spark, tmp_dir).collect()} <= good
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_dir):
+    item = " ".join(f"q{k}" for k in range(20))
+    texts = [f"word{i} other{i} thing{i} mail jo{i}@example.com end{i}" for i in range(6)] + [item, None, "", None]
+    names = ["_key", "__key", "_k", "_spans", "_found", "_found_key", "_hit", "_chosen", "id", "fp", "row", "spans", "base", "item",
+             "component_id", "n_tokens", "x y", "a.b"]
+    rows = [(i if i < 9 else None, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        out = stage(spark, docs, tmp_dir)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_dir}/{name}")
+        docs = spark.read.parquet(f"{tmp_dir}/{name}")
+    got = docs.collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 7}  # the null and empty texts are one group
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert all("[EMAIL]" in r.text for r in got if r.doc_id < 6)
+    assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, docs, tmp_dir).collect()} == {0, 1, 2, 3, 4, 5, 7}

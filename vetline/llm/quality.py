@@ -207,10 +207,11 @@ def scores(table: DataFrame, model: Model, id_col: str = "doc_id", threshold: fl
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold."""
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(model.score(features(b.column(place))) >= threshold))
+            good = b.filter(pa.array(model.score(features(b.column(place))) >= threshold))
+            yield pa.RecordBatch.from_arrays(good.columns, names)
     C.small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)  # names of any kind

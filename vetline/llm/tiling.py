@@ -10,7 +10,8 @@ coverage, so passages whose parts are moved about still count.
 Plan.  The benchmark's seeds go to every task in blocks of at most
 ``block_bytes`` of text (the sum is taken first), one pass over the documents
 for each block; documents are never shuffled and a hot passage is matched where
-its document lies.  Memory: one block, one batch of texts.
+its document lies.  Memory: one block, one batch of texts, and the seed matches
+of so many documents as have ``seed_pairs`` of them together, or of one.
 
 Defined results: a null text or item has no words; items of fewer than
 ``min_match`` words cannot be told from chance and never match; each input row
@@ -27,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vetline.llm import common as C
 
 MIN_MATCH = 5
 COVERAGE = 0.8
 BLOCK_BYTES = 32 << 20
+SEED_PAIRS = 2_000_000
 
 
 def _seeds(items: list[str], width: int):
@@ -79,7 +82,7 @@ def tile(p: np.ndarray, q: np.ndarray, width: int) -> list[tuple[int, int, int]]
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH,
-                 coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                 coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, seed_pairs: int = SEED_PAIRS) -> DataFrame:
     """(id, item, coverage, tiles) of each document and item covered to ``coverage`` or more."""
     spark = docs.sparkSession
     C.small_batches(spark)
@@ -87,6 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = (f"id {id_type}, item {item_type}, coverage double, "
               "tiles array<struct<doc_word:long,item_word:long,words:long>>")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -98,31 +102,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches, shared=shared):
             names, (seeds, item_of, place, n_words, bits) = shared.value
+            names = pa.array(names, item_arrow)
             for b in batches:
                 words = C.split_words(b["text"], lower=True, ends_word=C.NOT_ALNUM)
-                at = C.window_starts(words.off, min_match)
-                h = C.rolling(C.word_hashes(words), min_match)[at]
+                windows = C.window_starts(words.off, min_match)
+                h = C.rolling(C.word_hashes(words), min_match)[windows]
                 maybe = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
-                lo = np.searchsorted(seeds, h[maybe], side="left")
-                hits = np.searchsorted(seeds, h[maybe], side="right") - lo
-                at = np.repeat(at[maybe], hits)
-                seed = np.arange(len(at)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(lo, hits)
-                doc = np.searchsorted(words.off, at, side="right") - 1
-                p, q, item = at - words.off[doc], place[seed], item_of[seed]
-                order = np.lexsort((item, doc))
-                doc, item, p, q = doc[order], item[order], p[order], q[order]
-                cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0), True]) if len(doc) else [0]
+                windows, h = windows[maybe], h[maybe]
+                owner = np.searchsorted(words.off, windows, side="right") - 1
+                low = np.searchsorted(seeds, h, side="left")
+                many = np.searchsorted(seeds, h, side="right") - low
+                # whole documents, of seed_pairs matches together
+                heads = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else np.zeros(0, np.int64)
+                before = (np.cumsum(many) - many)[heads] // seed_pairs
+                edges = [*heads[np.r_[True, np.diff(before) != 0]].tolist(), len(owner)] if len(heads) else [0]
                 rows = []
-                for i, j in zip(cut[:-1], cut[1:]):
-                    need = coverage * n_words[item[i]]
-                    if (np.unique(q[i:j]).size + min_match - 1) * min_match < need:
-                        continue  # even apart from each other these seeds would not cover enough
-                    tiles = tile(p[i:j], q[i:j], min_match)
-                    if (covered := sum(t[2] for t in tiles)) >= need:
-                        rows.append((doc[i], names[item[i]], covered / n_words[item[i]], tiles))
-                ids = b["id"].take(pa.array([r[0] for r in rows], pa.int64()))
+                for x, y in zip(edges[:-1], edges[1:]):
+                    hits = many[x:y]
+                    at, doc = np.repeat(windows[x:y], hits), np.repeat(owner[x:y], hits)
+                    seed = np.arange(len(at)) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low[x:y], hits)
+                    p, q, item = at - words.off[doc], place[seed], item_of[seed]
+                    order = np.lexsort((item, doc))
+                    doc, item, p, q = doc[order], item[order], p[order], q[order]
+                    cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0), True]) if len(doc) else [0]
+                    for i, j in zip(cut[:-1], cut[1:]):
+                        need = coverage * n_words[item[i]]
+                        if (np.unique(q[i:j]).size + min_match - 1) * min_match < need:
+                            continue  # even apart from each other these seeds would not cover enough
+                        tiles = tile(p[i:j], q[i:j], min_match)
+                        if (covered := sum(t[2] for t in tiles)) >= need:
+                            rows.append((doc[i], item[i], covered / n_words[item[i]], tiles))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([r[1] for r in rows]) if rows else pa.nulls(0, pa.int64()),
+                    [b["id"].take(pa.array([r[0] for r in rows], pa.int64())), names.take(pa.array([r[1] for r in rows], pa.int64())),
                      pa.array([r[2] for r in rows], pa.float64()),
                      pa.array([[dict(zip(("doc_word", "item_word", "words"), t)) for t in r[3]] for r in rows], tile_type)],
                     ["id", "item", "coverage", "tiles"])
