@@ -130,3 +130,18 @@ def test_unreadable_seen_list_is_an_error(spark, tmp_dir):
     with pytest.raises(Exception):
         _seen_before(spark, f"{tmp_dir}/seen", "url", 1).count()
     assert _seen_before(spark, f"{tmp_dir}/none", "url", 1).count() == 0
+
+
+def test_enriched_name(spark):
+    rows = [("20260131_Job_7 - Email - LinkedIn", "CFO", "Acme"), ("20260131_Job_7 - Email - LinkedIn", "?", "Acme"),
+            ("20260131_Job_7 - Email - LinkedIn", None, None), ("20260131_Named - X - LinkedIn", "CFO", "Acme")]
+    df = spark.createDataFrame(rows, "name string, title string, company string")
+    got = [r.n for r in df.select(tx.enriched_name("name", "title", "company", "20260131").alias("n")).collect()]
+    assert got == ["20260131_CFO - Acme - LinkedIn", rows[1][0], rows[2][0], rows[3][0]]
+
+
+def test_a_competency_counts_once(spark):
+    from vetline.operators import rules
+    absent = F.array(F.lit("HR oversight"), F.lit("HR oversight"), F.lit("Juggling"))
+    items = spark.range(1).select(rules.competency_items(absent).alias("i")).first().i
+    assert [(i.detail, i.points) for i in items] == [("HR oversight", -1)]

@@ -52,6 +52,9 @@ def test_b13_board_fold(spark):
     assert f[3].date_considered == "03/01/2026"
     assert 4 not in f
     assert bd.invalid_moves(ev).first().ref_nr == 4
+    alone = spark.createDataFrame([(1, None, "note"), (2, None, None), (3, "archive", "note"), (4, "new", None)],
+                                  "ref_nr long, to_col string, comment string")
+    assert sorted(r.ref_nr for r in bd.invalid_moves(alone).collect()) == [2, 3]
 
 
 def test_comment_without_a_move(spark):

@@ -158,6 +158,13 @@ def enriched_stem(title, company, today: str) -> Column:
             .otherwise(F.lit("")))
 
 
+def enriched_name(name, title, company, today: str) -> Column:
+    """A placeholder name gives way to the enriched stem where a title was
+    found; other names stay (P9)."""
+    stem = enriched_stem(title, company, today)
+    return F.when(_c(name).contains(fixed.EMAIL_PLACEHOLDER_MARK) & (stem != ""), stem).otherwise(_c(name))
+
+
 def parse_stem(stem) -> Column:
     """``YYYYMMDD_Title - Company - Source`` -> struct(title, company).
     Fewer than three parts -> both empty."""

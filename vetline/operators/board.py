@@ -39,9 +39,12 @@ def valid_moves(events: DataFrame) -> DataFrame:
 
 
 def invalid_moves(events: DataFrame) -> DataFrame:
-    """Moves to an unknown column are refused."""
-    return events.where(~F.col("to_col").isin(*fixed.BOARD_COLUMNS) | F.col("to_col").isNull()) \
-                 .withColumn("error", F.lit("Unknown column"))
+    """Moves to an unknown column, or to none, are refused (F15); a comment
+    without a move is not a move."""
+    nowhere = F.col("to_col").isNull()
+    if "comment" in events.columns:
+        nowhere = nowhere & F.col("comment").isNull()
+    return events.where(~F.col("to_col").isin(*fixed.BOARD_COLUMNS) | nowhere).withColumn("error", F.lit("Unknown column"))
 
 
 def packed_order(ts_col: str, id_col: str) -> Column:

@@ -170,9 +170,9 @@ def language_items(reqs) -> Column:
 
 
 def competency_items(absent) -> Column:
-    """-1 for each listed competency marked clearly absent."""
+    """-1 for each listed competency marked clearly absent, however often."""
     names = F.array(*[F.lit(c) for c in COMPETENCIES])
-    return F.transform(F.filter(F.coalesce(_c(absent), F.array().cast("array<string>")),
+    return F.transform(F.filter(F.array_distinct(F.coalesce(_c(absent), F.array().cast("array<string>"))),
                                 lambda x: F.array_contains(names, x)),
                        lambda x: _item("Competency absent", x, -1))
 

@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the modules registers their queries.
-    from vetline.plans import q_intake, q_scoring, q_board, q_pages, q_rules  # noqa: F401
+    from vetline.plans import q_intake, q_scoring, q_board, q_pages, q_rules, q_cover  # noqa: F401

@@ -95,9 +95,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
         parsed = parsed.checkpoint()
     enriched = pg.listing_fields(kept.join(parsed.drop("page_key"), "url", "left"), stem_col="name")
     enriched = enriched.withColumn(
-        "stem", F.when(F.col("name").contains(fixed.EMAIL_PLACEHOLDER_MARK) & F.col("title").isNotNull(),
-                       tx.enriched_stem(F.col("title"), F.col("company_final"), today))
-        .otherwise(F.col("name")))
+        "stem", tx.enriched_name("name", F.col("title"), F.col("company_final"), today))
     # equal stems after renaming get _01, _02
     enriched = (named(enriched, "stem", ["name", "url"], style="under")
                 .drop("stem").withColumnRenamed("final_name", "stem"))
