@@ -3,7 +3,8 @@ import json
 import os
 from email.mime.text import MIMEText
 
-from vetline import run
+from vetline import run, run_board
+from vetline.operators import listing_db as ldb
 
 
 def test_run_job(spark, tmp_dir):
@@ -33,4 +34,34 @@ def test_run_job(spark, tmp_dir):
     rows = spark.read.parquet(os.path.join(out, "new_rows")).orderBy("ref_nr").collect()
     assert [(r.ref_nr, r.fit_score, r.status) for r in rows] == [(1, 110, "new"), (2, 110, "new")]
     assert spark.read.parquet(os.path.join(out, "seen_additions")).count() == 2
+    assert spark.read.parquet(os.path.join(out, "seen")).count() == 2
+    stored = spark.read.parquet(os.path.join(out, "listing_db"))
+    assert sorted(r.ref_nr for r in stored.collect()) == [1, 2]
+    docs = spark.read.parquet(os.path.join(out, "documents")).collect()
+    assert len(docs) == 2 and all("Finance role." in r.body_md for r in docs)
     assert spark.read.parquet(os.path.join(out, "scoring")).where("outcome = 'accepted'").count() == 2
+
+
+def test_board_job(spark, tmp_dir):
+    at = {k: os.path.join(tmp_dir, k) for k in ("db", "events", "edits", "confirmed", "board")}
+    ldb.upgrade_schema(spark.createDataFrame(
+        [(1, "new", 50, "30/01/2026"), (2, "new", 60, "30/01/2026"), (3, "new", 70, "01/01/2025"), (4, "new", 80, "30/01/2026")],
+        "ref_nr long, status string, fit_score int, date_published string")).write.parquet(at["db"])
+    spark.sql("""SELECT * FROM VALUES (1L, 1L, timestamp'2026-01-30 10:00:00', 'consider', '', 'call'),
+                                      (9L, 2L, timestamp'2026-01-30 10:00:00', 'applied', '', NULL),
+                                      (2L, 3L, timestamp'2026-01-30 11:00:00', 'archive', '', NULL)
+                 t(ref_nr, event_id, ts, to_col, reason, comment)""").write.parquet(at["events"])
+    good = json.dumps({"additions": [{"criterion": "Industry", "points": 10}]})
+    spark.createDataFrame([(2, "0002_060_x", good, 1), (2, "0002_060_x", "{}, {}", 2)],
+                          "ref_nr long, stem string, content string, ts int").write.parquet(at["edits"])
+    spark.createDataFrame([(4,)], "ref_nr long").write.parquet(at["confirmed"])
+    run_board.main(["--today", "20260131", "--db", at["db"], "--events", at["events"], "--edits", at["edits"],
+                    "--confirmed", at["confirmed"], "--out", at["board"]])
+    rows = {r.ref_nr: r for r in spark.read.parquet(os.path.join(at["board"], "listing_db")).collect()}
+    assert (rows[1].status, rows[1].comment) == ("in_consideration", "call")
+    assert (rows[2].status, rows[2].fit_score) == ("new", 110)
+    assert [(rows[k].status, rows[k].reject_reason) for k in (3, 4)] == [("rejected", "Expired")] * 2
+    assert [r.ref_nr for r in spark.read.parquet(os.path.join(at["board"], "refused")).collect()] == [2]
+    counts = spark.read.parquet(os.path.join(at["board"], "counts")).first()
+    assert (counts.updated, counts.not_found) == (1, 1)
+    assert sorted(r.error or "" for r in spark.read.parquet(os.path.join(at["board"], "edits")).collect()) == ["", "Invalid JSON"]

@@ -74,6 +74,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     routed = intake.dedup_against_seen(links, inputs["seen"], force=forced)
     out["dedup"] = routed
     out["seen_additions"] = intake.seen_additions(routed)
+    out["seen_next"] = inputs["seen"].select("url").unionByName(out["seen_additions"])
     passed = routed.where(F.col("outcome") == "moved").drop("outcome", "is_new")
     # moved links sharing a name become "name (00)", "name (01)" (W3)
     passed = (named(passed, "name", ["url", "origin"], style="paren")
@@ -101,6 +102,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
                 .drop("stem").withColumnRenamed("final_name", "stem"))
     out["enriched"] = enriched
     out["quarantine"] = enriched.where("quarantine")
+    out["documents"] = enriched.where(~F.col("quarantine") & F.col("body_md").isNotNull()).select("stem", "url", "body_md")
 
     # ---- extraction response (05) ------------------------------------------
     ext = rsp.pick_attempt(inputs["extract_attempts"].join(batch_urls, "url", "left_semi"), "url", ["attempt"],
@@ -167,6 +169,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
                             F.col("scored.job_title").alias("job_title"),
                             F.col("scored.company_name").alias("company_name"),
                             F.col("scored.source").alias("source")), _dmy(today))
+    out["listing_db_next"] = ldb.union_tables(out["rescored_db"].drop("updated"), out["new_rows"])
     out["outcomes"] = (s.select(F.col("stage06").alias("outcome"))
                        .unionByName(e.where(F.col("stage05") != "accepted")
                                     .select(F.col("stage05").alias("outcome")))

@@ -10,7 +10,8 @@ Reads: ``*.eml`` messages (binaryFile), ``*.url`` shortcuts, crawled pages
 seen list and the current listing table.  Writes a new snapshot folder under
 ``--out``: routed rows per stage (partitioned by outcome), the seen
 additions, the new listing rows, the updated table for forced rescores, the
-scoring reports and the quarantine.  Nothing is overwritten in place.
+scoring reports, the quarantine and the listing documents; ``seen`` and
+``listing_db`` there are the inputs of the next run.  Nothing is overwritten in place.
 """
 
 from __future__ import annotations
@@ -66,6 +67,10 @@ def write_outputs(out: dict, folder: str) -> None:
     files.write_snapshot(out["new_rows"], os.path.join(folder, "new_rows"))
     files.write_snapshot(out["rescored_db"].drop("updated"), os.path.join(folder, "rescored_db"))
     files.write_snapshot(out["quarantine"].select("url", "name"), os.path.join(folder, "quarantine"))
+    # the state the next run starts from, and the listing documents
+    files.write_snapshot(out["seen_next"], os.path.join(folder, "seen"))
+    files.write_snapshot(out["listing_db_next"], os.path.join(folder, "listing_db"))
+    files.write_snapshot(out["documents"], os.path.join(folder, "documents"))
 
 
 def main(argv=None) -> None:
