@@ -233,3 +233,21 @@ def rules_competency(spark, sf_dir):
     out = table(spark, sf_dir, "events").select("event_id", rules.competency_items(absent).alias("items"))
     return out.select("event_id", F.array_join("items.detail", ", ").alias("absent"),
                       F.aggregate("items.points", F.lit(0), lambda s, x: s + x).alias("points"))
+
+
+# ---------------------------------------------------------------- P19
+@register("score_fields", sql=f"""
+SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN '20250115' ELSE '{TODAY}' END AS date_published,
+       CASE WHEN n_chars % 4 = 0 OR source IS NULL THEN '{_SRC}' ELSE source END AS source
+FROM documents
+""")
+def score_fields(spark, sf_dir):
+    """Date and source of a score response with their defaults."""
+    n = F.col("n_chars")
+    response = F.parse_json(F.to_json(F.struct(
+        F.lit("CFO").alias("job_title"),
+        F.when(n % 3 == 0, "20250115").when(n % 3 == 1, "15/01/2025").alias("date_published"),
+        F.when(n % 4 != 0, F.col("source")).alias("source"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", response.alias("response"))
+    out = sc.score_responses(docs, F.col("response"), TODAY, out="x")
+    return out.select("doc_id", "x.date_published", "x.source")
