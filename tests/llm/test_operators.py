@@ -228,6 +228,18 @@ def test_nearest(spark):
     assert len(few) == 3
 
 
+def test_nearest_keeps_its_recall_on_larger_tables(spark):
+    x = np.random.default_rng(8).normal(size=(8000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), k=10, tables=4, bucket_points=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d = ((x[::100, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2)
+    d[np.arange(80), np.arange(0, 8000, 100)] = np.inf
+    recall = np.mean([len(got[100 * i] & set(row[:10].tolist())) / 10 for i, row in enumerate(np.argsort(d, axis=1))])
+    assert recall >= 0.93  # 4 tables x 8 probes x 32 points hold a tenth of the points at most
+
+
 def plain_base(text):
     out = []
     out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

@@ -3,8 +3,13 @@
 A fast pseudo-rotation (three rounds of random signs and a Hadamard transform)
 turns a unit vector; its code is the nearest signed axis among the first ``m``.
 Several tables use other rotations, two codes are joined where one is too
-coarse, and a query also probes its next nearest axes.  Candidates are ranked
-by exact Euclidean distance in double precision on the original vectors.
+coarse, and a query also probes its next nearest signed axes.  Candidates are
+ranked by exact Euclidean distance in double precision on the original vectors.
+A fixed number of probes finds ever fewer of the nearest as points grow, so the
+true neighbours of a hashed sample of the queries are found by comparing it with
+all points, and probes are doubled until that share of them (``target``) lies in
+a probed bucket.  Where probing would read as much as the whole table, the
+queries are compared with all points.
 
 Plan.  Exact copies become one point with its few smallest ids (enough for any
 answer, as ties go to smaller ids), so a hot vector costs one row.  The number
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from vetline.llm import common as C
 
 TABLES, PROBES, BUCKET_POINTS, SALT_POINTS = 10, 8, 256, 4_000
+#: Recall that probes are doubled for, and the queries of a vector length it is measured on.
+TARGET, SAMPLE_QUERIES = 0.97, 128
 
 
 def rotations(dim: int, table: int, seed: int) -> np.ndarray:
@@ -67,10 +74,10 @@ def shape(points: int, dim: int, bucket_points: int) -> tuple[int, int]:
 
 def _ranked(y: np.ndarray, axes: int, probes: int):
     """The codes of the nearest signed axes and what each falls short of the nearest."""
-    y = y[:, :axes]
-    top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :probes]
-    value = np.take_along_axis(y, top, axis=1)
-    return 2 * top + (value < 0), np.abs(value[:, :1]) - np.abs(value)
+    signed = np.stack((y[:, :axes], -y[:, :axes]), axis=2).reshape(len(y), -1)
+    top = np.argsort(-signed, axis=1, kind="stable")[:, :probes]
+    value = np.take_along_axis(signed, top, axis=1)
+    return top, value[:, :1] - value
 
 
 def codes(unit: np.ndarray, table: int, axes: tuple[int, int], probes: int, seed: int) -> np.ndarray:
@@ -93,14 +100,70 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
 def usable(column):
     finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return column.isNotNull() & finite & F.exists(column, lambda x: x != 0)
 
 
+def neighbours(points: DataFrame, sample: dict[int, np.ndarray], k: int) -> pa.Table:
+    """dim, q (a row of the sample), vec: the true k nearest points of each
+    sampled vector, without those equal to it (they share its buckets)."""
+    def run(batches):
+        best = {dim: [(np.zeros(0), np.zeros((0, dim)))] * len(q) for dim, q in sample.items()}
+        for b in batches:
+            dims = np.array(pc.list_value_length(b["vec"]))
+            for dim in np.unique(dims):
+                q = sample.get(int(dim))
+                if q is None:
+                    continue
+                x = _matrix(b["vec"].take(pa.array(np.flatnonzero(dims == dim))), dim)
+                own = (q * q).sum(axis=1)
+                for i, d in enumerate(own[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)):
+                    d = np.where(d <= 1e-12 * own[i], np.inf, d)
+                    near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
+                    d, v = np.append(best[dim][i][0], d[near]), np.concatenate((best[dim][i][1], x[near]))
+                    near = np.argsort(d, kind="stable")[:k]
+                    near = near[np.isfinite(d[near])]
+                    best[dim][i] = (d[near], v[near])
+        for dim, rows in best.items():
+            for i, (d, v) in enumerate(rows):
+                if len(d):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(d), dim, np.int32)), pa.array(np.full(len(d), i, np.int32)), pa.array(d),
+                         pa.array(list(v), pa.list_(pa.float64()))], ["dim", "q", "d", "vec"])
+
+    place = F.row_number().over(Window.partitionBy("dim", "q").orderBy("d", "vec"))
+    return (points.select("vec").mapInArrow(run, "dim int, q int, d double, vec array<double>")
+            .withColumn("place", place).where(F.col("place") <= k).select("dim", "q", "vec").toArrow())
+
+
+def probes_for(asked: np.ndarray, near: np.ndarray, of: np.ndarray, points: int, axes: tuple[int, int], tables: int,
+               probes: int, bucket_points: int, target: float, seed: int) -> tuple[tuple[int, int], int]:
+    """Axes and probes at which ``target`` of the true neighbours (``near``, of
+    row ``of`` in ``asked``) lie in probed buckets: no axes, so one bucket, where
+    that many probes would read the whole table."""
+    home = [codes(near, t, axes, 1, seed) for t in range(tables)]
+    while True:
+        hit = np.zeros(len(near), dtype=bool)
+        for t in range(tables):
+            hit |= (codes(asked, t, axes, probes, seed)[of] == home[t]).any(axis=1)
+        if hit.mean() >= target:
+            return axes, probes
+        if tables * probes * bucket_points >= points:
+            return (0, 0), 1
+        probes *= 2
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-            tables: int = TABLES, probes: int = PROBES, bucket_points: int = BUCKET_POINTS, seed: int = 3) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each query row."""
+            tables: int = TABLES, probes: int = PROBES, bucket_points: int = BUCKET_POINTS, seed: int = 3,
+            target: float = TARGET) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest found of each query row;
+    ``probes`` is the least number, doubled where ``target`` needs more."""
     spark = vectors.sparkSession
     C.small_batches(spark, 4000)
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -129,8 +192,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
               .groupBy("vec").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
               .withColumn("dim", F.size("vec")))
     points = C.materialise(points, "points")
-    axes = {r["dim"]: shape(r["n"], r["dim"], bucket_points)
-            for r in points.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vector length
+    count = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a vector length
+    axes = {dim: shape(n, dim, bucket_points) for dim, n in count.items()}
+    wide = dict.fromkeys(axes, probes)
+    asking = tidy(queries).select("vec", F.size("vec").alias("dim")).distinct()
+    share = {r["dim"]: SAMPLE_QUERIES / r["n"] for r in asking.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()
+             if axes.get(r["dim"], (0, 0))[0]}
+    if share:
+        limit = F.element_at(F.create_map(*[F.lit(x) for dim, s in share.items() for x in (dim, int(min(1.0, s) * (1 << 30)))]), F.col("dim"))
+        chosen = asking.where(F.pmod(F.xxhash64("vec", F.lit(9)), F.lit(1 << 30)) < limit).toArrow()
+        dims = chosen["dim"].to_numpy()
+        sample = {int(dim): _matrix(chosen["vec"].take(pa.array(np.flatnonzero(dims == dim))), dim) for dim in np.unique(dims)}
+        true = neighbours(points, sample, k)
+        dims = true["dim"].to_numpy()
+        for dim in np.unique(dims).tolist():
+            some = pa.array(np.flatnonzero(dims == dim))
+            axes[dim], wide[dim] = probes_for(
+                _unit(sample[dim]), _unit(_matrix(true["vec"].take(some), dim)), true["q"].take(some).to_numpy(),
+                count[dim], axes[dim], tables, probes, bucket_points, target, seed)
 
     def deal(n_probes):
         def run(batches):
@@ -138,11 +217,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 dims = np.array(pc.list_value_length(b["vec"]))
                 for dim in np.unique(dims):
                     part = b.take(pa.array(np.flatnonzero(dims == dim)))
-                    x = _matrix(part["vec"], dim)
-                    unit = x / np.abs(x).max(axis=1, keepdims=True)
-                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                    unit = _unit(_matrix(part["vec"], dim))
                     for t in range(tables if axes.get(int(dim), (0, 0))[0] else 1):
-                        code = codes(unit, t, axes.get(int(dim), (0, 0)), n_probes, seed)
+                        code = codes(unit, t, axes.get(int(dim), (0, 0)), n_probes.get(int(dim), 1), seed)
                         for p in range(code.shape[1]):
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(np.full(len(part), dim, np.int32)), pa.array(np.full(len(part), t, np.int32)),
@@ -150,11 +227,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         return run
 
     head = f"dim int, tab int, code long, {{}}, vec array<{element}>"
-    dealt = C.materialise(points.select("ids", "vec").mapInArrow(deal(1), head.format(f"ids array<{kind}>")), "dealt")
+    dealt = C.materialise(points.select("ids", "vec").mapInArrow(deal({}), head.format(f"ids array<{kind}>")), "dealt")
     key = ["dim", "tab", "code"]
     sizes = dealt.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SALT_POINTS).cast("int").alias("salts"))
     stored = (dealt.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), "salts").cast("int")).drop("salts"))
-    asked = (tidy(queries).distinct().mapInArrow(deal(probes), head.format(f"id {kind}")).join(sizes, key)
+    asked = (tidy(queries).distinct().mapInArrow(deal(wide), head.format(f"id {kind}")).join(sizes, key)
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
 
     def rank(q: pa.Table, v: pa.Table) -> pa.Table:
