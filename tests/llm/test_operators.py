@@ -269,6 +269,22 @@ def test_personal_data(spark):
     assert pii.find(df.where("false")).count() == 0
 
 
+def test_personal_data_in_digit_groups(spark):
+    texts = [f"please call +1 (017) 555-77{n} today" for n in range(20, 30)]
+    texts += [f"we pay card {c[:4]} {c[4:8]} {c[8:12]} {c[12:]} now" for c in
+              ("4111111111111111", "5500005555555559", "4012888888881881", "6011000990139424", "5105105105105100", "5555555555554444")]
+    texts += ["please call (017) 555-7713 today", "we pay card 4111 1111 1111 1112 now", "the years 1998 1999 2000 2001 were fine", "call x (017) 555-7713)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    found = [[(s.kind, texts[i][s.start:s.end]) for s in got[i].spans] for i in range(len(texts))]
+    assert all(len(f) == 1 and got[i].base == got[i].spans for i, f in enumerate(found[:16]))
+    assert not got[16].base and ("phone", "(017) 555-7713") in found[16]
+    assert not got[17].base and ("card", "4111 1111 1111 1112") in found[17]
+    assert not found[18]
+    table = "card 4111 1111 1111 1112 " + "2020 " * 30 + "(017) 555-7713 today"
+    assert {table[a:z] for a, z in pii.digit_runs(table, [])} >= {"4111 1111 1111 1112", "(017) 555-7713"}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)

@@ -1,9 +1,13 @@
 """Personal data: exact patterns, and more found by bootstrapped contexts.
 
 Four kinds have exact rules (email, ip, card, phone); their matches are seeds.
-Every other token that looks like an identifier is a candidate.  A mention
-belongs to two lexical patterns: the word before it, or after it, with the
-shape of the token (runs of letters, digits, signs).  Spark scores the graph of
+Every other token that looks like an identifier is a candidate, and so are
+digit groups joined by blanks or signs, of as many digits as a phone or card.
+A mention belongs to two lexical patterns: the word before it, or after it, with
+the shape of the token (runs of letters, digits, signs).  Cards, phones and runs
+of digit groups also belong to the word before or after with only a class of
+digit counts, so another way of writing a number is found in the same context.
+Spark scores the graph of
 patterns and instances in turns: a pattern by the mean score of its instances,
 discounted where few seeds support it; an instance by noisy-or of its patterns,
 seeds staying at 1.  Candidates in patterns of high confidence are added with
@@ -14,7 +18,8 @@ mentions; graphs are grouped by pattern or instance with partial aggregation;
 texts are not shuffled.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive;
-each input row gives one row, repeated ids too; other columns are ignored.
+each input row gives one row, repeated ids too; other columns are ignored;
+discovered spans may overlap each other.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match always starts at
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_RUN = re.compile(r"[+(]{0,2}[0-9]+(?:[\x20().-]{1,3}[0-9]+)*")
+_DIGITS = re.compile(r"[0-9]+")
+#: Digits of the shortest phone and the longest card, and from which a run may be a card.
+LEAST_DIGITS, MOST_DIGITS, CARD_DIGITS = 9, 19, 13
 _EDGE = ".,;:!?\"'()[]{}<>|"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,10 +91,49 @@ def token_shape(token: str) -> str:
     return re.sub(r"[0-9]+", lambda m: "9" if len(m.group()) < 6 else f"9{len(m.group())}", short)
 
 
+def digit_runs(text: str, taken: list[tuple[int, int]]) -> dict[tuple[int, int], bool]:
+    """(start, end) of digit groups joined by blanks or signs outside the taken
+    spans, and whether the digit count is a context's shape: all of a run, or
+    the first and last groups of one too long."""
+    out: dict[tuple[int, int], bool] = {}
+    at = 0
+    for a, z in [*taken, (len(text), len(text))]:
+        for m in _RUN.finditer(text, at, a) if at < a else ():
+            first, last = m.span()
+            if last - first < LEAST_DIGITS or (first and (text[first - 1].isalnum() or text[first - 1] in "_@")) or (
+                    last < len(text) and (text[last].isalnum() or text[last] in "_@")):
+                continue
+            groups = [g.span() for g in _DIGITS.finditer(text, first, last)]
+            start = first if ")" in m.group() or "(" not in m.group() else groups[0][0]
+            n, heads = 0, []
+            for x, y in groups:
+                n += y - x
+                if LEAST_DIGITS <= n <= MOST_DIGITS:
+                    heads.append((start, y))
+                elif n > MOST_DIGITS:
+                    break
+            n, tails = 0, []
+            for i in range(len(groups) - 1, -1, -1):
+                n += groups[i][1] - groups[i][0]
+                if LEAST_DIGITS <= n <= MOST_DIGITS:
+                    # an opening bracket goes with its group
+                    x = start if not i else groups[i][0] - (text[groups[i][0] - 1] == "(")
+                    tails.append((x, last))
+                elif n > MOST_DIGITS:
+                    break
+            for spans in (heads, tails):
+                for k, span in enumerate(spans, 1):
+                    out[span] = out.get(span, False) or k == len(spans)
+        at = max(at, z)
+    return out
+
+
 def mentions(text: str, base: list) -> list[tuple]:
     """(start, end, instance, kind or None, [patterns]) of seeds and candidates."""
     found = [(a, z, kind) for kind, a, z in base]
     taken = sorted((a, z) for _, a, z in base)
+    runs = digit_runs(text, taken)
+    found += [(a, z, None) for a, z in runs]
     k = 0
     for m in _TOKEN.finditer(text):
         a, z = m.span()
@@ -96,7 +144,7 @@ def mentions(text: str, base: list) -> list[tuple]:
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         clash = k < len(taken) and taken[k][0] < z
-        if not clash and z - a >= 7 and ("@" in text[a:z] or sum(c in "0123456789" for c in text[a:z]) >= 4):
+        if not clash and z - a >= 7 and (a, z) not in runs and ("@" in text[a:z] or sum(c in "0123456789" for c in text[a:z]) >= 4):
             found.append((a, z, None))
     out = []
     for a, z, kind in sorted(found, key=lambda x: x[:2]):
@@ -106,7 +154,12 @@ def mentions(text: str, base: list) -> list[tuple]:
         left = before[-1].strip(_EDGE).lower() if before else ""
         right = after.group().strip(_EDGE).lower() if after else ""
         s = token_shape(token)
-        out.append((a, z, token, kind, [f"{left} <{s}>", f"<{s}> {right}"]))
+        patterns = [f"{left} <{s}>", f"<{s}> {right}"]
+        if kind in ("card", "phone") or (kind is None and runs.get((a, z))):
+            size = "long" if sum(c in "0123456789" for c in token) >= CARD_DIGITS else "short"
+            patterns += [f"{left} #{size}"] if any(map(str.isalpha, left)) else []
+            patterns += [f"#{size} {right}"] if any(map(str.isalpha, right)) else []
+        out.append((a, z, token, kind, patterns))
     return out
 
 
