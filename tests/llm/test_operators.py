@@ -109,6 +109,22 @@ def test_vantage_point_trees_lose_no_link():
     assert len({*zip(whole.tolist(), root)}) == len(set(root)) == len(set(whole.tolist()))
 
 
+def test_salts_spread_one_leaf_and_lose_no_link():
+    assert simhash.salts_of(4_000, 1, 6) == 4 and simhash.salts_of(100_000, 1, 6) == 6  # one leaf, several tasks
+    assert simhash.salts_of(100, 1, 6) == 1 and simhash.salts_of(10_000_000, 100, 6) == 4
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, size=300, dtype=np.uint64)
+    points = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << np.uint64(b)) for b in range(0, 60, 7)]))
+    home = rng.random(len(points)) < 0.7
+    want, got, asked = simhash.link_forest(points, home, 2, block=32), np.arange(len(points)), []
+    for idx, _, asks in simhash.salted(points, home, 4):
+        assert asks.sum() < len(points) / 2
+        asked += idx[asks].tolist()
+        label = simhash.link_forest(points[idx], home[idx], 2, block=32, asks=asks)
+        simhash._union(got, idx, idx[label])
+    assert sorted(asked) == list(range(len(points))) and np.array_equal(got, want)
+
+
 def test_components_join_chains(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -6,7 +6,9 @@ fingerprint once, so a group of exact copies is one point however large.  A
 vantage-point tree over a bounded sample (``sample_points``) deals points to
 shards by Hamming distance.  A point lives in one leaf and also visits each
 later leaf that the triangle bound cannot rule out, so every pair within the
-radius meets in exactly one shard.  A shard goes on splitting by vantage points
+radius meets in exactly one leaf.  The points that ask in a leaf are dealt over
+salts, each with all points that live there, so neither a small table's only
+leaf nor a full one's visitors fall to one task.  A shard goes on splitting by vantage points
 down to small blocks, compares blocks exactly, and returns only a spanning
 forest of its links: never more rows than points.  Forests are joined by
 alternating star contraction in Spark.
@@ -36,6 +38,8 @@ from vetline.llm import common as C
 
 SAMPLE_POINTS = 20_000
 LEAF_POINTS = 100_000
+#: Asking points of a salt: at most about the first, at least about the second.
+ASK_POINTS, LEAST_ASK_POINTS = 25_000, 1_000
 BLOCK = 384
 
 
@@ -157,10 +161,26 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def link_forest(points: np.ndarray, home: np.ndarray, radius: int, block: int = BLOCK, seed: int = 11) -> np.ndarray:
-    """Component label (an index) of each point, over links from any point to a home point."""
+def salts_of(points: int, leaves: int, parallelism: int) -> int:
+    """Over how many salts the asking points of each leaf are dealt."""
+    each = points / max(1, leaves)
+    want = max(each / ASK_POINTS, min(parallelism / max(1, leaves), each / LEAST_ASK_POINTS))
+    return max(1, math.ceil(want))
+
+
+def salted(fp: np.ndarray, home: np.ndarray, salts: int):
+    """(point index, salt, asks): where each point asks, and every salt for one that lives in the leaf."""
+    own = (C.mix(fp) % np.uint64(salts)).astype(np.int32)
+    for salt in range(salts):
+        idx = np.flatnonzero(home | (own == salt))
+        yield idx, salt, own[idx] == salt
+
+
+def link_forest(points: np.ndarray, home: np.ndarray, radius: int, block: int = BLOCK, seed: int = 11,
+                asks: np.ndarray | None = None) -> np.ndarray:
+    """Component label (an index) of each point, over links from any asking point to a home point."""
     rng, label = np.random.default_rng(seed), np.arange(len(points))
-    stack = [(np.flatnonzero(home), np.arange(len(points)))]
+    stack = [(np.flatnonzero(home), np.arange(len(points)) if asks is None else np.flatnonzero(asks))]
     while stack:
         own, ask = stack.pop()
         if not len(own) or not len(ask):
@@ -224,24 +244,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         taken = points.select("fp")
     sample = np.sort(np.array([r[0] for r in taken.collect()], dtype=np.int64)).view(np.uint64)
-    nodes = build_tree(sample, math.ceil(n / leaf_points))
+    leaves = math.ceil(n / leaf_points)
+    nodes = build_tree(sample, leaves)
+    salts = salts_of(n, leaves, spark.sparkContext.defaultParallelism)
 
     def deal(batches):
         for x in batches:
             fp = x["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
             for idx, leaf, home in visits(fp, nodes, max_bits):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(idx), leaf, np.int32)), pa.array(fp[idx].view(np.int64)), pa.array(home)],
-                    ["leaf", "fp", "home"])
+                for some, salt, asks in salted(fp[idx], home, salts):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), leaf, np.int32)), pa.array(np.full(len(some), salt, np.int32)),
+                         pa.array(fp[idx[some]].view(np.int64)), pa.array(home[some]), pa.array(asks)],
+                        ["leaf", "salt", "fp", "home", "asks"])
 
     def link(table: pa.Table) -> pa.Table:
         fp = table["fp"].to_numpy().view(np.uint64)
-        label = link_forest(fp, table["home"].to_numpy(), max_bits)
+        label = link_forest(fp, table["home"].to_numpy(), max_bits, asks=table["asks"].to_numpy())
         far = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"a": pa.array(fp[far].view(np.int64)), "b": pa.array(fp[label[far]].view(np.int64))})
 
-    edges = (points.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
-             .groupBy("leaf").applyInArrow(link, "a long, b long"))
+    edges = (points.select("fp").mapInArrow(deal, "leaf int, salt int, fp long, home boolean, asks boolean")
+             .groupBy("leaf", "salt").applyInArrow(link, "a long, b long"))
     roots = components(edges)
     placed = points.join(roots, points.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
