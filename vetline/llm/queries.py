@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm import ann, packing, pii, quality, simhash, substring_dedup, tiling, token_file, toxicity, warc
+from vetline.llm import ann, packing, pii, quality, sharding, simhash, substring_dedup, tiling, token_file, toxicity, vector_codes, vocabulary, warc
+from vetline.llm.oracles import ORACLE_SQL  # noqa: F401  (the driver's entry reads it here)
 from vetline.session import checkpoint_dir
 from vetline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def register(fn):
@@ -108,3 +108,29 @@ def op9_packing(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     """Documents that hold a benchmark item, in whatever order of its parts."""
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op11_sharding(spark, sf_dir):
+    """Documents on a ring of 16 shards whose counts are at most one apart."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    placed = sharding.shard(docs, 16, key_col="doc_id", order_cols=("size", "text_crc32"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op12_source_divergence(spark, sf_dir):
+    """Divergence of each source's vocabulary from the other sources of its language."""
+    return vocabulary.divergence(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_vector_codes(spark, sf_dir):
+    """Vectors as product codes of 16 parts and 64 entries each."""
+    codes, books, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    sha = F.create_map(*[F.lit(x) for n, b in books.items() for x in (n, vector_codes.digest(b))]) if books else None
+    out = vector_codes.with_label_errors(codes)
+    return out.select(F.col("id").cast("long").alias("vec_id"), vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error",
+                      (sha[F.col("length")] if books else F.lit(None).cast("string")).alias("codebooks_sha256"))
