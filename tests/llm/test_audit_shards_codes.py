@@ -134,12 +134,16 @@ def test_divergence(spark, term_docs):
     assert [t for _, t in got.dtypes] == ["string", "string", "string", "string", "bigint", "int"]
 
 
-def test_divergence_in_small_blocks(spark, term_docs, monkeypatch):
-    df = spark.createDataFrame([(*r, "x", 1) for r in term_docs], SCHEMA).repartition(2)
-    blocks = vocabulary.chunk_blocks(df.select("lang", "source", "text").na.fill(""))
-    assert blocks.where(F.size("docs") == 0).count() == 0
-    cells = blocks.groupBy("block", "lang", "source", "chunk").count().where("count > 1").count()
-    assert cells == 0
+def test_divergence_in_small_blocks(spark, term_docs):
+    df = spark.createDataFrame([(*r, "x", 1) for r in term_docs], SCHEMA).repartition(2).select("lang", "source", "text").na.fill("")
+
+    def counts(**limits):
+        rows = vocabulary.block_terms(df, **limits).select("lang", "term", "n_docs", F.explode("by_source").alias("x"))
+        per_term = vocabulary.block_terms(df, **limits).groupBy("lang", "term").agg(F.sum("n_docs")).collect()
+        return sorted(map(tuple, per_term)), sorted(map(tuple, rows.groupBy("lang", "term", "x.source").agg(F.sum("x.n")).collect()))
+    assert counts(buckets=1) == counts(buckets=50, block_docs=3) == counts(buckets=5, block_bytes=100)
+    blocks = vocabulary.chunk_blocks(df, 5, block_docs=7)
+    assert blocks.where("bucket >= 0").groupBy("block", "bucket").count().where("count > 1").count() == 0
     # shared sums over many blocks of terms are those over one
     shares = spark.createDataFrame([("en", s, f"t{t}", 5 + s * t, 3 + s) for t in range(40) for s in range(4) if (s + t) % 3], "lang string, s_id long, term string, p long, p0 long")
     one, many = (sorted(map(tuple, vocabulary._shared_sums(shares, n).collect())) for n in (1, 13))

@@ -6,15 +6,19 @@ a text are those of its white-space chunks, and a corpus has far fewer
 different chunks than chunks.
 
 Plan.
-1. Chunks are counted where the texts lie, in blocks of documents: one row a
-   (block, lang, source, chunk) with its occurrences and the block's documents
-   that hold it (16-bit numbers).
-2. Each globally distinct chunk is tokenized once, and its terms are joined
-   back on the chunk; AQE splits the join where a chunk is in every block.
-3. A block's rows meet again and are reduced to (lang, source, term)
-   with occurrences and distinct documents, as a term may reach one document
-   through several chunks ("the", "the,").  A group is one block of bounded
-   size.  Partial aggregation then gives the counts of the corpus.
+1. Chunks are counted where the texts lie, in blocks of documents: a block's
+   different chunks, dealt to buckets by their hash, and for each chunk the
+   block's document (16 bits) of every occurrence.  A row is a block's share of
+   a bucket, so neither words nor counts travel one by one, and a chunk that is
+   in every text takes one entry a block.
+2. A bucket brings together all entries of its chunks: each globally distinct
+   chunk is tokenized once and its terms are joined back to the entries.  The
+   number of buckets grows with the bytes of text.
+3. A block's terms meet its occurrences again and are reduced to terms with
+   occurrences by source and distinct documents, as a term may reach one
+   document through several chunks ("the", "the,").  A group is one block of
+   bounded size.  Partial aggregation then gives the documents of each term in
+   the corpus, and the occurrences of the terms that are kept.
 4. Shares are exact integers.  For a pair of sources, the sum over all kept
    terms is put together from terms that both have, terms of one only and
    terms of neither.  Blocks of terms give, for every two sources that
@@ -39,126 +43,154 @@ from pyspark.sql import functions as F
 from vetline.llm import common as C
 
 MIN_DOCS, TOP_TERMS, ONE = 10, 10, 1_000_000_000
-#: A block closes at so many documents or bytes of text.
-BLOCK_DOCS, BLOCK_BYTES = 4096, 8 << 20
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A block closes at so many documents or bytes of text; a bucket is for so many bytes.
+BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 1 << 14, 24 << 20, 16 << 20
 _KEYS = ["lang", "source"]
+#: Bytes that are in no term.
+NOT_TERM = np.zeros(256, dtype=bool)
+NOT_TERM[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
-def _group_codes(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Number of each row's (lang, source), and the two values of each number."""
-    lang, source = b["lang"].dictionary_encode(), b["source"].dictionary_encode()
-    both = lang.indices.to_numpy().astype(np.int64) * max(1, len(source.dictionary)) + source.indices.to_numpy()
-    names, code = np.unique(both, return_inverse=True)
-    n = max(1, len(source.dictionary))
-    return code, lang.dictionary.take(pa.array(names // n)), source.dictionary.take(pa.array(names % n))
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts in a sorted array."""
+    return np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, np.int64)
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the keys (last is most significant) and where each new run starts."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), dtype=bool)
-    if len(order):
-        new[0] = True
-        for k in keys:
-            new[1:] |= np.diff(k[order]) != 0
-    return order, np.flatnonzero(new)
+def _slices(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``values`` cut at ``ends`` (which starts with 0) into binaries."""
+    values = np.ascontiguousarray(values)
+    ends = (ends * values.itemsize).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def chunk_blocks(docs: DataFrame) -> DataFrame:
-    """block, lang, source, chunk, n (occurrences), docs (the block's documents that hold it)."""
-    names = ["block", "lang", "source", "chunk", "n", "docs"]
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table[name].combine_chunks()
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
-    def count(b: pa.RecordBatch, block: int):
+
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype=kind).astype(np.int64)
+
+
+def chunk_blocks(docs: DataFrame, buckets: int, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row a block and bucket: chunks, how often each occurs (u32), the document
+    of each occurrence (u16); and a row (bucket -1) a block with its groups:
+    langs, sources and each one's first document (u32).  A block's documents are
+    numbered by group."""
+    block_docs = min(block_docs, 1 << 16)
+    names = ["block", "bucket", "chunks", "sizes", "docs", "langs", "sources"]
+    texts, none = pa.list_(pa.string()), [None]
+
+    def count(b: pa.RecordBatch, block: int) -> list[pa.RecordBatch]:
+        groups = pa.table({"lang": b["lang"], "source": b["source"], "row": np.arange(len(b))}).sort_by([("lang", "ascending"), ("source", "ascending"), ("row", "ascending")])
+        order, lang, source = groups["row"].to_numpy(), _column(groups, "lang"), _column(groups, "source")
+        number = np.empty(len(b), dtype=np.int64)
+        number[order] = np.arange(len(b))
+        code = np.unique(np.array([lang.dictionary_encode().indices.to_numpy(), source.dictionary_encode().indices.to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+        first = _runs(code)
+        out = [pa.RecordBatch.from_arrays(
+            [pa.array([block]), pa.array([-1], pa.int32()), pa.array(none, texts), pa.array([first.astype("<u4").tobytes()], pa.binary()),
+             pa.array(none, pa.binary()), pa.array([lang.take(pa.array(first)).to_pylist()], texts),
+             pa.array([source.take(pa.array(first)).to_pylist()], texts)], names)]
         words = C.split_words(b["text"])
         if not len(words):
-            return None
-        group, langs, sources = _group_codes(b)
+            return out
         coded = words.array().dictionary_encode()
-        chunk = coded.indices.to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(len(b)), np.diff(words.off))
-        order, first = _runs(doc, chunk, group[doc])           # one run a (group, chunk, document)
-        chunk, doc, of = chunk[order[first]], doc[order[first]], group[doc[order[first]]]
-        n = np.diff(np.append(first, len(order)))
-        start = np.flatnonzero(np.r_[True, (np.diff(chunk) != 0) | (np.diff(of) != 0)])
-        ends = np.append(start, len(chunk)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(start), block)), langs.take(pa.array(of[start])), sources.take(pa.array(of[start])),
-             coded.dictionary.take(pa.array(chunk[start])).cast(pa.string()), pa.array(np.add.reduceat(n, start)),
-             pa.ListArray.from_arrays(pa.array(ends), pa.array(doc.astype(np.int16)))], names)
+        chunks = coded.dictionary
+        bucket = (C.word_hashes(C.split_words(chunks)) % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(chunks), dtype=np.int64)
+        rank[by_bucket] = np.arange(len(chunks))
+        seen = np.sort((rank[coded.indices.to_numpy()] << 16) | np.repeat(number, np.diff(words.off)))
+        sizes = np.bincount(seen >> 16, minlength=len(chunks))
+        first = _runs(bucket[by_bucket])
+        ends = np.append(first, len(chunks))
+        n = len(first)
+        empty = pa.array([None] * n, texts)
+        out.append(pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.array(bucket[by_bucket[first]].astype(np.int32)),
+             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), chunks.take(pa.array(by_bucket)).cast(pa.string())),
+             _slices(sizes.astype("<u4"), ends), _slices((seen & 0xFFFF).astype("<u2"), np.concatenate(([0], np.cumsum(sizes)))[ends]),
+             empty, empty], names))
+        return out
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
-        held, size = [], 0
-
-        def close():
-            nonlocal block
-            table = pa.Table.from_batches(held).combine_chunks()
-            out = count(table.to_batches()[0], block) if table.num_rows else None
-            block += 1
-            return out
-
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for b in batches:
             lengths = np.cumsum(np.diff(C.text_bytes(b["text"])[1]))
             i = 0
-            while i < len(b):  # cut where the block is full; one long document is a block of its own
+            while i < len(b):  # cut where the block is full; a longer document is a block of its own
                 past = lengths[i - 1] if i else 0
-                j = min(max(i + 1, int(np.searchsorted(lengths, past + BLOCK_BYTES - size, side="right"))),
-                        i + BLOCK_DOCS - sum(map(len, held)), len(b))
+                j = min(max(i + 1, int(np.searchsorted(lengths, past + block_bytes - size, side="right"))),
+                        i + block_docs - sum(map(len, held)), len(b))
                 held.append(b.slice(i, j - i))
                 size += int(lengths[j - 1] - past)
                 i = j
-                if size >= BLOCK_BYTES or sum(map(len, held)) >= BLOCK_DOCS:
-                    if (out := close()) is not None:
-                        yield out
-                    held, size = [], 0
-        if held and (out := close()) is not None:
-            yield out
+                if size >= block_bytes or sum(map(len, held)) >= block_docs:
+                    yield from count(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
+                    block, held, size = block + 1, [], 0
+        if sum(map(len, held)):
+            yield from count(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
 
     C.small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "block long, lang string, source string, chunk string, n long, docs array<short>")
-
-
-def chunk_terms(blocks: DataFrame) -> DataFrame:
-    """chunk, terms: every distinct chunk that holds a term, tokenized once."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    chunks = blocks.select("chunk").distinct()
-    return (chunks.select("chunk", F.regexp_extract_all(F.translate("chunk", upper, lower), F.lit(_TERM), 0).alias("terms"))
-            .where(F.size("terms") > 0))
-
-
-def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, source, term, n (occurrences), n_docs (documents that hold it)."""
-    docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a)
-                         for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    blocks = C.materialise(chunk_blocks(docs), "chunks")
-    joined = blocks.join(chunk_terms(blocks), "chunk").select("block", *_KEYS, "terms", "n", "docs")
-
-    def reduce(table: pa.Table) -> pa.Table:
-        b = table.combine_chunks().to_batches()[0]
-        group, langs, sources = _group_codes(b)
-        sizes = np.diff(b["terms"].offsets.to_numpy())
-        row = np.repeat(np.arange(len(b)), sizes)              # the row of each term
-        coded = b["terms"].flatten().dictionary_encode()
-        term = coded.indices.to_numpy().astype(np.int64)
-        n = b["n"].to_numpy()[row]
-        order, first = _runs(term, group[row])
-        key = np.zeros(len(order), dtype=np.int64)
-        key[order] = np.cumsum(np.isin(np.arange(len(order)), first, assume_unique=True)) - 1
-        occurrences = np.add.reduceat(n[order], first)
-        # distinct documents of each (group, term)
-        at = b["docs"].offsets.to_numpy()
-        held = np.diff(at)[row]
-        flat = b["docs"].values.to_numpy()
-        place = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held) + np.repeat(at[:-1][row], held)
-        pairs = np.unique(np.repeat(key, held) * (1 << 16) + flat[place].astype(np.int64))
-        n_docs = np.bincount(pairs >> 16, minlength=len(first))
-        of = group[row[order[first]]]
-        return pa.table({"lang": langs.take(pa.array(of)), "source": sources.take(pa.array(of)),
-                         "term": coded.dictionary.take(pa.array(term[order[first]])), "n": occurrences, "n_docs": n_docs})
-
-    per_block = joined.groupBy("block").applyInArrow(reduce, "lang string, source string, term string, n long, n_docs long")
-    return per_block.groupBy(*_KEYS, "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    return docs.mapInArrow(run, "block long, bucket int, chunks array<string>, sizes binary, docs binary, langs array<string>, sources array<string>")
+
+
+def _tokenize(table: pa.Table) -> pa.Table:
+    """The entries of one bucket with the terms of their chunks: each distinct
+    chunk is tokenized once."""
+    chunks = _column(table, "chunks")
+    coded = chunks.flatten().dictionary_encode()
+    terms = C.split_words(coded.dictionary, lower=True, ends_word=NOT_TERM)
+    entry = coded.indices.to_numpy()
+    n = np.diff(terms.off)[entry]                       # terms of each entry
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(terms.off[:-1][entry], n)
+    ends = np.concatenate(([0], np.cumsum([len(c) for c in chunks])))
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "n_terms": _slices(n.astype("<u4"), ends),
+                     "terms": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n)))[ends].astype(np.int32)),
+                                                       terms.array().cast(pa.string()).take(pa.array(place)))})
+
+
+_COUNTS = "lang string, term string, n_docs long, by_source array<struct<source:string,n:long>>"
+
+
+def _reduce(blocks: pa.Table, terms: pa.Table) -> pa.Table:
+    """One block: documents and occurrences by source of each (lang, term)."""
+    blocks, terms = blocks.sort_by("bucket"), terms.sort_by("bucket")
+    first = _numbers(_column(blocks.slice(0, 1), "sizes"), "<u4")
+    langs, sources = (pa.array(_column(blocks.slice(0, 1), c)[0].as_py(), pa.string()) for c in ("langs", "sources"))
+    sizes, docs = _numbers(_column(blocks.slice(1), "sizes"), "<u4"), _numbers(_column(blocks.slice(1), "docs"), "<u2")
+    n_terms, coded = _numbers(_column(terms, "n_terms"), "<u4"), _column(terms, "terms").flatten().dictionary_encode()
+    entry = np.repeat(np.arange(len(sizes)), n_terms)   # the chunk of each term
+    held = sizes[entry]
+    place = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held) + np.repeat((np.cumsum(sizes) - sizes)[entry], held)
+    key = np.sort((np.repeat(coded.indices.to_numpy().astype(np.int64), held) << 16) | docs[place])
+    once = _runs(key)                                   # a document of a term
+    group = np.searchsorted(first, key[once] & 0xFFFF, side="right") - 1
+    term = key[once] >> 16
+    cell = _runs(term * (len(first) + 1) + group)       # a (lang, source) of a term
+    n = np.add.reduceat(np.diff(np.append(once, len(key))), cell) if len(cell) else cell
+    n_docs = np.diff(np.append(cell, len(once)))
+    term, group = term[cell], group[cell]
+    code = langs.dictionary_encode()
+    lang = code.indices.to_numpy().astype(np.int64)[group]
+    row = _runs(term * (len(code.dictionary) + 1) + lang)
+    by_source = pa.StructArray.from_arrays([sources.take(pa.array(group)), pa.array(n, pa.int64())], ["source", "n"])
+    return pa.table({"lang": code.dictionary.take(pa.array(lang[row])), "term": coded.dictionary.take(pa.array(term[row])),
+                     "n_docs": pa.array(np.add.reduceat(n_docs, row) if len(row) else row, pa.int64()),
+                     "by_source": pa.ListArray.from_arrays(pa.array(np.append(row, len(cell)).astype(np.int32)), by_source)})
+
+
+def block_terms(docs: DataFrame, buckets: int | None = None, **limits) -> DataFrame:
+    """lang, term, n_docs, by_source: the counts of every block, from rows lang, source, text without nulls."""
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = min(max(8, -(-size // BUCKET_BYTES)), 1 << 30)
+    blocks = C.materialise(chunk_blocks(docs, buckets, **limits), "chunks")
+    terms = (blocks.where("bucket >= 0").select("block", "bucket", "chunks").groupBy("bucket")
+             .applyInArrow(_tokenize, "block long, bucket int, n_terms binary, terms array<string>"))
+    return (blocks.drop("chunks").groupBy("block").cogroup(terms.groupBy("block"))
+            .applyInArrow(_reduce, _COUNTS))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -173,8 +205,8 @@ def gap(p: Column, q: Column) -> Column:
 
 
 def _shared_sums(kept: DataFrame, blocks: int) -> DataFrame:
-    """lang, a, b, n, s: for two sources of a lang, how many terms both have and
-    what those add beyond each one's share against the other's absent term.
+    """lang, a, b, s: for two sources of a lang, what the terms that both have add
+    beyond each one's share against the other's absent term.
 
     ``kept`` has lang, s_id, term, p, p0."""
     def run(table: pa.Table) -> pa.Table:
@@ -187,12 +219,13 @@ def _shared_sums(kept: DataFrame, blocks: int) -> DataFrame:
         f = lambda x, y: (x - y) ** 2 // (x + y)
         names, local = np.unique(ids, return_inverse=True)
         width = len(names)
-        found: dict[str, np.ndarray] = {"k": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "s": np.zeros(0, np.int64)}
+        found = {"k": np.zeros(0, np.int64), "s": np.zeros(0, np.int64)}
 
-        def fold(k, n, s):
-            k, n, s = (np.concatenate((found[c], v)) for c, v in (("k", k), ("n", n), ("s", s)))
-            order, first = _runs(k)
-            found.update(k=k[order][first], n=np.add.reduceat(n[order], first), s=np.add.reduceat(s[order], first))
+        def fold(k, s):
+            k, s = (np.concatenate((found[c], v)) for c, v in (("k", k), ("s", s)))
+            order = np.argsort(k, kind="stable")
+            first = _runs(k[order])
+            found.update(k=k[order][first], s=np.add.reduceat(s[order], first))
 
         step = 1
         i = np.arange(len(term) - 1)
@@ -202,7 +235,7 @@ def _shared_sums(kept: DataFrame, blocks: int) -> DataFrame:
                 break
             j = i + step
             s = f(p[i], p[j]) - f(p[i], p0[j]) - f(p0[i], p[j]) + f(p0[i], p0[j])
-            fold(local[i] * width + local[j], np.ones(len(i), np.int64), s)
+            fold(local[i] * width + local[j], s)
             step += 1
         return pa.table({"lang": pa.array([b["lang"][0].as_py()] * len(found["k"]), pa.string()),
                          "a": names[found["k"] // max(1, width)], "b": names[found["k"] % max(1, width)], "s": found["s"]})
@@ -215,14 +248,17 @@ def _shared_sums(kept: DataFrame, blocks: int) -> DataFrame:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, lang_col: str = "lang",
                source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
-    counts = C.materialise(term_counts(docs, lang_col, source_col, text_col), "terms")
-    groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a)
-                           for c, a in ((lang_col, "lang"), (source_col, "source"))]).distinct()
-    per_lang = (counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("d"))
-                .where(F.col("d") >= min_docs).drop("d"))
-    per_lang = C.materialise(per_lang, "kept")
+    docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a)
+                         for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+    counts = C.materialise(block_terms(docs), "terms")
+    groups = docs.select(*_KEYS).distinct()
+    wanted = C.materialise(counts.groupBy("lang", "term").agg(F.sum("n_docs").alias("d")).where(F.col("d") >= min_docs).drop("d"), "kept")
+    kept = C.materialise(counts.select("lang", "term", "by_source").join(wanted, ["lang", "term"])
+                         .select("lang", "term", F.explode("by_source").alias("x"))
+                         .groupBy("lang", F.col("x.source").alias("source"), "term").agg(F.sum("x.n").alias("n")), "counts")
+    per_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"))
     langs = per_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n_lang").alias("lang_total"))
-    kept = counts.join(per_lang, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang")
+    kept = kept.join(per_lang, ["lang", "term"])
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_terms"))
     zero = F.lit(0).cast("long")
     sources = (groups.join(totals, _KEYS, "left").join(langs, "lang", "left")
@@ -230,12 +266,12 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     # p0: the share of a term that the source does not have
     sources = C.materialise(sources.withColumn("p0", F.when(F.col("v") > 0, share(zero, F.col("total"), F.col("v"))))
                             .withColumn("s_id", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long")), "sources")
-    n_kept = max(1, per_lang.count())
+    n_kept = max(1, wanted.count())
     shares = C.materialise(kept.join(sources, _KEYS).select(
         *_KEYS, "s_id", "term", "p0", share(F.col("n"), F.col("total"), F.col("v")).alias("p"),
         share(F.col("n_lang"), F.col("lang_total"), F.col("v")).alias("q")), "shares")
 
-    value, order = F.col("value"), [F.desc("value"), F.asc("item")]
+    order = [F.desc("value"), F.asc("item")]
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(*order)))
     terms = ranked(shares.where("p > q").select(*_KEYS, F.lit("term").alias("part"), F.col("term").alias("item"),
                                                 gap(F.col("p"), F.col("q")).alias("value"))).where(F.col("rank") <= top_terms)
@@ -256,5 +292,4 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
              .join(shared, ["lang", "a", "b"], "left")
              .select(*_KEYS, F.lit("pair").alias("part"), F.col("o_source").alias("item"),
                      F.when(F.col("v") > 0, plain + F.coalesce("s", zero)).otherwise(zero).alias("value")))
-    del value
     return ranked(pairs).unionByName(terms).select(*_KEYS, "part", "item", "value", "rank")
