@@ -122,14 +122,13 @@ def test_one_page_per_url(spark):
 
 
 def test_unreadable_seen_list_is_an_error(spark, tmp_dir):
-    import os
-    from vetline.streaming.intake import _seen_before
-    os.makedirs(f"{tmp_dir}/seen/batch_id=0")
-    with open(f"{tmp_dir}/seen/batch_id=0/part-0.parquet", "w") as f:
+    from vetline.sources import seen
+    assert not seen.exists(spark, f"{tmp_dir}/none")
+    seen.create(spark, f"{tmp_dir}/seen", "url", 2, spark.createDataFrame([("u",)], "url string"))
+    with open(f"{tmp_dir}/seen/keys/batch_id=-1/part-0_00000.c000.snappy.parquet", "w") as f:
         f.write("not parquet")
     with pytest.raises(Exception):
-        _seen_before(spark, f"{tmp_dir}/seen", "url", 1).count()
-    assert _seen_before(spark, f"{tmp_dir}/none", "url", 1).count() == 0
+        seen.read(spark, f"{tmp_dir}/seen").collect()
 
 
 def test_enriched_name(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vetline.operators import board as bd
 from vetline.operators import intake
-from vetline.sources import files
+from vetline.sources import files, seen
 from vetline.streaming import alerts
 from vetline.streaming import board as sboard
 from vetline.streaming import intake as sintake
@@ -38,7 +38,7 @@ def test_intake_stream_equals_batch(spark, tmp_dir):
     # one file per arrival, arrivals in name order: then stream == batch
     links.where("name < 'n030'").coalesce(1).write.parquet(os.path.join(src, "p1"))
     seen0 = spark.createDataFrame([("u1",)], "url string")
-    sintake.init_seen(seen0, os.path.join(tmp_dir, "seen"))
+    sintake.init_seen(seen0, os.path.join(tmp_dir, "seen"), buckets=4)
     stream = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 1) \
         .parquet(os.path.join(src, "*"))
     q = sintake.start_intake_stream(stream, os.path.join(tmp_dir, "seen"), os.path.join(tmp_dir, "out"),
@@ -51,7 +51,7 @@ def test_intake_stream_equals_batch(spark, tmp_dir):
     got = {r.name: r.outcome for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect()}
     want = {r.name: r.outcome for r in intake.dedup_against_seen(links, seen0).collect()}
     assert got == want
-    assert sorted(r.url for r in spark.read.parquet(os.path.join(tmp_dir, "seen")).collect()) == \
+    assert sorted(r.url for r in seen.read(spark, os.path.join(tmp_dir, "seen")).collect()) == \
         sorted({f"u{i}" for i in range(13)})
 
 
@@ -98,18 +98,6 @@ def test_shortcut_and_keyword_files(spark, tmp_dir):
     assert [r.kw for r in files.read_keywords(spark, kw).orderBy("pos").collect()] == ["pwc", "student"]
 
 
-def test_stateful_dedup_stream(spark, tmp_dir):
-    links = spark.createDataFrame([(f"n{i}", f"u{i % 5}") for i in range(20)], "name string, url string")
-    links.coalesce(1).write.parquet(os.path.join(tmp_dir, "l1"))
-    links.coalesce(1).write.parquet(os.path.join(tmp_dir, "l2"))
-    s = spark.readStream.schema(links.schema).parquet(os.path.join(tmp_dir, "l*"))
-    q = sintake.stateful_dedup(s).writeStream.format("memory").queryName("dedup_t") \
-        .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.url for r in spark.sql("SELECT url FROM dedup_t").collect()) == [f"u{i}" for i in range(5)]
-
-
 def test_page_parse_on_a_stream(spark, tmp_dir):
     from vetline.operators import pages as pg
     pages = spark.createDataFrame([(1, "u", "<h1>Title</h1><article>" + "<p>x</p>" * 50 + "</article>")],

@@ -36,11 +36,12 @@ def links_from_messages(messages: DataFrame, today: str, html_col: str = "html",
 
 
 def links_per_message(links: DataFrame) -> DataFrame:
-    """Extracted count per message plus the total (A2)."""
-    per = links.groupBy("origin_path").agg(F.count(F.lit(1)).alias("n_links"))
-    total = links.agg(F.count(F.lit(1)).alias("n_links")).select(
-        F.lit(None).cast("string").alias("origin_path"), "n_links")
-    return per.unionByName(total)
+    """Extracted count per message plus the total, which has a null path (A2):
+    one pass by rollup.  Links of a null path are counted in the total only."""
+    per = links.rollup("origin_path").agg(F.count(F.lit(1)).alias("n_links"), F.grouping("origin_path").alias("_all"))
+    total = F.col("_all") == 1
+    out = per.where(total | F.col("origin_path").isNotNull()).drop("_all")
+    return out
 
 
 def links_from_cards(cards: DataFrame, today: str) -> DataFrame:
@@ -57,53 +58,77 @@ def union_intake(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: Equal rows are given back by tasks of so many.
+COPIES = 10_000
+
+
+def _equal_rows_once(df: DataFrame, key: str, order_col: str) -> DataFrame:
+    """Each distinct row once, with ``_n`` copies and ``_at``, its place among the
+    rows of its key: by ``order_col`` (nulls last), then by hashes of its other
+    columns.  Equal rows meet in a partial aggregate, never in a window, and
+    columns that nobody reads later are not moved: hashes stand for them."""
+    def hashable(f):
+        return F.to_json(F.col(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)
+    others = [f for f in df.schema.fields if f.name not in (key, order_col)]
+    hashes = [hashable(f) for f in others] or [F.lit(0)]
+    at = F.struct(F.col(order_col).isNull().alias("z"), F.col(order_col).alias("o"),
+                  F.xxhash64(*hashes).alias("h"), F.hash(*hashes).alias("g"))
+    return (df.groupBy(F.col(key), at.alias("_at"))
+              .agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(f.name).alias(f.name) for f in others])
+              .withColumn(order_col, F.col("_at.o")).select(*df.columns, "_at", "_n"))
+
+
+def _every_copy(once: DataFrame) -> DataFrame:
+    """``_n`` copies of each row with ``_copy`` from 0; many copies of one row are
+    dealt over tasks."""
+    few = once.where(F.col("_n") <= COPIES).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    blocks = (once.where(F.col("_n") > COPIES)
+              .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long")))))
+    many = blocks.repartition(F.col("_b")).withColumn(
+        "_copy", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + COPIES, F.col("_n")) - 1))).drop("_b")
+    return few.unionByName(many)
+
+
 def flag_first_per_key(df: DataFrame, key: str, order_col: str,
                        flag: str = "is_first") -> DataFrame:
     """Mark the first row per key in ``order_col`` order.
 
-    The first value per key is a partial aggregate (map-side combine), then
-    joined back on the key; a key holding a third of the rows is split by
-    AQE's skew-join handling instead of landing in one window task.
-    Rows that tie in ``order_col`` too are told apart by their other columns,
-    so exactly one row of a key is first."""
-    firsts = (df.where(F.col(key).isNotNull()).groupBy(key)
-                .agg(F.min(order_col).alias("_first")))
-    out = df.join(firsts, on=key, how="left")
-    only = F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False)) & (_tie(df, key, order_col) == 1)
-    return out.withColumn(flag, only).drop("_first")
-
-
-def _tie(df: DataFrame, key: str, order_col: str):
-    """Number of a row among those of equal key and order, by its other columns."""
-    others = [f.name for f in df.schema.fields if f.name not in (key, order_col)
-              and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.row_number().over(Window.partitionBy(key, order_col).orderBy(*(others or [order_col])))
+    The first row per key is a partial aggregate (map-side combine), joined
+    back on the key; a key holding a third of the rows is split by AQE's
+    skew-join handling, and equal rows are counted, so no group meets in one
+    task.  Exactly one row of a non-null key is first: rows that tie in
+    ``order_col`` are told apart by their other columns, equal ones are
+    interchangeable; null orders come last."""
+    once = _equal_rows_once(df, key, order_col)
+    firsts = once.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_at").alias("_first"))
+    out = _every_copy(once.join(firsts, key, "left").withColumn("_win", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False))))
+    return out.withColumn(flag, F.col("_win") & (F.col("_copy") == 0)).select(*df.columns, flag)
 
 
-def dedup_against_seen(links: DataFrame, seen: DataFrame, force: bool = False,
+def dedup_against_seen(links: DataFrame, seen, force: bool = False,
                        key: str = "url", order_col: str = "name") -> DataFrame:
     """Route each link: ``skipped`` (no key), ``deleted`` (seen before, or a later
     copy in this batch), ``moved`` (new).  In force mode duplicates are
     ``moved`` too.  Adds ``is_new`` = this row adds its key to the seen list
-    (J1, J2, W1, F1, F9).  Of equal rows exactly one is new."""
-    # Batch keys and seen keys are reduced by one keyed aggregation (first
-    # copy + seen flag), then joined back once: one join instead of two.
-    mine = links.where(F.col(key).isNotNull()).select(
-        key, F.col(order_col).alias("_o"), F.lit(False).alias("_s"))
-    known = seen.where(F.col(key).isNotNull()).select(
-        key, F.lit(None).cast(mine.schema["_o"].dataType).alias("_o"), F.lit(True).alias("_s"))
-    per_key = (mine.unionByName(known).groupBy(key)
-               .agg(F.min("_o").alias("_first"), F.max("_s").alias("_seen")))
-    out = links.join(per_key, on=key, how="left").withColumn("_tie", _tie(links, key, order_col))
+    (J1, J2, W1, F1, F9).  Of equal rows exactly one is new.
+
+    ``seen`` is a stored list (``sources.seen.SeenList``), which is read in its
+    buckets and not shuffled, or a DataFrame with the key column."""
+    once = _equal_rows_once(links, key, order_col)
+    per_key = once.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_at").alias("_first"))
+    if isinstance(seen, DataFrame):
+        known = per_key.select(key).join(seen.select(key), key, "left_semi")
+    else:
+        known = seen.known(per_key, key)
+    per_key = per_key.join(known.withColumn("_seen", F.lit(True)), key, "left")
+    out = once.join(per_key, key, "left")
     in_seen = F.coalesce(F.col("_seen"), F.lit(False))
-    first = F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False)) & (F.col("_tie") == 1)
-    dup = in_seen | ~first
+    out = _every_copy(out.withColumn("_new", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False)) & ~in_seen))
+    is_new = F.col("_new") & (F.col("_copy") == 0)
     outcome = (F.when(F.col(key).isNull(), F.lit("skipped"))
-               .when(dup & F.lit(not force), F.lit("deleted"))
+               .when(~is_new & F.lit(not force), F.lit("deleted"))
                .otherwise(F.lit("moved")))
-    return (out.withColumn("outcome", outcome)
-               .withColumn("is_new", F.col(key).isNotNull() & ~dup)
-               .drop("_seen", "_first", "_tie"))
+    return out.withColumn("outcome", outcome).withColumn("is_new", is_new).select(*links.columns, "outcome", "is_new")
 
 
 def first_copy_counts(rows: DataFrame, seen: DataFrame, key: str, order_col: str,

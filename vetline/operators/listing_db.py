@@ -172,13 +172,20 @@ def updates_not_found(db: DataFrame, updates: DataFrame) -> DataFrame:
     return updates.join(refs, ref_key(updates, "ref_nr") == F.col("_ref"), "left_anti")
 
 
-def rescore(db: DataFrame, results: DataFrame, today_dmy: str) -> DataFrame:
-    """Forced rescore of known refs (K7): score, date, city, title, company,
-    source, date_found = today, status = new; tag only when non-empty."""
-    upd = results.select(
+RESCORE_COLUMNS = ["fit_score", "date_published", "city", "tag", "job_title", "company_name", "source",
+                   "date_found", "status"]
+
+
+def rescore_updates(results: DataFrame, today_dmy: str) -> DataFrame:
+    """Stored values of rescored refs."""
+    return results.select(
         "ref_nr", "fit_score", tx.format_dmy("date_published").alias("date_published"),
         F.col("city"), F.col("tag"), "job_title", "company_name", "source",
         F.lit(today_dmy).alias("date_found"), F.lit("new").alias("status"))
-    return update_by_ref(db, upd, ["fit_score", "date_published", "city", "tag", "job_title",
-                                   "company_name", "source", "date_found", "status"],
-                         keep_if_empty=("tag",))
+
+
+def rescore(db: DataFrame, results: DataFrame, today_dmy: str) -> DataFrame:
+    """Forced rescore of known refs (K7): score, date, city, title, company,
+    source, date_found = today, status = new; tag only when non-empty.  For a
+    table in buckets, ``bucket_table.update`` takes the same updates and columns."""
+    return update_by_ref(db, rescore_updates(results, today_dmy), RESCORE_COLUMNS, keep_if_empty=("tag",))

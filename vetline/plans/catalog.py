@@ -26,6 +26,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def sql_of(name: str) -> str:
+    """SQL of a query registered before."""
+    return _SQL[name]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
     return dict(_QUERIES)
@@ -38,4 +43,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # Importing the modules registers their queries.
-    from vetline.plans import q_intake, q_scoring, q_board, q_pages, q_rules, q_cover  # noqa: F401
+    from vetline.plans import q_intake, q_scoring, q_board, q_pages, q_rules, q_cover, q_stored  # noqa: F401

@@ -178,6 +178,13 @@ def sync_apply(spark, sf_dir):
 _LANG_STATUS = {"en": "new", "fr": "in_consideration", "de": "priorities", "es": "applied"}
 
 
+def page_cards(pages):
+    """A card for each page, its column from the language in the URL."""
+    lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)
+    st = F.create_map(*[x for k, v in _LANG_STATUS.items() for x in (F.lit(k), F.lit(v))])
+    return pages.select(F.col("page_id").alias("ref_nr"), "url", F.coalesce(F.element_at(st, lang), F.lit("new")).alias("status"))
+
+
 @register("expired_pages", sql=f"""
 WITH cards AS (SELECT page_id AS ref_nr, url,
                       coalesce({_case("regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1)", _LANG_STATUS)}, 'new') AS status
@@ -195,11 +202,7 @@ def expired_pages(spark, sf_dir):
     holding the marker makes an active card a candidate; confirmed
     candidates are rejected with reason Expired."""
     p = table(spark, sf_dir, "pages")
-    lang = F.regexp_extract("url", r"^https?://[^/]+/([a-z]{2})/", 1)
-    st = F.create_map(*[x for k, v in _LANG_STATUS.items() for x in (F.lit(k), F.lit(v))])
-    cards = ldb.upgrade_schema(p.select(
-        F.col("page_id").alias("ref_nr"), "url",
-        F.coalesce(F.element_at(st, lang), F.lit("new")).alias("status")))
+    cards = ldb.upgrade_schema(page_cards(p))
     cand = bd.expiry_candidates(cards, p.select("url", "html"), PAGE_MARKER)
     out = bd.confirm_expired(cards, cand, TODAY_DMY)
     return out.select("ref_nr", "status", "date_rejected", "reject_reason")

@@ -3,6 +3,8 @@ pages for crawled result pages."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vetline import fixed
@@ -10,6 +12,8 @@ from vetline.functions import text as tx
 from vetline.operators import filters as flt
 from vetline.operators import intake
 from vetline.plans.catalog import register
+from vetline.session import checkpoint_dir
+from vetline.sources import seen
 from vetline.sources.tables import table
 
 # Keyword list aimed at the invented prose of ``documents`` (the default
@@ -17,6 +21,8 @@ from vetline.sources.tables import table
 DOC_KEYWORDS = ["wh", "qua", "ción"]
 DOC_MARKER = "que la"
 TODAY = "20260131"
+#: Buckets of the stored seen list, for tables of this size (the default is for billions of keys).
+SEEN_BUCKETS = 16
 
 
 def _kw_values() -> str:
@@ -43,6 +49,13 @@ def seen_texts(spark, sf_dir):
     return d.join(lab, "doc_id", "left_semi").select(F.sha2("text", 256).alias("text_key"))
 
 
+def stored_seen(spark, sf_dir):
+    """The same list as an earlier run left it: stored in buckets."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/seen-{uuid.uuid4().hex}"
+    seen.create(spark, path, "text_key", SEEN_BUCKETS, seen_texts(spark, sf_dir))
+    return seen.SeenList(spark, path)
+
+
 # ---------------------------------------------------------------- flagship
 @register("intake_funnel", sql=f"""
 WITH docs AS (SELECT doc_id, text, lang, split_part(text, chr(10), 1) AS name FROM documents),
@@ -149,7 +162,8 @@ SELECT d.doc_id,
 FROM documents d JOIN firsts f ON d.text = f.text LEFT JOIN seen s ON d.text = s.text
 """)
 def dedup_seen(spark, sf_dir):
-    routed = intake.dedup_against_seen(listings(spark, sf_dir), seen_texts(spark, sf_dir),
+    """Against the stored, bucketed list of the texts already assessed."""
+    routed = intake.dedup_against_seen(listings(spark, sf_dir), stored_seen(spark, sf_dir),
                                        key="text_key", order_col="doc_id")
     return routed.select("doc_id", "outcome", F.col("is_new").cast("int").alias("is_new"))
 
@@ -163,7 +177,7 @@ FROM documents d JOIN firsts f ON d.text = f.text LEFT JOIN seen s ON d.text = s
 """)
 def dedup_seen_force(spark, sf_dir):
     """Force mode: duplicates pass, only new keys are added to the seen list."""
-    routed = intake.dedup_against_seen(listings(spark, sf_dir), seen_texts(spark, sf_dir),
+    routed = intake.dedup_against_seen(listings(spark, sf_dir), stored_seen(spark, sf_dir),
                                        force=True, key="text_key", order_col="doc_id")
     return routed.select("doc_id", "outcome", F.col("is_new").cast("int").alias("is_new"))
 

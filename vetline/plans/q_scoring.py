@@ -187,6 +187,22 @@ upd AS (SELECT f.ref, r.* FROM res r JOIN firstref f ON r.url = f.url)
 """
 
 
+def rescored(spark, sf_dir, db):
+    """Customers as score results, with the ref of the first stored row of their URL."""
+    c = table(spark, sf_dir, "customer")
+    results = c.select(
+        F.format_string("https://jobs.example.com/c/%d/", F.col("c_custkey")).alias("url"),
+        F.greatest(F.lit(0), F.lit(100) + (F.col("c_acctbal") / 100).cast("long"))
+        .cast("int").alias("fit_score"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(F.col("c_mktsegment"))
+         .alias("tag"),
+        F.col("c_name").alias("job_title"), F.col("c_mktsegment").alias("company_name"),
+        F.lit("20260115").alias("date_published"), F.lit("REMOTE").alias("city"),
+        F.lit(fixed.DEFAULT_SOURCE).alias("source"))
+    refs = ldb.first_ref_by_url(db, order_col="ref_nr")
+    return results.join(refs, "url").withColumn("ref_nr", F.col("existing_ref"))
+
+
 @register("rescore_merge", sql=f"""
 WITH {_RESULTS_SQL}
 SELECT CAST(o.o_orderkey AS BIGINT) AS ref_nr,
@@ -205,21 +221,8 @@ FROM orders o LEFT JOIN upd u ON o.o_orderkey = u.ref
 def rescore_merge(spark, sf_dir):
     """Forced rescore: results carry a URL; the first stored row with that URL
     gives the ref (J6); that row is updated, an empty tag keeps the old one (K7)."""
-    o = table(spark, sf_dir, "orders")
-    db = _db_from_orders(o)
-    c = table(spark, sf_dir, "customer")
-    results = c.select(
-        F.format_string("https://jobs.example.com/c/%d/", F.col("c_custkey")).alias("url"),
-        F.greatest(F.lit(0), F.lit(100) + (F.col("c_acctbal") / 100).cast("long"))
-        .cast("int").alias("fit_score"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("")).otherwise(F.col("c_mktsegment"))
-         .alias("tag"),
-        F.col("c_name").alias("job_title"), F.col("c_mktsegment").alias("company_name"),
-        F.lit("20260115").alias("date_published"), F.lit("REMOTE").alias("city"),
-        F.lit(fixed.DEFAULT_SOURCE).alias("source"))
-    refs = ldb.first_ref_by_url(db, order_col="ref_nr")
-    upd = results.join(refs, "url").withColumn("ref_nr", F.col("existing_ref"))
-    out = ldb.rescore(db, upd, TODAY_DMY)
+    db = _db_from_orders(table(spark, sf_dir, "orders"))
+    out = ldb.rescore(db, rescored(spark, sf_dir, db), TODAY_DMY)
     return out.select("ref_nr", "fit_score", "date_published", "city", "tag", "job_title",
                       "company_name", "source", "date_found", "status", "url", "updated")
 

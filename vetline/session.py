@@ -107,3 +107,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies in ``folder``; none where there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []

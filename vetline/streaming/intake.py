@@ -1,60 +1,110 @@
-"""Streaming intake de-duplication.
-
-The seen list never expires, so a watermark cannot bound dedup state.  The
-default form keeps the seen list as a Parquet table partitioned by batch and,
-per micro-batch, routes links with the batch dedup (J1/W1) and appends the new
-keys; the state lives in the table, not in executor memory.
-``stateful_dedup`` is the pure streaming form (``dropDuplicates`` without a
-watermark; its state grows with the number of keys).
+"""Streaming intake de-duplication, in two forms.
+
+The seen list never expires, so no watermark can bound it.
+
+``start_intake_stream`` keeps the list as a bucketed table (``sources.seen``)
+and routes each micro-batch with the batch operators (J1/W1): the list is read
+in its buckets, never shuffled, and nothing stays in executor memory.
+
+``start_stateful_intake`` keeps one flag for each key in the query's own state,
+held by RocksDB on the executors' disks and checkpointed with the query.  A
+micro-batch then touches its own keys only, so its time doesn't grow with the
+list.  Both write each micro-batch to a folder of its own: one that is run
+again after a failure replaces its folder and gives the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vetline.operators import intake
-from vetline.session import path_exists
+from vetline.sources import seen as seen_list
 
-
-def _seen_before(spark: SparkSession, seen_path: str, key: str, batch_id: int) -> DataFrame:
-    """Seen keys from batches strictly before ``batch_id`` (initial list = -1)."""
-    if not path_exists(spark, seen_path):  # nothing stored yet; any other error fails the batch
-        return spark.createDataFrame([], f"{key} string")
-    s = spark.read.parquet(seen_path)
-    return s.where(F.col("batch_id") < batch_id).select(key)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def dedup_batch_writer(seen_path: str, out_path: str, key: str = "url",
-                       order_col: str = "name", force: bool = False):
-    """``foreachBatch`` function.  Each batch reads the seen keys of earlier
-    batches only and overwrites its own ``batch_id=N`` partitions, so a batch
+                       order_col: str = "name", force: bool = False, buckets: int = seen_list.BUCKETS):
+    """``foreachBatch`` function.  Each batch compares with the keys of earlier
+    batches only and overwrites its own ``batch_id=N`` folders, so a batch
     replayed after a failure produces the same rows (idempotent)."""
     def run(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        seen = _seen_before(spark, seen_path, key, batch_id)
-        routed = intake.dedup_against_seen(batch, seen, force=force, key=key, order_col=order_col)
+        if not seen_list.exists(spark, seen_path):
+            seen_list.create(spark, seen_path, key, buckets)
+        known = seen_list.SeenList(spark, seen_path, before=batch_id)
+        routed = intake.dedup_against_seen(batch, known, force=force, key=key, order_col=order_col)
         routed.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         added = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
-        intake.seen_additions(added, key).write.mode("overwrite") \
-              .parquet(f"{seen_path}/batch_id={batch_id}")
+        seen_list.add(spark, seen_path, intake.seen_additions(added, key), batch_id)
     return run
 
 
-def init_seen(seen: DataFrame, seen_path: str, key: str = "url") -> None:
-    """Store an initial seen list as batch -1."""
-    seen.select(key).write.mode("overwrite").parquet(f"{seen_path}/batch_id=-1")
+def init_seen(seen: DataFrame, seen_path: str, key: str = "url", buckets: int = seen_list.BUCKETS) -> None:
+    """Store an initial seen list."""
+    seen_list.create(seen.sparkSession, seen_path, key, buckets, seen)
 
 
 def start_intake_stream(links: DataFrame, seen_path: str, out_path: str, checkpoint: str,
-                        key: str = "url", order_col: str = "name", trigger_once: bool = True):
-    q = (links.writeStream.foreachBatch(dedup_batch_writer(seen_path, out_path, key, order_col))
+                        key: str = "url", order_col: str = "name", trigger_once: bool = True,
+                        buckets: int = seen_list.BUCKETS):
+    """``buckets`` counts for a list that this stream creates."""
+    q = (links.writeStream.foreachBatch(dedup_batch_writer(seen_path, out_path, key, order_col, buckets=buckets))
               .option("checkpointLocation", checkpoint))
     if trigger_once:
         q = q.trigger(availableNow=True)
     return q.start()
 
 
-def stateful_dedup(links: DataFrame, key: str = "url") -> DataFrame:
-    """Pure streaming dedup: first arrival of each key, no watermark."""
-    return links.dropDuplicates([key])
+def stateful_dedup(links: DataFrame, key: str = "url", order_col: str = "name", seen_col: str = "is_seen") -> DataFrame:
+    """``key, order_col, outcome, is_new`` of streamed links, each key with one
+    flag of state.
+
+    Rows whose ``seen_col`` is true are the list's own: they set the flag and
+    give no row.  Within a micro-batch the smallest ``order_col`` of a new key is
+    ``moved``; all else is ``deleted``, null keys are ``skipped``.  A key's rows of a micro-batch
+    pass by in Arrow batches, of which only the smallest so far is held.  A null
+    ``order_col`` (numeric or text) counts, and is given back, as 0 or ''."""
+    def route(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        key_value, best, known, none = group[0], None, state.exists, group[0] is None
+        for pdf in batches:
+            known = known or bool(pdf["seen"].any())
+            orders = sorted(pdf.loc[~pdf["seen"], "o"].tolist() + ([best] if best is not None else []))
+            best = orders.pop(0) if orders else best
+            if orders:
+                yield pd.DataFrame({"k": key_value, "o": orders, "outcome": "skipped" if none else "deleted", "is_new": False})
+        if best is not None:
+            outcome = "skipped" if none else "deleted" if known else "moved"
+            yield pd.DataFrame({"k": [key_value], "o": [best], "outcome": [outcome], "is_new": [outcome == "moved"]})
+        if not none:
+            state.update((True,))
+
+    kinds = {f.name: f.dataType.simpleString() for f in links.schema.fields}
+    zero = F.lit("" if kinds[order_col] == "string" else 0).cast(kinds[order_col])
+    rows = links.select(F.col(key).alias("k"), F.coalesce(F.col(order_col), zero).alias("o"), F.coalesce(F.col(seen_col), F.lit(False)).alias("seen"))
+    out = rows.groupBy("k").applyInPandasWithState(
+        route, f"k {kinds[key]}, o {kinds[order_col]}, outcome string, is_new boolean", "known boolean", "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.col("k").alias(key), F.col("o").alias(order_col), "outcome", "is_new")
+
+
+def start_stateful_intake(links: DataFrame, out_path: str, checkpoint: str, key: str = "url", order_col: str = "name"):
+    """Run ``stateful_dedup`` over all that is there and stop; started again with
+    the same checkpoint it goes on from its state."""
+    spark = links.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    return (stateful_dedup(links, key, order_col).writeStream.foreachBatch(write).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_routed(spark: SparkSession, out_path: str) -> DataFrame:
+    """All rows that micro-batches wrote."""
+    return spark.read.parquet(out_path).drop("batch_id")
