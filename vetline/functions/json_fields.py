@@ -48,6 +48,37 @@ def parse_response(text) -> Column:
                                         strict_parse(repair_control_chars(raw))))
 
 
+def quoted(s) -> Column:
+    """A string as a JSON string."""
+    listed = F.to_json(F.array(_c(s)))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+#: Objects and lists in each other are indented to this depth; deeper ones stay in one line.
+PRETTY_DEPTH = 3
+
+
+def pretty(v, depth: int = PRETTY_DEPTH, indent: str = "") -> Column:
+    """A VARIANT as indented JSON with all its keys, two blanks a level.
+
+    Objects and lists are taken apart level by level as maps and arrays of
+    VARIANT; text outside ASCII is kept.  Keys come in VARIANT order."""
+    v = _c(v)
+    plain = F.coalesce(F.to_json(v), F.lit("null"))
+    if not depth:
+        return plain
+    inner = indent + "  "
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    items = F.try_variant_get(v, "$", "array<variant>")
+
+    def block(opened, lines, closed):
+        return F.concat(F.lit(f"{opened}\n{inner}"), F.array_join(lines, f",\n{inner}"), F.lit(f"\n{indent}{closed}"))
+    pairs = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(": "), pretty(e["value"], depth - 1, inner)))
+    return (F.when(F.coalesce(F.size(entries) > 0, F.lit(False)), block("{", pairs, "}"))
+             .when(F.coalesce(F.size(items) > 0, F.lit(False)), block("[", F.transform(items, lambda x: pretty(x, depth - 1, inner)), "]"))
+             .otherwise(plain))
+
+
 def parse_status(text) -> Column:
     """empty / no_json / bad_json / ok."""
     t = _c(text)

@@ -165,6 +165,24 @@ def card_content(db: DataFrame, docs: DataFrame | None = None, key: str = "ref_n
                       F.coalesce("url", F.lit("")).alias("url"))
 
 
+def sidecar_groups(files: DataFrame, cards: DataFrame, name_col: str = "name", stem_col: str = "stem") -> DataFrame:
+    """``files`` with the ``stem`` of the card they follow, null for none.
+
+    A file follows a card when its name is the card's stem, then ``.`` or ``_``,
+    then anything; of several such stems the longest wins.  Each name is joined
+    at its separators, an equi-join on the stem, so a card with any number of
+    files is split by AQE like any other key and no pair is tried in vain."""
+    names = files.select(F.col(name_col).alias("_n")).where(F.col("_n").isNotNull()).distinct()
+    cut = F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.length("_n"), F.lit(1))),
+                             lambda i: F.substr(F.col("_n"), i, F.lit(1)).isin(".", "_")))
+    prefixes = names.select("_n", cut.alias("_i")).select("_n", F.substr(F.col("_n"), F.lit(1), F.col("_i") - 1).alias("_stem"))
+    stems = cards.select(F.col(stem_col).alias("_stem")).where(F.col("_stem") != "").distinct()
+    owner = (prefixes.join(stems, "_stem").groupBy("_n").agg(F.max_by("_stem", F.length("_stem")).alias("_stem"))
+             .select(F.col("_n").alias("_name"), F.col("_stem").alias("stem")))
+    rest = files.drop("stem")
+    return rest.join(owner, rest[name_col] == F.col("_name"), "left").drop("_name")
+
+
 def save_comments(db: DataFrame, comments: DataFrame) -> DataFrame:
     """Comment edits ``(ref_nr, text[, ts])``: the last one of a ref is stored,
     trimmed (K11, B3)."""
@@ -232,12 +250,15 @@ def board_sort(name: str) -> list:
     }[name]()
 
 
-def edit_score(edits: DataFrame, json_col: str, stem_col: str, today: str) -> DataFrame:
+def edit_score(edits: DataFrame, json_col: str, stem_col: str, today: str, ref_col: str | None = None) -> DataFrame:
     """Edited score JSON -> recomputed score and new stem, or an error row
-    (B4, X15, P25).  Uses the same score rule as scoring (Q13)."""
-    r = sc.score_responses(edits, jf.strict_parse(F.col(json_col)), today, out="_r")
+    (B4, X15, P25).  Uses the same score rule as scoring (Q13).  With
+    ``ref_col`` also the new ``report``, which keeps all keys of the JSON (K4)."""
+    parsed = edits.withColumn("_given", jf.strict_parse(F.col(json_col)))
+    r = sc.score_responses(parsed, F.col("_given"), today, out="_r")
     ok = F.col("_r").isNotNull()
+    report = [F.when(ok, sc.scoring_report(F.col(ref_col), F.col("_r"), F.col("_given"))).alias("report")] if ref_col else []
     return r.select(
         *edits.columns, F.col("_r.fit_score").alias("fit_score"),
         F.when(ok, tx.restem_score(_c(stem_col), F.col("_r.fit_score"))).alias("new_stem"),
-        F.when(~ok, F.lit("Invalid JSON")).alias("error"), F.col("_r").alias("result"))
+        F.when(~ok, F.lit("Invalid JSON")).alias("error"), F.col("_r").alias("result"), *report)

@@ -156,9 +156,23 @@ def prompt_tokens(prompt) -> Column:
     return F.floor(F.length(_c(prompt)) / fixed.CHARS_PER_TOKEN).cast("int")
 
 
-def scoring_report(ref_nr, r) -> Column:
+def whole_response(r, given) -> Column:
+    """The response as JSON text with all its keys (C48): the fields that scoring
+    read, as it normalised them, then every other key as received."""
+    known = F.to_json(_c(r), {"ignoreNullFields": "false"})
+    fields = F.json_object_keys(known)
+    entries = F.map_entries(F.coalesce(F.try_variant_get(_c(given), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    others = F.transform(F.filter(entries, lambda e: ~F.array_contains(fields, e["key"])),
+                         lambda e: F.concat(jf.quoted(e["key"]), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
+    return F.concat(F.substr(known, F.lit(1), F.length(known) - 1),
+                    F.when(F.size(others) > 0, F.concat(F.lit(","), F.array_join(others, ","))).otherwise(F.lit("")), F.lit("}"))
+
+
+def scoring_report(ref_nr, r, given=None) -> Column:
     """Markdown scoring report (K4): table, then Additions / Deductions /
-    Disqualifier Flags / Notes sections only when non-empty, then raw JSON."""
+    Disqualifier Flags / Notes sections only when non-empty, then raw JSON:
+    with the VARIANT ``given`` all keys of the response, unknown ones too,
+    indented, text outside ASCII kept."""
     r = _c(r)
 
     def section(title, arr, fmt):
@@ -182,10 +196,16 @@ def scoring_report(ref_nr, r) -> Column:
     flags = section("Disqualifier Flags", r["disqualifiers"], lambda x: F.concat(F.lit("- "), x))
     notes = F.when(tx.trim_ws(r["notes"]) != "",
                    F.concat(F.lit("## Notes\n"), tx.trim_ws(r["notes"]), F.lit("\n\n"))).otherwise("")
-    raw = F.concat(F.lit("## Raw JSON\n```json\n"), F.to_json(r, {"pretty": "true"}), F.lit("\n```"))
+    raw_json = F.to_json(r, {"pretty": "true"}) if given is None else jf.pretty(F.parse_json(whole_response(r, given)))
+    raw = F.concat(F.lit("## Raw JSON\n```json\n"), raw_json, F.lit("\n```"))
     return F.concat(head, adds, deds, flags, notes, raw)
 
 
+def report_json(report) -> Column:
+    """The raw JSON block of a report."""
+    return F.regexp_extract(_c(report), r"(?s)## Raw JSON\n```json\n(.*)\n```", 1)
+
+
 def report_field(report, label: str) -> Column:
     """Read one value back from a report table, optional ``**``, any case."""
     pat = r"(?i)\|\s*\*{0,2}" + r"\Q" + label + r"\E" + r"\*{0,2}\s*\|\s*\*{0,2}([^|\n]+?)\*{0,2}\s*\|"

@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from vetline import fixed
 from vetline.operators import board as bd
 from vetline.operators import listing_db as ldb
-from vetline.plans import q_board, q_intake, q_scoring
+from vetline.functions import json_fields as jf
+from vetline.operators import criteria as cr
+from vetline.operators import scoring as sc
+from vetline.operators.sequence import spread
+from vetline.plans import q_board, q_intake, q_rules, q_scoring
 from vetline.plans.catalog import register, sql_of
 from vetline.session import checkpoint_dir
 from vetline.sources import bucket_table
@@ -92,3 +96,73 @@ def rescore_buckets(spark, sf_dir):
     bucket_table.update(spark, root, updates, ldb.RESCORE_COLUMNS, keep_if_empty=("tag",))
     return bucket_table.read(spark, root).select("ref_nr", "fit_score", "date_published", "city", "tag", "job_title",
                                                  "company_name", "source", "date_found", "status", "url")
+
+
+# ---------------------------------------------------------------- J13
+@register("sidecar_groups", sql="""
+WITH stems AS (SELECT c_name AS stem FROM customer UNION SELECT c_name || '_' || c_mktsegment FROM customer),
+f AS (SELECT o_orderkey, c_name || (CASE WHEN o_orderkey % 2 = 0 THEN '.' ELSE '_' END) || c_mktsegment || '_' || o_orderpriority || '.md' AS name
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, max_by(stem, length(stem)) AS stem
+FROM f LEFT JOIN stems ON starts_with(name, stem || '.') OR starts_with(name, stem || '_') GROUP BY o_orderkey
+""")
+def sidecar_groups(spark, sf_dir):
+    """Files named after customers and orders, with the longest stem they follow."""
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders")
+    cards = c.select(F.col("c_name").alias("stem")).union(c.select(F.concat_ws("_", "c_name", "c_mktsegment")))
+    sep = F.when(F.col("o_orderkey") % 2 == 0, ".").otherwise("_")
+    files = (o.join(c, o["o_custkey"] == c["c_custkey"], "left")
+             .select("o_orderkey", F.concat("c_name", sep, "c_mktsegment", F.lit("_"), "o_orderpriority", F.lit(".md")).alias("name")))
+    return bd.sidecar_groups(files, cards).select("o_orderkey", "stem")
+
+
+# ---------------------------------------------------------------- S10 R1-R8
+def part_criteria() -> str:
+    """The rules of ``rules_score`` as a user writes them."""
+    tiers = {}
+    for _, tier, points, pattern in q_rules.PART_TIERS:
+        tiers.setdefault((tier, points), []).extend(pattern.split("|"))
+    out = ["# CRITERION 1 — TARGET ROLES", "# a comment", ""]
+    for (tier, points), names in tiers.items():
+        out += [f"{tier.upper()} TITLES — " + (f"deduct {-points} points each:" if points else "no deduction:")]
+        out += [f"  - {' / '.join(names)} (as a word)", ""]
+    out += ["OUT OF SCOPE — HARD DISQUALIFIER:", "  - Any title that does not match any of the above tiers", "",
+            "# CRITERION 2 — INDUSTRIES", "PREFERRED INDUSTRIES — add 10 points ONCE in total:",
+            *[f"  - {b}" for b in q_rules.PART_PREFERRED], "", "DISLIKES — deduct 10 points each (apply all that match):",
+            *[f"  - {b}" for b in q_rules.PART_DISLIKED]]
+    return "\n".join(out)
+
+
+@register("rules_parsed", sql=sql_of("rules_score"))
+def rules_parsed(spark, sf_dir):
+    """Score and outcome of parts by rules read from criteria text."""
+    rules = cr.parse_criteria(spark.createDataFrame([(part_criteria(),)], "criteria string"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    found = cr.apply_rules(p, "p_partkey", {"TARGET ROLES": "p_type", "INDUSTRIES": "p_brand"}, rules)
+    score = jf.fit_score(F.col("additions"), F.col("deductions"))
+    return found.select("p_partkey", score.cast("int").alias("fit_score"), F.size("disqualifiers").alias("n_flags"),
+                        sc.route_scored(score, F.col("disqualifiers")).alias("outcome"))
+
+
+# ---------------------------------------------------------------- K4 C48
+@register("report_keys", sql="""
+SELECT event_id, 'Señor ' || event_type AS contact, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       CAST(greatest(0, 100 + abs(CAST(json_extract(props, '$.k') AS BIGINT))) AS BIGINT) AS fit_score,
+       13 AS n_keys, 'User ' || user_id AS company_name FROM events
+""")
+def report_keys(spark, sf_dir):
+    """Responses with keys that nobody knows, written into reports and read back
+    from the raw JSON there: nothing is lost."""
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"))
+    content = F.format_string('{"company_name": "User %d", "additions": [{"criterion": "x", "points": %s}], '
+                              '"extra": {"contact": {"name": "Señor %s"}, "list": [1, [2.5, null]]}, "props": %s}',
+                              F.col("user_id"), F.get_json_object("props", "$.k"), F.col("event_type"), F.col("props"))
+    given = ev.withColumn("given", jf.strict_parse(content))
+    scored = sc.score_responses(given, F.col("given"), q_board.TODAY, out="r")
+    raw = F.parse_json(sc.report_json(sc.scoring_report(F.col("user_id"), F.col("r"), F.col("given"))))
+    out = scored.select("event_id", raw.alias("raw"))
+    read = lambda path, kind: F.variant_get("raw", path, kind)
+    return out.select("event_id", read("$.extra.contact.name", "string").alias("contact"), read("$.props.k", "bigint").alias("k"),
+                      read("$.fit_score", "bigint").alias("fit_score"), F.size(read("$", "map<string,variant>")).alias("n_keys"),
+                      read("$.company_name", "string").alias("company_name"))

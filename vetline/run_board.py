@@ -7,8 +7,8 @@
 Reads the listing table and, where given, Parquet tables of board events
 ``(ref_nr, event_id, ts, to_col, reason, comment)``, edited score responses
 ``(ref_nr, stem, content, ts)`` and confirmed expiries ``(ref_nr)``.  Writes the
-next listing table, the refused moves, the sync counts and the checked edits
-into a new folder; nothing is overwritten in place.
+next listing table, the refused moves, the sync counts, the checked edits and their
+new score reports into a new folder; nothing is overwritten in place.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from vetline.sources import files
 
 def apply(db: DataFrame, today: str, events: DataFrame | None = None, edits: DataFrame | None = None,
           confirmed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The next ``listing_db``; ``refused`` and ``counts`` with events, ``edits`` with edits.
+    """The next ``listing_db``; ``refused`` and ``counts`` with events, ``edits`` and ``reports`` with edits.
     Events come first, then edited scores, confirmed expiries, and expiry by date."""
     out: dict[str, DataFrame] = {}
     today_dmy = f"{today[6:8]}/{today[4:6]}/{today[:4]}"
@@ -37,7 +37,9 @@ def apply(db: DataFrame, today: str, events: DataFrame | None = None, edits: Dat
         out["counts"] = bd.sync_counts(db, folded)
         db = bd.sync(db, folded).drop("updated")
     if edits is not None:
-        out["edits"] = bd.edit_score(edits, "content", "stem", today).drop("result")
+        edited = bd.edit_score(edits, "content", "stem", today, ref_col="ref_nr")
+        out["edits"] = edited.drop("result", "report")
+        out["reports"] = edited.where("error is null").select("ref_nr", "new_stem", "report")
         scores = out["edits"].where("error is null").select("ref_nr", "fit_score", "ts")
         db = ldb.update_by_ref(db, scores, ["fit_score"], order_cols=["ts"]).drop("updated")
     if confirmed is not None:
