@@ -17,8 +17,9 @@ other and a global start is the shard's start (a running sum over one row a
 shard) plus the start in the shard.
 
 A tokenizer that drops white space gives for a text the tokens of its words one
-after another, so each word of a task is tokenized once; ``Encoder`` checks the
-tokenizer for that and otherwise encodes whole texts.
+after another, so each word of a task is tokenized once and then found by its
+hash; ``Encoder`` checks the tokenizer for that and otherwise encodes whole
+texts.
 
 Defined results: a null text has only the end id; a null id comes first; rows
 of one id are ordered by text; other columns are ignored.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +41,25 @@ from vetline.llm import common as C
 
 BLOCK = 128
 PERCENTILE = 0.9
-SEGMENT_TOKENS = 1 << 18
+SEGMENT_TOKENS = 1 << 15
 #: Words a Python worker remembers; it then starts afresh.  Results don't depend on it.
 CACHE_WORDS = 600_000
-_MARK = "\x01"
+
+
+_RNG = np.random.default_rng(77)
+_BYTE2 = _RNG.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _as_words(names: pa.Array) -> C.Words:
+    data, off = C.text_bytes(names)
+    return C.Words(data, off, off, off, off)
+
+
+def _second_hashes(words: C.Words) -> np.ndarray:
+    """A hash of each word that is independent of ``common.word_hashes``."""
+    length = np.diff(words.ends)
+    within = np.arange(len(words.data)) - np.repeat(words.ends[:-1], length)
+    return C.mix(np.add.reduceat(_BYTE2[words.data] * C.powers(C.BASES[1], int(length.max()))[within], words.ends[:-1]))
 
 
 class Encoder:
@@ -53,43 +70,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        one = self._ids(["ab", "cd", "Ab.", _MARK])
-        self.mark = one[3][0]
-        self.by_word = (len(one[3]) == 1 and self._ids(["ab \n\t cd"])[0] == one[0] + one[1]
-                        and self._ids([f"ab {_MARK} cd"])[0] == one[0] + one[3] + one[1]
-                        and one[2] == one[0] + self._ids(["."])[0])
+        ab, cd, dotted = self._ids(["ab", "cd", "Ab"])
+        # white space parts words and is dropped; a full stop or comma after a letter is a token of its own
+        self.by_word = (self._ids(["ab \n\t cd", " ab\x0b"]) == [ab + cd, ab]
+                        and all(self._ids([f"Ab{c}", c]) == [dotted + self._ids([c])[0], self._ids([c])[0]] for c in ".,"))
         self._clear()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _clear(self):
-        self.known: dict[str, int] = {}
+        # words by a sorted 64-bit hash, confirmed by a second, independent one
+        self.hash, self.check, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 20, np.uint32), 0
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _MARK not in w]
-        odd = [w for w in new if _MARK in w]
+    def _find(self, names: pa.Array) -> np.ndarray:
+        """Slot of each name; new ones are learnt."""
+        words = _as_words(names)
+        first, second = C.word_hashes(words), _second_hashes(words)
+        if len(self.hash) + len(names) > CACHE_WORDS:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.hash, first), max(0, len(self.hash) - 1))
+        have = (self.hash[at] == first) if len(self.hash) else np.zeros(len(names), bool)
+        slot = self.slot[at] if len(self.hash) else np.zeros(len(names), np.int64)
+        known = have & (self.check[at] == second) if len(self.hash) else have
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            slot[fresh] = len(self.begin) - 1 + self._learn(names.take(pa.array(fresh)).to_pylist())
+            keep = fresh[~have[fresh]]  # of two words with one hash the first is remembered
+            keep = keep[np.unique(first[keep], return_index=True)[1]]
+            place = np.searchsorted(self.hash, first[keep])
+            self.hash, self.check, self.slot = (np.insert(a, place, v[keep]) for a, v in
+                                                ((self.hash, first), (self.check, second), (self.slot, slot)))
+        return slot
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Tokenize words, each by itself; gives the number of each among the added slots."""
         parts, counts = [], []
-        for k in range(0, len(plain), 400):
-            some = plain[k:k + 400]
-            ids = np.array(self._ids([f" {_MARK} ".join(some) + f" {_MARK}"])[0], dtype=np.uint32)
-            ends = np.flatnonzero(ids == self.mark)
-            assert len(ends) == len(some)
-            counts.append(np.diff(ends, prepend=-1) - 1)
-            parts.append(np.delete(ids, ends))
-        for w in odd:
-            ids = self._ids([w])[0]
-            counts.append(np.array([len(ids)]))
-            parts.append(np.array(ids, dtype=np.uint32))
+        for k in range(0, len(new), 1000):  # few Python lists alive at a time
+            some = self._ids(new[k:k + 1000])
+            parts.append(np.fromiter(chain.from_iterable(some), dtype=np.uint32))
+            counts += map(len, some)
         fresh = np.concatenate(parts)
         while self.used + len(fresh) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used:self.used + len(fresh)] = fresh
-        self.begin = np.concatenate((self.begin, self.used + np.cumsum(np.concatenate(counts))))
+        self.begin = np.concatenate((self.begin, self.used + np.cumsum(np.array(counts, dtype=np.int64))))
         self.used += len(fresh)
-        for w in plain + odd:
-            self.known[w] = len(self.known)
+        return np.arange(len(new))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another, and where each text starts."""
@@ -109,13 +137,7 @@ class Encoder:
         off = words.off + np.concatenate(([0], np.cumsum(apart)))[words.off]
         words.ends = np.sort(np.concatenate((words.ends, words.ends[1:][apart] - 1)))
         coded = words.array().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.known) + len(names) > CACHE_WORDS and self.known:
-            self._clear()
-        if new := [w for w in names if w not in self.known]:
-            self._learn(new)
-        known = self.known
-        which = np.fromiter((known[w] for w in names), dtype=np.int64, count=len(names))[coded.indices.to_numpy()]
+        which = self._find(coded.dictionary)[coded.indices.to_numpy()]
         begin, counts = self.begin[which], self.begin[which + 1] - self.begin[which]
         starts = np.concatenate(([0], np.cumsum(counts)))
         ids = self.flat[np.arange(starts[-1]) + np.repeat(begin - starts[:-1], counts)]
@@ -223,7 +245,7 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id",
                  text_col: str = "text", percentile: float = PERCENTILE, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Tokenize ``docs`` in ascending id order and write a token file."""
-    C.small_batches(docs.sparkSession, 500)
+    C.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["shard", "segment", "shard_start", "n_tokens", "ids", "counts", "data"]
 
@@ -293,7 +315,7 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", ids:
                     cols, names = [*cols, pa.array(parts, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    C.small_batches(spark, 8)
+    C.small_batches(spark)
     return (file.join(F.broadcast(shards), "shard")
             .select("ids", "counts", "data", (F.col("before") + F.col("shard_start")).alias("first"))
             .mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long{more}")
