@@ -43,7 +43,9 @@ BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_TOKENS = 1 << 15
 #: Words a Python worker remembers; it then starts afresh.  Results don't depend on it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 2_000_000
+#: Texts are encoded by so many bytes at a time: their words have fewer different ones than many small lots.
+LOT_BYTES = 8 << 20
 
 
 _RNG = np.random.default_rng(77)
@@ -105,19 +107,39 @@ class Encoder:
         return slot
 
     def _learn(self, new: list[str]) -> np.ndarray:
-        """Tokenize words, each by itself; gives the number of each among the added slots."""
+        """Tokenize words; gives the number of each among the added slots.
+
+        Words of letters alone are each one word to the tokenizer too, so many are
+        tokenized at once and told apart by its word numbers; where these don't
+        fit, and for all other words, each is tokenized by itself."""
+        letters = np.fromiter(map(str.isalpha, new), dtype=bool, count=len(new))
+        plain, other = np.flatnonzero(letters), np.flatnonzero(~letters)
         parts, counts = [], []
-        for k in range(0, len(new), 1000):  # few Python lists alive at a time
-            some = self._ids(new[k:k + 1000])
-            parts.append(np.fromiter(chain.from_iterable(some), dtype=np.uint32))
-            counts += map(len, some)
-        fresh = np.concatenate(parts)
+        for k in range(0, len(plain), 200):
+            words = [new[i] for i in plain[k:k + 200].tolist()]
+            one = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            of = np.array(one.word_ids, dtype=np.int64)
+            if len(of) and of[-1] + 1 == len(words) and (np.diff(of, prepend=0) <= 1).all() and (np.diff(of) >= 0).all() and of[0] == 0:
+                parts.append(np.array(one.ids, dtype=np.uint32))
+                counts.append(np.bincount(of, minlength=len(words)))
+            else:
+                self._each(words, parts, counts)
+        for k in range(0, len(other), 1000):  # few Python lists alive at a time
+            self._each([new[i] for i in other[k:k + 1000].tolist()], parts, counts)
+        fresh, counts = np.concatenate(parts), np.concatenate(counts)
         while self.used + len(fresh) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used:self.used + len(fresh)] = fresh
-        self.begin = np.concatenate((self.begin, self.used + np.cumsum(np.array(counts, dtype=np.int64))))
+        self.begin = np.concatenate((self.begin, self.used + np.cumsum(counts)))
         self.used += len(fresh)
-        return np.arange(len(new))
+        place = np.empty(len(new), dtype=np.int64)
+        place[np.concatenate((plain, other))] = np.arange(len(new))
+        return place
+
+    def _each(self, words: list[str], parts: list, counts: list) -> None:
+        some = self._ids(words)
+        parts.append(np.fromiter(chain.from_iterable(some), dtype=np.uint32))
+        counts.append(np.fromiter(map(len, some), np.int64, len(some)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts one after another, and where each text starts."""
@@ -140,7 +162,9 @@ class Encoder:
         which = self._find(coded.dictionary)[coded.indices.to_numpy()]
         begin, counts = self.begin[which], self.begin[which + 1] - self.begin[which]
         starts = np.concatenate(([0], np.cumsum(counts)))
-        ids = self.flat[np.arange(starts[-1]) + np.repeat(begin - starts[:-1], counts)]
+        place = np.repeat((begin - starts[:-1]).astype(np.int32), counts)  # fewer than 2**31 ids are remembered and in a lot
+        place += np.arange(starts[-1], dtype=np.int32)
+        ids = self.flat[place]
         return ids, starts[off]
 
 
@@ -161,6 +185,33 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
 _LENGTHS = _bit_length(np.arange(1 << 16))
 
 
+def _lanes(width: int):
+    """Eight values of ``width`` bits fill ``width`` bytes, highest bit first: for
+    each value and byte that share bits, how far the value moves left."""
+    for i in range(8):
+        for j in range(i * width // 8, ((i + 1) * width - 1) // 8 + 1):
+            yield i, j, (j + 1) * 8 - (i + 1) * width
+
+
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values below 2**width as rows of bytes."""
+    lanes = np.ascontiguousarray(values.reshape(-1, 8).T)
+    out = np.zeros((width, lanes.shape[1]), dtype=np.uint8)
+    for i, j, left in _lanes(width):
+        out[j] |= (lanes[i] << np.uint32(left) if left >= 0 else lanes[i] >> np.uint32(-left)).astype(np.uint8)
+    return np.ascontiguousarray(out.T).reshape(len(values), -1)
+
+
+def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
+    """The values of ``_pack``."""
+    lanes = np.ascontiguousarray(packed.reshape(-1, width).T).astype(np.uint32)
+    out = np.zeros((8, lanes.shape[1]), dtype=np.uint32)
+    for i, j, left in _lanes(width):
+        out[i] |= lanes[j] >> np.uint32(left) if left >= 0 else lanes[j] << np.uint32(-left)
+    out &= np.uint32((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(len(packed), -1)
+
+
 def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     n = len(ids)
     nb = -(-n // BLOCK)
@@ -185,10 +236,7 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
         if not w:
             continue
         rows = np.flatnonzero(width == w)
-        kind, size = (">u2", 16) if w <= 16 else (">u4", 32)
-        part = (x[rows] & np.uint32((1 << int(w)) - 1)).astype(kind)
-        spread = np.unpackbits(part.view(np.uint8).reshape(-1, size // 8), axis=1)[:, size - w:]
-        packed = np.packbits(spread.reshape(len(rows), -1), axis=1)
+        packed = _pack(x[rows] & np.uint32((1 << int(w)) - 1), int(w))
         out[start[rows, None] + 6 + np.arange(16 * int(w))] = packed
     row, pos = np.nonzero(over)
     if len(row):
@@ -217,11 +265,7 @@ def _decode(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
             continue
         rows = np.flatnonzero(width == w)
         packed = raw[start[rows, None] + 6 + np.arange(16 * w)]
-        spread = np.unpackbits(packed, axis=1).reshape(-1, w)
-        kind, size = (">u2", 16) if w <= 16 else (">u4", 32)
-        wide = np.zeros((len(spread), size), dtype=np.uint8)
-        wide[:, size - w:] = spread
-        x[rows] = np.packbits(wide, axis=1).view(kind).reshape(len(rows), BLOCK)
+        x[rows] = _unpack(packed, int(w))
     if n_over.sum():
         row = np.repeat(np.arange(nb), n_over)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
@@ -242,6 +286,19 @@ def read_block(data: bytes, block: int) -> np.ndarray:
     return _decode(raw, start[block:block + 1]).ravel()[:n - block * BLOCK]
 
 
+def _lots(batches):
+    """Batches put together to ``LOT_BYTES`` of text."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= LOT_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id",
                  text_col: str = "text", percentile: float = PERCENTILE, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Tokenize ``docs`` in ascending id order and write a token file."""
@@ -261,9 +318,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                  pa.array([held], pa.int64()), pa.ListArray.from_arrays([0, sum(map(len, ids))], pa.concat_arrays(ids)),
                  pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([encode_blocks(data, percentile)], pa.binary())], names)
 
-        for b in batches:
-            if not len(b):
-                continue
+        for b in _lots(batches):
             got, at = encode(b["text"])
             if end_id is not None:
                 got = np.insert(got, at[1:], end_id)
