@@ -197,3 +197,38 @@ def test_a_change_that_dies_is_not_seen(spark, db, tmp_dir):
     assert bucket_table.update(spark, root, db.where("false"), ["status"]) == [] and bucket_table.version(spark, root) == 1
     with pytest.raises(FileNotFoundError):
         bucket_table.read(spark, f"{tmp_dir}/none")
+
+
+def test_board_folders_are_pruned_by_the_columns_table(spark, db, tmp_dir):
+    statuses = ["new", "in_consideration", "priorities", "in_process", "applied", "rejected"]
+    db = db.withColumn("status", F.element_at(F.array(*map(F.lit, statuses)), (F.col("ref_nr") % 6 + 1).cast("int")))
+    bd.write_board(db, f"{tmp_dir}/board")
+    cards = bd.read_board(spark, f"{tmp_dir}/board")
+    assert "dynamicpruning" in executed(cards).lower()
+    assert cards.groupBy("status").count().count() == 4 and cards.count() == db.where(bd.active("status")).count()
+    assert {r.status for r in bd.read_board(spark, f"{tmp_dir}/board", "rejects").select("status").distinct().collect()} == {"rejected"}
+
+
+def test_counts_are_taken_while_writing(spark, tmp_dir):
+    from vetline.sources import files
+    df = spark.createDataFrame([(i, ["a", "b", None][i % 3]) for i in range(10)], "id long, outcome string")
+    assert files.write_routed(df, f"{tmp_dir}/out", outcomes=("a", "b", "c")) == {"": 10, "a": 4, "b": 3, "c": 0}
+    assert spark.read.parquet(f"{tmp_dir}/out").count() == 10
+
+
+def test_mail_is_drained_once(spark, tmp_dir):
+    from vetline.sources import files
+    os.makedirs(f"{tmp_dir}/mail")
+
+    def drain(*new):
+        for n in new:
+            with open(f"{tmp_dir}/mail/{n}.eml", "wb") as f:
+                f.write(f"body {n} \u00e9".encode())
+        files.drain_messages(spark, f"{tmp_dir}/mail", f"{tmp_dir}/old", f"{tmp_dir}/out", f"{tmp_dir}/ck").awaitTermination()
+        return sorted(bytes(r.raw).decode() for r in spark.read.parquet(f"{tmp_dir}/out").collect())
+    assert drain("m1", "m2") == ["body m1 é", "body m2 é"]
+    assert len(drain("m3")) == 3
+    for f in (f"{tmp_dir}/ck/commits/1", f"{tmp_dir}/ck/commits/.1.crc"):  # killed before the batch was committed
+        os.unlink(f)
+    assert drain("m4") == ["body m1 é", "body m2 é", "body m3 é", "body m4 é"]
+    assert glob.glob(f"{tmp_dir}/old/**/m1.eml", recursive=True) and not os.path.exists(f"{tmp_dir}/mail/m1.eml")

@@ -64,15 +64,22 @@ def _hangul_letters(c: Column) -> Column:
 def strip_accents(c) -> Column:
     """NFD, then drop combining marks (category Mn), from built-in functions
     only, so filters and pruning pass through (same result as Python's
-    ``unicodedata`` fold; checked in tests)."""
+    ``unicodedata`` fold; checked in tests).
+
+    Three tiers, so that a row pays for what it holds: ASCII stays, Latin letters
+    go through a small table, and only texts with others meet the whole one."""
     c = _c(c)
     old, new, several = _fold_tables()
+    latin_old = "".join(ch for ch in old if ord(ch) < 0x370)
+    latin_new = "".join(y for x, y in zip(old, new) if ord(x) < 0x370)  # marks, without a partner, come last in old
     apart = c
     for ch, kept in several.items():
         apart = F.replace(apart, F.lit(ch), F.lit(kept))
-    c = F.when(c.rlike("[" + "".join(several) + "]"), apart).otherwise(c) if several else c
-    c = F.when(c.rlike("[\uac00-\ud7a3]"), _hangul_letters(c)).otherwise(c)
-    return F.translate(c, old, new)
+    full = F.when(c.rlike("[" + "".join(several) + "]"), apart).otherwise(c) if several else c
+    full = F.when(full.rlike("[\uac00-\ud7a3]"), _hangul_letters(full)).otherwise(full)
+    return (F.when(F.octet_length(c) == F.length(c), c)
+             .when(~c.rlike("[^\\x00-\u024f\u0300-\u036f]"), F.translate(c, latin_old, latin_new))
+             .otherwise(F.translate(full, old, new)))
 
 
 def safe_name(c) -> Column:

@@ -151,6 +151,23 @@ def board_listing(db: DataFrame, sort: str = "score_desc") -> DataFrame:
     return global_sequence(cards, ["status"] + board_sort(sort) + ["ref_nr"], col="position")
 
 
+def write_board(db: DataFrame, path: str) -> None:
+    """The table partitioned by status (B1, K10), beside it the board's columns."""
+    db.write.mode("errorifexists").partitionBy("status").parquet(f"{path}/cards")
+    rows = [(fixed.STATUS_FOR_COLUMN[c], c, int(c in fixed.ACTIVE_COLUMNS)) for c in fixed.BOARD_COLUMNS]
+    db.sparkSession.createDataFrame(rows, "status string, board_col string, visible int").coalesce(1) \
+        .write.mode("errorifexists").parquet(f"{path}/columns")
+
+
+def read_board(spark, path: str, column: str | None = None) -> DataFrame:
+    """Cards of one board column, or of the visible ones (S12): the few rows of the
+    columns table prune the card folders while the query runs, so which
+    columns are visible is data, not code."""
+    columns = spark.read.parquet(f"{path}/columns")
+    wanted = columns.where(F.col("board_col") == column if column else F.col("visible") == 1).select("status")
+    return spark.read.parquet(f"{path}/cards").join(F.broadcast(wanted), "status")  # a row a board column
+
+
 def card_content(db: DataFrame, docs: DataFrame | None = None, key: str = "ref_nr") -> DataFrame:
     """Report, document, comment and URL of each card; missing -> '' (J10)."""
     out = db

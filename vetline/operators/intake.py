@@ -188,7 +188,8 @@ def collision_suffix(df: DataFrame, stem_col: str, order_cols: list,
     rows = rn.join(known, rn[stem_col] == known["_s"], "left").drop("_s")
     # place among the rows of the stem that need a number, from 0; the first of a free stem has -1
     rows = rows.withColumn("_j", F.col("_rn") - 2 + F.coalesce("_taken", F.lit(0))).drop("_rn", "_taken")
-    rows = _add_gaps(rows, stem_col, gone, first)
+    # most batches meet no number that is gone; one look saves the numbering of those
+    rows = rows.withColumn("_gap", F.lit(0)) if gone.isEmpty() else _add_gaps(rows, stem_col, gone, first)
     name = F.concat(F.col(stem_col), F.format_string(template, F.col("_j") + F.col("_gap") + first))
     return (rows.withColumn(out_col, F.when(F.col("_j") < 0, F.col(stem_col)).otherwise(name))
                 .drop("_j", "_gap"))

@@ -8,8 +8,8 @@
    (partition id in the high bits, position in the low 33 bits),
 3. cut lineage with a reliable ``checkpoint()`` so ids stay fixed if an
    executor is lost and a stage is recomputed,
-4. count rows per partition (one row per partition: a bounded table),
-   turn the counts into running offsets and broadcast them.
+4. count rows per partition (one row per partition: a bounded table) and
+   turn the counts into running offsets, a literal of the plan.
 
 ``sequence_within`` numbers rows inside groups: the global sequence over (group,
 order) minus the group start, so no task sorts a whole hot group.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetline.session import checkpoint_dir
@@ -43,16 +43,14 @@ def global_sequence(df: DataFrame, order_cols: list, col: str = "seq",
                 .checkpoint(eager=True))
     tagged = (tagged.withColumn("_pid", F.shiftright("_mid", 33))
                     .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))))
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_off", F.coalesce(
-                   F.sum("_n").over(Window.orderBy("_pid")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .select("_pid", "_off")
-               .checkpoint(eager=True))  # computed once, reused by every branch
-    out = (tagged.join(F.broadcast(offsets), "_pid")
-                 .withColumn(col, (F.col("_off") + F.col("_local") + F.lit(start)).cast("long")))
-    return out.drop("_mid", "_pid", "_local", "_off")
+    # one row per partition reaches the driver: bounded by the partition count; the offsets are a literal of the plan
+    counts = {r["_pid"]: r["n"] for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, offsets = 0, []
+    for pid in range(max(counts, default=-1) + 1):
+        offsets.append(before)
+        before += counts.get(pid, 0)
+    offset = F.get(F.split(F.lit(",".join(map(str, offsets)) or "0"), ",").cast("array<bigint>"), F.col("_pid").cast("int"))
+    return tagged.withColumn(col, (offset + F.col("_local") + F.lit(start)).cast("long")).drop("_mid", "_pid", "_local")
 
 
 def sequence_within(df: DataFrame, group_cols: list, order_cols: list, col: str = "rn") -> DataFrame:

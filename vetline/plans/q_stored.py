@@ -20,7 +20,7 @@ from vetline.operators.sequence import spread
 from vetline.plans import q_board, q_intake, q_rules, q_scoring
 from vetline.plans.catalog import register, sql_of
 from vetline.session import checkpoint_dir
-from vetline.sources import bucket_table
+from vetline.sources import bucket_table, files
 from vetline.sources.tables import table
 from vetline.streaming import alerts as salerts
 from vetline.streaming import board as sboard
@@ -166,3 +166,23 @@ def report_keys(spark, sf_dir):
     return out.select("event_id", read("$.extra.contact.name", "string").alias("contact"), read("$.props.k", "bigint").alias("k"),
                       read("$.fit_score", "bigint").alias("fit_score"), F.size(read("$", "map<string,variant>")).alias("n_keys"),
                       read("$.company_name", "string").alias("company_name"))
+
+
+# ---------------------------------------------------------------- S12 B1 K10
+@register("board_partitions", sql=sql_of("board_listing"))
+def board_partitions(spark, sf_dir):
+    """The board stored by status and listed through its columns table, which
+    prunes the folders of hidden columns."""
+    root = scratch(spark, "board")
+    bd.write_board(q_board.folded(spark, sf_dir).withColumnRenamed("n_events", "fit_score"), root)
+    return bd.board_listing(bd.read_board(spark, root), "score_desc").select("ref_nr", "status", "position", "has_comment")
+
+
+# ---------------------------------------------------------------- A1 K10
+@register("routed_counts", sql=f"SELECT outcome, count(*) AS n FROM ({sql_of('dedup_seen')}) GROUP BY outcome")
+def routed_counts(spark, sf_dir):
+    """Documents written to outcome folders, counted by the write itself."""
+    routed = q_intake.dedup_seen(spark, sf_dir)
+    outcomes = ("moved", "deleted", "skipped")
+    counts = files.write_routed(routed, scratch(spark, "routed"), outcomes=outcomes)
+    return spark.createDataFrame([(o, counts[o]) for o in outcomes if counts[o]], "outcome string, n long")

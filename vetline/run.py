@@ -54,16 +54,27 @@ def build_inputs(spark: SparkSession, a) -> dict:
     return inputs
 
 
-def write_outputs(out: dict, folder: str) -> None:
-    files.write_routed(out["dedup"].select("name", "url", "outcome"), os.path.join(folder, "dedup"))
+#: What each stage routes to.
+STAGE_OUTCOMES = {
+    "dedup": ("moved", "deleted", "skipped"),
+    "extraction": ("closed", "pending", "lang_rejects", "lang_req_rejects", "accepted"),
+    "scoring": ("closed", "pending", "disqualified", "rejected_role", "rejected_score", "accepted"),
+}
+
+
+def write_outputs(out: dict, folder: str) -> dict[str, dict[str, int]]:
+    """Write all tables; gives the rows of each routed stage by outcome, counted
+    while they were written, and stores them as ``counts``."""
+    counts = {}
+
+    def routed(stage: str, df) -> None:
+        counts[stage] = files.write_routed(df, os.path.join(folder, stage), outcomes=STAGE_OUTCOMES[stage])
+
+    routed("dedup", out["dedup"].select("name", "url", "outcome"))
     out["seen_additions"].write.mode("errorifexists").parquet(os.path.join(folder, "seen_additions"))
-    files.write_routed(out["extraction"].select("url", "stem", "stage05_stem",
-                                                F.col("stage05").alias("outcome")),
-                       os.path.join(folder, "extraction"))
-    files.write_routed(out["scoring"].select("url", "ref_nr", "final_stem",
-                                             F.col("scored.fit_score").alias("fit_score"),
-                                             "report", F.col("stage06").alias("outcome")),
-                       os.path.join(folder, "scoring"))
+    routed("extraction", out["extraction"].select("url", "stem", "stage05_stem", F.col("stage05").alias("outcome")))
+    routed("scoring", out["scoring"].select("url", "ref_nr", "final_stem", F.col("scored.fit_score").alias("fit_score"),
+                                            "report", F.col("stage06").alias("outcome")))
     files.write_snapshot(out["new_rows"], os.path.join(folder, "new_rows"))
     files.write_snapshot(out["rescored_db"].drop("updated"), os.path.join(folder, "rescored_db"))
     files.write_snapshot(out["quarantine"].select("url", "name"), os.path.join(folder, "quarantine"))
@@ -71,6 +82,10 @@ def write_outputs(out: dict, folder: str) -> None:
     files.write_snapshot(out["seen_next"], os.path.join(folder, "seen"))
     files.write_snapshot(out["listing_db_next"], os.path.join(folder, "listing_db"))
     files.write_snapshot(out["documents"], os.path.join(folder, "documents"))
+    rows = [(stage, outcome, n) for stage, by in counts.items() for outcome, n in by.items() if outcome]
+    files.write_snapshot(out["dedup"].sparkSession.createDataFrame(rows, "stage string, outcome string, n long").coalesce(1),
+                         os.path.join(folder, "counts"))
+    return counts
 
 
 def main(argv=None) -> None:

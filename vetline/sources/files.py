@@ -11,7 +11,7 @@ import email
 import email.policy
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vetline.functions import text as tx
@@ -35,6 +35,18 @@ def read_messages(spark: SparkSession, folder: str, stream: bool = False) -> Dat
     return r.load(folder)
 
 
+def drain_messages(spark: SparkSession, folder: str, archive: str, out: str, checkpoint: str):
+    """Take in all mail that is there and stop (S1): each file becomes one row
+    (``path, received, raw``) of the file sink ``out``, exactly once however often the
+    job dies and is started again with the same checkpoint; files of finished
+    batches are moved to ``archive``.  Bytes stay in the JVM."""
+    rows = (spark.readStream.schema(spark.read.format("binaryFile").load(folder).schema).format("binaryFile")
+            .option("pathGlobFilter", "*.eml").option("cleanSource", "archive").option("sourceArchiveDir", archive).load(folder)
+            .select("path", F.col("modificationTime").alias("received"), F.col("content").alias("raw")))
+    return (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def _html_body(raw: bytes) -> str:
     """First text/html part in walk order, declared charset or utf-8, bad
     bytes replaced; no HTML part -> '' (S2, C24)."""
@@ -139,10 +151,18 @@ def write_snapshot(df: DataFrame, path: str, partition_by: str | None = None) ->
     w.parquet(path)
 
 
-def write_routed(df: DataFrame, path: str, outcome_col: str = "outcome") -> None:
+def write_routed(df: DataFrame, path: str, outcome_col: str = "outcome", outcomes: tuple[str, ...] = ()) -> dict[str, int]:
     """Route rows to outcome folders in one write (K10): one directory per
-    outcome value, so a reader of one outcome prunes the others."""
-    df.write.mode("errorifexists").partitionBy(outcome_col).parquet(path)
+    outcome value, so a reader of one outcome prunes the others.
+
+    Gives the rows of each of ``outcomes`` and of all (key ``""``), counted by the
+    write itself (A1): no second pass."""
+    seen = Observation()
+    counts = [F.count_if(F.col(outcome_col) == o).alias(f"n{i}") for i, o in enumerate(outcomes)]
+    (df.observe(seen, F.count(F.lit(1)).alias("n"), *counts)
+     .write.mode("errorifexists").partitionBy(outcome_col).parquet(path))
+    got = seen.get
+    return {"": got["n"], **{o: got[f"n{i}"] for i, o in enumerate(outcomes)}}
 
 
 def append_rows(df: DataFrame, path: str) -> None:
