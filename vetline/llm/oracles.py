@@ -69,4 +69,28 @@ FROM codes
 """
 
 
-ORACLE_SQL = {"op12_source_divergence": SOURCE_DIVERGENCE, "op13_vector_codes": vector_codes()}
+SUBSTRING_DEDUP = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS key FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS pos FROM (SELECT *, unnest(range(20)) AS k FROM again)),
+word AS (SELECT doc_id, pos, ws[pos] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS pos FROM w)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+"""
+
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last, sha1(h) AS x FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(x, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
+
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_DEDUP, "op6_warc_archive": WARC, "op12_source_divergence": SOURCE_DIVERGENCE, "op13_vector_codes": vector_codes()}
