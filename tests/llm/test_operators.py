@@ -238,7 +238,10 @@ def test_nearest(spark):
         assert [m[0] for m in mine] == list(range(1, 11)) and all(m[2] == pytest.approx(d[m[1]], abs=1e-12) for m in mine)
         recall.append(len({m[1] for m in mine} & set(order)) / 10)
     assert np.mean(recall) >= 0.9 and set(m[1] for m in got[200]) == {*range(100, 110)}
+    assert set(m[1] for m in got[100]) == {*range(101, 111)}  # equal queries share an answer but for their own row
     assert 2100 not in got and 2000 not in got
+    twice = ann.nearest(df, df.where("vec_id = 7").union(df.where("vec_id = 9").withColumn("vec_id", F.lit(7).cast("long"))), k=5).collect()
+    assert sorted(r["rank"] for r in twice) == [1, 2, 3, 4, 5] and 7 not in {r.vec_id for r in twice}
     assert ann.nearest(df.where("false"), df).count() == 0
     few = ann.nearest(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
     assert len(few) == 3

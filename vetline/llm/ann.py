@@ -12,7 +12,8 @@ a probed bucket.  Where probing would read as much as the whole table, the
 queries are compared with all points.
 
 Plan.  Exact copies become one point with its few smallest ids (enough for any
-answer, as ties go to smaller ids), so a hot vector costs one row.  The number
+answer, as ties go to smaller ids), so a hot vector costs one row; equal
+queries ask once and share the answer, less each one's own row.  The number
 of buckets grows with the points, so a bucket keeps about ``bucket_points``;
 larger ones are split by salts that every query of the bucket visits.  Queries
 and points meet in a co-grouped task that returns ``k`` rows a query: no pairs
@@ -231,7 +232,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     key = ["dim", "tab", "code"]
     sizes = dealt.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SALT_POINTS).cast("int").alias("salts"))
     stored = (dealt.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), "salts").cast("int")).drop("salts"))
-    asked = (tidy(queries).distinct().mapInArrow(deal(wide), head.format(f"id {kind}")).join(sizes, key)
+    # equal queries ask once, as the smallest of their ids; the others get its answer below
+    members = tidy(queries).distinct()
+    first = members.groupBy("vec").agg(F.min("id").alias("id"))
+    asked = (first.select("id", "vec").mapInArrow(deal(wide), head.format(f"id {kind}")).join(sizes, key)
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
 
     def rank(q: pa.Table, v: pa.Table) -> pa.Table:
@@ -244,7 +248,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 score = np.sqrt(((x - y) ** 2).sum(axis=1))
                 near = np.flatnonzero(score <= np.partition(score, k)[k]) if len(score) > k + 1 else np.arange(len(score))
                 near = near[np.lexsort((lead[near], score[near]))][:k + 1]
-                found = sorted((score[i], j) for i in near for j in ids[i] if j != own)[:k]
+                found = sorted((score[i], j) for i in near for j in ids[i])[:k + 1]
                 for s, j in found:
                     for out, value in zip(rows, (own, j, s)):
                         out.append(value)
@@ -256,5 +260,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
              .applyInArrow(rank, f"query_id {kind}, id {kind}, score double")
              .groupBy("query_id", "id").agg(F.min("score").alias("score")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return (found.withColumn("rank", place).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "score"))
+    lists = (found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("query_id")
+             .agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("near")))  # k + 1 at most
+    # each member's own row is left out of the answer that it shares
+    rep = first.select(F.col("vec").alias("_vec"), F.col("id").alias("rep"))
+    answers = (members.join(rep, members["vec"] == rep["_vec"]).select(F.col("id").alias("own"), "rep")
+               .join(lists, F.col("rep") == lists["query_id"])
+               .select("own", F.explode(F.slice(F.filter("near", lambda x: x["id"] != F.col("own")), 1, k)).alias("x"))
+               .groupBy("own", F.col("x.id").alias("id")).agg(F.min("x.score").alias("score")))  # an id may ask with several vectors
+    rank_of = F.row_number().over(Window.partitionBy("own").orderBy("score", "id"))
+    return (answers.withColumn("rank", rank_of).where(F.col("rank") <= k)
+            .select(F.col("own").alias("query_id"), "rank", F.col("id").alias(id_col), "score"))
