@@ -5,6 +5,7 @@ from email.mime.text import MIMEText
 
 from vetline import run, run_board
 from vetline.operators import listing_db as ldb
+from vetline.sources import seen
 
 
 def test_run_job(spark, tmp_dir):
@@ -40,6 +41,18 @@ def test_run_job(spark, tmp_dir):
     docs = spark.read.parquet(os.path.join(out, "documents")).collect()
     assert len(docs) == 2 and all("Finance role." in r.body_md for r in docs)
     assert spark.read.parquet(os.path.join(out, "scoring")).where("outcome = 'accepted'").count() == 2
+    counts = {(r.stage, r.outcome): r.n for r in spark.read.parquet(os.path.join(out, "counts")).collect()}
+    assert counts["dedup", "moved"] == counts["scoring", "accepted"] == 2 and counts["dedup", "deleted"] == 0
+    # with a bucketed seen list: one URL is known, the other is added where the list lies, and a repeated run does the same
+    stored = os.path.join(tmp_dir, "seen-buckets")
+    seen.create(spark, stored, "url", 4, spark.createDataFrame([("https://www.linkedin.com/jobs/view/7/",)], "url string"))
+    for attempt in ("a", "b"):
+        again = os.path.join(tmp_dir, f"out-{attempt}")
+        run.main(["--profile", "full", "--today", "20260131", "--emails", emails, "--links", links,
+                  "--pages", os.path.join(tmp_dir, "pages"), "--extract", os.path.join(tmp_dir, "ext"),
+                  "--score", os.path.join(tmp_dir, "sco"), "--seen", stored, "--run", "5", "--out", again])
+        assert [r.url for r in spark.read.parquet(os.path.join(again, "seen_additions")).collect()] == ["https://www.linkedin.com/jobs/view/42/"]
+        assert not os.path.exists(os.path.join(again, "seen")) and seen.read(spark, stored).count() == 2
 
 
 def test_board_job(spark, tmp_dir):

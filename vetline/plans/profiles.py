@@ -42,7 +42,7 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
 
     ``inputs`` keys (DataFrames): ``messages`` (binaryFile rows), ``cards``
     (title, company, url), ``links`` (name, url; manual profile), ``seen``
-    (url), ``pages`` (url, html), ``extract_attempts`` / ``score_attempts``
+    (url; a DataFrame or a stored ``SeenList``), ``pages`` (url, html), ``extract_attempts`` / ``score_attempts``
     (url, attempt, text), ``listing_db`` (20 columns), ``stored_names`` (name):
     names already in the target folders of any stage, which are not given again.
     """
@@ -74,7 +74,8 @@ def run(inputs: dict, profile: str = "full", today: str = "20260131", force: boo
     routed = intake.dedup_against_seen(links, inputs["seen"], force=forced)
     out["dedup"] = routed
     out["seen_additions"] = intake.seen_additions(routed)
-    out["seen_next"] = inputs["seen"].select("url").unionByName(out["seen_additions"])
+    if isinstance(inputs["seen"], DataFrame):  # a stored list grows where it lies
+        out["seen_next"] = inputs["seen"].select("url").unionByName(out["seen_additions"])
     passed = routed.where(F.col("outcome") == "moved").drop("outcome", "is_new")
     # moved links sharing a name become "name (00)", "name (01)" (W3)
     passed = (named(passed, "name", ["url", "origin"], style="paren")

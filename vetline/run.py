@@ -12,6 +12,12 @@ seen list and the current listing table.  Writes a new snapshot folder under
 additions, the new listing rows, the updated table for forced rescores, the
 scoring reports, the quarantine and the listing documents; ``seen`` and
 ``listing_db`` there are the inputs of the next run.  Nothing is overwritten in place.
+
+A seen list made by ``sources.seen.create`` grows where it lies: it is not read
+whole nor copied, the run adds its new URLs under its number (``--run``, the
+day if not given) once all else is written, and ``seen`` is left out of the
+snapshot.  Several runs of a day need rising numbers; a run repeated with its
+number compares with the list as it first met it and replaces its own additions.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 from vetline.plans import profiles
 from vetline.session import prepare
 from vetline.sources import files
+from vetline.sources import seen as seen_list
 
 
 def _exists(spark: SparkSession, path: str | None) -> bool:
@@ -35,14 +42,21 @@ def _exists(spark: SparkSession, path: str | None) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def run_number(a) -> int:
+    return int(a.today) if a.run is None else a.run
+
+
 def build_inputs(spark: SparkSession, a) -> dict:
     inputs = {}
     if _exists(spark, a.emails):
         inputs["messages"] = files.read_messages(spark, a.emails)
     if _exists(spark, a.links):
         inputs["links"] = files.read_shortcuts(spark, a.links)
-    inputs["seen"] = (files.read_seen(spark, a.seen) if _exists(spark, a.seen)
-                      else spark.createDataFrame([], "url string"))
+    if a.seen and seen_list.exists(spark, a.seen):
+        inputs["seen"] = seen_list.SeenList(spark, a.seen, before=run_number(a))
+    else:
+        inputs["seen"] = (files.read_seen(spark, a.seen) if _exists(spark, a.seen)
+                          else spark.createDataFrame([], "url string"))
     pages = spark.read.parquet(a.pages)
     inputs["pages"] = pages.select("url", "html", *[c for c in pages.columns if c == "crawled_at"])
     inputs["extract_attempts"] = spark.read.parquet(a.extract)
@@ -79,7 +93,8 @@ def write_outputs(out: dict, folder: str) -> dict[str, dict[str, int]]:
     files.write_snapshot(out["rescored_db"].drop("updated"), os.path.join(folder, "rescored_db"))
     files.write_snapshot(out["quarantine"].select("url", "name"), os.path.join(folder, "quarantine"))
     # the state the next run starts from, and the listing documents
-    files.write_snapshot(out["seen_next"], os.path.join(folder, "seen"))
+    if "seen_next" in out:
+        files.write_snapshot(out["seen_next"], os.path.join(folder, "seen"))
     files.write_snapshot(out["listing_db_next"], os.path.join(folder, "listing_db"))
     files.write_snapshot(out["documents"], os.path.join(folder, "documents"))
     rows = [(stage, outcome, n) for stage, by in counts.items() for outcome, n in by.items() if outcome]
@@ -99,6 +114,7 @@ def main(argv=None) -> None:
     ap.add_argument("--extract", required=True)
     ap.add_argument("--score", required=True)
     ap.add_argument("--seen")
+    ap.add_argument("--run", type=int, help="number of the run, for a bucketed seen list")
     ap.add_argument("--db")
     ap.add_argument("--keywords")
     ap.add_argument("--stored", help="Parquet table of names already stored")
@@ -110,6 +126,8 @@ def main(argv=None) -> None:
     kws = files.read_keywords(spark, a.keywords) if a.keywords else None
     out = profiles.run(inputs, profile=a.profile, today=a.today, force=a.force, keywords=kws)
     write_outputs(out, a.out)
+    if isinstance(inputs["seen"], seen_list.SeenList):
+        seen_list.add(spark, a.seen, spark.read.parquet(os.path.join(a.out, "seen_additions")), run_number(a))
 
 
 if __name__ == "__main__":
