@@ -226,10 +226,6 @@ def shortcut_url(text, loose: bool = False) -> Column:
     return F.when(has, trim_ws(F.regexp_extract(t, r"(?m)^URL=(.*)$", 1)))
 
 
-def first_line(c) -> Column:
-    return F.substring_index(_c(c), "\n", 1)
-
-
 def relative_published_date(text, today) -> Column:
     """Publication date from ``N hour(s)/day(s)/week(s)/month(s) ago`` relative
     to ``today`` as ``yyyyMMdd``; default today (D1)."""

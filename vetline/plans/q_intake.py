@@ -34,12 +34,21 @@ def _sql_list(values) -> str:
 
 
 def listings(spark, sf_dir):
-    """documents as listings: name = first line, dedup key = SHA-256 of the
-    text (32 bytes shuffled instead of the whole text; equal texts only)."""
+    """documents as listings: dedup key = SHA-256 of the text (32 bytes
+    shuffled instead of the whole text; equal texts only)."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", "text",
-                    tx.first_line("text").alias("name"),
-                    F.sha2("text", 256).alias("text_key"))
+    return d.select("doc_id", "lang", "text", F.sha2("text", 256).alias("text_key"))
+
+
+def lines(spark, sf_dir, *columns):
+    """Each line of each document as a listing name, with its number."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *columns, F.posexplode(F.split("text", "\n")).alias("line", "name"))
+
+
+#: The same in SQL.
+_LINES = """lines AS (SELECT doc_id, lang, source, unnest(a) AS name, generate_subscripts(a, 1) - 1 AS line
+          FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS a FROM documents))"""
 
 
 def seen_texts(spark, sf_dir):
@@ -58,11 +67,11 @@ def stored_seen(spark, sf_dir):
 
 # ---------------------------------------------------------------- flagship
 @register("intake_funnel", sql=f"""
-WITH docs AS (SELECT doc_id, text, lang, split_part(text, chr(10), 1) AS name FROM documents),
+WITH docs AS (SELECT doc_id, text, lang FROM documents),
 seen AS (SELECT DISTINCT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 firsts AS (SELECT text, min(doc_id) AS first_id FROM docs GROUP BY text),
 kw(pos, kw) AS (VALUES {_kw_values()}),
-hit AS (SELECT d.doc_id, min(k.pos) AS pos FROM docs d JOIN kw k ON contains(lower(d.name), k.kw)
+hit AS (SELECT d.doc_id, min(k.pos) AS pos FROM docs d JOIN kw k ON contains(lower(d.text), k.kw)
         GROUP BY d.doc_id),
 routed AS (
   SELECT CASE
@@ -77,8 +86,8 @@ routed AS (
 SELECT outcome, count(*) AS n FROM routed GROUP BY outcome
 """)
 def intake_funnel(spark, sf_dir):
-    """dedup vs seen + within batch (J1, W1) -> keyword (F2) -> language
-    -> outcome counts (A1), in the stage order of the workflow.
+    """dedup vs seen + within batch (J1, W1) -> keyword (F2, in the whole text)
+    -> language (F4) -> outcome counts (A1), in the stage order of the workflow.
 
     Routing of a row is computed map-side as an integer code (keyword
     position, -1 for a rejected language, 0 accepted); one keyed aggregation
@@ -86,7 +95,7 @@ def intake_funnel(spark, sf_dir):
     code; a second, tiny aggregation counts outcomes."""
     docs = listings(spark, sf_dir)
     kws = F.array(*[F.lit(k) for k in DOC_KEYWORDS])
-    kw = flt.first_keyword("name", DOC_KEYWORDS)
+    kw = flt.first_keyword("text", DOC_KEYWORDS)
     code = (F.when(kw.isNotNull(), F.array_position(kws, kw).cast("int"))
             .when(~flt.language_accepted("lang"), F.lit(-1)).otherwise(F.lit(0)))
     per_key = intake.first_copy_counts(docs.withColumn("code", code), seen_texts(spark, sf_dir),
@@ -185,33 +194,34 @@ def dedup_seen_force(spark, sf_dir):
 # ---------------------------------------------------------------- F2 J5 O3
 @register("keyword_route", sql=f"""
 WITH kw(pos, kw) AS (VALUES {_kw_values()}),
-docs AS (SELECT doc_id, split_part(text, chr(10), 1) AS name FROM documents),
-hit AS (SELECT d.doc_id, min(k.pos) AS pos FROM docs d JOIN kw k ON contains(lower(d.name), k.kw)
-        GROUP BY d.doc_id)
-SELECT d.doc_id, k.kw AS matched_keyword
-FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN kw k ON k.pos = h.pos
+{_LINES},
+hit AS (SELECT d.doc_id, d.line, min(k.pos) AS pos FROM lines d JOIN kw k ON contains(lower(d.name), k.kw)
+        GROUP BY d.doc_id, d.line)
+SELECT d.doc_id, CAST(d.line AS INTEGER) AS line, k.kw AS matched_keyword
+FROM lines d LEFT JOIN hit h ON d.doc_id = h.doc_id AND d.line = h.line LEFT JOIN kw k ON k.pos = h.pos
 """)
 def keyword_route(spark, sf_dir):
-    docs = listings(spark, sf_dir).select("doc_id", "name")
-    return flt.keyword_route(docs, "name", DOC_KEYWORDS).select("doc_id", "matched_keyword")
+    """Keyword exclusion with every line of the documents as a name."""
+    return flt.keyword_route(lines(spark, sf_dir), "name", DOC_KEYWORDS).select("doc_id", "line", "matched_keyword")
 
 
 @register("keyword_route_table", sql=f"""
 WITH kw(pos, kw) AS (SELECT row_number() OVER (ORDER BY min(doc_id)), s
                      FROM (SELECT doc_id, lower(source) AS s FROM documents) GROUP BY s),
-docs AS (SELECT doc_id, split_part(text, chr(10), 1) || ' ' || source AS name FROM documents),
-hit AS (SELECT d.doc_id, min(k.pos) AS pos FROM docs d JOIN kw k ON contains(lower(d.name), k.kw)
-        GROUP BY d.doc_id)
-SELECT d.doc_id, k.kw AS matched_keyword
-FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN kw k ON k.pos = h.pos
+{_LINES},
+docs AS (SELECT doc_id, line, name || ' ' || source AS name FROM lines),
+hit AS (SELECT d.doc_id, d.line, min(k.pos) AS pos FROM docs d JOIN kw k ON contains(lower(d.name), k.kw)
+        GROUP BY d.doc_id, d.line)
+SELECT d.doc_id, CAST(d.line AS INTEGER) AS line, k.kw AS matched_keyword
+FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id AND d.line = h.line LEFT JOIN kw k ON k.pos = h.pos
 """)
 def keyword_route_table(spark, sf_dir):
     """Keyword list as a table (S7 form) derived from the data: the distinct
-    sources, in order of first appearance.  Matched against name + source."""
+    sources, in order of first appearance.  Matched against each line + source."""
     d = table(spark, sf_dir, "documents")
     kw = d.groupBy(F.lower("source").alias("kw")).agg(F.min("doc_id").alias("pos"))
-    docs = d.select("doc_id", F.concat(tx.first_line("text"), F.lit(" "), F.col("source")).alias("name"))
-    return flt.keyword_route(docs, "name", kw).select("doc_id", "matched_keyword")
+    names = lines(spark, sf_dir, "source").select("doc_id", "line", F.concat("name", F.lit(" "), "source").alias("name"))
+    return flt.keyword_route(names, "name", kw).select("doc_id", "line", "matched_keyword")
 
 
 @register("keyword_text", sql=f"""
@@ -315,11 +325,11 @@ _REMOTE = _sql_list(fixed.REMOTE_SYNONYMS)
 
 
 @register("city_codes", sql=f"""
-WITH c AS (SELECT doc_id, regexp_replace(regexp_extract(text, '^([^ .,;:!?\\n]+)', 1), '^\\s+|\\s+$', '', 'g') AS city
-           FROM documents),
-f AS (SELECT doc_id, city, replace(strip_accents(city), ' ', '') AS c4,
+WITH w AS (SELECT unnest(regexp_split_to_array(text, '[ .,;:!?\\n]+')) AS word FROM documents),
+c AS (SELECT regexp_replace(word, '^\\s+|\\s+$', '', 'g') AS city, count(*) AS n FROM w GROUP BY 1),
+f AS (SELECT city, n, replace(strip_accents(city), ' ', '') AS c4,
              regexp_replace(strip_accents(city), '\\s+', '', 'g') AS c7 FROM c)
-SELECT doc_id, city,
+SELECT city, n,
   CASE WHEN upper(city) IN ({_REMOTE}) THEN 'RMTE' WHEN c4 = '' THEN 'UNKN'
        ELSE upper(replace(substr(c4, 1, 4), 'ß', 'SS')) END AS code4,
   CASE WHEN regexp_full_match(city, '[A-Za-z]{{1,7}}') THEN upper(city)
@@ -328,12 +338,12 @@ SELECT doc_id, city,
 FROM f
 """)
 def city_codes(spark, sf_dir):
-    """City codes for the first word of each document (accents, case, cut)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    city = tx.trim_ws(F.regexp_extract("text", r"^([^ .,;:!?\n]+)", 1))
-    return (d.select("doc_id", city.alias("city"))
-             .select("doc_id", "city", tx.city_code4("city").alias("code4"),
-                     tx.validated_city_code("city").alias("code7")))
+    """City codes for each distinct word of the documents (accents, case, cut),
+    with how often it occurs."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ .,;:!?\n]+")).alias("word"))
+    # one shuffle: words are trimmed before the partial aggregation
+    cities = words.groupBy(tx.trim_ws("word").alias("city")).agg(F.count(F.lit(1)).alias("n"))
+    return cities.select("city", "n", tx.city_code4("city").alias("code4"), tx.validated_city_code("city").alias("code7"))
 
 
 # ---------------------------------------------------------------- P5 P16 P17
@@ -401,21 +411,19 @@ _TRIMS = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 @register("stem_parse", sql=f"""
-WITH s AS (SELECT doc_id, regexp_replace('{TODAY}_' || split_part(text, chr(10), 1) || ' - ' || source || ' - LinkedIn',
-                                         '^[0-9]{{8}}_', '') AS body FROM documents),
-p AS (SELECT doc_id, string_split(body, ' - ') AS parts FROM s)
-SELECT doc_id,
+WITH {_LINES},
+s AS (SELECT doc_id, line, regexp_replace('{TODAY}_' || name || ' - ' || source || ' - LinkedIn', '^[0-9]{{8}}_', '') AS body FROM lines),
+p AS (SELECT doc_id, line, string_split(body, ' - ') AS parts FROM s)
+SELECT doc_id, CAST(line AS INTEGER) AS line,
        CASE WHEN len(parts) >= 3 THEN {_TRIMS.format("array_to_string(parts[1:len(parts) - 2], ' - ')")} ELSE '' END AS title,
        CASE WHEN len(parts) >= 3 THEN {_TRIMS.format("parts[len(parts) - 1]")} ELSE '' END AS company
 FROM p
 """)
 def stem_parse(spark, sf_dir):
-    """Listing names ``date_title - company - source`` from the documents,
-    parsed back into title and company (P8)."""
-    d = table(spark, sf_dir, "documents")
-    name = F.format_string(f"{TODAY}_%s - %s - LinkedIn", tx.first_line("text"), F.col("source"))
-    p = tx.parse_stem(name)
-    return d.select("doc_id", p["title"].alias("title"), p["company"].alias("company"))
+    """Listing names ``date_title - company - source`` from every line of the
+    documents, parsed back into title and company (P8)."""
+    p = tx.parse_stem(F.format_string(f"{TODAY}_%s - %s - LinkedIn", "name", "source"))
+    return lines(spark, sf_dir, "source").select("doc_id", "line", p["title"].alias("title"), p["company"].alias("company"))
 
 
 def _clean_sql(c, n):
@@ -424,16 +432,16 @@ def _clean_sql(c, n):
 
 
 @register("enriched_stems", sql=f"""
-WITH c AS (SELECT doc_id, {_clean_sql("split_part(text, chr(10), 1)", 60)} AS t,
-                  {_clean_sql("CASE WHEN lang = 'en' THEN source ELSE '' END", 40)} AS co FROM documents)
-SELECT doc_id, CASE WHEN t <> '' AND co <> '' THEN '{TODAY}_' || t || ' - ' || co || ' - LinkedIn'
+WITH {_LINES},
+c AS (SELECT doc_id, line, {_clean_sql("name", 60)} AS t,
+             {_clean_sql("CASE WHEN lang = 'en' THEN source ELSE '' END", 40)} AS co FROM lines)
+SELECT doc_id, CAST(line AS INTEGER) AS line, CASE WHEN t <> '' AND co <> '' THEN '{TODAY}_' || t || ' - ' || co || ' - LinkedIn'
                     WHEN t <> '' THEN '{TODAY}_' || t || ' - LinkedIn' ELSE '' END AS stem
 FROM c
 """)
 def enriched_stems(spark, sf_dir):
     """Final names after enrichment: accents folded, unsafe characters
-    dropped, title cut to 60 and company to 40 (P6, P7); English documents
-    carry their source as the company, the others have none."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    dropped, title cut to 60 and company to 40 (P6, P7), with every line as a
+    title; English documents carry their source as the company, the others have none."""
     company = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.lit(""))
-    return d.select("doc_id", tx.enriched_stem(tx.first_line("text"), company, TODAY).alias("stem"))
+    return lines(spark, sf_dir, "lang", "source").select("doc_id", "line", tx.enriched_stem("name", company, TODAY).alias("stem"))

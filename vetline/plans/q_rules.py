@@ -124,9 +124,10 @@ def _city_sql(col):
 
 
 @register("rules_location", sql=f"""
-WITH c AS (SELECT doc_id, regexp_extract(text, '^([^.,;:!?\\n]+)', 1) AS city FROM documents),
-k AS (SELECT doc_id, city, {_city_sql('city')} AS ck FROM c)
-SELECT doc_id,
+WITH a AS (SELECT doc_id, regexp_split_to_array(text, '[.,;:!?\\n]+') AS a FROM documents),
+c AS (SELECT doc_id, unnest(a) AS city, generate_subscripts(a, 1) - 1 AS phrase FROM a),
+k AS (SELECT doc_id, phrase, city, {_city_sql('city')} AS ck FROM c)
+SELECT doc_id, CAST(phrase AS INTEGER) AS phrase,
        CAST(CASE WHEN ck = 'berlin' THEN -30 WHEN ck = 'rio de janeiro' THEN -15 ELSE 0 END AS INTEGER) AS loc_points,
        CASE WHEN ck IN ({", ".join(f"'{x}'" for x in rl.ACCEPTED_PLACES)}, 'berlin', 'rio de janeiro') THEN NULL
             WHEN contains(ck, 'brazil') THEN 'Location disqualifier: Brazilian location outside accepted areas'
@@ -134,14 +135,13 @@ SELECT doc_id,
 FROM k
 """)
 def rules_location(spark, sf_dir):
-    """Location rule (R2) for the opening phrase of each document as its city:
+    """Location rule (R2) for each phrase of each document as a city:
     city dimension joined by a size-checked broadcast, unknown places and
     other Brazilian places disqualify."""
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.regexp_extract("text", r"^([^.,;:!?\n]+)", 1).alias("city"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[.,;:!?\n]+")).alias("phrase", "city"))
     out = rl.location_items(d, "city")
     pts = F.aggregate(F.col("loc_deductions"), F.lit(0), lambda a, x: a + x["points"])
-    return out.select("doc_id", pts.cast("int").alias("loc_points"), F.get("loc_flags", 0).alias("loc_flag"))
+    return out.select("doc_id", "phrase", pts.cast("int").alias("loc_points"), F.get("loc_flags", 0).alias("loc_flag"))
 
 
 # ---------------------------------------------------------------- R5
