@@ -151,26 +151,87 @@ def test_tiling(spark, docs):
     assert tiling.contaminated(cases, bench.where("false")).count() == 0 == tiling.contaminated(docs, bench).count()
 
 
+def plain_best_fit(sizes, lengths, costs, opened):
+    """[room, opened size, held pieces] of each bin, piece by piece."""
+    bins = []
+    for n in sorted(sizes, reverse=True):
+        fits = [b for b in bins if b[0] >= n]
+        if not fits:
+            cap = min((c for c in opened if c >= n), key=lambda c: (costs[c] / c, c))
+            bins.append([cap, cap, []])
+            fits = bins[-1:]
+        best = min(fits, key=lambda b: (b[0], b[1], -len(b[2])))
+        best[0] -= n
+        best[2].append(n)
+    return bins
+
+
+def test_best_fit_over_counts_is_best_fit_by_piece():
+    rng = np.random.default_rng(8)
+    for turn in range(40):
+        lengths = sorted({int(x) for x in rng.integers(3, 70, 3)} | {70})
+        costs = {c: packing.attention_cost(c * 100) if turn % 2 else c + 9.0 for c in lengths}
+        sizes = rng.integers(1, 71, int(rng.integers(1, 300))) if turn % 3 else rng.integers(1, 9, 200)
+        counts = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True))))
+        for opened in (lengths, lengths[-1:], lengths[1:]):
+            plain = plain_best_fit(sizes.tolist(), lengths, costs, opened)
+            plan = packing.best_fit(counts, lengths, costs, opened)
+            least = sum(min(costs[c] for c in lengths if c >= cap - room) for room, cap, _ in plain)
+            assert plan.cost == pytest.approx(least)
+        joint = packing.joint_plan(counts, lengths, costs).cost
+        assert joint <= packing.best_fit(counts, lengths, costs, lengths).cost
+    assert packing.joint_plan({}, [4], {4: 1.0}).cost == 0
+
+
+def test_best_fit_against_the_optimum():
+    rng, lengths = np.random.default_rng(4), (4, 8, 16)
+    costs = {c: packing.attention_cost(512 * c // 4) for c in lengths}
+
+    def least(left, bins):
+        if not left:
+            return sum(min(costs[c] for c in lengths if c >= b) for b in bins)
+        n, rest = left[0], left[1:]
+        grown = [bins[:k] + (b + n,) + bins[k + 1:] for k, b in enumerate(bins) if b + n <= 16]
+        return min(least(rest, x) for x in [*grown, (*bins, n)])
+
+    for _ in range(25):
+        sizes = rng.integers(1, 17, 6).tolist()
+        counts = {n: sizes.count(n) for n in sizes}
+        best, got = least(tuple(sizes), ()), packing.joint_plan(counts, lengths, costs).cost
+        assert best - 1e-9 <= got <= 1.25 * best
+
+
+def packed_bins(got, lengths):
+    bins = {}
+    for r in got:
+        if r.n_tokens:
+            bins.setdefault((r.bin_id, r.bin_length), []).append((r.bin_offset, r.n_tokens))
+        else:
+            assert r.bin_id is None
+    assert len({b for b, _ in bins}) == len(bins)
+    for (_, length), held in bins.items():
+        end = 0
+        for offset, n in sorted(held):
+            assert offset == end
+            end += n
+        assert end <= length and not any(c >= end for c in lengths if c < length)
+    return sorted(length for _, length in bins)
+
+
 def test_packing(spark):
     sizes = [(k, n) for k, n in enumerate([0, None, 1, 5, 8, 8, 9, 20, 33, 3, 3, 2])] + [(3, 5), (None, 4)]
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens int").repartition(3)
-    for window in (3, 1000):
-        got = packing.pack(df, lengths=(4, 8, 16), window=window).collect()
-        bins = {}
-        for r in got:
-            if r.n_tokens:
-                bins.setdefault((r.bin_id, r.bin_length), []).append((r.bin_offset, r.n_tokens))
-            else:
-                assert r.bin_id is None
-        assert len({b for b, _ in bins}) == len(bins)
-        for (_, length), held in bins.items():
-            end = 0
-            for offset, n in sorted(held):
-                assert offset == end
-                end += n
-            assert end <= length and not any(c >= end for c in (4, 8, 16) if c < length)
-        assert sum(r.n_tokens for r in got) == sum(n or 0 for _, n in sizes)
-        assert sorted(r.start for r in got if r.doc_id == 8) == [0, 16, 32]
+    got = packing.pack(df, lengths=(4, 8, 16)).collect()
+    packed_bins(got, (4, 8, 16))
+    assert sum(r.n_tokens for r in got) == sum(n or 0 for _, n in sizes)
+    assert sorted(r.start for r in got if r.doc_id == 8) == [0, 16, 32]
+    assert packing.pack(df.where("false"), lengths=(4, 8, 16)).count() == 0
+
+
+def test_packing_ignores_layout_and_hot_lengths(spark):
+    rows = spark.range(3000).selectExpr("id doc_id", "if(id % 3 = 0, 7, id * id % 40) n_tokens", "id piece_", "'x' bin")
+    seen = [packed_bins(packing.pack(rows.repartition(n), lengths=(8, 16, 32)).collect(), (8, 16, 32)) for n in (1, 5, 40)]
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_blocks_round_trip():
