@@ -7,6 +7,8 @@ A mention belongs to two lexical patterns: the word before it, or after it, with
 the shape of the token (runs of letters, digits, signs).  Cards, phones and runs
 of digit groups also belong to the word before or after with only a class of
 digit counts, so another way of writing a number is found in the same context.
+White space of any length may lie between; of a context word the 60 characters
+nearest the mention count.
 Spark scores the graph of
 patterns and instances in turns: a pattern by the mean score of its instances,
 discounted where few seeds support it; an instance by noisy-or of its patterns,
@@ -24,6 +26,7 @@ discovered spans may overlap each other.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -47,6 +50,8 @@ _RUN = re.compile(r"[+(]{0,2}[0-9]+(?:[\x20().-]{1,3}[0-9]+)*")
 _DIGITS = re.compile(r"[0-9]+")
 #: Digits of the shortest phone and the longest card, and from which a run may be a card.
 LEAST_DIGITS, MOST_DIGITS, CARD_DIGITS = 9, 19, 13
+#: Characters of a context word, those nearest the mention.
+CONTEXT = 60
 _EDGE = ".,;:!?\"'()[]{}<>|"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -93,11 +98,13 @@ def token_shape(token: str) -> str:
 
 def digit_runs(text: str, taken: list[tuple[int, int]]) -> dict[tuple[int, int], bool]:
     """(start, end) of digit groups joined by blanks or signs outside the taken
-    spans, and whether the digit count is a context's shape: all of a run, or
-    the first and last groups of one too long."""
+    spans, from any group of a run to any other of 9 to 19 digits, and whether
+    the digit count is a context's shape: the most groups from the run's start,
+    or to its end (between other groups the neighbours are no words)."""
     out: dict[tuple[int, int], bool] = {}
     at = 0
     for a, z in [*taken, (len(text), len(text))]:
+        ends: dict[int, tuple[int, int]] = {}  # of each run, its longest span to the end
         for m in _RUN.finditer(text, at, a) if at < a else ():
             first, last = m.span()
             if last - first < LEAST_DIGITS or (first and (text[first - 1].isalnum() or text[first - 1] in "_@")) or (
@@ -105,25 +112,23 @@ def digit_runs(text: str, taken: list[tuple[int, int]]) -> dict[tuple[int, int],
                 continue
             groups = [g.span() for g in _DIGITS.finditer(text, first, last)]
             start = first if ")" in m.group() or "(" not in m.group() else groups[0][0]
-            n, heads = 0, []
-            for x, y in groups:
-                n += y - x
-                if LEAST_DIGITS <= n <= MOST_DIGITS:
-                    heads.append((start, y))
-                elif n > MOST_DIGITS:
-                    break
-            n, tails = 0, []
-            for i in range(len(groups) - 1, -1, -1):
-                n += groups[i][1] - groups[i][0]
-                if LEAST_DIGITS <= n <= MOST_DIGITS:
-                    # an opening bracket goes with its group
-                    x = start if not i else groups[i][0] - (text[groups[i][0] - 1] == "(")
-                    tails.append((x, last))
-                elif n > MOST_DIGITS:
-                    break
-            for spans in (heads, tails):
-                for k, span in enumerate(spans, 1):
-                    out[span] = out.get(span, False) or k == len(spans)
+            for i, (x, _) in enumerate(groups):
+                # an opening bracket goes with its group
+                x = start if not i else x - (text[x - 1] == "(")
+                n, most = 0, None
+                for k in range(i, len(groups)):
+                    n += groups[k][1] - groups[k][0]
+                    if n > MOST_DIGITS:
+                        break
+                    if n >= LEAST_DIGITS:
+                        most = (x, groups[k][1])
+                        out.setdefault(most, False)
+                        if k == len(groups) - 1 and last not in ends:
+                            ends[last] = most
+                if most and not i:
+                    out[most] = True
+        for span in ends.values():
+            out[span] = True
         at = max(at, z)
     return out
 
@@ -147,12 +152,15 @@ def mentions(text: str, base: list) -> list[tuple]:
         if not clash and z - a >= 7 and (a, z) not in runs and ("@" in text[a:z] or sum(c in "0123456789" for c in text[a:z]) >= 4):
             found.append((a, z, None))
     out = []
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
     for a, z, kind in sorted(found, key=lambda x: x[:2]):
         token = text[a:z]
-        before = text[max(0, a - 60):a].split()
-        after = _WORD.search(text, z, z + 60)
+        i, j = bisect.bisect_left(starts, a) - 1, bisect.bisect_right(ends, z)
+        before = text[max(starts[i], min(ends[i], a) - CONTEXT):min(ends[i], a)].split() if i >= 0 else []
+        after = text[max(starts[j], z):min(ends[j], max(starts[j], z) + CONTEXT)] if j < len(ends) else ""
         left = before[-1].strip(_EDGE).lower() if before else ""
-        right = after.group().strip(_EDGE).lower() if after else ""
+        right = after.strip(_EDGE).lower()
         s = token_shape(token)
         patterns = [f"{left} <{s}>", f"<{s}> {right}"]
         if kind in ("card", "phone") or (kind is None and runs.get((a, z))):
