@@ -464,3 +464,62 @@ def test_stages_keep_columns_of_any_name(spark, tmp_dir):
     assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
     assert all("[EMAIL]" in r.text for r in got if r.doc_id < 6)
     assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, docs, tmp_dir).collect()} == {0, 1, 2, 3, 4, 5, 7}
+
+
+def test_digit_runs_take_every_stretch_of_groups():
+    rng = random.Random(3)
+    for _ in range(60):
+        groups = ["".join(rng.choices("0123456789", k=rng.randint(1, 6))) for _ in range(rng.randint(2, 14))]
+        text, at = "total ", []
+        for g in groups:
+            at.append((len(text), len(text) + len(g)))
+            text += g + rng.choice((" ", "-", ". ", "  "))
+        text = text.rstrip(" .-") + " sum"
+        want = {(at[i][0], at[k][1]) for i in range(len(at)) for k in range(i, len(at))
+                if 9 <= sum(map(len, groups[i:k + 1])) <= 19}
+        if at[-1][1] - at[0][0] >= 9:
+            assert set(pii.digit_runs(text, [])) == want
+    numbers = "row 111111 222222 4111 1111 1111 1112 333333 444444 end"
+    assert "4111 1111 1111 1112" in {numbers[a:z] for a, z in pii.digit_runs(numbers, [])}
+    far = "card" + " " * 500 + "4111111111111112"
+    assert any("card <" in p for m in pii.mentions(far, []) for p in m[4])
+    assert pii.mentions("x" * 100_000 + "@", []) != [] == pii.mentions("", [])
+
+
+def test_toxic_words_are_counted_over_all_labelled_rows(spark):
+    rng = random.Random(6)
+    rows = [(int(k % 9 == 0), " ".join(rng.choices(["ab", "bc", "cd", "de"], k=6)) + (" vile" if k % 9 == 0 and k % 2 else "") + ". Fin") for k in range(400)]
+    rows += [(1, None), (0, ""), (0, "...")]
+    df = spark.createDataFrame(rows, "y int, text string").repartition(4)
+    seen = toxicity.telling(df, 6, 5)
+
+    def weight(word):
+        return toxicity.sentences(pa.array([word]))[0][0, 0]
+    docs = {y: [set(re.findall(r"[a-z]+", (t or "").lower())) for label, t in rows if label == y and re.search("[a-zA-Z]", t or "")] for y in (0, 1)}
+    for word in ("ab", "bc", "cd", "de", "vile", "fin"):
+        clean, toxic = (sum(word in d for d in docs[y]) for y in (0, 1))
+        n0, n1 = len(docs[0]), len(docs[1])
+        both = (clean + toxic) / (n0 + n1)
+        z = (toxic / n1 - clean / n0) / max(both * (1 - both) * (1 / n0 + 1 / n1), 1e-12) ** 0.5
+        assert seen[weight(word)] == (z > 6 and toxic >= 5), word
+    assert seen[weight("vile")] and not toxicity.telling(df.where("y = 0"), 6, 5).any() and not toxicity.telling(df.where("false"), 6, 5).any()
+
+
+def test_bag_weights_lower_the_plain_risk():
+    rng = np.random.default_rng(1)
+    used = rng.integers(1, 40, (300, 1))
+    of = np.sort(rng.integers(0, 80, 300))
+    bag = np.arange(0, 80, 4)
+    y = np.array([int((used[(of >= b) & (of < b + 4)] == 7).any()) for b in bag])
+
+    def risk(w, b):  # mean over both labels of the noisy-or's log loss, document by document
+        loss = {0: [], 1: []}
+        for d, first in enumerate(bag):
+            quiet = 1.0
+            for s in range(first, first + 4):
+                quiet *= 1 - 1 / (1 + np.exp(-(sum(w[used[of == s, 0]]) + b)))
+            loss[y[d]].append(-np.log(max(1 - quiet if y[d] else quiet, 1e-12)))
+        return np.mean(loss[0]) + np.mean(loss[1])
+    w, b = toxicity.fit_bags(used, of, bag, 80, y, epochs=200)
+    assert risk(w, b) < 0.3 * risk(np.zeros(toxicity.BUCKETS), -4.0)
+    assert np.argmax(w) == 7

@@ -7,7 +7,8 @@ carry labels: gradients of the bag likelihood reach the words of the sentences
 that explain it, so the same scores then show which sentences offend.
 
 Plan.  Words are hashed to a fixed number of weights (``BUCKETS``), so the
-model is a megabyte at any size of corpus.  It is fitted on a bounded sample of
+model is a megabyte at any size of corpus.  Which words are worth a weight is
+counted over all labelled rows; the weights are fitted on a bounded sample of
 labelled rows (``train_docs``, half of them toxic where there are enough; which
 rows is decided by a hash of the id).  Scoring is one pass, without a shuffle.
 
@@ -87,25 +88,38 @@ def fit_bags(used: np.ndarray, of: np.ndarray, bag: np.ndarray, n_sentences: int
     return w, b
 
 
-def telling(sample: DataFrame, n: tuple[int, int], min_z: float, min_docs: int) -> np.ndarray:
-    """Which weights to learn: those of words found in toxic documents more often
-    than chance (``min_z`` standard errors).  The others could only be fitted to
+def telling(labelled: DataFrame, min_z: float, min_docs: int) -> np.ndarray:
+    """Which weights to learn, counted over all labelled rows (y, text): those of
+    words found in toxic documents more often than chance (``min_z`` standard
+    errors, ``min_docs`` documents).  The others could only be fitted to
     accidents and stay 0."""
     def count(batches):
-        held = np.zeros((2, BUCKETS), dtype=np.int64)
+        held, totals = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for b in batches:
-            for y, words in zip(b["y"].to_pylist(), b["words"]):
-                held[y][np.unique(np.frombuffer(words.as_buffer(), np.int32))] += 1
+            bucket, _, bag, words = sentences(b["text"])
+            y = b["y"].to_numpy()
+            owner = np.repeat(np.arange(len(y)), np.diff(words.off))
+            used = np.unique(owner[:, None] * BUCKETS + bucket)  # a document counts once for each of its weights
+            for label in (0, 1):
+                held[label] += np.bincount(used[y[used // BUCKETS] == label] % BUCKETS, minlength=BUCKETS)
+            totals += np.bincount(y[np.diff(bag) > 0], minlength=2)
+        held[:, SPARE] = totals
         some = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[0][some]), pa.array(held[1][some])], ["k", "clean", "toxic"])
 
-    found = (sample.mapInArrow(count, "k int, clean long, toxic long").groupBy("k")
-             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= min_docs).toArrow())
-    clean, toxic = found["clean"].to_numpy(), found["toxic"].to_numpy()
-    both = (clean + toxic) / sum(n)
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n[0] + 1 / n[1]))
+    found = (labelled.mapInArrow(count, "k int, clean long, toxic long").groupBy("k")
+             .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+             .where((F.col("toxic") >= min_docs) | (F.col("k") == SPARE)).toArrow())
+    k, clean, toxic = found["k"].to_numpy(), found["clean"].to_numpy(), found["toxic"].to_numpy()
     seen = np.zeros(BUCKETS, dtype=bool)
-    seen[found["k"].to_numpy()[toxic / n[1] - clean / n[0] > min_z * error]] = True
+    if not (k == SPARE).any():
+        return seen
+    n_clean, n_toxic = clean[k == SPARE][0], toxic[k == SPARE][0]
+    if not n_clean or not n_toxic:
+        return seen
+    both = (clean + toxic) / (n_clean + n_toxic)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_clean + 1 / n_toxic))
+    seen[k[toxic / n_toxic - clean / n_clean > min_z * error]] = True
     seen[SPARE] = False
     return seen
 
@@ -136,10 +150,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
         .select((F.col("y") == 1).cast("int").alias("y"), "text").mapInArrow(run, "y int, words binary, first binary")
         .where(F.length("first") > 0), "toxic_sample")
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(n) < 2:
+    if sample.select("y").distinct().count() < 2:
         return np.zeros(BUCKETS), -np.inf
-    seen = telling(sample, (n[0], n[1]), min_z, min_docs)
+    labelled = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
+                .select((F.col("y") == 1).cast("int").alias("y"), "text"))
+    seen = telling(labelled, min_z, min_docs)
 
     def live(batches):  # of each document the words that have a weight, and their sentences
         for b in batches:
