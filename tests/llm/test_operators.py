@@ -491,7 +491,7 @@ def test_toxic_words_are_counted_over_all_labelled_rows(spark):
     rows = [(int(k % 9 == 0), " ".join(rng.choices(["ab", "bc", "cd", "de"], k=6)) + (" vile" if k % 9 == 0 and k % 2 else "") + ". Fin") for k in range(400)]
     rows += [(1, None), (0, ""), (0, "...")]
     df = spark.createDataFrame(rows, "y int, text string").repartition(4)
-    seen = toxicity.telling(df, 6, 5)
+    seen = toxicity.telling(df, 6, 5, 2)
 
     def weight(word):
         return toxicity.sentences(pa.array([word]))[0][0, 0]
@@ -501,8 +501,8 @@ def test_toxic_words_are_counted_over_all_labelled_rows(spark):
         n0, n1 = len(docs[0]), len(docs[1])
         both = (clean + toxic) / (n0 + n1)
         z = (toxic / n1 - clean / n0) / max(both * (1 - both) * (1 / n0 + 1 / n1), 1e-12) ** 0.5
-        assert seen[weight(word)] == (z > 6 and toxic >= 5), word
-    assert seen[weight("vile")] and not toxicity.telling(df.where("y = 0"), 6, 5).any() and not toxicity.telling(df.where("false"), 6, 5).any()
+        assert seen[weight(word)] == (z > 6 and toxic >= 5 and toxic / n1 >= 2 * clean / n0), word
+    assert seen[weight("vile")] and not toxicity.telling(df.where("y = 0"), 6, 5, 2).any() and not toxicity.telling(df.where("false"), 6, 5, 2).any()
 
 
 def test_bag_weights_lower_the_plain_risk():

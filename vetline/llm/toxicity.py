@@ -88,10 +88,11 @@ def fit_bags(used: np.ndarray, of: np.ndarray, bag: np.ndarray, n_sentences: int
     return w, b
 
 
-def telling(labelled: DataFrame, min_z: float, min_docs: int) -> np.ndarray:
+def telling(labelled: DataFrame, min_z: float, min_docs: int, min_lift: float) -> np.ndarray:
     """Which weights to learn, counted over all labelled rows (y, text): those of
     words found in toxic documents more often than chance (``min_z`` standard
-    errors, ``min_docs`` documents).  The others could only be fitted to
+    errors, ``min_docs`` documents) and ``min_lift`` times as often as in clean
+    ones, which no growth of the tables alone brings about.  The others could only be fitted to
     accidents and stay 0."""
     def count(batches):
         held, totals = np.zeros((2, BUCKETS), dtype=np.int64), np.zeros(2, dtype=np.int64)
@@ -119,13 +120,14 @@ def telling(labelled: DataFrame, min_z: float, min_docs: int) -> np.ndarray:
         return seen
     both = (clean + toxic) / (n_clean + n_toxic)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n_clean + 1 / n_toxic))
-    seen[k[toxic / n_toxic - clean / n_clean > min_z * error]] = True
+    bad, good = toxic / n_toxic, clean / n_clean
+    seen[k[(bad - good > min_z * error) & (bad >= min_lift * good)]] = True
     seen[SPARE] = False
     return seen
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        train_docs: int = TRAIN_DOCS, min_z: float = 6, min_docs: int = 5) -> tuple[np.ndarray, float]:
+        train_docs: int = TRAIN_DOCS, min_z: float = 6, min_docs: int = 5, min_lift: float = 2) -> tuple[np.ndarray, float]:
     """Learn from at most about ``train_docs`` labelled rows that are not held out."""
     C.small_batches(docs.sparkSession)
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
@@ -152,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .where(F.length("first") > 0), "toxic_sample")
     if sample.select("y").distinct().count() < 2:
         return np.zeros(BUCKETS), -np.inf
-    labelled = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
+    labelled = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known.hint("merge"), "id")  # labels may be many
                 .select((F.col("y") == 1).cast("int").alias("y"), "text"))
-    seen = telling(labelled, min_z, min_docs)
+    seen = telling(labelled, min_z, min_docs, min_lift)
 
     def live(batches):  # of each document the words that have a weight, and their sentences
         for b in batches:
