@@ -399,6 +399,54 @@ def test_quality(spark, labelled):
     assert all(r.score == pytest.approx(0.5) for r in quality.scores(table, blank).collect())
 
 
+def test_byte_classes_are_counted_as_one_by_one():
+    texts = ["Ab c1\n.. !?|", "", None, "é#() '-/: \t_" * 3, "x" * 5000]
+    got = quality.features(pa.array(texts))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        for j, members in enumerate(quality._CLASSES.values()):
+            assert got[i, j] == pytest.approx((sum(b in set(members) for b in raw) / max(1, len(raw))) ** 0.5)
+
+
+def test_quality_reaches_the_least_corrected_risk(spark, labelled):
+    docs, labels = labelled
+    table = quality.feature_table(docs)
+    rows = [(r.id, np.array(r.x)) for r in table.where("not held_out").collect()]
+    good = {r.doc_id for r in labels.where("quality = 1").collect()} - {None}
+    x = np.array([v for _, v in rows], dtype=float)
+    pos = np.array([i in good for i, _ in rows])
+    for prior in (None, 0.6, 0.97):  # the last is too high: without correction the second part would fall below zero
+        model = quality.fit(table, labels, prior=prior)
+        if prior is None:
+            assert 0.75 < model.prior < 0.92  # five of six texts are good
+        u = np.c_[np.clip((x - model.mean) / model.scale, -6, 6), np.ones(len(x))]
+
+        def risk(w):
+            z = u @ w
+            second = np.logaddexp(0, z).mean() - model.prior * np.logaddexp(0, z[pos]).mean()
+            return model.prior * np.logaddexp(0, -z[pos]).mean() + max(0, second) + 0.01 * (w[:-1] ** 2).sum() / 2, second
+        best, second = risk(model.weights)
+        assert second >= -1e-9
+        start = np.r_[np.zeros(u.shape[1] - 1), np.log(model.prior / (1 - model.prior))]
+        assert best < risk(start)[0]
+        if prior == 0.6:  # the second part stays above zero, so this is the least risk of all
+            rng = np.random.default_rng(1)
+            assert second > 0
+            assert all(risk(model.weights + rng.normal(size=len(start)) * s)[0] > best - 1e-5 for s in (0.3, 0.1, 0.03, 0.01) for _ in range(20))
+        z = u @ model.weights
+        got = {i: s for i, s in zip([i for i, _ in rows], 1 / (1 + np.exp(-z)))}
+        assert all(r.score == pytest.approx(got[r.doc_id]) for r in quality.scores(table, model).where("not held_out").collect())
+
+
+def test_prior_from_histograms():
+    rng = np.random.default_rng(5)
+    good, bad = rng.beta(8, 2, 40_000), rng.beta(2, 8, 60_000)
+    every, _ = np.histogram(np.r_[good, bad], 2000, (0, 1))
+    known, _ = np.histogram(good[:5000], 2000, (0, 1))
+    assert abs(quality._ratio(every.astype(float), known.astype(float)) - 0.4) < 0.03
+    assert quality._ratio(known.astype(float), known.astype(float)) == 1 - 1e-3
+
+
 def test_toxicity(spark, labelled):
     docs, labels = labelled
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()

@@ -1,22 +1,30 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives are rows labelled good; every other text, and the good ones
-again, is unlabelled web text.  With an estimated class prior p the classifier
-minimises the unbiased risk
+again, is unlabelled web text: labels other than good are never read.  With an
+estimated class prior p the classifier minimises the unbiased risk
 
     p E_pos[l(g)] + max(0, E_all[l(-g)] - p E_pos[l(-g)]),   l(z) = log(1 + exp(-z))
 
 of a linear function g of text statistics.  While the second part is positive
-the risk is convex and Newton steps minimise it; a step that would take it
-below zero is not taken (the non-negative correction for such a model).
+the risk is convex and Newton steps minimise it.  A step that takes the second
+part below zero is corrected: it is followed by steps along that part's own
+gradient until the part is zero again, and taken if the risk still falls.
+
+The prior is estimated from positives and unlabelled rows alone: a first linear
+function tells positives from all rows, and p is the least ratio of the share
+of all rows above a threshold to that of positives above it, the threshold
+being the one with the lowest upper confidence bound of that ratio.
 
 Plan.  One pass turns texts into some thirty numbers each; Newton's sums over
 all rows are added up in Spark, a gradient and a matrix of thirty by thirty
-coming back.  Nothing else reaches the driver and no text is shuffled.
+coming back, and once two histograms of ``BINS`` counts.  Nothing else reaches
+the driver and no text is shuffled.  Scores are a column expression.
 
 Defined results: a null or empty text has all statistics zero and gets a score
-like any other; rows with a null id count as held out; of several labels of one
-id the largest counts; without positives every score is the prior.
+like any other; rows with a null id count as held out; a row with several
+labels is a positive if one of them is good; without positives every score is
+the prior, one half unless given.
 """
 
 from __future__ import annotations
@@ -35,6 +43,9 @@ _CLASSES = {
     "space": (32, 9), "line": (10,), "stop": (46,), "comma": (44,), "bang": (33,), "ask": (63,), "bar": (124,),
     "sign": tuple(b"#$%&*@^~"), "bracket": tuple(b"()[]{}<>"), "quote": (34, 39), "dash": (45, 95), "slash": (47, 92, 58, 61),
 }
+_CLASS_OF = np.full(256, len(_CLASSES), dtype=np.uint8)  # each byte is in one class, or in none
+for _i, _members in enumerate(_CLASSES.values()):
+    _CLASS_OF[list(_members)] = _i
 FEATURES = (*_CLASSES, "log_words", "word_length", "word_spread", "distinct", "again", "again2", "caps", "signed", "long_words",
             "line_words", "same_line", "short", "distinct2")
 
@@ -47,11 +58,10 @@ def features(texts: pa.Array) -> np.ndarray:
     if not n:
         return out
     size = np.maximum(1, np.diff(at))
-    for j, members in enumerate(_CLASSES.values()):
-        table = np.zeros(256, dtype=bool)
-        table[list(members)] = True
-        hits = np.concatenate(([0], np.cumsum(table[raw], dtype=np.int64)))[at]
-        out[:, j] = np.sqrt(np.diff(hits) / size)
+    cell = np.repeat(np.arange(n, dtype=np.int64) * (len(_CLASSES) + 1), np.diff(at))
+    cell += _CLASS_OF[raw]
+    hits = np.bincount(cell, minlength=n * (len(_CLASSES) + 1)).reshape(n, -1)[:, :-1]
+    out[:, :len(_CLASSES)] = np.sqrt(hits / size[:, None])
     words = C.split_words(texts)
     if not len(words):
         return out
@@ -98,14 +108,23 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
+#: Bins of the histograms from which the prior is estimated.
+BINS = 2000
+
+
 class Model(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the last is the constant
+    prior: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    def score(self, x: str = "x"):
+        """The score as a column of the array column ``x``."""
+        z = F.lit(float(self.weights[-1]))
+        for j, (m, s, w) in enumerate(zip(self.mean.tolist(), self.scale.tolist(), self.weights.tolist())):
+            unit = (F.col(x)[j].cast("double") - F.lit(m)) / F.lit(s)
+            z = z + F.greatest(F.lit(-6.0), F.least(F.lit(6.0), unit)) * F.lit(w)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))
 
 
 def held_out(id_col):
@@ -113,19 +132,26 @@ def held_out(id_col):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out and x, written once."""
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """id, held_out and x, written once; with ``carry`` also all columns of ``docs``, as c0, c1 and so on."""
+    names = ["id", "held_out", *[f"c{i}" for i in range(len(docs.columns))]] if carry else ["id", "held_out"]
+    place = names.index(f"c{docs.columns.index(text_col)}") if carry else 2
+
     def run(batches):
         for b in batches:
-            x = features(b["text"]).astype(np.float32)
+            x = features(b.column(place)).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], lists], ["id", "held_out", "x"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], lists], [*names, "x"])
 
     C.small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return C.materialise(
-        docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-        .mapInArrow(run, f"id {kind}, held_out boolean, x array<float>"), "features")
+    own = [F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out")]
+    rows = docs.select(*own, F.col(text_col).alias("text"))
+    if carry:
+        plain = docs.toDF(*names[2:])  # names of any kind
+        key = names[2 + docs.columns.index(id_col)]
+        rows = plain.select(F.col(key).alias("id"), F.coalesce(held_out(key), F.lit(True)).alias("held_out"), *names[2:])
+    out = rows.select(*names).withColumn("x", F.lit(None).cast("array<float>")).schema
+    return C.materialise(rows.mapInArrow(run, out), "features")
 
 
 def _sums(rows: DataFrame, add) -> np.ndarray:
@@ -143,75 +169,122 @@ def _sums(rows: DataFrame, add) -> np.ndarray:
     return np.array([got[i] for i in range(len(got))])
 
 
+def _ratio(every: np.ndarray, good: np.ndarray) -> float:
+    """The prior from histograms of all rows and of positives over the same bins, worst scores first."""
+    n, n_pos = every.sum(), good.sum()
+    above_all, above_pos = np.cumsum(every[::-1]) / n, np.cumsum(good[::-1]) / n_pos
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(n) + 1 / np.sqrt(n_pos))  # of both shares, one in ten
+    some = above_pos > 0
+    bound = np.where(some, (above_all + slack) / np.where(some, above_pos, 1), np.inf)
+    best = int(np.argmin(bound))
+    return float(np.clip(above_all[best] / above_pos[best], n_pos / n, 1 - 1e-3))
+
+
 def fit(table: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", prior: float | None = None,
-        steps: int = 8, ridge: float = 1e-3) -> Model:
+        steps: int = 8, ridge: float = 1e-2) -> Model:
     """Learn from rows of a feature table that are not held out.  ``prior`` is
-    estimated, unless given, as the share of good ones among their labels."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    rows = C.materialise(table.where("not held_out").join(known, "id", "left")
-                         .select("x", F.coalesce(F.col("y") == 1, F.lit(False)).alias("pos"), F.col("y").isNotNull().alias("known")), "learn")
-    n, n_pos, n_known = rows.agg(F.count(F.lit(1)), F.sum(F.col("pos").cast("int")), F.sum(F.col("known").cast("int"))).first()
+    estimated, unless given, from the positives and all rows."""
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("pos", F.lit(True))
+    rows = C.materialise(table.where("not held_out").select("id", "x").join(good, "id", "left")
+                         .select("x", F.coalesce("pos", F.lit(False)).alias("pos")), "learn")
+    n, n_pos = rows.agg(F.count(F.lit(1)), F.sum(F.col("pos").cast("int"))).first()
     d = len(FEATURES)
-    if prior is None:
-        prior = ((n_pos or 0) + 1) / ((n_known or 0) + 2)
-    constant = np.log(prior / (1 - prior))
+    k = d + 1
     if not n_pos:
-        return Model(np.zeros(d), np.ones(d), np.r_[np.zeros(d), constant])
+        constant = 0.0 if prior is None else np.log(prior / (1 - prior))
+        return Model(np.zeros(d), np.ones(d), np.r_[np.zeros(d), constant], prior or 0.5)
     s = _sums(rows, lambda x, pos: np.r_[x.sum(axis=0), (x ** 2).sum(axis=0)])
     mean = s[:d] / n
     scale = np.sqrt(np.maximum(s[d:] / n - mean ** 2, 1e-6))
-    w = np.r_[np.zeros(d), constant]
+    keep = np.r_[np.full(d, ridge), 0]
+
+    def unit(x):
+        return np.c_[np.clip((x - mean) / scale, -6, 6), np.ones(len(x))]
+
+    def sigmoid(z):
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+    def bend(x, p):
+        return ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+
+    if prior is None:
+        def contrast(w):
+            """Loss, gradient and curvature of telling positives from all rows, both of weight one half."""
+            def add(x, pos):
+                x = unit(x)
+                z = x @ w
+                p = sigmoid(z)
+                return np.r_[x.T @ p / n - x[pos].T @ (1 - p[pos]) / n_pos, bend(x, p) / n + bend(x[pos], p[pos]) / n_pos,
+                             np.logaddexp(0, z).sum() / n + np.logaddexp(0, -z[pos]).sum() / n_pos]
+            s = _sums(rows, add) / 2
+            return s[-1] + (keep * w * w).sum() / 2, s[:k] + keep * w, s[k:-1].reshape(k, k) + np.diag(keep + 1e-9)
+
+        w = np.zeros(k)
+        loss, gradient, hess = contrast(w)
+        for _ in range(steps):
+            step = np.linalg.solve(hess, gradient)
+            for size in (1.0, 0.3, 0.1):
+                ahead = contrast(w - size * step)
+                if ahead[0] <= loss + 1e-9:
+                    break
+            else:
+                break
+            before, w = loss, w - size * step
+            loss, gradient, hess = ahead
+            if before - loss < 1e-4:
+                break
+
+        def count(x, pos):
+            at = np.minimum((sigmoid(unit(x) @ w) * BINS).astype(np.int64), BINS - 1)
+            return np.r_[np.bincount(at, minlength=BINS), np.bincount(at[pos], minlength=BINS)].astype(np.float64)
+        s = _sums(rows, count)
+        prior = _ratio(s[:BINS], s[BINS:])
 
     def parts(w):
+        """The risk, its second part, the gradients of both and the curvature."""
         def add(x, pos):
-            x = np.c_[np.clip((x - mean) / scale, -6, 6), np.ones(len(x))]
+            x = unit(x)
             z = x @ w
-            p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            p = sigmoid(z)
             soft = np.logaddexp(0, z)  # l(-g)
-            return np.r_[x[pos].sum(axis=0), x.T @ p, ((x * (p * (1 - p))[:, None]).T @ x).ravel(), soft.sum(), soft[pos].sum()]
+            return np.r_[x[pos].sum(axis=0), x.T @ p, x[pos].T @ p[pos], bend(x, p), soft.sum(), soft[pos].sum()]
         s = _sums(rows, add)
-        k = d + 1
-        pos_x, all_p, hess = s[:k] / n_pos, s[k:2 * k] / n, s[2 * k:2 * k + k * k].reshape(k, k) / n
+        pos_x, all_p, pos_p, hess = s[:k] / n_pos, s[k:2 * k] / n, s[2 * k:3 * k] / n_pos, s[3 * k:-2].reshape(k, k) / n
         negative = s[-2] / n - prior * s[-1] / n_pos
-        keep = np.r_[np.full(d, ridge), 0]
         risk = prior * (s[-1] / n_pos - pos_x @ w) + max(0.0, negative) + (keep * w * w).sum() / 2
-        return risk, negative, all_p - prior * pos_x + keep * w, hess + np.diag(keep + 1e-9)
+        return risk, negative, all_p - prior * pos_x + keep * w, hess + np.diag(keep + 1e-9), all_p - prior * pos_p
 
+    w = np.r_[np.zeros(d), np.log(prior / (1 - prior))]
     state = parts(w)
     for _ in range(steps):
-        risk, _, gradient, hess = state
-        step = np.linalg.solve(hess, gradient)
+        step = np.linalg.solve(state[3], state[2])
         for size in (1.0, 0.3, 0.1, 0.03):
-            ahead = parts(w - size * step)
-            if ahead[1] >= 0 and ahead[0] <= risk + 1e-9:
+            to = w - size * step
+            ahead = parts(to)
+            for _ in range(3):
+                if ahead[1] >= 0:
+                    break
+                # the correction: up along the second part's gradient, to where its tangent is zero
+                to = to - ahead[4] * (1.01 * ahead[1] / max(ahead[4] @ ahead[4], 1e-12))
+                ahead = parts(to)
+            if ahead[1] >= 0 and ahead[0] <= state[0] + 1e-9:
                 break
         else:
             break
-        w, state = w - size * step, ahead
-        if risk - state[0] < 1e-6:
+        fell = state[0] - ahead[0]
+        w, state = to, ahead
+        if fell < 1e-6:
             break
-    return Model(mean, scale, w)
+    return Model(mean, scale, w, prior)
 
 
 def scores(table: DataFrame, model: Model, id_col: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """id, held_out, score and predicted for each row of a feature table."""
-    def run(batches):
-        for b in batches:
-            x = b["x"].flatten().to_numpy().reshape(len(b), -1).astype(np.float64)
-            s = model.score(x) if len(b) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b["id"], b["held_out"], pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                                             ["id", "held_out", "score", "predicted"])
-    kind = table.schema["id"].dataType.simpleString()
-    return (table.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col))
-
+    return (table.select(F.col("id").alias(id_col), "held_out", model.score().alias("score"))
+            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
-def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
-    place, names = docs.columns.index(text_col), docs.columns
 
-    def run(batches):
-        for b in batches:
-            good = b.filter(pa.array(model.score(features(b.column(place))) >= threshold))
-            yield pa.RecordBatch.from_arrays(good.columns, names)
-    C.small_batches(docs.sparkSession)
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)  # names of any kind
+def keep_good(table: DataFrame, columns: list[str], model: Model, threshold: float = 0.3) -> DataFrame:
+    """Of a feature table that carries its documents, the rows whose score
+    reaches the threshold, with the documents' own ``columns``."""
+    return table.where(model.score() >= threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
