@@ -20,8 +20,8 @@ from vetline.sources.tables import table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3."""
-    model = quality.fit(quality.feature_table(docs), table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model, threshold=0.3)
+    rows = quality.feature_table(docs, carry=True)
+    return quality.keep_good(rows, docs.columns, quality.fit(rows, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def _key(text_col: str = "text"):
