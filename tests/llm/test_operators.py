@@ -365,6 +365,32 @@ def test_personal_data_in_digit_groups(spark):
     assert {table[a:z] for a, z in pii.digit_runs(table, [])} >= {"4111 1111 1111 1112", "(017) 555-7713"}
 
 
+def test_words_frequent_everywhere_are_no_context(spark):
+    rng = random.Random(8)
+    vocab = [a + b for a in ("ba", "du", "ki", "lo", "me") for b in ("n", "ra", "st", "vo", "zer", "t")]
+
+    def card(good):
+        digits = "".join(rng.choices("123456789", k=15))
+        last = next(d for d in "0123456789" if pii.luhn(digits + d))
+        return digits + (last if good else str((int(last) + 1) % 10))
+    texts = []
+    for i in range(400):
+        w = [x for _ in range(30) for x in ("the", rng.choice(vocab))]
+        if i % 4 == 0:  # chance neighbours of cards, and the words that introduce them
+            at = 2 * rng.randrange(25) + 1
+            w[at:at] = [card(i % 40 > 0)] if i % 8 else ["visa", card(i % 40 > 0), "expires"]
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = {r.word: r.n for r in pii.word_counts(df, "text").collect()}
+    assert counts["the"] == 12000 and counts["visa"] == 50 and counts[""] == 400
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    added = {i for i, r in got.items() if len(r.spans) > len(r.base)}
+    assert added == {i for i in range(0, 400, 40)}  # wrong check digits after "visa"; none after "the"
+    kinds = {r["kind"]: r for r in pii.audit(df, hide=0.3).collect()}
+    assert kinds["card"].hidden > 10 and kinds["card"].found == kinds["card"].right
+    assert 0.3 < kinds["card"].right / kinds["card"].hidden < 0.7  # half of the cards stand after "visa"
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)

@@ -15,9 +15,17 @@ discounted where few seeds support it; an instance by noisy-or of its patterns,
 seeds staying at 1.  Candidates in patterns of high confidence are added with
 the kind of the pattern's seeds, for example cards whose check digit is wrong.
 
+A word that is frequent everywhere stands beside identifiers too.  So a pattern
+takes part only if its word is bound to its shape: with M instances of the shape
+on that side (one for each word beside it) and a word that makes up the share f
+of all words, chance alone brings E = M f instances; the pattern needs
+``MIN_LIFT`` E + ``SIGMAS`` sqrt(E).  Copies of a text add no instances.  Words
+are counted over all whole texts.
+
 Plan.  One pass over the texts writes, for each row, its base spans and its
-mentions; graphs are grouped by pattern or instance with partial aggregation;
-texts are not shuffled.
+mentions, another counts words with partial aggregation; graphs are grouped by
+pattern or instance with partial aggregation; texts are not shuffled.
+``audit`` hides a share of the seeds and reports how many are found again.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive;
 each input row gives one row, repeated ids too; other columns are ignored;
@@ -31,6 +39,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +48,8 @@ from vetline.llm import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 3, 0.8, 0.8
+#: How far a pattern's instances must be above those that its word's frequency alone brings.
+MIN_LIFT, SIGMAS = 2.0, 3.0
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -134,7 +145,8 @@ def digit_runs(text: str, taken: list[tuple[int, int]]) -> dict[tuple[int, int],
 
 
 def mentions(text: str, base: list) -> list[tuple]:
-    """(start, end, instance, kind or None, [patterns]) of seeds and candidates."""
+    """(start, end, instance, kind or None, [patterns], [frames]) of seeds and
+    candidates; a frame is its pattern with ``_`` for the word."""
     found = [(a, z, kind) for kind, a, z in base]
     taken = sorted((a, z) for _, a, z in base)
     runs = digit_runs(text, taken)
@@ -162,18 +174,19 @@ def mentions(text: str, base: list) -> list[tuple]:
         left = before[-1].strip(_EDGE).lower() if before else ""
         right = after.strip(_EDGE).lower()
         s = token_shape(token)
-        patterns = [f"{left} <{s}>", f"<{s}> {right}"]
+        frames = [(left, f"_ <{s}>"), (right, f"<{s}> _")]
         if kind in ("card", "phone") or (kind is None and runs.get((a, z))):
             size = "long" if sum(c in "0123456789" for c in token) >= CARD_DIGITS else "short"
-            patterns += [f"{left} #{size}"] if any(map(str.isalpha, left)) else []
-            patterns += [f"#{size} {right}"] if any(map(str.isalpha, right)) else []
-        out.append((a, z, token, kind, patterns))
+            frames += [(left, f"_ #{size}")] if any(map(str.isalpha, left)) else []
+            frames += [(right, f"#{size} _")] if any(map(str.isalpha, right)) else []
+        patterns = [f"{w}{f[1:]}" if f[0] == "_" else f"{f[:-1]}{w}" for w, f in frames]
+        out.append((a, z, token, kind, patterns, [f for _, f in frames]))
     return out
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _MENTION = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("kind", pa.string()),
-                               ("patterns", pa.list_(pa.string()))]))
+                               ("patterns", pa.list_(pa.string())), ("frames", pa.list_(pa.string()))]))
 _SPAN_DDL = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -192,7 +205,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = b["text"][i].as_py()
                 base = base_spans(text)
                 spans[i] = [dict(zip(("kind", "start", "end"), s)) for s in base]
-                seen[i] = [dict(zip(("start", "end", "instance", "kind", "patterns"), m)) for m in mentions(text, base)]
+                seen[i] = [dict(zip(("start", "end", "instance", "kind", "patterns", "frames"), m)) for m in mentions(text, base)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(b))), b["id"], pa.array(spans, _SPAN), pa.array(seen, _MENTION)],
                 ["row", "id", "base", "mentions"])
@@ -203,7 +216,23 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.materialise(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
             run, f"row long, id {kind}, base {_SPAN_DDL}, "
-                 "mentions array<struct<start:long,end:long,instance:string,kind:string,patterns:array<string>>>"), "mentions")
+                 "mentions array<struct<start:long,end:long,instance:string,kind:string,patterns:array<string>,frames:array<string>>>"), "mentions")
+
+
+def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, n) over all texts, words as contexts have them: without signs at
+    their ends, in lower case.  Words of signs only, and each text's edge, are empty ones."""
+    def run(batches):
+        for b in batches:
+            got = {"": len(b)}
+            for pair in pc.value_counts(C.split_words(b["text"]).array()).to_pylist():
+                word = pair["values"].strip(_EDGE).lower()
+                got[word] = got.get(word, 0) + pair["counts"]
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["word", "n"])
+
+    C.small_batches(docs.sparkSession)
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
+    return C.materialise(each.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -224,18 +253,58 @@ def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns.select("pattern", "confidence", "seeds", kind.alias("as_kind")), scored.groupBy("instance").agg(F.max("score").alias("score"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-         min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per input row: id, base (spans by kind, then start) and spans (base and discovered)."""
-    seen = scan(docs, id_col, text_col)
+def bound(edges: DataFrame, words: DataFrame) -> DataFrame:
+    """Patterns whose word stands beside their shape more often than its
+    frequency explains.  A word unknown to ``words`` (one cut at ``CONTEXT``)
+    counts as often as it stands there."""
+    total = words.agg(F.sum("n")).first()[0] or 1
+    word = F.when(F.col("frame").startswith("_"), F.expr("substring(pattern, 1, length(pattern) - length(frame) + 1)")).otherwise(
+        F.expr("substring(pattern, length(frame))"))
+    seen = edges.groupBy("pattern", "frame").agg(F.count(F.lit(1)).alias("seen")).withColumn("word", word)
+    frames = seen.groupBy("frame").agg(F.sum("seen").alias("framed"))
+    chance = F.col("framed") * F.coalesce("n", "seen") / F.lit(total)
+    return (seen.join(frames, "frame").join(words, "word", "left")
+            .where(F.col("seen") >= MIN_LIFT * chance + SIGMAS * F.sqrt(chance)).select("pattern").distinct())
+
+
+def mention_links(seen: DataFrame) -> DataFrame:
+    """row, start, end, instance, kind, pattern and frame: one row a mention and pattern."""
     each = seen.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    links = each.select("row", "start", "end", "instance", "kind", F.explode("patterns").alias("pattern"))
-    edges = C.materialise(links.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
+    return each.select("row", "start", "end", "instance", "kind", F.explode(F.arrays_zip("patterns", "frames")).alias("p")).select(
+        "row", "start", "end", "instance", "kind", F.col("p.patterns").alias("pattern"), F.col("p.frames").alias("frame"))
+
+
+def discover(links: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
+             min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
+    """(row, start, end, kind) of candidates, the mentions without a kind, in patterns of high confidence."""
+    every = C.materialise(links.groupBy("pattern", "frame", "instance").agg(F.max("kind").alias("kind")), "contexts")
+    edges = C.materialise(every.join(bound(every, words), "pattern").select("pattern", "instance", "kind")
                           .withColumn("seed", F.col("kind").isNotNull().cast("int")), "edges")
     patterns, instances = confident(edges, rounds)
     good = patterns.where((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence))
-    new = (links.where("kind is null").join(good, "pattern").join(instances.where(F.col("score") >= min_score), "instance")
-           .groupBy("row", "start", "end").agg(F.min("as_kind").alias("kind"))
+    return (links.where("kind is null").join(good, "pattern").join(instances.where(F.col("score") >= min_score), "instance")
+            .groupBy("row", "start", "end").agg(F.min("as_kind").alias("kind")))
+
+
+def audit(docs: DataFrame, hide: float = 0.2, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """What contexts alone find of seeds that are hidden from them, a share
+    ``hide`` of the instances, by hash: kind, hidden, found, right (with that kind),
+    and in the row of the null kind how many other candidates were found."""
+    links = mention_links(scan(docs, id_col, text_col))
+    part = F.pmod(F.xxhash64("instance"), F.lit(1_000_000)) < int(hide * 1_000_000)
+    known = links.withColumn("truth", F.col("kind")).withColumn("kind", F.when(~part, F.col("kind")))
+    found = discover(known.drop("truth"), word_counts(docs, text_col), **how).withColumnRenamed("kind", "said")
+    asked = known.where("kind is null").groupBy("row", "start", "end").agg(F.max("truth").alias("kind"))
+    return (asked.join(found, ["row", "start", "end"], "left").groupBy("kind").agg(
+        F.sum(F.col("kind").isNotNull().cast("long")).alias("hidden"), F.count("said").alias("found"),
+        F.sum((F.col("said").eqNullSafe(F.col("kind")) & F.col("kind").isNotNull()).cast("long")).alias("right")))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per input row: id, base (spans by kind, then start) and spans
+    (base and discovered); ``how`` goes to ``discover``."""
+    seen = scan(docs, id_col, text_col)
+    new = (discover(mention_links(seen), word_counts(docs, text_col), **how)
            .groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
     place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     every = F.concat("base", F.coalesce("more", F.array().cast(_SPAN_DDL)))
