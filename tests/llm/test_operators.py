@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vetline.llm import ann, packing, pii, quality, queries, simhash, substring_dedup, tiling, token_file, toxicity, warc
+from vetline.llm import ann, common as C, packing, pii, quality, queries, simhash, substring_dedup, tiling, token_file, toxicity, warc
 
 DOCS = "doc_id long, text string, id string, start long, lang string"  # extra names that operators use inside
 
@@ -382,7 +382,13 @@ def test_words_frequent_everywhere_are_no_context(spark):
         texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     counts = {r.word: r.n for r in pii.word_counts(df, "text").collect()}
-    assert counts["the"] == 12000 and counts["visa"] == 50 and counts[""] == 400
+    plain = {}
+    for w in re.findall(r"[^\s.]+", " ".join(texts)):
+        plain[w] = plain.get(w, 0) + 1
+    assert {w: counts[k] for w, k in zip(plain, pii.word_keys(list(plain)))} == plain and len(counts) == len(plain)
+    assert plain["the"] == 12000 and plain["visa"] == 50 and pii.word_keys(["", "a-b", "A-B"])[:1] == [0]
+    parts = list(C.slices(pa.array(["ab", None, "", "abcdef", "a", "b"]), 3))
+    assert [p.to_pylist() for p in parts] == [["ab", None, ""], ["abcdef"], ["a", "b"]]
     got = {r.doc_id: r for r in pii.find(df).collect()}
     added = {i for i, r in got.items() if len(r.spans) > len(r.base)}
     assert added == {i for i in range(0, 400, 40)}  # wrong check digits after "visa"; none after "the"

@@ -104,6 +104,20 @@ def split_words(texts: pa.Array, lower: bool = False, ends_word: np.ndarray = WH
     return Words(raw[inside], ends, np.searchsorted(start, base), start, base)
 
 
+def slices(texts: pa.Array, most: int = 4_000_000):
+    """The texts in runs of at most ``most`` bytes, or of one longer text, so
+    that work arrays of several bytes a byte stay small."""
+    sizes = np.diff(text_bytes(texts)[1])
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield texts.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        yield texts.slice(first)
+
+
 _POW: dict[int, np.ndarray] = {}
 
 

@@ -20,7 +20,9 @@ takes part only if its word is bound to its shape: with M instances of the shape
 on that side (one for each word beside it) and a word that makes up the share f
 of all words, chance alone brings E = M f instances; the pattern needs
 ``MIN_LIFT`` E + ``SIGMAS`` sqrt(E).  Copies of a text add no instances.  Words
-are counted over all whole texts.
+are counted over all whole texts, by a 64-bit hash; a context word with signs
+inside it is as frequent as its first part.  The edge of a text and
+words of signs alone make no pattern.
 
 Plan.  One pass over the texts writes, for each row, its base spans and its
 mentions, another counts words with partial aggregation; graphs are grouped by
@@ -39,7 +41,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,8 @@ LEAST_DIGITS, MOST_DIGITS, CARD_DIGITS = 9, 19, 13
 #: Characters of a context word, those nearest the mention.
 CONTEXT = 60
 _EDGE = ".,;:!?\"'()[]{}<>|"
+_ENDS = C.WHITE.copy()
+_ENDS[list(_EDGE.encode())] = True
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -145,8 +148,8 @@ def digit_runs(text: str, taken: list[tuple[int, int]]) -> dict[tuple[int, int],
 
 
 def mentions(text: str, base: list) -> list[tuple]:
-    """(start, end, instance, kind or None, [patterns], [frames]) of seeds and
-    candidates; a frame is its pattern with ``_`` for the word."""
+    """(start, end, instance, kind or None, [patterns], [frames], [words]) of seeds
+    and candidates; a frame is its pattern with ``_`` for the word."""
     found = [(a, z, kind) for kind, a, z in base]
     taken = sorted((a, z) for _, a, z in base)
     runs = digit_runs(text, taken)
@@ -174,19 +177,20 @@ def mentions(text: str, base: list) -> list[tuple]:
         left = before[-1].strip(_EDGE).lower() if before else ""
         right = after.strip(_EDGE).lower()
         s = token_shape(token)
-        frames = [(left, f"_ <{s}>"), (right, f"<{s}> _")]
+        frames = [(w, f) for w, f in ((left, f"_ <{s}>"), (right, f"<{s}> _")) if w]
         if kind in ("card", "phone") or (kind is None and runs.get((a, z))):
             size = "long" if sum(c in "0123456789" for c in token) >= CARD_DIGITS else "short"
             frames += [(left, f"_ #{size}")] if any(map(str.isalpha, left)) else []
             frames += [(right, f"#{size} _")] if any(map(str.isalpha, right)) else []
         patterns = [f"{w}{f[1:]}" if f[0] == "_" else f"{f[:-1]}{w}" for w, f in frames]
-        out.append((a, z, token, kind, patterns, [f for _, f in frames]))
+        out.append((a, z, token, kind, patterns, [f for _, f in frames], [w for w, _ in frames]))
     return out
 
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 _MENTION = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("kind", pa.string()),
-                               ("patterns", pa.list_(pa.string())), ("frames", pa.list_(pa.string()))]))
+                               ("patterns", pa.list_(pa.string())), ("frames", pa.list_(pa.string())),
+                               ("words", pa.list_(pa.int64()))]))
 _SPAN_DDL = "array<struct<kind:string,start:long,end:long>>"
 
 
@@ -205,7 +209,11 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text = b["text"][i].as_py()
                 base = base_spans(text)
                 spans[i] = [dict(zip(("kind", "start", "end"), s)) for s in base]
-                seen[i] = [dict(zip(("start", "end", "instance", "kind", "patterns", "frames"), m)) for m in mentions(text, base)]
+                seen[i] = [dict(zip(("start", "end", "instance", "kind", "patterns", "frames", "words"), m)) for m in mentions(text, base)]
+            distinct = list({w for ms in seen for m in ms for w in m["words"]})
+            hashes = dict(zip(distinct, word_keys(distinct)))
+            for m in (m for ms in seen for m in ms):
+                m["words"] = [hashes[w] for w in m["words"]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(b))), b["id"], pa.array(spans, _SPAN), pa.array(seen, _MENTION)],
                 ["row", "id", "base", "mentions"])
@@ -216,22 +224,47 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.materialise(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
             run, f"row long, id {kind}, base {_SPAN_DDL}, "
-                 "mentions array<struct<start:long,end:long,instance:string,kind:string,patterns:array<string>,frames:array<string>>>"), "mentions")
+                 "mentions array<struct<start:long,end:long,instance:string,kind:string,patterns:array<string>,frames:array<string>,words:array<long>>>"), "mentions")
+
+
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, split at signs too and with A-Z lower-cased, and where each text's begin and end."""
+    words = C.split_words(texts, lower=True, ends_word=_ENDS)
+    return C.word_hashes(words).view(np.int64), words.off
+
+
+def word_keys(words: list[str]) -> list[int]:
+    """The hash under which ``word_counts`` counts each of the words."""
+    h, off = _hashes(pa.array(words, pa.string()))
+    return [int(h[a]) if a < z else 0 for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all texts, words as contexts have them: without signs at
-    their ends, in lower case.  Words of signs only, and each text's edge, are empty ones."""
+    """(word, n): how often each word occurs over all texts, words by their hashes."""
     def run(batches):
+        keys, counts, held = [], [], 0
+
+        def merged():
+            word, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return word, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+
         for b in batches:
-            got = {"": len(b)}
-            for pair in pc.value_counts(C.split_words(b["text"]).array()).to_pylist():
-                word = pair["values"].strip(_EDGE).lower()
-                got[word] = got.get(word, 0) + pair["counts"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.string()), pa.array(list(got.values()), pa.int64())], ["word", "n"])
+            for part in C.slices(b["text"]):
+                word, n = np.unique(_hashes(part)[0], return_counts=True)
+                keys.append(word)
+                counts.append(n)
+                held += len(word)
+                if held > 1_000_000:  # merged within the task; what is still much goes on
+                    word, n = merged()
+                    keys, counts, held = [word], [n], len(word)
+                    if held > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+                        keys, counts, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["word", "n"])
 
     C.small_batches(docs.sparkSession)
-    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long")
     return C.materialise(each.groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
@@ -255,12 +288,10 @@ def confident(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def bound(edges: DataFrame, words: DataFrame) -> DataFrame:
     """Patterns whose word stands beside their shape more often than its
-    frequency explains.  A word unknown to ``words`` (one cut at ``CONTEXT``)
-    counts as often as it stands there."""
+    frequency explains.  A word unknown to ``words`` (one cut at ``CONTEXT``,
+    or with capitals beyond A-Z) counts as often as it stands there."""
     total = words.agg(F.sum("n")).first()[0] or 1
-    word = F.when(F.col("frame").startswith("_"), F.expr("substring(pattern, 1, length(pattern) - length(frame) + 1)")).otherwise(
-        F.expr("substring(pattern, length(frame))"))
-    seen = edges.groupBy("pattern", "frame").agg(F.count(F.lit(1)).alias("seen")).withColumn("word", word)
+    seen = edges.groupBy("pattern", "frame", "word").agg(F.count(F.lit(1)).alias("seen"))
     frames = seen.groupBy("frame").agg(F.sum("seen").alias("framed"))
     chance = F.col("framed") * F.coalesce("n", "seen") / F.lit(total)
     return (seen.join(frames, "frame").join(words, "word", "left")
@@ -268,16 +299,17 @@ def bound(edges: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def mention_links(seen: DataFrame) -> DataFrame:
-    """row, start, end, instance, kind, pattern and frame: one row a mention and pattern."""
+    """row, start, end, instance, kind, pattern, frame and word: one row a mention and pattern."""
     each = seen.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    return each.select("row", "start", "end", "instance", "kind", F.explode(F.arrays_zip("patterns", "frames")).alias("p")).select(
-        "row", "start", "end", "instance", "kind", F.col("p.patterns").alias("pattern"), F.col("p.frames").alias("frame"))
+    return each.select("row", "start", "end", "instance", "kind", F.explode(F.arrays_zip("patterns", "frames", "words")).alias("p")).select(
+        "row", "start", "end", "instance", "kind", F.col("p.patterns").alias("pattern"), F.col("p.frames").alias("frame"),
+        F.col("p.words").alias("word"))
 
 
 def discover(links: DataFrame, words: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
              min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
     """(row, start, end, kind) of candidates, the mentions without a kind, in patterns of high confidence."""
-    every = C.materialise(links.groupBy("pattern", "frame", "instance").agg(F.max("kind").alias("kind")), "contexts")
+    every = C.materialise(links.groupBy("pattern", "frame", "word", "instance").agg(F.max("kind").alias("kind")), "contexts")
     edges = C.materialise(every.join(bound(every, words), "pattern").select("pattern", "instance", "kind")
                           .withColumn("seed", F.col("kind").isNotNull().cast("int")), "edges")
     patterns, instances = confident(edges, rounds)

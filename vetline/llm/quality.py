@@ -139,7 +139,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for b in batches:
-            x = features(b.column(place)).astype(np.float32)
+            x = np.concatenate([np.zeros((0, len(FEATURES))), *map(features, C.slices(b.column(place)))]).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], lists], [*names, "x"])
 
