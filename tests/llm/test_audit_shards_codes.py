@@ -3,10 +3,14 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +154,26 @@ def test_divergence_in_small_blocks(spark, term_docs):
     assert one == many and len(one) == 6
 
 
+def test_divergence_blocks_take_little_memory(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vocab = np.array([f"{w},{w}" if w % 3 else f"w{w}." for w in range(3000)])
+    texts = [" ".join(vocab[rng.integers(0, 3000, 1000)]) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 1500), pa.array([f"s{i % 3}" for i in range(1500)]), pa.array(texts)], ["lang", "source", "text"])
+    monkeypatch.setattr(vocabulary, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = vocabulary.chunk_blocks(SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: run), 4)
+    tracemalloc.start()
+    blocks = pa.Table.from_batches(run([batch]))
+    in_blocks = tracemalloc.get_traced_memory()[1]
+    held = blocks.filter(pc.greater_equal(blocks["bucket"], 0))
+    terms = pa.concat_tables([vocabulary._tokenize(held.slice(i, 1)) for i in range(len(held))])
+    tracemalloc.reset_peak()
+    now = tracemalloc.get_traced_memory()[0]
+    vocabulary._reduce(blocks, terms)
+    in_reduce = tracemalloc.get_traced_memory()[1] - now
+    tracemalloc.stop()
+    assert in_blocks < 40 * 1_500_000 and in_reduce < 60 * 1_500_000, (in_blocks, in_reduce)
+
+
 def test_divergence_of_nothing(spark, term_docs):
     df = spark.createDataFrame([], SCHEMA)
     assert vocabulary.divergence(df).count() == 0

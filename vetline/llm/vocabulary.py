@@ -45,6 +45,8 @@ from vetline.llm import common as C
 MIN_DOCS, TOP_TERMS, ONE = 10, 10, 1_000_000_000
 #: A block closes at so many documents or bytes of text; a bucket is for so many bytes.
 BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES = 1 << 14, 24 << 20, 16 << 20
+#: Occurrences worked on at a time within a block.
+STEP = 1 << 18
 _KEYS = ["lang", "source"]
 #: Bytes that are in no term.
 NOT_TERM = np.zeros(256, dtype=bool)
@@ -53,7 +55,7 @@ NOT_TERM[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 def _runs(key: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts in a sorted array."""
-    return np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
 
 def _slices(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -69,7 +71,7 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _numbers(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype=kind).astype(np.int64)
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype=kind)
 
 
 def chunk_blocks(docs: DataFrame, buckets: int, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -92,17 +94,31 @@ def chunk_blocks(docs: DataFrame, buckets: int, block_docs: int = BLOCK_DOCS, bl
             [pa.array([block]), pa.array([-1], pa.int32()), pa.array(none, texts), pa.array([first.astype("<u4").tobytes()], pa.binary()),
              pa.array(none, pa.binary()), pa.array([lang.take(pa.array(first)).to_pylist()], texts),
              pa.array([source.take(pa.array(first)).to_pylist()], texts)], names)]
-        words = C.split_words(b["text"])
-        if not len(words):
+        parts, codes, docs, at, known = [], [], [], 0, 0
+        for part in C.slices(b["text"]):  # work arrays for a slice; for the block, six bytes a word
+            words = C.split_words(part)
+            coded = words.array().cast(pa.string()).dictionary_encode()
+            codes.append(coded.indices.to_numpy() + np.int32(known))
+            docs.append(np.repeat(number[at:at + len(part)].astype(np.uint16), np.diff(words.off)))
+            parts.append(coded.dictionary)
+            at, known = at + len(part), known + len(coded.dictionary)
+        if not known:
             return out
-        coded = words.array().dictionary_encode()
-        chunks = coded.dictionary
-        bucket = (C.word_hashes(C.split_words(chunks)) % np.uint64(buckets)).astype(np.int64)
+        coded = pa.concat_arrays(parts).dictionary_encode()
+        chunks, code = coded.dictionary, coded.indices.to_numpy()
+        bucket = np.concatenate([(C.word_hashes(C.split_words(x)) % np.uint64(buckets)).astype(np.int64) for x in C.slices(chunks)])
         by_bucket = np.argsort(bucket, kind="stable")
         rank = np.empty(len(chunks), dtype=np.int64)
         rank[by_bucket] = np.arange(len(chunks))
-        seen = np.sort((rank[coded.indices.to_numpy()] << 16) | np.repeat(number, np.diff(words.off)))
-        sizes = np.bincount(seen >> 16, minlength=len(chunks))
+        place = rank[code] << 16
+        seen = np.empty(sum(map(len, codes)), dtype=np.int64)
+        at = 0
+        for c, d in zip(codes, docs):
+            np.bitwise_or(place[c], d, out=seen[at:at + len(c)])
+            at += len(c)
+        del codes, docs, c, d
+        seen.sort()
+        sizes = np.diff(np.searchsorted(seen, np.arange(len(chunks) + 1) << 16))
         first = _runs(bucket[by_bucket])
         ends = np.append(first, len(chunks))
         n = len(first)
@@ -110,7 +126,7 @@ def chunk_blocks(docs: DataFrame, buckets: int, block_docs: int = BLOCK_DOCS, bl
         out.append(pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, block)), pa.array(bucket[by_bucket[first]].astype(np.int32)),
              pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), chunks.take(pa.array(by_bucket)).cast(pa.string())),
-             _slices(sizes.astype("<u4"), ends), _slices((seen & 0xFFFF).astype("<u2"), np.concatenate(([0], np.cumsum(sizes)))[ends]),
+             _slices(sizes.astype("<u4"), ends), _slices(seen.astype("<u2"), np.concatenate(([0], np.cumsum(sizes)))[ends]),
              empty, empty], names))
         return out
 
@@ -127,8 +143,9 @@ def chunk_blocks(docs: DataFrame, buckets: int, block_docs: int = BLOCK_DOCS, bl
                 size += int(lengths[j - 1] - past)
                 i = j
                 if size >= block_bytes or sum(map(len, held)) >= block_docs:
-                    yield from count(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
-                    block, held, size = block + 1, [], 0
+                    whole, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
+                    yield from count(whole, block)
+                    block, size = block + 1, 0
         if sum(map(len, held)):
             yield from count(pa.Table.from_batches(held).combine_chunks().to_batches()[0], block)
 
@@ -157,19 +174,27 @@ _COUNTS = "lang string, term string, n_docs long, by_source array<struct<source:
 def _reduce(blocks: pa.Table, terms: pa.Table) -> pa.Table:
     """One block: documents and occurrences by source of each (lang, term)."""
     blocks, terms = blocks.sort_by("bucket"), terms.sort_by("bucket")
-    first = _numbers(_column(blocks.slice(0, 1), "sizes"), "<u4")
+    first = _numbers(_column(blocks.slice(0, 1), "sizes"), "<u4").astype(np.int64)
     langs, sources = (pa.array(_column(blocks.slice(0, 1), c)[0].as_py(), pa.string()) for c in ("langs", "sources"))
-    sizes, docs = _numbers(_column(blocks.slice(1), "sizes"), "<u4"), _numbers(_column(blocks.slice(1), "docs"), "<u2")
-    n_terms, coded = _numbers(_column(terms, "n_terms"), "<u4"), _column(terms, "terms").flatten().dictionary_encode()
+    sizes, docs = _numbers(_column(blocks.slice(1), "sizes"), "<u4").astype(np.int64), _numbers(_column(blocks.slice(1), "docs"), "<u2")
+    n_terms, coded = _numbers(_column(terms, "n_terms"), "<u4").astype(np.int64), _column(terms, "terms").flatten().dictionary_encode()
     entry = np.repeat(np.arange(len(sizes)), n_terms)   # the chunk of each term
-    held = sizes[entry]
-    place = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held) + np.repeat((np.cumsum(sizes) - sizes)[entry], held)
-    key = np.sort((np.repeat(coded.indices.to_numpy().astype(np.int64), held) << 16) | docs[place])
+    held, start, term = sizes[entry], (np.cumsum(sizes) - sizes)[entry], coded.indices.to_numpy()
+    ends = np.concatenate(([0], np.cumsum(held)))
+    key, i = np.empty(int(ends[-1]), dtype=np.int64), 0
+    while i < len(held):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + STEP, side="right")) - 1)
+        n = held[i:j]
+        place = np.arange(int(n.sum())) + np.repeat(start[i:j] - (ends[i:j] - ends[i]), n)
+        np.bitwise_or(np.repeat(term[i:j].astype(np.int64) << 16, n), docs[place], out=key[ends[i]:ends[j]])
+        i = j
+    key.sort()
     once = _runs(key)                                   # a document of a term
-    group = np.searchsorted(first, key[once] & 0xFFFF, side="right") - 1
-    term = key[once] >> 16
+    end, key = len(key), key[once]
+    group = np.searchsorted(first, key & 0xFFFF, side="right") - 1
+    term = key >> 16
     cell = _runs(term * (len(first) + 1) + group)       # a (lang, source) of a term
-    n = np.add.reduceat(np.diff(np.append(once, len(key))), cell) if len(cell) else cell
+    n = np.diff(np.append(once[cell], end))
     n_docs = np.diff(np.append(cell, len(once)))
     term, group = term[cell], group[cell]
     code = langs.dictionary_encode()
