@@ -93,3 +93,13 @@ def test_reports_keep_the_whole_response(spark):
     raw = rows[0].raw
     assert "Søren" in raw and "\\u" not in raw and raw.startswith("{\n  \"") and '\n  "my key": {\n    "a": [\n      1,' in raw
     assert json.loads(rows[0].raw)["additions"][0] == {"criterion": "x", "detail": "", "points": 7}
+
+
+def test_values_of_a_report_are_worked_out_once(spark):
+    df = spark.createDataFrame([('{"b": {"x": [1, {"y": []}, "{"]}, "a": "[", "c": {}, "d": null, "e": [[2.5, true], []]}',)], "t string")
+    got = df.select(jf.pretty(F.parse_json("t")).alias("p")).first().p
+    assert json.loads(got) == json.loads(df.first().t)
+    assert got == json.dumps({"a": "[", "b": {"x": "X"}, "c": {}, "d": None, "e": "E"}, indent=2).replace(
+        '"X"', '[\n      1,\n      {"y":[]},\n      "{"\n    ]').replace('"E"', '[\n    [\n      2.5,\n      true\n    ],\n    []\n  ]')
+    text = df.select(jf.pretty(F.parse_json("t")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("parse_json(") == 1 and len(text) < 20_000, len(text)

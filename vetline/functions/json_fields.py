@@ -19,6 +19,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(x, use) -> Column:
+    """``use(x)`` with ``x`` worked out a single time, however often ``use``
+    reads it.  Common expressions are found by Spark neither within lambdas nor
+    within the branches of a condition."""
+    return F.get(F.transform(F.array(_c(x)), use), 0)
+
+
 def json_candidate(text) -> Column:
     """First ``{`` to last ``}`` across lines; '' when there is none."""
     return F.regexp_extract(_c(text), r"(?s)\{.*\}", 0)
@@ -37,8 +44,7 @@ def strict_parse(raw) -> Column:
     Wrapping in ``[...]`` turns the parser's lenient tail into an error, or
     into a second element (``{..},{..}``), which makes it null too."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), _c(raw), F.lit("]")))
-    values = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.get(values, 0))
+    return once(F.try_variant_get(wrapped, "$", "array<variant>"), lambda values: F.when(F.size(values) == 1, F.get(values, 0)))
 
 
 def parse_response(text) -> Column:
@@ -62,21 +68,23 @@ def pretty(v, depth: int = PRETTY_DEPTH, indent: str = "") -> Column:
     """A VARIANT as indented JSON with all its keys, two blanks a level.
 
     Objects and lists are taken apart level by level as maps and arrays of
-    VARIANT; text outside ASCII is kept.  Keys come in VARIANT order."""
-    v = _c(v)
-    plain = F.coalesce(F.to_json(v), F.lit("null"))
+    VARIANT, each a single time; text outside ASCII is kept.  Keys come in
+    VARIANT order."""
     if not depth:
-        return plain
+        return F.coalesce(F.to_json(_c(v)), F.lit("null"))
     inner = indent + "  "
-    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    items = F.try_variant_get(v, "$", "array<variant>")
 
     def block(opened, lines, closed):
         return F.concat(F.lit(f"{opened}\n{inner}"), F.array_join(lines, f",\n{inner}"), F.lit(f"\n{indent}{closed}"))
-    pairs = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(": "), pretty(e["value"], depth - 1, inner)))
-    return (F.when(F.coalesce(F.size(entries) > 0, F.lit(False)), block("{", pairs, "}"))
-             .when(F.coalesce(F.size(items) > 0, F.lit(False)), block("[", F.transform(items, lambda x: pretty(x, depth - 1, inner)), "]"))
-             .otherwise(plain))
+
+    def value(x, plain):
+        items = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: pretty(y, depth - 1, inner))
+        pairs = F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")),
+                            lambda e: F.concat(quoted(e["key"]), F.lit(": "), pretty(e["value"], depth - 1, inner)))
+        return (F.when(plain.startswith("{") & (plain != "{}"), block("{", pairs, "}"))
+                 .when(plain.startswith("[") & (plain != "[]"), block("[", items, "]")).otherwise(plain))
+    # the text in one line tells what is there; only objects and lists are taken apart
+    return once(v, lambda x: once(F.coalesce(F.to_json(x), F.lit("null")), lambda plain: value(x, plain)))
 
 
 def parse_status(text) -> Column:
@@ -131,14 +139,15 @@ def int_value(x: Column) -> Column:
     does it, independent of the session's ANSI setting: booleans -> 0/1,
     numbers truncated toward zero, strings only when they spell a whole
     integer (spaces and a sign allowed), anything else null (Q15)."""
-    t = F.schema_of_variant(x)
-    s = F.try_variant_get(x, "$", "string")
-    whole = F.coalesce(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
-    num = F.try_variant_get(x, "$", "double")
-    return (F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int"))
-            .when(t.startswith("STRING"), F.when(whole, trim_ws(s).try_cast("int")))
-            .when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
-                  F.when(num.isNotNull(), num.try_cast("int"))))
+    def convert(x, t):
+        s = F.try_variant_get(x, "$", "string")
+        whole = F.coalesce(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
+        num = F.try_variant_get(x, "$", "double")
+        return (F.when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean").cast("int"))
+                .when(t.startswith("STRING"), F.when(whole, trim_ws(s).try_cast("int")))
+                .when(t.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"),
+                      F.when(num.isNotNull(), num.try_cast("int"))))
+    return once(x, lambda v: once(F.schema_of_variant(v), lambda t: convert(v, t)))
 
 
 def breakdown_raw(v, name: str, sign: int) -> Column:
@@ -149,8 +158,7 @@ def breakdown_raw(v, name: str, sign: int) -> Column:
     unconvertible or missing value is 0 (P22, Q15)."""
     arr = variant_array(v, name)
 
-    def to_item(x):
-        obj = is_object(x)
+    def to_item(x, obj):
         pts = F.coalesce(F.abs(int_value(F.try_variant_get(x, "$.points", "variant"))), F.lit(0))
         pts = pts if sign > 0 else -pts
         crit = F.when(obj, F.coalesce(F.try_variant_get(x, "$.criterion", "string"), F.lit("")))
@@ -159,23 +167,23 @@ def breakdown_raw(v, name: str, sign: int) -> Column:
         return F.struct(crit.alias("criterion"), F.coalesce(detail, F.lit("")).alias("detail"),
                         F.when(obj, pts).otherwise(F.lit(0)).alias("points"))
 
-    return F.transform(arr, to_item)
+    return F.transform(arr, lambda x: once(is_object(x), lambda obj: to_item(x, obj)))
 
 
 def apply_once(items: Column) -> Column:
     """Only the first addition whose criterion contains ``industr`` counts;
     later ones get 0 points and a note (A5)."""
-    once = F.transform(items, lambda it: F.lower(it["criterion"]).contains(fixed.ONCE_ONLY_CRITERION))
-    first_once = F.array_position(once, True)  # 1-based, 0 when none
+    industry = lambda it: F.lower(it["criterion"]).contains(fixed.ONCE_ONLY_CRITERION)
 
-    def one(it, i):
-        dup = F.lower(it["criterion"]).contains(fixed.ONCE_ONLY_CRITERION) & (i + 1 > first_once)
+    def one(it, i, first):
+        dup = industry(it) & (i + 1 > first)
         return F.struct(
             it["criterion"].alias("criterion"),
             F.when(dup, F.concat(it["detail"], F.lit(fixed.ONCE_ONLY_NOTE))).otherwise(it["detail"]).alias("detail"),
             F.when(dup, F.lit(0)).otherwise(it["points"]).alias("points"))
 
-    return F.transform(items, one)
+    first_once = F.array_position(F.transform(items, industry), True)  # 1-based, 0 when none
+    return once(first_once, lambda first: F.transform(items, lambda it, i: one(it, i, first)))
 
 
 def breakdown_items(v, name: str, sign: int) -> Column:

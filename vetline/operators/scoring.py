@@ -159,13 +159,17 @@ def prompt_tokens(prompt) -> Column:
 def whole_response(r, given) -> Column:
     """The response as JSON text with all its keys (C48): the fields that scoring
     read, as it normalised them, then every other key as received."""
-    known = F.to_json(_c(r), {"ignoreNullFields": "false"})
-    fields = F.json_object_keys(known)
     entries = F.map_entries(F.coalesce(F.try_variant_get(_c(given), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
-    others = F.transform(F.filter(entries, lambda e: ~F.array_contains(fields, e["key"])),
-                         lambda e: F.concat(jf.quoted(e["key"]), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
-    return F.concat(F.substr(known, F.lit(1), F.length(known) - 1),
-                    F.when(F.size(others) > 0, F.concat(F.lit(","), F.array_join(others, ","))).otherwise(F.lit("")), F.lit("}"))
+
+    def others(fields):
+        return F.transform(F.filter(entries, lambda e: ~F.array_contains(fields, e["key"])),
+                           lambda e: F.concat(jf.quoted(e["key"]), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null"))))
+
+    def whole(known):
+        rest = jf.once(F.json_object_keys(known), lambda fields: jf.once(others(fields), lambda o: F.when(
+            F.size(o) > 0, F.concat(F.lit(","), F.array_join(o, ","))).otherwise(F.lit(""))))
+        return F.concat(F.substr(known, F.lit(1), F.length(known) - 1), rest, F.lit("}"))
+    return jf.once(F.to_json(_c(r), {"ignoreNullFields": "false"}), whole)
 
 
 def scoring_report(ref_nr, r, given=None) -> Column:
