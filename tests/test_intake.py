@@ -1,4 +1,5 @@
 """Dedup, keyword routing, collision names (FIXTURES B2, B3, B12)."""
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vetline.operators import filters as flt
@@ -51,6 +52,21 @@ def test_keyword_table_of_any_size(spark):
     assert got == [(1, "pwc"), (1, "pwc"), (2, None), (3, None), (4, None), (5, "1")]
 
 
+def test_keyword_grams_of_few_names_leave_python(spark, monkeypatch):
+    monkeypatch.setattr(flt, "PIECE", 4)  # names lie over the ends of pieces, keywords over those of names
+    texts = ["xxa", "bcé", None, "", "abcabc é", "日本語", "b", "本"]
+    of = lambda kw: [int.from_bytes(kw[:3], "big") + (min(3, len(kw)) << 24)]
+    for kw in ("abc", "bcé", "é", "本語", "b", "日本語"):
+        kw = kw.encode()
+        grams = flt.name_grams([of(kw)[0] % flt.GRAM_SLOTS], [min(3, len(kw))])
+        got = grams(pa.array([t if t is None else t.encode() for t in texts], pa.binary())).to_pylist()
+        assert got == [of(kw) if t and kw[:3] in t.encode() else [] for t in texts], kw
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, name string")
+    kw = spark.createDataFrame([(1, "本語"), (2, "É"), (3, "abc")], "pos long, kw string")
+    got = {r.id: r.matched_keyword for r in flt.keyword_route(df, "name", kw).collect()}
+    assert got == {0: None, 1: "é", 2: None, 3: None, 4: "é", 5: "本語", 6: None, 7: None}
+
+
 def test_collision_suffixes(spark):
     df = spark.createDataFrame([("X", 1), ("X", 2), ("X", 3), ("Y", 4)], "stem string, k int")
     p = {r.k: r.final_name for r in intake.collision_suffix(df, "stem", ["k"], "paren").collect()}
