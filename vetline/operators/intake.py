@@ -78,7 +78,7 @@ def _equal_rows_once(df: DataFrame, key: str, order_col: str) -> DataFrame:
               .withColumn(order_col, F.col("_at.o")).select(*df.columns, "_at", "_n"))
 
 
-def _every_copy(once: DataFrame) -> DataFrame:
+def every_copy(once: DataFrame) -> DataFrame:
     """``_n`` copies of each row with ``_copy`` from 0; many copies of one row are
     dealt over tasks."""
     few = once.where(F.col("_n") <= COPIES).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
@@ -101,7 +101,7 @@ def flag_first_per_key(df: DataFrame, key: str, order_col: str,
     interchangeable; null orders come last."""
     once = _equal_rows_once(df, key, order_col)
     firsts = once.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_at").alias("_first"))
-    out = _every_copy(once.join(firsts, key, "left").withColumn("_win", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False))))
+    out = every_copy(once.join(firsts, key, "left").withColumn("_win", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False))))
     return out.withColumn(flag, F.col("_win") & (F.col("_copy") == 0)).select(*df.columns, flag)
 
 
@@ -123,7 +123,7 @@ def dedup_against_seen(links: DataFrame, seen, force: bool = False,
     per_key = per_key.join(known.withColumn("_seen", F.lit(True)), key, "left")
     out = once.join(per_key, key, "left")
     in_seen = F.coalesce(F.col("_seen"), F.lit(False))
-    out = _every_copy(out.withColumn("_new", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False)) & ~in_seen))
+    out = every_copy(out.withColumn("_new", F.coalesce(F.col("_at") == F.col("_first"), F.lit(False)) & ~in_seen))
     is_new = F.col("_new") & (F.col("_copy") == 0)
     outcome = (F.when(F.col(key).isNull(), F.lit("skipped"))
                .when(~is_new & F.lit(not force), F.lit("deleted"))

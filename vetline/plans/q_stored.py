@@ -43,8 +43,7 @@ def dedup_stream(spark, sf_dir):
     known = q_intake.seen_texts(spark, sf_dir).select(F.lit(None).cast("long").alias("doc_id"), "text_key", F.lit(True).alias("is_seen"))
     third = docs.agg(F.percentile_approx("doc_id", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()["q"] or [0, 0]
     part = F.when(F.col("doc_id").isNull() | (F.col("doc_id") <= third[0]), 0).when(F.col("doc_id") <= third[1], 1).otherwise(2)
-    (known.unionByName(docs).withColumn("part", part).repartition("part")
-     .write.partitionBy("part").parquet(f"{root}/parts"))
+    known.unionByName(docs).withColumn("part", part).write.partitionBy("part").parquet(f"{root}/parts")
     for k in range(3):
         spark.read.schema(schema).parquet(f"{root}/parts").where(F.col("part") == k).write.mode("append").parquet(f"{root}/arrivals")
         arrivals = spark.readStream.schema(schema).parquet(f"{root}/arrivals")
