@@ -320,6 +320,27 @@ def test_nearest_keeps_its_recall_on_larger_tables(spark):
     assert recall >= 0.93  # 4 tables x 8 probes x 32 points hold a tenth of the points at most
 
 
+def test_nearest_sends_no_queries_to_the_driver(spark):
+    x = np.random.default_rng(4).normal(size=(600, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    out = ann.nearest(df, df.where("vec_id % 10 = 0"), k=10, bucket_points=32)
+    assert len(out.collect()) == 600
+    plan = out._jdf.queryExecution().executedPlan()  # small enough that Spark's own threshold would broadcast each side
+    assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()
+
+
+def test_nearest_probes_are_the_first_of_all_pairs():
+    unit = ann._unit(np.random.default_rng(6).normal(size=(50, 20)))
+    unit[:10] = ann._unit(np.sign(unit[:10]))  # many equal distances
+    signs = ann.rotations(20, 1, 3)
+    (a, lost), (b, lost2) = (ann._ranked(ann.rotate(unit, s), 32, 64) for s in signs)
+    loss = (lost[:, :, None] ** 2 + lost2[:, None, :] ** 2).reshape(50, -1)
+    every = (a[:, :, None] * 64 + b[:, None, :]).reshape(50, -1)
+    order = np.take_along_axis(every, np.argsort(loss, axis=1, kind="stable"), axis=1)
+    for probes in (1, 8, 37, 64):
+        assert (ann.codes(unit, 1, (32, 32), probes, 3) == order[:, :probes]).all()
+
+
 def plain_base(text):
     out = []
     out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

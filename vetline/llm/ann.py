@@ -13,7 +13,9 @@ queries are compared with all points.
 
 Plan.  Exact copies become one point with its few smallest ids (enough for any
 answer, as ties go to smaller ids), so a hot vector costs one row; equal
-queries ask once and share the answer, less each one's own row.  The number
+queries ask once and share the answer, less each one's own row.  All joins are
+sort-merge joins: a query becomes a row a table and probe, which the planner does
+not foresee, so it would send them all to the driver to broadcast.  The number
 of buckets grows with the points, so a bucket keeps about ``bucket_points``;
 larger ones are split by salts that every query of the bucket visits.  Queries
 and points meet in a co-grouped task that returns ``k`` rows a query: no pairs
@@ -90,10 +92,10 @@ def codes(unit: np.ndarray, table: int, axes: tuple[int, int], probes: int, seed
     if not axes[1]:
         return first
     second, lost2 = _ranked(rotate(unit, signs[1]), axes[1], probes)
-    loss = (lost[:, :, None] ** 2 + lost2[:, None, :] ** 2).reshape(len(unit), -1)
-    both = (first[:, :, None] * (2 * axes[1]) + second[:, None, :]).reshape(len(unit), -1)
-    best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-    return np.take_along_axis(both, best, axis=1)
+    # a pair comes after all that are nearer on both axes, so only these can be among the first
+    i, j = np.nonzero(np.outer(np.arange(first.shape[1]) + 1, np.arange(second.shape[1]) + 1) <= probes)
+    best = np.argsort(lost[:, i] ** 2 + lost2[:, j] ** 2, axis=1, kind="stable")[:, :probes]
+    return np.take_along_axis(first, i[best], axis=1) * (2 * axes[1]) + np.take_along_axis(second, j[best], axis=1)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -152,7 +154,9 @@ def probes_for(asked: np.ndarray, near: np.ndarray, of: np.ndarray, points: int,
     while True:
         hit = np.zeros(len(near), dtype=bool)
         for t in range(tables):
-            hit |= (codes(asked, t, axes, probes, seed)[of] == home[t]).any(axis=1)
+            for q, visited in enumerate(codes(asked, t, axes, probes, seed)):
+                mine = np.flatnonzero(of == q)
+                hit[mine] |= np.isin(home[t][mine, 0], visited)
         if hit.mean() >= target:
             return axes, probes
         if tables * probes * bucket_points >= points:
@@ -230,7 +234,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     head = f"dim int, tab int, code long, {{}}, vec array<{element}>"
     dealt = C.materialise(points.select("ids", "vec").mapInArrow(deal({}), head.format(f"ids array<{kind}>")), "dealt")
     key = ["dim", "tab", "code"]
-    sizes = dealt.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SALT_POINTS).cast("int").alias("salts"))
+    sizes = (dealt.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SALT_POINTS).cast("int").alias("salts"))
+             .hint("merge"))  # as all joins here: the planner takes what deal() makes of a row for one row and would broadcast it
     stored = (dealt.join(sizes, key).withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), "salts").cast("int")).drop("salts"))
     # equal queries ask once, as the smallest of their ids; the others get its answer below
     members = tidy(queries).distinct()
@@ -263,9 +268,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     lists = (found.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("query_id")
              .agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("near")))  # k + 1 at most
     # each member's own row is left out of the answer that it shares
-    rep = first.select(F.col("vec").alias("_vec"), F.col("id").alias("rep"))
+    rep = first.select(F.col("vec").alias("_vec"), F.col("id").alias("rep")).hint("merge")
     answers = (members.join(rep, members["vec"] == rep["_vec"]).select(F.col("id").alias("own"), "rep")
-               .join(lists, F.col("rep") == lists["query_id"])
+               .join(lists.hint("merge"), F.col("rep") == lists["query_id"])
                .select("own", F.explode(F.slice(F.filter("near", lambda x: x["id"] != F.col("own")), 1, k)).alias("x"))
                .groupBy("own", F.col("x.id").alias("id")).agg(F.min("x.score").alias("score")))  # an id may ask with several vectors
     rank_of = F.row_number().over(Window.partitionBy("own").orderBy("score", "id"))
